@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, near_dedup, pii, piece_codec, quality, token_counts, toxicity
+from . import licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity
 from .common import held_out, table
 
 #: Context length that op3 asks about, and least score that op6 calls toxic.
@@ -51,6 +51,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels"), host="source", path="section")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -60,6 +64,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op9_sentencepiece, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
