@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity
+from . import decontaminate, licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity
 from .common import held_out, table
 
 #: Context length that op3 asks about, and least score that op6 calls toxic.
 TOKEN_LIMIT, TOXIC = 2048, 0.7
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     names = F.array(*map(F.lit, [*pii.KINDS, "term"]))
@@ -64,6 +68,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
