@@ -126,7 +126,7 @@ def set_sums(sets: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, rules: NearRules, text: str = "text") -> DataFrame:
-    """Of each row: doc_id, n_shingles, id (64 bits of the set; null where empty), sig (longs of 4 symbols each)."""
+    """Of each row: doc_id, text_key (for repeated doc_ids), n_shingles, id (64 bits of the set; null where empty), sig (longs of 4 symbols each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -134,9 +134,9 @@ def signed(docs: DataFrame, rules: NearRules, text: str = "text") -> DataFrame:
             sets, n = shingle_sets(texts, rules.size, hashes)
             sig = signatures(sets, n, rules.symbols).view(np.int64)
             at = pa.array(np.arange(len(n) + 1) * sig.shape[1], pa.int32())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "id": pa.array(set_sums(sets, n, 1).view(np.int64), mask=n == 0), "sig": pa.ListArray.from_arrays(at, pa.array(sig.ravel()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "id": pa.array(set_sums(sets, n, 1).view(np.int64), mask=n == 0), "sig": pa.ListArray.from_arrays(at, pa.array(sig.ravel()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, id long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, id long, sig array<long>")
 
 
 def symbol(sig: Column, i: int) -> Column:
@@ -205,7 +205,7 @@ def shingles_of(docs: DataFrame, doc_ids: DataFrame, rules: NearRules, text: str
 
 
 def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text") -> DataFrame:
-    """Near-duplicate components: doc_id, n_shingles, component_id, kept, one row for each row of docs.
+    """Near-duplicate components: doc_id, text_key, n_shingles, component_id, kept, one row for each row of docs.
 
     Words are runs of other than spaces (A-Z in lower case), shingles 5 words, links 75 % of the union. Fewer words
     make one shingle; without words or text, the set is empty and linked with nothing (component_id is the doc_id).
@@ -236,7 +236,7 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
             comp = staged(known.select("id").join(components(edges), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-comp")
     smallest = known.join(comp, "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
     per_set = classes.select("id", F.col("doc_id").alias("own")).join(comp, "id", "left").join(smallest, "comp", "left").select("id", F.coalesce("component", "own").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "id").join(per_set, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "id").join(per_set, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -262,3 +262,17 @@ def all_pairs(now: DataFrame, known: DataFrame, rules: NearRules) -> DataFrame:
 
 def may_link(na: Column, nb: Column, sa: Column, sb: Column, rules: NearRules) -> Column:
     return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & (equal_symbols(sa, sb, rules) >= rules.symbols - rules.slack)
+
+
+def one_of_each(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", most: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that near_groups keeps; rows that repeat a doc_id and text become one.
+
+    Up to `most` dropped rows' keys are sent to all executors; beyond that, both sides are shuffled.
+    """
+    groups = staged(near_groups(docs, rules, text).select("doc_id", "text_key", "kept"), "near-groups")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("__tw_id"), F.col("text_key").alias("__tw_key")).distinct()
+    few = gone.count() <= most
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__tw_id")) & (F.xxhash64(docs[text]) == F.col("__tw_key"))
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = groups.filter("kept and doc_id is not null").groupBy("doc_id", "text_key").count().filter("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id", text])

@@ -17,11 +17,12 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import SLICE_CHARS, held_out, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Features of a word.
@@ -270,3 +271,20 @@ def toxic_spans(text: str, p: np.ndarray, level: float) -> list[dict]:
         return [{"start": 0, "end": len(text), "p": float(p.max())}]
     cut = np.flatnonzero(np.diff(hot) > 1) + 1
     return [{"start": places[r[0]][0], "end": places[r[-1]][1], "p": float(p[r].max())} for r in np.split(hot, cut)]
+
+
+def filter_toxic(docs: DataFrame, tagger: Tagger, level: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below level; see score_toxicity."""
+
+    def score(texts: pd.Series) -> pd.Series:
+        out, held, size = [], [], 0
+        for t in [*texts, None]:  # in slices, as a batch of long texts is large
+            if held and size + len(t or "") > SLICE_CHARS:
+                out.append(tagger.scores(*tagger.marginals(held)))
+                held, size = [], 0
+            held.append(WORD.findall(t.lower()) if t else [])
+            size += len(t or "")
+        out.append(tagger.scores(*tagger.marginals(held)))
+        return pd.Series(np.concatenate(out)[: len(texts)])
+
+    return docs.filter(F.pandas_udf(score, "double")(F.col(text)) < level)
