@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "b10_phase_ensemble"
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("core",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
