@@ -113,7 +113,7 @@ class LeakIndex:
         """
         n, rules = len(values), self.rules
         count = np.r_[0, np.cumsum(hit)]
-        first, last = [], []
+        first, last, own_size = [], [], []
         for length in self.lengths:
             m = length - self.size + 1
             need = -(-rules.percent * m // 100)
@@ -124,7 +124,8 @@ class LeakIndex:
             ok = count[e] - count[s] >= need
             first.append(s[ok])
             last.append(e[ok])
-        first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, last))
+            own_size.append(np.full(int(ok.sum()), m))
+        first, last, own_size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, last, own_size))
         best: dict[int, tuple] = {}
         for part in np.array_split(np.arange(len(first)), -(-len(first) // 4096) or 1):
             if not len(part):
@@ -142,6 +143,8 @@ class LeakIndex:
             prints = fingerprints(sums[place[b - low]] - sums[place[a - low]])
             todo: dict[int, list] = defaultdict(list)
             for i, items, far in self.near(prints):
+                fit = self.totals[items] == own_size[part[i]]  # an item is looked for in windows of its own size
+                items, far = items[fit], far[fit]
                 for item, f in zip(items.tolist(), far.tolist(), strict=True):
                     todo[item].append((i, f))
             for item, windows in todo.items():
