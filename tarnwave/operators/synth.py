@@ -43,3 +43,14 @@ def exposed(bits: DataFrame, period: float, duty: float, keys: Sequence[str] = (
     n = bits.groupBy(*keys).agg(F.floor(F.count("*") * F.lit(period)).alias("__n"))
     sums = rows.groupBy(*keys, "frame").agg((F.sum(F.col("bit") * part) / duty).alias("v"))
     return sums.join(n, list(keys)).filter(F.col("frame") < F.col("__n") - 1).drop("__n")
+
+
+def drifting(bits: DataFrame, fps: float = 30.0, rate: float = 10.0, phase: float = 0.35, drift: float = 0.0, lo: float = 0.25, hi: float = 0.85, exposure: float = 0.8, sub: int = 32, keys: Sequence[str] = ("stream",)) -> DataFrame:
+    """keys, frame, v in 0 to 1: the other model, with a slow wander of the ambient light; phase is in symbols."""
+    n = bits.groupBy(*keys).agg(F.count("*").alias("__nb")).withColumn("__n", F.floor(F.col("__nb") * F.lit(fps / rate)) - 1)
+    rows = n.filter("__n > 0").withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    point = lambda j: F.least(F.greatest(F.floor((F.col("frame") + (j + 0.5) / F.lit(float(sub)) * F.lit(exposure)) / F.lit(fps) * F.lit(rate) - F.lit(phase)), F.lit(0)), F.col("__nb") - 1)
+    seen = rows.withColumn("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sub - 1)), point))).groupBy(*keys, "frame", "__n", "k").agg(F.count("*").alias("__w"))
+    lit = seen.join(bits, [*keys, "k"]).groupBy(*keys, "frame", "__n").agg((F.sum(F.col("__w") * F.when(F.col("bit") == 1, hi).otherwise(lo)) / sub).alias("v"))
+    wander = F.lit(drift) * F.sin(F.lit(2.5) * F.col("frame") / (F.col("__n") - 1))
+    return lit.select(*keys, "frame", F.least(F.greatest(F.col("v") + wander, F.lit(0.0)), F.lit(1.0)).alias("v"))

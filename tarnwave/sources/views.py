@@ -47,3 +47,4 @@ SIGNAL = "signal AS (SELECT event_type AS lamp, row_number() OVER (PARTITION BY
 SIGNAL_LONG = "signal AS (SELECT o_orderpriority AS lamp, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS frame, o_totalprice AS v FROM orders)"
 PIXELS = "pixels AS (SELECT vec_id AS frame, label, CAST((i - 1) % 8 AS BIGINT) AS x, CAST((i - 1) // 8 AS BIGINT) AS y, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))"
 TRUTH = "base AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, quality, toxic FROM labels), truth AS (SELECT 'quality' AS stream, k, CAST(quality AS BIGINT) AS bit FROM base UNION ALL SELECT 'toxic', k, CAST(toxic AS BIGINT) FROM base)"
+ARR_LABEL = "fr AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS px FROM embeddings)"
