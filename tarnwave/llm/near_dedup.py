@@ -6,8 +6,8 @@ at most (errors + 1) * chunks - 1 differ in at most `errors` symbols of some chu
 every choice of symbols left out, and all pairs within that distance share a key. Links are confirmed on full sets.
 
 Only classes of equal sets enter. Buckets never give all their pairs: first each member is held against one member of
-its bucket, links are merged into components, and only buckets that still span several components go on, in the last
-round with all pairs across components. So a large group of near copies costs a few rows for each member.
+its bucket, links are merged into components, and only buckets that still span several components go on, with their
+pairs across components. So a large group of near copies costs a few rows for each member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 @dataclass(frozen=True)
 class NearRules:
     """size: words of a shingle. percent: 100 * intersection >= percent * union. errors: symbols left out of a chunk.
-    stars: rounds in which members meet one of their bucket. slack: distance beyond which a pair isn't confirmed
-    (at 0.75, 26 of 40 symbols differ for fewer than one pair in 10^8). broadcast_ids: most ids sent to all executors.
+    slack: distance beyond which a pair isn't confirmed (at 0.75, more than 23 of 40 symbols differ for fewer than one
+    pair in 10^5). broadcast_ids: most ids sent to all executors; small: most classes (about 100 bytes each), or edges.
     """
 
     size: int = 5
@@ -39,9 +39,9 @@ class NearRules:
     chunks: int = 10
     chunk: int = 4
     errors: int = 1
-    stars: int = 3
-    slack: int = 26
+    slack: int = 23
     broadcast_ids: int = 1_000_000
+    small: int = 200_000
 
     @property
     def symbols(self) -> int:
@@ -144,24 +144,40 @@ def symbol(sig: Column, i: int) -> Column:
 
 
 def chunk_keys(sig: Column, rules: NearRules) -> Column:
-    """The keys of a signature: for each chunk, each choice of chunk - errors of its symbols."""
+    """The keys of a signature as rows (place, key): for each chunk, each choice of chunk - errors of its symbols."""
     keys = []
     for c in range(rules.chunks):
         own = range(c * rules.chunk, (c + 1) * rules.chunk)
         for kept in combinations(own, rules.chunk - rules.errors):
             keys.append(F.xxhash64(F.lit(".".join(map(str, kept))), *(symbol(sig, i) for i in kept)))
-    return F.explode(F.array(*keys))
+    return F.posexplode(F.array(*keys))
+
+
+def lanes(x: Column) -> Column:
+    """How many of the four lanes of 16 bits are all 0."""
+    for step in (8, 4, 2, 1):  # afterwards, the lowest bit of each lane tells whether any of its 16 was set
+        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+    return 4 - F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+
+
+def first_shared(a: Column, b: Column, rules: NearRules) -> Column:
+    """The place of the first key that two signatures share; a pair is taken in that bucket alone.
+
+    A chunk is a long of four symbols. If all agree, its first choice is shared; if one differs, the choice without it.
+    """
+    assert (rules.chunk, rules.errors) == (4, 1), "written for chunks of four symbols and one error"
+    found = F.lit(None).cast("int")
+    for c in reversed(range(rules.chunks)):
+        x = a[c].bitwiseXOR(b[c])
+        # choices leave out the last symbol first
+        odd = F.coalesce(*[F.when(x.bitwiseAND(F.lit(-1 << 48 if i == 3 else 0xFFFF << (16 * i))) != 0, 3 - i) for i in range(4)], F.lit(0))
+        found = F.when(lanes(x) >= 3, c * 4 + odd).otherwise(found)
+    return found
 
 
 def equal_symbols(a: Column, b: Column, rules: NearRules) -> Column:
     """How many symbols agree: lanes of 16 bits that are all 0 in a xor b."""
-    total = F.lit(0)
-    for i in range(rules.symbols // 4):
-        x = a[i].bitwiseXOR(b[i])
-        for step in (8, 4, 2, 1):  # afterwards, the lowest bit of each lane tells whether any of its 16 was set
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + (4 - F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
-    return total
+    return sum((lanes(a[i].bitwiseXOR(b[i])) for i in range(rules.symbols // 4)), F.lit(0))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
@@ -171,19 +187,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return two.filter(100 * both >= rules.percent * (F.size("xs") + F.size("ys") - both)).select("a", "b")
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def components(edges: DataFrame, small: int) -> DataFrame:
     """Of each node of edges (a, b): comp, the smallest node it is connected to.
 
     Rounds of neighbours' minima, each followed by a jump to the label's own label, until nothing changes; every round
-    is a written table.
+    is a written table. Labels of up to `small` edges are sent to the edges; beyond that, both are shuffled.
     """
-    both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "near-edges")
-    comp = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"), "near-comp")
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]))
+    both = staged(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "near-edges")
+    few = both.count() <= small
+    comp = staged(both.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id"), "near-comp")
     while True:
-        near = both.join(comp.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low")).withColumnRenamed("a", "id")
-        stepped = comp.join(near, "id", "left").select("id", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        jump = stepped.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        after = staged(stepped.join(jump, "comp", "left").select("id", "was", F.least("comp", "next").alias("comp")), "near-comp")
+        labels = comp.select(F.col("id").alias("b"), "comp")
+        near = both.join(sent(labels, few), "b").groupBy("a").agg(F.min("comp").alias("comp"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("was"))
+        jump = comp.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        after = staged(near.join(sent(jump, few), "comp").select(F.col("a").alias("id"), "was", F.least("comp", "next").alias("comp")), "near-comp")
         comp = after.select("id", "comp")
         if after.filter("comp <> was").isEmpty():
             return comp
@@ -217,47 +239,49 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     rows = staged(signed(docs, rules, text), "near-signed")
     classes = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = staged(classes, "near-classes")
-    keyed = classes.select("id", chunk_keys(F.col("sig"), rules).alias("key"))
+    keyed = classes.select("id", chunk_keys(F.col("sig"), rules).alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    buckets = staged(keyed.join(shared, "key").select("id", "key"), "near-buckets")
+    buckets = staged(keyed.join(shared, "key").select("id", "place", "key"), "near-buckets")
     known = staged(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "near-known")
+    few = known.count() <= rules.small
     sets = staged(shingles_of(docs, known.select("doc_id").distinct(), rules, text), "near-sets")
-    comp = known.select("id", F.col("id").alias("comp"))
-    edges = None
-    for turn in range(rules.stars + 1):
-        # only buckets whose members are in several components can still bring a link that matters
-        now = buckets.join(comp, "id")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-        now = now.join(mixed, "key")
-        pairs = star_pairs(now, known, turn, rules) if turn < rules.stars else all_pairs(now, known, rules)
-        found = staged(confirmed(pairs, sets, rules), "near-links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            comp = staged(known.select("id").join(components(edges), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-comp")
+    found = staged(confirmed(star_pairs(buckets, known, few, rules), sets, rules), "near-links")
+    comp = merged(known, found, few, rules)
+    # only buckets whose members are in several components can still bring a link that matters
+    more = staged(confirmed(all_pairs(buckets, comp, known, few, rules), sets, rules), "near-links")
+    if not more.isEmpty():
+        comp = merged(known, found.unionByName(more), few, rules)
     smallest = known.join(comp, "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
     per_set = classes.select("id", F.col("doc_id").alias("own")).join(comp, "id", "left").join(smallest, "comp", "left").select("id", F.coalesce("component", "own").alias("component"))
     out = rows.select("doc_id", "text_key", "n_shingles", "id").join(per_set, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def star_pairs(now: DataFrame, known: DataFrame, turn: int, rules: NearRules) -> DataFrame:
-    """Each member of a bucket with the one member that this turn picks, unless one component holds both."""
-    pick = F.struct(F.xxhash64(F.lit(turn), "id"), "id", "comp")
-    rep = now.groupBy("key").agg(F.min(pick).alias("r")).select("key", F.col("r.id").alias("rep"), F.col("r.comp").alias("rep_comp"))
-    pairs = now.join(rep, "key").filter("comp <> rep_comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+def merged(known: DataFrame, edges: DataFrame, few: bool, rules: NearRules) -> DataFrame:
+    """id, comp of all known classes: their component under edges, or their own."""
+    return staged(known.select("id").join(sent(components(edges, rules.small), few), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-comp")
+
+
+def star_pairs(buckets: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
+    """Each member of a bucket with one of its members: the least by one of four hashes, which the bucket picks."""
+    rep = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(4)), "id").alias("h"), "id")).alias("r")).select("key", F.col("r.id").alias("rep"))
+    pairs = buckets.join(rep, "key").filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
     one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = pairs.join(sent(one, few), "a").join(sent(two, few), "b")
     return both.filter(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), rules)).select("a", "b")
 
 
-def all_pairs(now: DataFrame, known: DataFrame, rules: NearRules) -> DataFrame:
-    """What is left: pairs of a bucket across components that sizes and signatures allow (tested inside the join)."""
-    full = now.join(known.select("id", "n", "sig"), "id")
+def all_pairs(buckets: DataFrame, comp: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
+    """What is left: pairs of a bucket across components that sizes and signatures allow (tested inside the join), once each."""
+    now = buckets.join(sent(comp, few), "id")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    full = staged(now.join(mixed, "key").join(sent(known.select("id", "n", "sig"), few), "id"), "near-mixed")
     x, y = full.alias("x"), full.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sig"), F.col("y.sig"), rules)
-    return x.join(y, same & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    once = first_shared(F.col("x.sig"), F.col("y.sig"), rules) == F.col("x.place")
+    return x.join(y, same & close & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def may_link(na: Column, nb: Column, sa: Column, sb: Column, rules: NearRules) -> Column:

@@ -68,3 +68,18 @@ def test_equal_symbols(spark):
 
     df = spark.createDataFrame([([-1, 0x0001_0000_0000_0000] * 5, [-1, 0x0002_0000_0001_0000] * 5)], "a array<long>, b array<long>")
     assert df.select(near_dedup.equal_symbols(F.col("a"), F.col("b"), near_dedup.NearRules())).first()[0] == 5 * 4 + 5 * 2
+
+
+def test_first_shared_key(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rules = near_dedup.NearRules()
+    rng = np.random.default_rng(2)
+    a = rng.integers(-(1 << 63), (1 << 63) - 1, (200, 10))
+    b = a ^ np.where(rng.random((200, 10)) < 0.4, 0, rng.integers(1, 1 << 15, (200, 10)) << (16 * rng.integers(0, 4, (200, 10)))) ^ np.where(rng.random((200, 10)) < 0.7, rng.integers(1, 9, (200, 10)) << (16 * rng.integers(0, 4, (200, 10))), 0)
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], "i long, a array<long>, b array<long>")
+    keys = [df.select("i", near_dedup.chunk_keys(F.col(c), rules).alias("place", "key")) for c in "ab"]
+    want = {r["i"]: r["p"] for r in keys[0].join(keys[1], ["i", "place", "key"]).groupBy("i").agg(F.min("place").alias("p")).collect()}
+    got = {r["i"]: r["p"] for r in df.select("i", near_dedup.first_shared(F.col("a"), F.col("b"), rules).alias("p")).collect() if r["p"] is not None}
+    assert got == want and len(want) > 50
