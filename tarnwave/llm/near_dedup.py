@@ -30,8 +30,9 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 @dataclass(frozen=True)
 class NearRules:
     """size: words of a shingle. percent: 100 * intersection >= percent * union. errors: symbols left out of a chunk.
-    slack: distance beyond which a pair isn't confirmed (at 0.75, more than 23 of 40 symbols differ for fewer than one
-    pair in 10^5). broadcast_ids: most ids sent to all executors; small: most classes (about 100 bytes each), or edges.
+    sketch: 1-bit minima by which pairs are told apart before their sets are read; a pair at 75 % is missed with a
+    chance of 3 in 10^5. broadcast_ids: most ids sent to all executors; small: most classes (about 300 bytes each), or
+    edges. stars: turns in which members meet one member of their bucket.
     """
 
     size: int = 5
@@ -39,9 +40,10 @@ class NearRules:
     chunks: int = 10
     chunk: int = 4
     errors: int = 1
-    slack: int = 23
+    sketch: int = 1024
     broadcast_ids: int = 1_000_000
-    small: int = 200_000
+    small: int = 100_000
+    stars: int = 2
 
     @property
     def symbols(self) -> int:
@@ -116,6 +118,18 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def sketches(sets: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """bits 1-bit minima of each set, as longs: sets of similarity J agree in a share of (1 + J) / 2 of them."""
+    full = sizes > 0
+    at = (np.cumsum(sizes) - sizes)[full]
+    add, times = np.random.default_rng(19_97).integers(1, 1 << 63, (2, bits), dtype=np.uint64) | np.uint64(1)
+    out = np.zeros((len(sizes), bits), np.uint8)
+    for i in range(bits if len(at) else 0):
+        x = (sets ^ add[i]) * times[i]
+        out[full, i] = (mix(np.minimum.reduceat(x ^ (x >> np.uint64(31)), at)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
 def set_sums(sets: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
     """64 bits of each set: the sum of its mixed values; 0 where it is empty."""
     out = np.zeros(len(sizes), np.uint64)
@@ -175,11 +189,6 @@ def first_shared(a: Column, b: Column, rules: NearRules) -> Column:
     return found
 
 
-def equal_symbols(a: Column, b: Column, rules: NearRules) -> Column:
-    """How many symbols agree: lanes of 16 bits that are all 0 in a xor b."""
-    return sum((lanes(a[i].bitwiseXOR(b[i])) for i in range(rules.symbols // 4)), F.lit(0))
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough. sets: id, shingles."""
     two = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("ys")), "b")
@@ -212,18 +221,18 @@ def components(edges: DataFrame, small: int) -> DataFrame:
 
 
 def shingles_of(docs: DataFrame, doc_ids: DataFrame, rules: NearRules, text: str) -> DataFrame:
-    """Full sets of some documents: id (of the set), shingles. Few doc_ids go to the texts, else both are shuffled."""
+    """Full sets of some documents: id (of the set), shingles, sketch. Few doc_ids go to the texts, else both are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for _, texts in slices(batches, text=0):
             sets, n = shingle_sets(texts, rules.size, hashes)
             at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(set_sums(sets, n, 1).view(np.int64)), "shingles": pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64)))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(set_sums(sets, n, 1).view(np.int64)), "shingles": pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64))), "sketch": pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets, n, rules.sketch).ravel()), rules.sketch // 64).cast(pa.list_(pa.int64()))})
 
     few = doc_ids.count() <= rules.broadcast_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(doc_ids) if few else doc_ids, "doc_id", "left_semi")
-    return rows.select("text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return rows.select("text").mapInArrow(run, "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"])
 
 
 def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text") -> DataFrame:
@@ -245,12 +254,18 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     known = staged(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "near-known")
     few = known.count() <= rules.small
     sets = staged(shingles_of(docs, known.select("doc_id").distinct(), rules, text), "near-sets")
-    found = staged(confirmed(star_pairs(buckets, known, few, rules), sets, rules), "near-links")
-    comp = merged(known, found, few, rules)
-    # only buckets whose members are in several components can still bring a link that matters
-    more = staged(confirmed(all_pairs(buckets, comp, known, few, rules), sets, rules), "near-links")
-    if not more.isEmpty():
-        comp = merged(known, found.unionByName(more), few, rules)
+    known = staged(known.join(sets.select("id", "sketch"), "id"), "near-known")
+    comp, edges = None, None
+    for turn in range(rules.stars + 1):
+        # from the second turn on, only buckets whose members are in several components can bring a link that matters
+        now = buckets.withColumn("comp", F.col("id")) if comp is None else mixed(buckets, comp, few)
+        if turn and now.isEmpty():
+            break
+        pairs = star_pairs(now, known, turn, few, rules) if turn < rules.stars else all_pairs(now, known, few, rules)
+        found = staged(confirmed(pairs, sets, rules), "near-links")
+        if comp is None or not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            comp = merged(known, edges, few, rules)
     smallest = known.join(comp, "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
     per_set = classes.select("id", F.col("doc_id").alias("own")).join(comp, "id", "left").join(smallest, "comp", "left").select("id", F.coalesce("component", "own").alias("component"))
     out = rows.select("doc_id", "text_key", "n_shingles", "id").join(per_set, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -262,30 +277,43 @@ def merged(known: DataFrame, edges: DataFrame, few: bool, rules: NearRules) -> D
     return staged(known.select("id").join(sent(components(edges, rules.small), few), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-comp")
 
 
-def star_pairs(buckets: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
-    """Each member of a bucket with one of its members: the least by one of four hashes, which the bucket picks."""
-    rep = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(4)), "id").alias("h"), "id")).alias("r")).select("key", F.col("r.id").alias("rep"))
-    pairs = buckets.join(rep, "key").filter("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+def mixed(buckets: DataFrame, comp: DataFrame, few: bool) -> DataFrame:
+    """Members (id, place, key, comp) of the buckets that hold several components."""
+    now = buckets.join(sent(comp, few), "id")
+    keys = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    return staged(now.join(keys, "key").select("id", "place", "key", "comp"), "near-mixed")
+
+
+def star_pairs(now: DataFrame, known: DataFrame, turn: int, few: bool, rules: NearRules) -> DataFrame:
+    """Each member of a bucket with the member that the bucket and turn pick, unless one component holds both.
+
+    A group's buckets pick many different members, so a group that hangs together at all mostly becomes one component.
+    """
+    pick = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "comp")
+    rep = now.groupBy("key").agg(F.min(pick).alias("r")).select("key", F.col("r.id").alias("rep"), F.col("r.comp").alias("rep_comp"))
+    pairs = now.join(rep, "key").filter("comp <> rep_comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(sent(one, few), "a").join(sent(two, few), "b")
     return both.filter(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), rules)).select("a", "b")
 
 
-def all_pairs(buckets: DataFrame, comp: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
+def all_pairs(now: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
     """What is left: pairs of a bucket across components that sizes and signatures allow (tested inside the join), once each."""
-    now = buckets.join(sent(comp, few), "id")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    full = staged(now.join(mixed, "key").join(sent(known.select("id", "n", "sig"), few), "id"), "near-mixed")
+    full = staged(now.join(sent(known.select("id", "n", "sig", "sketch"), few), "id"), "near-left")
     x, y = full.alias("x"), full.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sig"), F.col("y.sig"), rules)
+    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), rules)
     once = first_shared(F.col("x.sig"), F.col("y.sig"), rules) == F.col("x.place")
     return x.join(y, same & close & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def may_link(na: Column, nb: Column, sa: Column, sb: Column, rules: NearRules) -> Column:
-    return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & (equal_symbols(sa, sb, rules) >= rules.symbols - rules.slack)
+def may_link(na: Column, nb: Column, a: Column, b: Column, rules: NearRules) -> Column:
+    """Whether sizes and sketches allow the similarity: at its limit, 4 standard deviations below the expected agreement."""
+    share = (1 + rules.percent / 100) / 2
+    least = rules.sketch * share - 4 * (rules.sketch * share * (1 - share)) ** 0.5
+    same = rules.sketch - sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(rules.sketch // 64)), F.lit(0))
+    return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & (same >= int(least))
 
 
 def one_of_each(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", most: int = 1_000_000) -> DataFrame:

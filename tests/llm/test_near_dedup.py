@@ -63,11 +63,15 @@ def test_one_of_each_keeps_one(spark):
     assert sorted((r["doc_id"], r["text"] == prose(5, 50)) for r in got) == [(2, False), (4, True)]
 
 
-def test_equal_symbols(spark):
-    from pyspark.sql import functions as F
+def test_sketches_estimate_similarity():
+    import numpy as np
 
-    df = spark.createDataFrame([([-1, 0x0001_0000_0000_0000] * 5, [-1, 0x0002_0000_0001_0000] * 5)], "a array<long>, b array<long>")
-    assert df.select(near_dedup.equal_symbols(F.col("a"), F.col("b"), near_dedup.NearRules())).first()[0] == 5 * 4 + 5 * 2
+    rng = np.random.default_rng(1)
+    common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (600, 100, 100))
+    sets = np.concatenate([common, a, common, b])
+    x, y = near_dedup.sketches(sets, np.array([700, 700]), 1024)
+    same = 1024 - int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+    assert abs(same / 1024 - (1 + 600 / 800) / 2) < 0.05
 
 
 def test_first_shared_key(spark):
