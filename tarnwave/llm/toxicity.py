@@ -227,10 +227,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit_tagger(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), text: str = "text") -> Tagger:
     """Trains on at most rules.train_docs labelled documents of each class, none of them held out by crc32."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.col(text).alias("text")).filter(F.length("text") > 0).join(known, "doc_id")
+    rows = docs.select("doc_id", F.col(text).alias("text")).filter(F.length(text) > 0)
     got = []
     for bad in (True, False):
-        one = rows.filter((F.col("toxic") > 0) == bad).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rules.train_docs)
+        # the sample is drawn from the labels, so that no text moves but its own
+        ids = known.filter((F.col("toxic") > 0) == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.train_docs).select("doc_id")
+        one = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rules.train_docs)
         got += [(r["text"], bad) for r in one.select("text").toLocalIterator()]
     return train([t for t, _ in got], [b for _, b in got], rules)
 
