@@ -96,7 +96,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str, path: str, rule
     # one label per document: repeated labels are averaged, so that they can't multiply rows
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("__q"))
     base = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text)
-    sample = base.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.train_rows)
+    # the sample is drawn from the labels, so that no text moves but its own
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.train_rows)
+    sample = base.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.train_rows)
     got = trait_table(sample, ["doc_id", "__q"], text).toPandas()
     x = np.array(got["traits"].tolist()).reshape(len(got), len(TRAITS)) if len(got) else np.zeros((0, len(TRAITS)))
     y = (got["__q"].to_numpy(float) >= 0.5).astype(float) if len(got) else np.zeros(0)
