@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -59,13 +58,19 @@ class PrefixCounter:
         self.wide = regex.compile(rf" ?(?:{split})| ")
         self.latin = re.compile(f" ?(?:'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_L}]+|[{LATIN_N}]|[^ {LATIN_L}{LATIN_N}]+)| ")
         self.spaces = re.compile("  +")
-        self.apart = lru_cache(400_000)(self._apart)
+        #: Of each token text: 1 if it stands inside a word, 2 if it closes one, 3 if both.
+        self.kinds: dict[str, int] = {}
+        for v in self.vocab:
+            closes = v.endswith(self.end) and v != self.end
+            body = v.removesuffix(self.end) if closes else v
+            self.kinds[body] = self.kinds.get(body, 0) | (2 if closes else 1)
+        self.apart: dict[tuple, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.prefixes: dict[str, tuple[int, str, int]] = {}
-        self.flat, self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.at, self.n, self.low = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode_symbols(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a few symbols: the best-ranked pair first, leftmost of equals."""
@@ -83,10 +88,6 @@ class PrefixCounter:
         body = token.removesuffix(self.end)
         return [*body[:-1], body[-1] + self.end]
 
-    def _apart(self, before: str, token: str) -> bool:
-        """Whether token stands as it is after the token before (which is "" at a word's start)."""
-        return self.encode_symbols([*before, *self.symbols(token)]) == ([before, token] if before else [token])
-
     def word_counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a word by code points, each prefix closed as a word."""
         raw = word.encode("utf-8", "surrogatepass")
@@ -116,16 +117,36 @@ class PrefixCounter:
 
     def step(self, text: str, j: int, inner: list[int], last: list[str], closes: bool) -> tuple[int, str, int]:
         """Of the prefix of j letters: tokens and last token in the inner lane, and tokens closed as a word (or 0)."""
-        vocab, apart, found, closed = self.vocab, self.apart, None, 0
+        kinds, apart, n, token, closed = self.kinds, self.apart, 0, "", 0
         for i in range(max(0, j - self.longest), j):
-            t = text[i:j]
-            if found is None and t in vocab and apart(last[i], t):
-                found = (inner[i] + 1, t)
-            if closes and not closed and (e := t + self.end) in vocab and apart(last[i], e):
-                closed = inner[i] + 1
-            if found and (closed or not closes):
-                break
-        return *found, closed
+            kind = kinds.get(t := text[i:j])
+            if kind is None:
+                continue
+            before = last[i]
+            if not n and kind & 1:
+                if (ok := apart.get((before, t))) is None:
+                    ok = self.judge(before, t)
+                if ok:
+                    n, token = inner[i] + 1, t
+                    if closed or not closes:
+                        break
+            if closes and not closed and kind & 2:
+                if (ok := apart.get((before, t, 1))) is None:
+                    ok = self.judge(before, t, 1)
+                if ok:
+                    closed = inner[i] + 1
+                    if n:
+                        break
+        return n, token, closed
+
+    def judge(self, before: str, token: str, *end: int) -> bool:
+        """Whether a token (closing the word, with end) stands as it is after the token before ("" at the start)."""
+        if len(self.apart) > 2 * MEMORY_WORDS:
+            self.apart.clear()
+        full = token + self.end if end else token
+        got = self.encode_symbols([*before, *self.symbols(full)])
+        self.apart[(before, token, *end)] = ok = got == ([before, full] if before else [full])
+        return ok
 
     def piece_counts(self, piece: str) -> list[int]:
         """Counts of the prefixes of one match of the split pattern, with a space in front or not."""
@@ -166,31 +187,61 @@ class PrefixCounter:
                 pieces += found
         return "".join(whole), pieces
 
-    def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts at all prefixes of all texts, one text after the other; prefixes and tokens of each text."""
+    def measure(self, texts: list[str]) -> Measured:
+        """The stored prefix counts of all texts."""
         cut = [self.cut(t)[1] for t in texts]
-        if len(self.seen) > MEMORY_WORDS or len(self.prefixes) > 2 * MEMORY_WORDS:
+        if len(self.seen) > MEMORY_WORDS or len(self.prefixes) > 3 * MEMORY_WORDS:
             self.forget()
-        new = sorted(set(chain.from_iterable(cut)).difference(self.seen))
+        new = list(set(chain.from_iterable(cut)).difference(self.seen))
         if new:
             found = [self.piece_counts(p) for p in new]
-            n = np.array([len(f) for f in found])
+            n = np.fromiter(map(len, found), np.int64, len(found))
             self.seen.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.at = np.r_[self.at, len(self.flat) + np.cumsum(n) - n]
             self.n = np.r_[self.n, n]
-            self.flat = np.r_[self.flat, np.array([c for f in found for c in f], np.int32)]
-        pieces = np.array([len(ps) for ps in cut])
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))]
+            self.low = np.minimum.reduceat(self.flat, self.at)
+        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
         index = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
-        size = self.n[index]
-        total = self.flat[self.at[index] + size - 1] if len(index) else np.zeros(0, np.int32)
-        base = np.r_[0, np.cumsum(total)]  # tokens before each match, over all texts
-        chars = np.r_[0, np.cumsum(size)]
-        stop = np.cumsum(pieces)
-        table = self.flat[ragged(self.at[index], size)]
-        table = table + np.repeat((base[:-1] - np.repeat(base[stop - pieces], pieces)).astype(np.int32), size)
         for p in [p for p in new if len(p) > MEMORY_CHARS]:
             del self.seen[p]
-        return table.astype(np.int32), chars[stop] - chars[stop - pieces], base[stop] - base[stop - pieces]
+        return Measured(self.flat, self.low, self.at[index], self.n[index], pieces, index)
+
+    def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts at all prefixes of all texts, one text after the other; prefixes and tokens of each text."""
+        m = self.measure(texts)
+        return m.table(), m.chars, m.tokens
+
+
+class Measured:
+    """Prefix counts of texts: the counts of their matches (slices of a shared table), and what came before each."""
+
+    def __init__(self, flat: np.ndarray, low: np.ndarray, at: np.ndarray, size: np.ndarray, pieces: np.ndarray, index: np.ndarray):
+        self.flat, self.at, self.size, self.pieces = flat, at, size, pieces
+        self.low = low[index] if len(index) else np.zeros(0, np.int32)
+        total = flat[at + size - 1] if len(at) else np.zeros(0, np.int32)
+        base, chars = np.r_[0, np.cumsum(total)], np.r_[0, np.cumsum(size)]
+        self.stop = np.cumsum(pieces)
+        self.start = self.stop - pieces
+        self.tokens, self.chars = base[self.stop] - base[self.start], chars[self.stop] - chars[self.start]
+        self.base, self.before = base, chars
+
+    def table(self) -> np.ndarray:
+        own = (self.base[:-1] - np.repeat(self.base[self.start], self.pieces)).astype(np.int32)
+        return self.flat[ragged(self.at, self.size)] + np.repeat(own, self.size)
+
+    def fits(self, budget: int) -> list[int]:
+        """Code points of the longest prefix of each text that has at most budget tokens."""
+        out = []
+        for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True):
+            ok = np.flatnonzero(self.base[a:b] - self.base[a] + self.low[a:b] <= budget)
+            if not len(ok):
+                out.append(0)
+                continue
+            k = a + int(ok[-1])
+            own = self.flat[self.at[k] : self.at[k] + self.size[k]] + (self.base[k] - self.base[a])
+            out.append(int(self.before[k] - self.before[a] + np.flatnonzero(own <= budget)[-1] + 1))
+        return out
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -211,12 +262,10 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budget: int, with_table: bool
             _COUNTERS[tokenizer] = PrefixCounter(tokenizer)
         c = _COUNTERS[tokenizer]
         for batch, texts in slices(batches):
-            table, n, tokens = c.tables(texts)
-            at = np.r_[0, np.cumsum(n)]
-            fits = [n[i] if tokens[i] <= budget and table[a:b].max(initial=0) <= budget else int(np.flatnonzero(table[a:b] <= budget)[-1]) + 1 if b > a and (table[a:b] <= budget).any() else 0 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-            out = {"doc_id": batch.column(0), "n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "fits": pa.array(fits, pa.int64())}
+            m = c.measure(texts)
+            out = {"doc_id": batch.column(0), "n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "n_tokens": pa.array(m.tokens, pa.int64()), "fits": pa.array(m.fits(budget), pa.int64())}
             if with_table:
-                out["prefix_tokens"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(table, pa.int32()))
+                out["prefix_tokens"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m.chars)], pa.int32()), pa.array(m.table(), pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
