@@ -70,4 +70,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Near-duplicate components say themselves in SQL; the others rest on models, libraries' vocabularies or file formats.
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    places AS (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS i FROM words),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM places), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    linked AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+    reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN ways l ON l.a = reach.id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.r AS component_id, d.doc_id = c.r AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(r) AS r FROM reach GROUP BY id) c ON c.id = d.doc_id""",
+}
