@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwave.sources.stage import staged
+
 #: Frames of a chunk.
 CHUNK = 1 << 16
 
@@ -20,11 +22,12 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     """df with a dense index from 0 within keys, by order (which must tell rows of a key apart).
 
     Rows are range-partitioned by keys and order, numbered inside their partition, and shifted by the rows of their key
-    in the partitions before; only one count for each partition and key goes through a join.
+    in the partitions before; only one count for each partition and key goes through a join. The numbered partitions
+    are written once: range bounds come from a sample, so a second evaluation could draw others.
     """
     pid, local, shift, rows = "__pid", "__local", "__shift", "__rows"
     sorted_ = df.repartitionByRange(*keys, *order).withColumn(pid, F.spark_partition_id())
-    local_rows = sorted_.withColumn(local, F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order)) - 1)
+    local_rows = staged(sorted_.withColumn(local, F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order)) - 1))
     counts = local_rows.groupBy(*keys, pid).agg(F.count("*").alias(rows))
     before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn(shift, F.coalesce(F.sum(rows).over(before), F.lit(0))).drop(rows)
