@@ -49,8 +49,9 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     value = words[:n].copy()
     for k in range(1, size):
-        value = mix(value * U(0x9E3779B97F4A7C15) + words[k : k + n])
-    return value if size > 1 else mix(value)
+        value *= U(0x9E3779B97F4A7C15)
+        value += words[k : k + n]
+    return value
 
 
 def signs(values: np.ndarray) -> np.ndarray:
@@ -100,11 +101,10 @@ class LeakIndex:
                 yield i, items[ok], far[ok]
 
     def hits(self, values: np.ndarray) -> np.ndarray:
-        out = self.gate[(values & U(len(self.gate) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
+        """Places of the values that are shingles of some item."""
+        at = np.flatnonzero(self.gate[(values & U(len(self.gate) - 1)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.known, values[at]), len(self.known) - 1)
-        out[at] = self.known[place] == values[at]
-        return out
+        return at[self.known[place] == values[at]]
 
     def search(self, values: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """Leaks in one document: (item, first word, word after the last, similarity, distance), the best for each item.
@@ -192,13 +192,16 @@ def leaks_against(docs: DataFrame, found: list[LeakIndex], text: str) -> DataFra
             rows = []
             for index in sent.value:
                 values = shingles(words, index.size)
-                doc = np.repeat(np.arange(len(n)), n)[: len(values)]
-                hit = index.hits(values) & (np.arange(len(values)) + index.size <= ends[doc])
-                for d in np.unique(doc[hit]):
+                at = index.hits(values)
+                doc = np.searchsorted(ends, at, side="right")
+                own = at + index.size <= ends[doc]  # not across the end of a text
+                at, doc = at[own], doc[own]
+                for d in np.unique(doc):
                     a, b = int(ends[d] - n[d]), int(ends[d]) - index.size + 1
-                    for item, s, e, sim, far in index.search(values[a:b], hit[a:b]):
-                        at = char_span(texts[d], s, e)
-                        rows.append((int(d), index.ids[item], *at, round(sim, 6), far))
+                    hit = np.zeros(b - a, bool)
+                    hit[at[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")] - a] = True
+                    for item, s, e, sim, far in index.search(values[a:b], hit):
+                        rows.append((int(d), index.ids[item], *char_span(texts[d], s, e), round(sim, 6), far))
             cols = list(zip(*rows)) or [[]] * 6
             names = {"item_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "similarity": pa.float64(), "distance": pa.int32()}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(cols[0], pa.int64()))} | {k: pa.array(c, kind) for (k, kind), c in zip(names.items(), cols[1:], strict=True)})
