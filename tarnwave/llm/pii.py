@@ -2,7 +2,7 @@
 
 A protected entity is one found value (an address, a number). Terms that stand near its mentions are weighed over the
 whole corpus: disclosure = PMI(term; entity) / IC(entity), 1 where the term never stands elsewhere. Terms above a
-threshold are generalised near the entity's mentions, above a higher one removed.
+threshold are generalised wherever they stand in the corpus, above a higher one removed.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -99,34 +100,31 @@ def near_terms(text: str, start: int, end: int, reach: int) -> list[tuple[int, i
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+RISKY = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
+#: Of each row: the terms that give something away and stand in its text, with whether they are removed.
+TERMS = "array<struct<term:string,removed:boolean>>"
 
 
-def near_mentions(text: str, base: list[tuple[int, int, int]], reach: int) -> list[dict]:
-    """Terms beside each base span, without those inside another one."""
-    starts, out = [a for a, _, _ in base], []
+def near_mentions(text: str, base: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[str, str]]:
+    """(entity, term) beside each base span, without terms inside another one."""
+    starts = [a for a, _, _ in base]
     for a, k, b in base:
         entity = normal_value(k, text[a:b])
         for s, e, term in near_terms(text, a, b, reach):
             j = bisect.bisect_right(starts, s) - 1
             if not (j >= 0 and base[j][2] > s) and not (j + 1 < len(base) and base[j + 1][0] < e):
-                out.append({"entity": entity, "term": term, "start": s, "end": e})
-    return out
+                yield entity, term
 
 
-def scan(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
-    """One pass over the texts: doc_id, text_key (of the whole text, for repeated ids), base spans, terms near them."""
+def mentions(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
+    """Terms beside found values, a row each time: entity, term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            base = [find_base(t) for t in texts]
-            spans = [[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in base]
-            near = [near_mentions(t, f, rules.reach) if f else [] for t, f in zip(texts, base, strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(2), "base": pa.array(spans, SPANS), "near": pa.array(near, NEAR)})
+        for _, texts in slices(batches, text=0):
+            near = [x for t in texts if (f := find_base(t)) for x in near_mentions(t, f, rules.reach)]
+            yield pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in near], pa.string()), "term": pa.array([t for _, t in near], pa.string())})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, text_key long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
-    return docs.select("doc_id", text, F.xxhash64(text).alias("text_key")).mapInArrow(run, columns)
+    return docs.select(text).mapInArrow(run, "entity string, term string")
 
 
 def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> DataFrame:
@@ -149,7 +147,7 @@ def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> Dat
 
 
 def disclosures(docs: DataFrame, near: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
-    """Terms that give entities away: entity, term, disclosure. near: of mentions(docs).
+    """Terms that give entities away: entity, term, disclosure. near: of mentions(docs), staged.
 
     p(entity | term) = times near it / times anywhere; p(entity) = its share of all terms that stand near something;
     disclosure = log2(p(entity | term) / p(entity)) / -log2 p(entity).
@@ -166,28 +164,76 @@ def disclosures(docs: DataFrame, near: DataFrame, rules: PiiRules, text: str = "
     return joined.select("entity", "term", (F.log2(given / share) / -F.log2(share)).alias("disclosure")).filter(F.col("disclosure") >= rules.generalise)
 
 
-def risky_spans(docs: DataFrame, seen: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
-    """Term spans that give an entity beside them away, by text: doc_id, text_key, risky (array of start, end, removed).
+def risky_terms(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
+    """Terms that give some entity away, staged: term, removed (by the strongest disclosure)."""
+    near = staged(mentions(docs, rules, text), "pii-near")
+    strongest = disclosures(docs, near, rules, text).groupBy("term").agg((F.max("disclosure") >= rules.remove).alias("removed"))
+    return staged(strongest, "pii-terms")
+
+
+def terms_by_text(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """The risky terms of each text: __tw_key (of the whole text), __tw_terms. Pairs of a text and a term are joined to terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text=0):
+            said = [list({w.lower() for w in WORD.findall(t)}) for t in texts]
+            yield pa.RecordBatch.from_pydict({"__tw_key": batch.column(1), "words": pa.array(said, pa.list_(pa.string()))})
+
+    words = docs.select(text, F.xxhash64(text).alias("__tw_key")).mapInArrow(run, "__tw_key long, words array<string>")
+    pairs = words.select("__tw_key", F.explode("words").alias("term")).join(terms, "term")
+    return pairs.groupBy("__tw_key").agg(F.collect_set(F.struct("term", "removed")).alias("__tw_terms"))
+
 
-    seen: of scan(docs), staged.
+def with_terms(docs: DataFrame, rules: PiiRules, text: str, broadcast_terms: int) -> tuple[DataFrame, dict[str, bool]]:
+    """docs with __tw_terms, and the terms that all tasks get. Up to broadcast_terms terms all tasks get them, and the
+    column is null; beyond, each row has its own terms, by two shuffled joins.
     """
-    near = seen.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    risky = disclosures(docs, near, rules, text)
-    spans = near.join(risky, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg((F.max("disclosure") >= rules.remove).alias("removed"))
-    return spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("risky"))
+    terms = risky_terms(docs, rules, text)
+    if terms.count() <= broadcast_terms:
+        return docs.withColumn("__tw_terms", F.lit(None).cast(TERMS)), dict(map(tuple, terms.collect()))
+    own = terms_by_text(docs, terms.hint("shuffle_merge"), text).hint("shuffle_merge")
+    return docs.withColumn("__tw_key", F.xxhash64(text)).join(own, "__tw_key", "left").drop("__tw_key"), {}
+
+
+def term_spans(text: str, base: list[tuple[int, int, int]], terms: Mapping[str, bool]) -> list[dict]:
+    """Every occurrence of the terms in a text, without those that a base span touches: start, end, removed."""
+    if not terms or not any(w.lower() in terms for w in set(WORD.findall(text))):
+        return []
+    # base spans of several kinds may overlap: the furthest end so far goes with each start
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    out = []
+    for m in WORD.finditer(text):
+        removed = terms.get(m.group().lower())
+        if removed is not None and not ((j := bisect.bisect_left(starts, m.end())) and ends[j - 1] > m.start()):
+            out.append({"start": m.start(), "end": m.end(), "removed": removed})
+    return out
+
+
+def row_terms(terms, common: Mapping[str, bool]) -> Mapping[str, bool]:
+    return common if terms is None else {x["term"]: x["removed"] for x in terms}
 
 
-def find_pii(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
     """All personal data of each row of docs: doc_id, base, risky.
 
-    base: array of struct of start, kind (number in KINDS), end, by start, then kind. risky: array of struct of start,
-    end, removed, by start. Positions are code points, ends exclusive. Null or empty text: empty arrays. Repeated rows
-    and repeated ids keep their rows, and each has its own text's spans; rows with null doc_id get base spans alone. An
-    empty table gives an empty one; other columns of docs are ignored.
+    base: array of struct of start, kind (number in KINDS), end, by start, then kind. risky: every occurrence of a term
+    that gives some entity away, array of struct of start, end, removed, by start. Positions are code points, ends
+    exclusive. Null or empty text: empty arrays. Repeated rows, repeated ids and null ids keep their rows, and each has
+    its own text's spans. An empty table gives an empty one; other columns of docs are ignored. broadcast_terms: see
+    with_terms.
     """
-    seen = staged(scan(docs, rules, text), "pii-scan")
-    risky = risky_spans(docs, seen, rules, text)
-    return seen.drop("near").join(risky, ["doc_id", "text_key"], "left").select("doc_id", "base", F.coalesce("risky", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("risky"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found, common = with_terms(docs.select("doc_id", text), rules, text, broadcast_terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            base = [find_base(t) for t in texts]
+            spans = [[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in base]
+            risky = [term_spans(t, f, row_terms(own, common)) for t, f, own in zip(texts, base, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(spans, SPANS), "risky": pa.array(risky, RISKY)})
+
+    columns = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, risky array<struct<start:int,end:int,removed:boolean>>"
+    return found.select("doc_id", text, "__tw_terms").mapInArrow(run, columns)
 
 
 def clean_text(text: str | None, base: list, risky: list) -> str | None:
@@ -204,24 +250,21 @@ def clean_text(text: str | None, base: list, risky: list) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_spans: int = 500_000) -> DataFrame:
-    """docs with its columns, the text cleaned of personal data; texts without any stay as they are. See find_pii.
-
-    Up to broadcast_spans documents with term spans go to the texts as a broadcast; beyond, both sides are shuffled.
+def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
+    """docs with its columns, the text cleaned of personal data and of every term that gives some away; texts without
+    any stay as they are. See find_pii; broadcast_terms: see with_terms.
     """
-    seen = staged(scan(docs, rules, text), "pii-scan")
-    risky = staged(risky_spans(docs, seen, rules, text), "pii-risky").withColumnsRenamed({"doc_id": "__tw_doc", "text_key": "__tw_key", "risky": "__tw_risky"})
-    few = risky.agg(F.coalesce(F.sum(F.size("__tw_risky")), F.lit(0))).first()[0] <= broadcast_spans
-    found = docs.join(F.broadcast(risky) if few else risky, (F.col("__tw_doc") == docs["doc_id"]) & (F.col("__tw_key") == F.xxhash64(docs[text])), "left")
-    return found.withColumn(text, F.pandas_udf(clean_texts, "string")(docs[text], F.col("__tw_risky"))).select(docs.columns)
+    found, common = with_terms(docs, rules, text, broadcast_terms)
 
+    def clean_texts(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        def one(t: str | None, own) -> str | None:
+            base = find_base(t) if t else []
+            risky = term_spans(t, base, row_terms(own, common)) if t else []
+            return clean_text(t, [{"start": a, "kind": k, "end": b} for a, k, b in base], risky)
 
-def clean_texts(text: pd.Series, risky: pd.Series) -> pd.Series:
-    def one(t: str | None, r) -> str | None:
-        base = [{"start": a, "kind": k, "end": b} for a, k, b in find_base(t)] if t else []
-        return clean_text(t, base, [] if r is None else r)
+        return pd.Series([one(t, own) for t, own in zip(texts, terms, strict=True)], dtype=object)
 
-    return pd.Series([one(t, r) for t, r in zip(text, risky, strict=True)], dtype=object)
+    return found.withColumn(text, F.pandas_udf(clean_texts, "string")(F.col(text), F.col("__tw_terms"))).select(docs.columns)
 
 
 def luhn_check_digit(digits: str) -> str:

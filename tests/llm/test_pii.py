@@ -64,3 +64,17 @@ def test_clean_text_overlaps():
     base = [{"start": 2, "kind": 0, "end": 6}, {"start": 4, "kind": 3, "end": 8}]
     assert pii.clean_text("ab123456 z", base, []) == "ab[EMAIL] z"
     assert pii.clean_text("ab cd", [], [{"start": 3, "end": 5, "removed": True}]) == "ab "
+
+
+def test_terms_are_marked_in_the_whole_corpus(spark):
+    rows = [(None if i % 3 else i, f"{prose(i, 30)} Qxvorlan v{i % 2}@mail.example.org {prose(i + 99, 30)}") for i in range(24)]
+    rows += [(100, f"{prose(300, 60)} QXVORLAN, {prose(301, 20)}"), (None, f"Zwembrak {prose(302, 9)} x.zwembrak@a.org"), (None, None), (101, prose(303, 40))]
+    rows += [(200 + i, f"{prose(400 + i, 20)} zwembrak +31 20 123 45 6{i % 2} {prose(500 + i, 20)}") for i in range(12)]
+    docs, rules = frame(spark, rows), pii.PiiRules(generalise=0.3, remove=2)
+    for bound in (200_000, 0):
+        found = pii.find_pii(docs.select("doc_id", "text"), rules, broadcast_terms=bound).collect()
+        assert len(found) == len(rows)
+        clean = [r["text"] for r in pii.redact(docs, rules, broadcast_terms=bound).collect()]
+        assert len(clean) == len(rows) and not any(t and ("qxvorlan" in t.lower() or "zwembrak" in t.lower()) for t in clean)
+        assert sum(t.count("[TERM]") for t in clean if t) == sum(len(r["risky"]) for r in found) == 24 + 1 + 1 + 12
+        assert rows[27][1] in clean
