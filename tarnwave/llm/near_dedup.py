@@ -31,7 +31,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 class NearRules:
     """size: words of a shingle. percent: 100 * intersection >= percent * union. errors: symbols left out of a chunk.
     sketch: 1-bit minima by which pairs are told apart before their sets are read; a pair at 75 % is missed with a
-    chance of 3 in 10^5. broadcast_ids: most ids sent to all executors; small: most classes (about 300 bytes each), or
+    chance near 10^-9. broadcast_ids: most ids sent to all executors; small: most classes (about 300 bytes each), or
     edges. stars: turns in which members meet one member of their bucket.
     """
 
@@ -220,8 +220,10 @@ def components(edges: DataFrame, small: int) -> DataFrame:
             return comp
 
 
-def shingles_of(docs: DataFrame, doc_ids: DataFrame, rules: NearRules, text: str) -> DataFrame:
-    """Full sets of some documents: id (of the set), shingles, sketch. Few doc_ids go to the texts, else both are shuffled."""
+def shingles_of(docs: DataFrame, wanted: DataFrame, rules: NearRules, text: str) -> DataFrame:
+    """Full sets of the wanted rows (doc_id, which may be null, text_key): id (of the set), shingles, sketch. Few go to the
+    texts, else both are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -230,8 +232,10 @@ def shingles_of(docs: DataFrame, doc_ids: DataFrame, rules: NearRules, text: str
             at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
             yield pa.RecordBatch.from_pydict({"id": pa.array(set_sums(sets, n, 1).view(np.int64)), "shingles": pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64))), "sketch": pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets, n, rules.sketch).ravel()), rules.sketch // 64).cast(pa.list_(pa.int64()))})
 
-    few = doc_ids.count() <= rules.broadcast_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(doc_ids) if few else doc_ids, "doc_id", "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
+    few = wanted.count() <= rules.broadcast_ids
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(sent(wanted, few), same, "left_semi")
     return rows.select("text").mapInArrow(run, "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"])
 
 
@@ -246,14 +250,14 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     empty table gives an empty one; extra columns are ignored.
     """
     rows = staged(signed(docs, rules, text), "near-signed")
-    classes = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = staged(classes, "near-classes")
     keyed = classes.select("id", chunk_keys(F.col("sig"), rules).alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     buckets = staged(keyed.join(shared, "key").select("id", "place", "key"), "near-buckets")
     known = staged(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "near-known")
     few = known.count() <= rules.small
-    sets = staged(shingles_of(docs, known.select("doc_id").distinct(), rules, text), "near-sets")
+    sets = staged(shingles_of(docs, known.select("doc_id", "text_key"), rules, text), "near-sets")
     known = staged(known.join(sets.select("id", "sketch"), "id"), "near-known")
     comp, edges = None, None
     for turn in range(rules.stars + 1):
@@ -309,9 +313,9 @@ def all_pairs(now: DataFrame, known: DataFrame, few: bool, rules: NearRules) ->
 
 
 def may_link(na: Column, nb: Column, a: Column, b: Column, rules: NearRules) -> Column:
-    """Whether sizes and sketches allow the similarity: at its limit, 4 standard deviations below the expected agreement."""
+    """Whether sizes and sketches allow the similarity: at its limit, 6 standard deviations below the expected agreement."""
     share = (1 + rules.percent / 100) / 2
-    least = rules.sketch * share - 4 * (rules.sketch * share * (1 - share)) ** 0.5
+    least = rules.sketch * share - 6 * (rules.sketch * share * (1 - share)) ** 0.5
     same = rules.sketch - sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(rules.sketch // 64)), F.lit(0))
     return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & (same >= int(least))
 

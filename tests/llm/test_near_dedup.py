@@ -87,3 +87,17 @@ def test_first_shared_key(spark):
     want = {r["i"]: r["p"] for r in keys[0].join(keys[1], ["i", "place", "key"]).groupBy("i").agg(F.min("place").alias("p")).collect()}
     got = {r["i"]: r["p"] for r in df.select("i", near_dedup.first_shared(F.col("a"), F.col("b"), rules).alias("p")).collect() if r["p"] is not None}
     assert got == want and len(want) > 50
+
+
+def test_rows_without_doc_id_bridge_near_copies(spark):
+    said = [f"w{i}" for i in range(240)]
+    rows = [(1, " ".join(said[:200])), (None, " ".join(said[20:220])), (2, " ".join(said[40:]))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (2, 1)}
+
+
+def test_sketch_margin(spark):
+    a, b = [0] * 16, [-1] * 2 + [(1 << 53) - 1] + [0] * 13
+    df = spark.createDataFrame([(100, a, b)], "n long, a array<long>, b array<long>")
+    # 5 deviations below what is expected at 75 %
+    assert df.select(near_dedup.may_link(df.n, df.n, df.a, df.b, near_dedup.NearRules())).first()[0]
