@@ -8,8 +8,11 @@ have equal anchors at equal offsets, and neighbouring suffixes mostly share thei
 1. count the anchors' grams over all texts; a gram that one text alone holds can't be part of a repeat between texts;
 2. send the runs of shared grams (bytes of the run) to their gram's group, where the digit passes sort them; repeats
    inside one text are found in the same scan;
-3. grams that very many texts share would make one large group: their suffixes go through the passes on their own,
-   as rows that Spark counts before it shuffles them.
+3. grams that very many texts share would make one large group: their suffixes go on their own, as rows that Spark
+   counts before it shuffles them.
+
+Suffixes under crowded grams and repeats inside one text take no digit passes: they are grouped by one 64-bit value of
+the whole window.
 """
 
 from __future__ import annotations
