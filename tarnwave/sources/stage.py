@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once and read back, so that what follows neither repeats its work nor loses it with an executor."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
+
+    Only a session in one process (local[...], as in tests) may leave it unset; it gets a temporary folder of its own.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:  # a session of its own, as in tests
+    if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tarnwave-")
         spark.conf.set("spark.checkpoint.dir", known)
-    path = f"{known}/signals/{uuid.uuid4().hex}"
+    return known
+
+
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once and read back, so that what follows neither repeats its work nor loses it with an executor.
+
+    The table goes when the driver ends: results are lazy, and may read it until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tarnwave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
