@@ -5,34 +5,36 @@ number of symbols that differ. It is split into chunks of CHUNK symbols. By pige
 at most (errors + 1) * chunks - 1 differ in at most `errors` symbols of some chunk; so each chunk is a key once for
 every choice of symbols left out, and all pairs within that distance share a key. Links are confirmed on full sets.
 
-Only classes of equal sets enter. Buckets never give all their pairs: first each member is held against one member of
-its bucket, links are merged into components, and only buckets that still span several components go on, with their
-pairs across components. So a large group of near copies costs a few rows for each member, and no link is lost.
+Only classes of equal sets enter. Buckets never give all their pairs: in each of a few turns, a member is held against
+one member that a bucket names for the turn, links are merged into components, and only buckets that still span several
+components go on. In the end their pairs across components are compared by an exact bound: the parities of a set's
+values in `bits` cells differ in no more cells than two sets differ in values, so pairs that differ in too many cells
+can't be links. So a large group of near copies costs a few rows for each member, and no link is lost.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import mix, slices, staged
+from .common import BASE, U, lean, mix, slices, spaced_words, staged
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Stands for a missing doc_id, so that it sorts last.
+NO_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class NearRules:
     """size: words of a shingle. percent: 100 * intersection >= percent * union. errors: symbols left out of a chunk.
-    sketch: 1-bit minima by which pairs are told apart before their sets are read; a pair at 75 % is missed with a
-    chance near 10^-9. broadcast_ids: most ids sent to all executors; small: most classes (about 300 bytes each), or
-    edges. stars: turns in which members meet one member of their bucket.
+    bits: parities of each set (a power of 2, 64 at least). turns: in which members meet one member of their buckets.
+    block: members of a bucket that one task compares with the others at once. small: most rows sent to all executors.
     """
 
     size: int = 5
@@ -40,94 +42,58 @@ class NearRules:
     chunks: int = 10
     chunk: int = 4
     errors: int = 1
-    sketch: int = 1024
-    broadcast_ids: int = 1_000_000
-    small: int = 100_000
-    stars: int = 2
+    bits: int = 1024
+    turns: int = 2
+    block: int = 4096
+    small: int = 50_000
 
     @property
     def symbols(self) -> int:
         return self.chunks * self.chunk
 
 
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-
-
-class WordHashes:
-    """64-bit values of words, the same in all processes; short words are remembered, a bounded number of them."""
-
-    def __init__(self, remembered: int = 500_000):
-        self.remembered = remembered
-        self.seen: dict[str, int] = {}
-        self.values = np.zeros(0, np.uint64)
-
-    def __call__(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all words, one text after the other; words of each text."""
-        import xxhash
-
-        if len(self.seen) > self.remembered:
-            self.seen, self.values = {}, self.values[:0]
-        n = np.array([len(c) for c in cut], np.int64)
-        new = list(set(chain.from_iterable(cut)).difference(self.seen))
-        if new:
-            self.seen.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-            self.values = np.r_[self.values, np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)]
-        out = self.values[np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))]
-        for w in [w for w in new if len(w) > 60]:
-            del self.seen[w]
-        return out, n
-
-
-def shingle_sets(texts: list[str], size: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle values of all texts, sorted within each; the size of each text's set."""
-    words, n = hashes([WORDS.findall(lower(t)) for t in texts])
-    doc = np.repeat(np.arange(len(n)), n)
-    # a shingle starts at each word with size - 1 more behind it; a short text is one shingle, marked by its length
-    value, room = np.zeros(len(words), np.uint64), np.repeat(np.cumsum(n), n) - np.arange(len(words))
-    for k in range(size):
-        at = np.minimum(np.arange(len(words)) + k, len(words) - 1)
-        part = np.where(room > k, words[at], np.uint64(k)) if k else words
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + part) if k else part.copy()
-    first = np.arange(len(words)) == np.repeat(np.cumsum(n) - n, n)
-    keep = (room >= size) | (first & (np.repeat(n, n) < size))
-    value, doc = value[keep], doc[keep]
-    at = np.lexsort((value, doc))
-    value, doc = value[at], doc[at]
-    fresh = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])] if len(value) else np.zeros(0, bool)
+    words, n = spaced_words(texts)
+    stop = np.cumsum(n)
+    room = np.repeat(stop, n) - np.arange(len(words))  # words from here to the end of the text
+    value = words.copy()
+    for k in range(1, size):
+        value = np.where(room > k, value * U(BASE) + np.roll(words, -k), value)
+    value = mix(value + np.minimum(room, size).astype(np.uint64))
+    # a shingle starts at each word with size - 1 more behind it; a shorter text is one shingle
+    value = value[(room >= size) | (room == np.repeat(n, n))]
+    sizes = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    stop = np.cumsum(sizes)
+    for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True):
+        value[a:b].sort()
+    doc = np.repeat(np.arange(len(n)), sizes)
+    fresh = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])][: len(value)]
     return value[fresh], np.bincount(doc[fresh], minlength=len(n))
 
 
-def seeds(k: int) -> np.ndarray:
-    return np.random.default_rng(20_07).integers(1, 1 << 63, (2, k), dtype=np.uint64) | np.uint64(1)
-
-
 def signatures(sets: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """k symbols of 16 bits for each non-empty set."""
+    """k symbols of 16 bits for each set; zeros for an empty one."""
     full = sizes > 0
     at = (np.cumsum(sizes) - sizes)[full]
-    add, times = seeds(k)
+    add, times = np.random.default_rng(20_07).integers(1, 1 << 63, (2, k), dtype=np.uint64) | U(1)
     out = np.zeros((len(sizes), k), np.uint16)
-    for i in range(k):
-        x = (sets ^ add[i]) * times[i]
-        low = np.minimum.reduceat(x ^ (x >> np.uint64(31)), at) if len(at) else x
-        out[full, i] = (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    for i in range(k if len(at) else 0):
+        x = sets ^ add[i]
+        x *= times[i]
+        x ^= x >> U(31)
+        out[full, i] = (mix(np.minimum.reduceat(x, at)) & U(0xFFFF)).astype(np.uint16)
     return out
 
 
-def sketches(sets: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
-    """bits 1-bit minima of each set, as longs: sets of similarity J agree in a share of (1 + J) / 2 of them."""
-    full = sizes > 0
-    at = (np.cumsum(sizes) - sizes)[full]
-    add, times = np.random.default_rng(19_97).integers(1, 1 << 63, (2, bits), dtype=np.uint64) | np.uint64(1)
-    out = np.zeros((len(sizes), bits), np.uint8)
-    for i in range(bits if len(at) else 0):
-        x = (sets ^ add[i]) * times[i]
-        out[full, i] = (mix(np.minimum.reduceat(x ^ (x >> np.uint64(31)), at)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+def parities(sets: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """Of each set, as longs: which of `bits` cells hold an odd number of its values. sets: sorted within each."""
+    cell = np.repeat(np.arange(len(sizes)) * bits, sizes) + (sets >> U(65 - bits.bit_length())).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    odd = cell[head][np.diff(np.r_[head, len(cell)]) % 2 == 1]
+    out = np.zeros(len(sizes) * bits // 8, np.uint8)
+    np.bitwise_or.at(out, odd >> 3, (1 << (odd & 7)).astype(np.uint8))
+    return out.view("<i8").reshape(len(sizes), bits // 64)
 
 
 def set_sums(sets: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
@@ -135,22 +101,30 @@ def set_sums(sets: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
     out = np.zeros(len(sizes), np.uint64)
     full = sizes > 0
     if full.any():
-        out[full] = np.add.reduceat(mix(sets + np.uint64(salt)), (np.cumsum(sizes) - sizes)[full])
-    return out
+        out[full] = np.add.reduceat(mix(sets + U(salt)), (np.cumsum(sizes) - sizes)[full])
+    return out.view(np.int64)
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """A list column of the rows of a table of longs."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
 def signed(docs: DataFrame, rules: NearRules, text: str = "text") -> DataFrame:
-    """Of each row: doc_id, text_key (for repeated doc_ids), n_shingles, id (64 bits of the set; null where empty), sig (longs of 4 symbols each)."""
+    """Of each row: doc_id, text_key (64 bits of the text), n_shingles, id (128 bits of the set: a, b; null where empty),
+    sig (longs of 4 symbols each), bits (longs of parities).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch, texts in slices(batches):
-            sets, n = shingle_sets(texts, rules.size, hashes)
-            sig = signatures(sets, n, rules.symbols).view(np.int64)
-            at = pa.array(np.arange(len(n) + 1) * sig.shape[1], pa.int32())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "id": pa.array(set_sums(sets, n, 1).view(np.int64), mask=n == 0), "sig": pa.ListArray.from_arrays(at, pa.array(sig.ravel()))})
+            sets, n = shingle_sets(texts, rules.size)
+            a, b = (pa.array(set_sums(sets, n, salt), mask=n == 0) for salt in (1, 2))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "a": a, "b": b, "sig": lists(signatures(sets, n, rules.symbols).view(np.int64)), "bits": lists(parities(sets, n, rules.bits))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, id long, sig array<long>")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer: component_id is the smallest one")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_key")).mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, a long, b long, sig array<long>, bits array<long>")
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNotNull(), F.struct("a", "b")).alias("id"), "sig", "bits")
 
 
 def symbol(sig: Column, i: int) -> Column:
@@ -167,33 +141,39 @@ def chunk_keys(sig: Column, rules: NearRules) -> Column:
     return F.posexplode(F.array(*keys))
 
 
-def lanes(x: Column) -> Column:
-    """How many of the four lanes of 16 bits are all 0."""
-    for step in (8, 4, 2, 1):  # afterwards, the lowest bit of each lane tells whether any of its 16 was set
-        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-    return 4 - F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-
-
 def first_shared(a: Column, b: Column, rules: NearRules) -> Column:
     """The place of the first key that two signatures share; a pair is taken in that bucket alone.
 
     A chunk is a long of four symbols. If all agree, its first choice is shared; if one differs, the choice without it.
     """
     assert (rules.chunk, rules.errors) == (4, 1), "written for chunks of four symbols and one error"
-    found = F.lit(None).cast("int")
-    for c in reversed(range(rules.chunks)):
+    low, mark = F.lit(0x00FF00FF00FF00FF), F.lit(0x0100010001000100)
+    places = []
+    for c in range(rules.chunks):
         x = a[c].bitwiseXOR(b[c])
-        # choices leave out the last symbol first
-        odd = F.coalesce(*[F.when(x.bitwiseAND(F.lit(-1 << 48 if i == 3 else 0xFFFF << (16 * i))) != 0, 3 - i) for i in range(4)], F.lit(0))
-        found = F.when(lanes(x) >= 3, c * 4 + odd).otherwise(found)
-    return found
+        # one bit for each symbol that differs: its halves together, carried over
+        differ = (x.bitwiseOR(F.shiftrightunsigned(x, 8)).bitwiseAND(low) + low).bitwiseAND(mark)
+        # choices leave out the last symbol first; the bits below a single one tell its symbol
+        choice = F.greatest(3 - F.shiftright(F.bit_count(differ - 1), 4), F.lit(0))
+        places.append(F.when(F.bit_count(differ) <= 1, c * 4 + choice))
+    return F.least(*places)
+
+
+def may_link(na: Column, nb: Column, a: Column, b: Column, rules: NearRules) -> Column:
+    """False only for pairs that can't be links, by their sizes (na, nb) or by their parities (a, b).
+
+    At percent p, two sets differ in (100 - p) / (100 + p) of the sum of their sizes at most, and their parities in no
+    more cells than that.
+    """
+    cells = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(rules.bits // 64)), F.lit(0))
+    return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & ((100 + rules.percent) * cells <= (100 - rules.percent) * (na + nb))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough. sets: id, shingles."""
+    """Of pairs (a, b, ca, cb), the components (a, b) of those whose full sets are similar enough. sets: id, shingles."""
     two = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("ys")), "b")
     both = F.size(F.array_intersect("xs", "ys"))
-    return two.filter(100 * both >= rules.percent * (F.size("xs") + F.size("ys") - both)).select("a", "b")
+    return two.filter(100 * both >= rules.percent * (F.size("xs") + F.size("ys") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def sent(df: DataFrame, few: bool) -> DataFrame:
@@ -201,7 +181,7 @@ def sent(df: DataFrame, few: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, small: int) -> DataFrame:
-    """Of each node of edges (a, b): comp, the smallest node it is connected to.
+    """Of each node of edges (a, b): id, comp (the smallest node it is connected to).
 
     Rounds of neighbours' minima, each followed by a jump to the label's own label, until nothing changes; every round
     is a written table. Labels of up to `small` edges are sent to the edges; beyond that, both are shuffled.
@@ -221,22 +201,18 @@ def components(edges: DataFrame, small: int) -> DataFrame:
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, rules: NearRules, text: str) -> DataFrame:
-    """Full sets of the wanted rows (doc_id, which may be null, text_key): id (of the set), shingles, sketch. Few go to the
-    texts, else both are shuffled.
-    """
+    """Full sets of the wanted texts (text_key): id (of the set), shingles. Few keys go to the texts, else both are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for _, texts in slices(batches, text=0):
-            sets, n = shingle_sets(texts, rules.size, hashes)
+            sets, n = shingle_sets(texts, rules.size)
             at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(set_sums(sets, n, 1).view(np.int64)), "shingles": pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64))), "sketch": pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets, n, rules.sketch).ravel()), rules.sketch // 64).cast(pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(set_sums(sets, n, 1)), "b": pa.array(set_sums(sets, n, 2)), "shingles": pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64)))})
 
-    wanted = wanted.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
-    few = wanted.count() <= rules.broadcast_ids
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(sent(wanted, few), same, "left_semi")
-    return rows.select("text").mapInArrow(run, "id long, shingles array<long>, sketch array<long>").dropDuplicates(["id"])
+    wanted = wanted.select("text_key").distinct()
+    few = wanted.count() <= 4 * rules.small
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(sent(wanted, few), "text_key", "left_semi")
+    return rows.select("text").mapInArrow(lean(run), "a long, b long, shingles array<long>").select(F.struct("a", "b").alias("id"), "shingles").dropDuplicates(["id"])
 
 
 def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text") -> DataFrame:
@@ -247,80 +223,75 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     component_id is the smallest doc_id reachable; kept, whether it is the row's own. Copies form one class by their
     sets first. Rows that repeat a doc_id each get the component of their own text. A row with null doc_id gets the
     component of its text, null where no other row has one, and is never kept in a component that has a doc_id. An
-    empty table gives an empty one; extra columns are ignored.
+    empty table gives an empty one; extra columns are ignored. doc_id is of an integer type; others raise TypeError.
     """
     rows = staged(signed(docs, rules, text), "near-signed")
-    classes = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = staged(classes, "near-classes")
-    keyed = classes.select("id", chunk_keys(F.col("sig"), rules).alias("place", "key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    own = F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("d")
+    classes = staged(rows.filter("id is not null").groupBy("id").agg(own, F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "near-classes")
+    # dealt out once: the count of a key's members and its rows both read this exchange
+    keyed = classes.select("id", chunk_keys(F.col("sig"), rules).alias("place", "key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id.a").alias("lo"), F.max("id.a").alias("hi")).filter("lo < hi").select("key")
     buckets = staged(keyed.join(shared, "key").select("id", "place", "key"), "near-buckets")
     known = staged(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "near-known")
     few = known.count() <= rules.small
-    sets = staged(shingles_of(docs, known.select("doc_id", "text_key"), rules, text), "near-sets")
-    known = staged(known.join(sets.select("id", "sketch"), "id"), "near-known")
-    comp, edges = None, None
-    for turn in range(rules.stars + 1):
-        # from the second turn on, only buckets whose members are in several components can bring a link that matters
-        now = buckets.withColumn("comp", F.col("id")) if comp is None else mixed(buckets, comp, few)
-        if turn and now.isEmpty():
-            break
-        pairs = star_pairs(now, known, turn, few, rules) if turn < rules.stars else all_pairs(now, known, few, rules)
+    sets = staged(shingles_of(docs, known, rules, text), "near-sets")
+    labels = known.select("id", F.struct("d", "id.a", "id.b").alias("comp"))
+    for turn in range(rules.turns + 1):
+        now = staged(mixed(buckets, labels, few), "near-mixed")
+        pairs = star_pairs(now, turn) if turn < rules.turns else all_pairs(now, known, few, rules)
         found = staged(confirmed(pairs, sets, rules), "near-links")
-        if comp is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            comp = merged(known, edges, few, rules)
-    smallest = known.join(comp, "id").groupBy("comp").agg(F.min("doc_id").alias("component"))
-    per_set = classes.select("id", F.col("doc_id").alias("own")).join(comp, "id", "left").join(smallest, "comp", "left").select("id", F.coalesce("component", "own").alias("component"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "id").join(per_set, "id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        if not found.isEmpty():
+            labels = merged(labels, components(found, rules.small), few)
+    new = classes.select("id", "d", "copies").join(labels, "id", "left").select("id", F.coalesce("comp.d", "d").alias("component"), "d", "copies")
+    new = staged(new.filter("copies > 1 or component <> d").select("id", F.nullif("component", F.lit(NO_ID)).alias("component")), "near-components")
+    out = rows.select("doc_id", "text_key", "n_shingles", "id").join(sent(new, new.count() <= rules.small), "id", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def merged(known: DataFrame, edges: DataFrame, few: bool, rules: NearRules) -> DataFrame:
-    """id, comp of all known classes: their component under edges, or their own."""
-    return staged(known.select("id").join(sent(components(edges, rules.small), few), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "near-comp")
+def merged(labels: DataFrame, comps: DataFrame, few: bool) -> DataFrame:
+    """labels (id, comp) with components renamed by comps (id, comp)."""
+    new = comps.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+    return staged(labels.join(sent(new, few), "comp", "left").select("id", F.coalesce("next", "comp").alias("comp")), "near-labels")
 
 
-def mixed(buckets: DataFrame, comp: DataFrame, few: bool) -> DataFrame:
-    """Members (id, place, key, comp) of the buckets that hold several components."""
-    now = buckets.join(sent(comp, few), "id")
-    keys = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    return staged(now.join(keys, "key").select("id", "place", "key", "comp"), "near-mixed")
+def mixed(buckets: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
+    """Members (id, place, key, comp) of the buckets that hold several components: only these can bring a link that matters."""
+    now = buckets.join(sent(labels, few), "id").withColumn("h", F.xxhash64("comp"))
+    keys = now.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
+    return now.join(keys, "key").select("id", "place", "key", "comp")
 
 
-def star_pairs(now: DataFrame, known: DataFrame, turn: int, few: bool, rules: NearRules) -> DataFrame:
-    """Each member of a bucket with the member that the bucket and turn pick, unless one component holds both.
+def star_pairs(now: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b, ca, cb) at most for each member: with that member of another component that most of its buckets name.
 
-    A group's buckets pick many different members, so a group that hangs together at all mostly becomes one component.
+    A bucket names its smallest member in an order of the turn, so that a group's buckets agree on few of them.
     """
-    pick = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("h"), "id", "comp")
-    rep = now.groupBy("key").agg(F.min(pick).alias("r")).select("key", F.col("r.id").alias("rep"), F.col("r.comp").alias("rep_comp"))
-    pairs = now.join(rep, "key").filter("comp <> rep_comp").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(sent(one, few), "a").join(sent(two, few), "b")
-    return both.filter(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), rules)).select("a", "b")
+    pick = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("rep"), F.col("comp").alias("rep_comp"))
+    reps = now.groupBy("key").agg(F.min(pick).alias("r"))
+    votes = now.join(reps, "key").filter(F.col("comp") != F.col("r.rep_comp")).groupBy("id", "comp", "r").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id", "comp").agg(F.max(F.struct("n", "r")).alias("best"))
+    return best.select(F.col("id").alias("a"), F.col("best.r.rep").alias("b"), F.col("comp").alias("ca"), F.col("best.r.rep_comp").alias("cb"))
 
 
 def all_pairs(now: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
-    """What is left: pairs of a bucket across components that sizes and signatures allow (tested inside the join), once each."""
-    full = staged(now.join(sent(known.select("id", "n", "sig", "sketch"), few), "id"), "near-left")
-    x, y = full.alias("x"), full.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), rules)
-    once = first_shared(F.col("x.sig"), F.col("y.sig"), rules) == F.col("x.place")
-    return x.join(y, same & close & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
+    """What is left: pairs (a, b, ca, cb) of a bucket across components that may_link allows, each in one bucket alone.
 
-def may_link(na: Column, nb: Column, a: Column, b: Column, rules: NearRules) -> Column:
-    """Whether sizes and sketches allow the similarity: at its limit, 6 standard deviations below the expected agreement."""
-    share = (1 + rules.percent / 100) / 2
-    least = rules.sketch * share - 6 * (rules.sketch * share * (1 - share)) ** 0.5
-    same = rules.sketch - sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(rules.sketch // 64)), F.lit(0))
-    return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & (same >= int(least))
+    A bucket's members are dealt to cells of about rules.block, and each cell is compared with the whole bucket; pairs
+    are tested inside the join.
+    """
+    cells = F.ceil(F.col("n_key") / rules.block).cast("int")
+    sized = now.join(now.groupBy("key").agg(F.count("*").alias("n_key")), "key")
+    full = staged(sized.join(sent(known.select("id", "n", "sig", "bits"), few), "id"), "near-left")
+    x = full.withColumn("cell", F.pmod(F.xxhash64("id.b"), cells).cast("int")).alias("x")
+    y = full.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), rules)
+    once = first_shared(F.col("x.sig"), F.col("y.sig"), rules) == F.col("x.place")
+    return x.join(y, same & close & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
 
 
-def one_of_each(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", most: int = 1_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", most: int = 200_000) -> DataFrame:
     """The rows of docs, with all their columns, that near_groups keeps; rows that repeat a doc_id and text become one.
 
     Up to `most` dropped rows' keys are sent to all executors; beyond that, both sides are shuffled.
