@@ -23,11 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
-from .near_dedup import WordHashes
+from .common import BASE, U, lean, letter_words, mix, ragged, slices, staged
 
 WORD = re.compile(r"[^\W_]+")
-U = np.uint64
 
 
 @dataclass(frozen=True)
@@ -41,7 +39,7 @@ class LeakRules:
     percent: int = 75
     radius: int = 19
     blocks: int = 5
-    items: int = 4096
+    items: int = 8192
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -49,7 +47,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     value = words[:n].copy()
     for k in range(1, size):
-        value *= U(0x9E3779B97F4A7C15)
+        value *= U(BASE)
         value += words[k : k + n]
     return value
 
@@ -85,20 +83,20 @@ class LeakIndex:
             own = ((self.prints >> U(at)) & U((1 << bits) - 1)).astype(np.int64)
             keys = (own[:, None] ^ masks).ravel()
             order = np.argsort(keys, kind="stable")
-            self.posted.append((np.searchsorted(keys[order], np.arange((1 << bits) + 1)), np.repeat(np.arange(len(own)), len(masks))[order]))
-
-    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Items within the radius of each fingerprint: (its number, items, distances)."""
-        for i, p in enumerate(prints.tolist()):
-            found = []
-            for (at, bits), (begin, items) in zip(self.blocks, self.posted, strict=True):
-                k = (p >> at) & ((1 << bits) - 1)
-                found.append(items[begin[k] : begin[k + 1]])
-            items = np.unique(np.concatenate(found))
-            far = np.bitwise_count(self.prints[items] ^ U(p))
-            ok = far <= self.rules.radius
-            if ok.any():
-                yield i, items[ok], far[ok]
+            self.posted.append((np.searchsorted(keys[order], np.arange((1 << bits) + 1)), (order // len(masks)).astype(np.int32)))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of a fingerprint and an item within the radius: numbers of both, distances; by fingerprint, then item."""
+        found = []
+        for (at, bits), (begin, items) in zip(self.blocks, self.posted, strict=True):
+            keys = ((prints >> U(at)) & U((1 << bits) - 1)).astype(np.int64)
+            n = begin[keys + 1] - begin[keys]
+            i, item = np.repeat(np.arange(len(prints)), n), items[ragged(begin[keys], n)]
+            ok = np.bitwise_count(self.prints[item] ^ prints[i]) <= self.rules.radius
+            found.append(i[ok] * len(self.ids) + item[ok])
+        pair = np.unique(np.concatenate(found))
+        i, items = np.divmod(pair, len(self.ids))
+        return i, items, np.bitwise_count(self.prints[items] ^ prints[i])
 
     def hits(self, values: np.ndarray) -> np.ndarray:
         """Places of the values that are shingles of some item."""
@@ -127,7 +125,7 @@ class LeakIndex:
             own_size.append(np.full(int(ok.sum()), m))
         first, last, own_size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, last, own_size))
         best: dict[int, tuple] = {}
-        for part in np.array_split(np.arange(len(first)), -(-len(first) // 4096) or 1):
+        for part in np.array_split(np.arange(len(first)), -(-len(first) // 512) or 1):
             if not len(part):
                 continue
             a, b = first[part], last[part]
@@ -142,11 +140,10 @@ class LeakIndex:
             sums = np.r_[np.zeros((1, 64), np.int32), np.cumsum(signs(values[low:high][use]), axis=0, dtype=np.int32)]
             prints = fingerprints(sums[place[b - low]] - sums[place[a - low]])
             todo: dict[int, list] = defaultdict(list)
-            for i, items, far in self.near(prints):
-                fit = self.totals[items] == own_size[part[i]]  # an item is looked for in windows of its own size
-                items, far = items[fit], far[fit]
-                for item, f in zip(items.tolist(), far.tolist(), strict=True):
-                    todo[item].append((i, f))
+            i, items, far = self.near(prints)
+            fit = self.totals[items] == own_size[part[i]]  # an item is looked for in windows of its own size
+            for w, item, f in zip(i[fit].tolist(), items[fit].tolist(), far[fit].tolist(), strict=True):
+                todo[item].append((w, f))
             for item, windows in todo.items():
                 own = np.isin(values[low:high], np.fromiter(self.sets[item].keys(), np.uint64, len(self.sets[item])))
                 inside = np.r_[0, np.cumsum(own)]
@@ -170,9 +167,9 @@ def similarity(window: np.ndarray, item: Counter, total: int) -> float:
 
 
 def indexes(items: list[tuple[int, str]], rules: LeakRules) -> list[LeakIndex]:
-    hashes, by_size = WordHashes(), defaultdict(list)
+    by_size = defaultdict(list)
     for i, t in items:
-        words, n = hashes([WORD.findall((t or "").lower())])
+        words, n = letter_words([t or ""])
         if n[0]:
             by_size[min(rules.size, int(n[0]))].append((i, words))
     return [LeakIndex(own, size, rules) for size, own in sorted(by_size.items())]
@@ -185,9 +182,8 @@ def leaks_against(docs: DataFrame, found: list[LeakIndex], text: str) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch, texts in slices(batches):
-            words, n = hashes([WORD.findall(t.lower()) for t in texts])
+            words, n = letter_words(texts)
             ends = np.cumsum(n)
             rows = []
             for index in sent.value:
@@ -207,7 +203,7 @@ def leaks_against(docs: DataFrame, found: list[LeakIndex], text: str) -> DataFra
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(cols[0], pa.int64()))} | {k: pa.array(c, kind) for (k, kind), c in zip(names.items(), cols[1:], strict=True)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, {LEAKS}")
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {kind}, {LEAKS}")
 
 
 def char_span(text: str, first: int, end: int) -> tuple[int, int]:
@@ -245,13 +241,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(), text: str = "text", most: int = 500_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(), text: str = "text", most: int = 200_000) -> DataFrame:
     """docs without the rows that hold a benchmark item; columns as they were. Rows with null doc_id are judged by text.
 
     Up to `most` leaky texts are sent to all executors; beyond that, both sides are shuffled.
     """
-    from .common import staged
-
     keyed = docs.select(F.xxhash64(text, F.length(text)).alias("doc_id"), F.col(text).alias("text"))
     bad = staged(find_leaks(keyed, benchmark, rules, "text").select(F.col("doc_id").alias("__tw_key")).distinct(), "leaky")
     few = bad.count() <= most
