@@ -56,7 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    # what was removed comes first, then sizes, digest and what is left (U+FFFD where a cut has split a character)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return left.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), text.alias("kept_text"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

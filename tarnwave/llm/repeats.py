@@ -11,8 +11,8 @@ have equal anchors at equal offsets, and neighbouring suffixes mostly share thei
 3. grams that very many texts share would make one large group: their suffixes go on their own, as rows that Spark
    counts before it shuffles them.
 
-Suffixes under crowded grams and repeats inside one text take no digit passes: they are grouped by one 64-bit value of
-the whole window.
+Digits are compared by 64-bit values; what is then grouped is held against its bytes. Suffixes under crowded grams take
+no digit passes: they are grouped by 128 bits of the whole window.
 """
 
 from __future__ import annotations
@@ -23,15 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, ragged, slices, staged
+from .common import BASE, Hashes, U, lean, mix, ragged, slices, staged
 
-U = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-#: A fixed random value for each byte.
-BYTES = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64)
+#: Base of the second 64 bits of a window's value.
+SECOND = 0xD1342543DE82EF95
 #: Bits of a flat position inside a packed (hash, position) value.
 POSITION_BITS = 32
 
@@ -39,7 +37,8 @@ POSITION_BITS = 32
 @dataclass(frozen=True)
 class RepeatRules:
     """depth: bytes of a window. gram: bytes of an anchor. digits: passes. crowd: texts from which a gram's suffixes go
-    on their own. bits: most bits of the filter that tells scans which grams are shared. rows: runs sorted at once.
+    on their own. bits: most bits of the filter that tells scans which grams are shared; where it is too small, each text
+    gets its own shared grams by a join. rows: runs sorted at once.
     """
 
     depth: int = 400
@@ -50,29 +49,6 @@ class RepeatRules:
     rows: int = 4000
 
 
-class Hashes:
-    """Values of all substrings of a flat byte buffer, by polynomial prefix sums modulo 2^64."""
-
-    powers = np.ones(1, np.uint64)
-    inverses = np.ones(1, np.uint64)
-
-    def __init__(self, flat: np.ndarray):
-        n = len(flat)
-        if len(Hashes.powers) < n + 1:
-            size = max(n + 1, 1 << 20)
-            Hashes.powers = np.cumprod(np.r_[U(1), np.full(size, BASE, np.uint64)])
-            Hashes.inverses = np.cumprod(np.r_[U(1), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)])
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[flat] * Hashes.powers[:n], out=self.sums[1:])
-
-    def __call__(self, at: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[at + length] - self.sums[at]) * Hashes.inverses[at])
-
-    def all(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * Hashes.inverses[:n])
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each width neighbours, from running minima of blocks in both directions."""
     n = len(x) - width + 1
@@ -108,10 +84,12 @@ def anchored(hashes: Hashes, begin: np.ndarray, size: np.ndarray, rules: RepeatR
     return Runs(text[head], grams[anchor[head]], anchor[head], starts[head].astype(np.int64), np.diff(np.r_[head, len(starts)]))
 
 
-def long_texts(texts: list[str], rules: RepeatRules, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-    """Flat bytes, begins and sizes of the texts of depth bytes or more that this task meets first; their keys; the keys of those met again."""
-    raw, keys, again = [], [], []
-    for t in texts:
+def long_texts(texts: list[str], rules: RepeatRules, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[tuple], np.ndarray]:
+    """Flat bytes, begins and sizes of the texts of depth bytes or more that this task meets first; their keys; keys and
+    sizes of those met again; the rows of the first ones.
+    """
+    raw, keys, again, rows = [], [], [], []
+    for r, t in enumerate(texts):
         if len(t) * 4 < rules.depth or len(b := t.encode("utf-8", "surrogatepass")) < rules.depth:
             continue
         key = hashlib.md5(b, usedforsecurity=False).digest()
@@ -121,8 +99,9 @@ def long_texts(texts: list[str], rules: RepeatRules, seen: set[bytes]) -> tuple[
             seen.add(key)
             raw.append(b)
             keys.append(key)
+            rows.append(r)
     size = np.array([len(b) for b in raw], np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, keys, again
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, keys, again, np.array(rows, np.int64)
 
 
 def grams_of(docs: DataFrame, rules: RepeatRules, text: str) -> DataFrame:
@@ -131,7 +110,7 @@ def grams_of(docs: DataFrame, rules: RepeatRules, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for _, texts in slices(batches, text=0):
-            flat, begin, size, _, _ = long_texts(texts, rules, seen)
+            flat, begin, size, *_ = long_texts(texts, rules, seen)
             if len(begin):
                 runs = anchored(Hashes(flat), begin, size, rules)
                 at = np.lexsort((runs.gram, runs.text))
@@ -139,10 +118,29 @@ def grams_of(docs: DataFrame, rules: RepeatRules, text: str) -> DataFrame:
                 fresh = np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])]
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(g[fresh].view(np.int64))})
 
-    counted = docs.select(text).mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    counted = docs.select(text).mapInArrow(lean(run), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
     return counted.filter("n > 1")
 
 
+def with_grams(docs: DataFrame, grams: DataFrame, rules: RepeatRules) -> DataFrame:
+    """docs (text) with the shared grams of each text: text, grams (array of gram, hot). Grams are joined, not sent to all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches, text=0):
+            flat, begin, size, keys, _, _ = long_texts(texts, rules, set())
+            if len(begin):
+                runs = anchored(Hashes(flat), begin, size, rules)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in runs.text], pa.binary()), "gram": pa.array(runs.gram.view(np.int64))})
+
+    pairs = docs.mapInArrow(lean(run), "key binary, gram long").distinct().join(grams.select("gram", (F.col("n") > rules.crowd).alias("hot")), "gram")
+    own = pairs.groupBy("key").agg(F.collect_list(F.struct("gram", "hot")).alias("grams"))
+    return docs.withColumn("key", text_key("text")).join(own, "key", "left").select("text", "grams")
+
+
+def text_key(text: str):
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def bit_filter(grams: DataFrame, bits: int) -> np.ndarray:
     """A filter of 2^bits bits over grams, as words of 64; its size doesn't depend on how many there are."""
     at = F.pmod("gram", F.lit(1 << bits))
@@ -167,7 +165,7 @@ def starts_to_ranges(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, n
     return text[head], start[head], start[tail]
 
 
-def own_repeats(hashes: Hashes, runs: Runs, begin: np.ndarray, size: np.ndarray, rules: RepeatRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_repeats(flat: np.ndarray, hashes: Hashes, runs: Runs, begin: np.ndarray, size: np.ndarray, rules: RepeatRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of starts whose window starts elsewhere in the same text; only texts that repeat an anchor can have any."""
     at = np.lexsort((runs.gram, runs.text))
     g, t = runs.gram[at], runs.text[at]
@@ -177,37 +175,62 @@ def own_repeats(hashes: Hashes, runs: Runs, begin: np.ndarray, size: np.ndarray,
     value = hashes(starts, rules.depth)
     at = np.lexsort((value, text))
     same = (value[at][1:] == value[at][:-1]) & (text[at][1:] == text[at][:-1])
+    x, y = starts[at[:-1][same]], starts[at[1:][same]]
+    ok = same_bytes(flat, x, y, rules.depth)
     hit = np.zeros(len(starts), bool)
-    hit[at[1:][same]] = hit[at[:-1][same]] = True
+    hit[at[1:][same][ok]] = hit[at[:-1][same][ok]] = True
     return starts_to_ranges(text[hit], starts[hit])
 
 
-ROW = "kind int, gram long, key binary, first long, last long, off int, bytes binary"
+def same_bytes(flat: np.ndarray, x: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the depth bytes from each x equal those from its y. Neighbouring pairs are compared as one stretch."""
+    ok = np.ones(len(x), bool)
+    order = np.lexsort((x, y - x))
+    cut = np.flatnonzero((np.diff(x[order]) != 1) | (np.diff((y - x)[order]) != 0)) + 1
+    for part in np.split(order, cut) if len(order) else []:
+        a, b, n = int(x[part[0]]), int(y[part[0]]), len(part) + depth - 1
+        if not np.array_equal(flat[a : a + n], flat[b : b + n]):
+            ok[part] = [np.array_equal(flat[i : i + depth], flat[j : j + depth]) for i, j in zip(x[part], y[part])]
+    return ok
+
 
+ROW = "kind int, gram long, more long, key binary, first long, last long, off int, bytes binary"
 
-def runs_of(docs: DataFrame, shared: np.ndarray | None, crowded: np.ndarray, rules: RepeatRules, text: str) -> DataFrame:
+
+def runs_of(docs: DataFrame, shared: np.ndarray | None, crowded: np.ndarray | None, rules: RepeatRules) -> DataFrame:
     """The second scan. kind 0: a run of suffixes (first, last; off of the anchor; bytes) under a shared gram.
     kind 1: a range of starts that repeat inside their text or whose text comes again in the task. kind 2: one suffix
-    (first) under a crowded gram, with the value of its window as gram.
+    (first) under a crowded gram, with 128 bits of its window as gram and more.
+
+    shared, crowded: filters of these grams. Without them, docs has beside its text (first) the text's own, as grams.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((shared, crowded))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batch: pa.RecordBatch, runs: Runs, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the gram of each run is shared, and crowded."""
         shared, crowded = sent.value
+        if shared is not None:
+            return in_filter(shared, runs.gram), in_filter(crowded, runs.gram)
+        own = [{g["gram"]: g["hot"] for g in batch.column(1)[int(r)].as_py() or ()} for r in rows]
+        found = [own[t].get(g) for t, g in zip(runs.text.tolist(), runs.gram.view(np.int64).tolist(), strict=True)]
+        return np.array([f is not None for f in found], bool), np.array([bool(f) for f in found], bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for _, texts in slices(batches, text=0):
-            flat, begin, size, keys, again = long_texts(texts, rules, seen)
+        for batch, texts in slices(batches, text=0):
+            flat, begin, size, keys, again, rows = long_texts(texts, rules, seen)
             if again:
-                yield row(1, None, [k for k, _ in again], np.zeros(len(again), np.int64), np.array([n - rules.depth for _, n in again]))
+                yield row(1, None, None, [k for k, _ in again], np.zeros(len(again), np.int64), np.array([n - rules.depth for _, n in again]))
             if not len(begin):
                 continue
             hashes = Hashes(flat)
             runs = anchored(hashes, begin, size, rules)
-            t, a, b = own_repeats(hashes, runs, begin, size, rules)
+            t, a, b = own_repeats(flat, hashes, runs, begin, size, rules)
             if len(t):
-                yield row(1, None, [keys[i] for i in t], a - begin[t], b - begin[t])
-            use = np.flatnonzero(in_filter(shared, runs.gram)) if shared is not None else np.arange(len(runs.gram))
+                yield row(1, None, None, [keys[i] for i in t], a - begin[t], b - begin[t])
+            is_shared, is_hot = told(batch, runs, rows)
+            use = np.flatnonzero(is_shared)
             # a run that comes again in its text is covered above; one of them is enough for other texts
             end = runs.first[use] + runs.n[use] - 1 + rules.depth
             value = hashes(runs.first[use], end - runs.first[use])
@@ -215,27 +238,29 @@ def runs_of(docs: DataFrame, shared: np.ndarray | None, crowded: np.ndarray, rul
             same = [x[use][at] for x in (runs.text, runs.gram, runs.n)] + [value[at]]
             fresh = np.r_[True, np.any([x[1:] != x[:-1] for x in same], axis=0)] if len(use) else np.zeros(0, bool)
             use = np.sort(use[at[fresh]])
-            hot = in_filter(crowded, runs.gram[use])
+            hot = is_hot[use]
             for i in np.array_split(use[~hot], max(1, int((~hot).sum()) // 5000)):
                 if len(i):
                     parts = [flat[p:q].tobytes() for p, q in zip(runs.first[i], runs.first[i] + runs.n[i] - 1 + rules.depth, strict=True)]
                     first = runs.first[i] - begin[runs.text[i]]
-                    yield row(0, runs.gram[i], [keys[x] for x in runs.text[i]], first, first + runs.n[i] - 1, runs.anchor[i] - runs.first[i], parts)
+                    yield row(0, runs.gram[i], None, [keys[x] for x in runs.text[i]], first, first + runs.n[i] - 1, runs.anchor[i] - runs.first[i], parts)
+            more = Hashes(flat, SECOND) if hot.any() else hashes
             for i in np.array_split(use[hot], max(1, int(hot.sum()) // 500)):
                 if len(i):
                     starts, owner = ragged(runs.first[i], runs.n[i]).astype(np.int64), np.repeat(runs.text[i], runs.n[i])
                     first = starts - begin[owner]
-                    yield row(2, hashes(starts, rules.depth), [keys[x] for x in owner], first, first)
+                    yield row(2, hashes(starts, rules.depth), more(starts, rules.depth), [keys[x] for x in owner], first, first)
 
-    return docs.select(text).mapInArrow(run, ROW)
+    return docs.mapInArrow(lean(run), ROW)
 
 
-def row(kind: int, gram, keys: list[bytes], first: np.ndarray, last: np.ndarray, off=None, parts=None) -> pa.RecordBatch:
+def row(kind: int, gram, more, keys: list[bytes], first: np.ndarray, last: np.ndarray, off=None, parts=None) -> pa.RecordBatch:
     n = len(keys)
     return pa.RecordBatch.from_pydict(
         {
             "kind": pa.array(np.full(n, kind, np.int32)),
             "gram": pa.nulls(n, pa.int64()) if gram is None else pa.array(gram.view(np.int64)),
+            "more": pa.nulls(n, pa.int64()) if more is None else pa.array(more.view(np.int64)),
             "key": pa.array(keys, pa.binary()),
             "first": pa.array(first.astype(np.int64)),
             "last": pa.array(last.astype(np.int64)),
@@ -263,10 +288,14 @@ def radix_repeats(gram: np.ndarray, off: np.ndarray, n: np.ndarray, parts: list[
             break
         at = begin[owner] + suffix + d * digit
         group = mix(group * U(BASE) + hashes(at, digit if d < rules.digits - 1 else rules.depth - d * digit))
-        order = np.argsort(group)
+        order = np.argsort(group, kind="stable")
         same = group[order][1:] == group[order][:-1]
+        x, y = order[:-1][same], order[1:][same]
+        if d == rules.digits - 1:
+            ok = same_bytes(flat, (begin[owner] + suffix)[x], (begin[owner] + suffix)[y], rules.depth)
+            x, y = x[ok], y[ok]
         keep = np.zeros(len(group), bool)
-        keep[order[1:][same]] = keep[order[:-1][same]] = True
+        keep[x] = keep[y] = True
         owner, suffix, group = owner[keep], suffix[keep], group[keep]
     return owner, suffix
 
@@ -298,14 +327,16 @@ def sorted_runs(rows: DataFrame, rules: RepeatRules) -> DataFrame:
             yield flush(held)
 
     own = rows.filter("kind = 0").select("gram", "key", "first", "last", "off", "bytes")
-    return own.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key binary, first long, last long")
+    return own.repartition("gram").sortWithinPartitions("gram").mapInArrow(lean(run), "key binary, first long, last long")
 
 
 def crowded_starts(rows: DataFrame) -> DataFrame:
-    """Ranges (of one start each) of the suffixes of kind 2 whose window others have too: key, first, last."""
-    own = rows.filter("kind = 2").select("gram", "key", "first", "last")
-    more = own.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    return own.join(more, "gram").select("key", "first", "last")
+    """Ranges of the suffixes of kind 2 whose window others have too: key, first, last. Neighbouring starts become one range."""
+    own = rows.filter("kind = 2").select("gram", "more", "key", "first")
+    crowd = own.groupBy("gram", "more").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "more")
+    starts = own.join(crowd, ["gram", "more"]).select("key", "first").distinct()
+    island = F.col("first") - F.row_number().over(Window.partitionBy("key").orderBy("first"))
+    return starts.withColumn("island", island).groupBy("key", "island").agg(F.min("first").alias("first"), F.max("first").alias("last")).drop("island")
 
 
 def repeated_ranges(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: str = "text") -> DataFrame:
@@ -316,13 +347,16 @@ def repeated_ranges(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: s
     docs = docs.select(F.col(text).alias("text"))
     grams = staged(grams_of(docs, rules, "text"), "repeat-grams")
     n = grams.count()
-    bits = min(rules.bits, max(16, (n * 256).bit_length()))
-    # beyond what the filter can tell apart, all runs are sent
-    shared = bit_filter(grams, bits) if n < 1 << (rules.bits + 1) else None
-    crowded = bit_filter(grams.filter(F.col("n") > rules.crowd), min(bits, 22))
-    rows = staged(runs_of(docs, shared, crowded, rules, "text"), "repeat-runs")
-    found = rows.filter("kind = 1").select("key", "first", "last").unionByName(sorted_runs(rows, rules)).unionByName(crowded_starts(rows))
-    return found.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    if n <= 1 << (rules.bits - 2):
+        bits = max(16, (n * 256).bit_length())
+        shared = bit_filter(grams, min(bits, rules.bits))
+        crowded = bit_filter(grams.filter(F.col("n") > rules.crowd), min(bits, 22))
+        found = runs_of(docs, shared, crowded, rules)
+    else:
+        found = runs_of(with_grams(docs, grams, rules), None, None, rules)
+    rows = staged(found, "repeat-runs")
+    ranges = rows.filter("kind = 1").select("key", "first", "last").unionByName(sorted_runs(rows, rules)).unionByName(crowded_starts(rows))
+    return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
 def without_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: str = "text", with_text: bool = True) -> DataFrame:
@@ -335,7 +369,7 @@ def without_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: s
     an empty table gives an empty one; other columns are ignored.
     """
     ranges = repeated_ranges(docs, rules, text)
-    keyed = docs.select("doc_id", F.col(text).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    keyed = docs.select("doc_id", F.col(text).alias("text")).withColumn("key", text_key("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -357,7 +391,7 @@ def without_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: s
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = keyed.join(ranges, "key", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, " + "kept binary, " * with_text + "kept_sha256 string")
+    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, " + "kept binary, " * with_text + "kept_sha256 string")
 
 
 def removed_spans(ranges: list[dict], depth: int) -> list[tuple[int, int]]:

@@ -23,7 +23,7 @@ def brute(rows, depth):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("rules", [RepeatRules(), RepeatRules(crowd=3, rows=5), RepeatRules(depth=60, gram=20, crowd=2, digits=3, rows=40)], ids=["as it is", "crowds", "short"])
+@pytest.mark.parametrize("rules", [RepeatRules(), RepeatRules(crowd=3, rows=5), RepeatRules(depth=60, gram=20, crowd=2, digits=3, rows=40), RepeatRules(depth=60, gram=20, crowd=2, bits=2)], ids=["as it is", "crowds", "short", "grams by text"])
 def test_against_brute_force(spark, rules):
     shared = [prose(900 + i, 110) for i in range(4)]
     rows = [(i, prose(i, 20 + 3 * i) + (shared[i % 4] + prose(i + 500, 30) if i % 3 == 0 else "")) for i in range(40)]
