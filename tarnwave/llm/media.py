@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import lean, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -158,4 +158,4 @@ def store_media(docs: DataFrame, text: str = "text", with_media: bool = True) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, n_bytes long, " + "media binary, " * with_media
-    return docs.select("doc_id", text).mapInArrow(run, columns + "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature_bits binary")
+    return docs.select("doc_id", text).mapInArrow(lean(run), columns + "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature_bits binary")

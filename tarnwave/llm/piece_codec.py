@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ragged, slices
+from .common import lean, ragged, slices
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Words and code points of words that one worker remembers at most.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 64
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 64
 
 
 class PieceModel:
@@ -185,7 +185,7 @@ class PieceCodec:
         new = sorted(set(chain.from_iterable(cut)).difference(self.seen))
         if new:
             self.learn(new)
-        n_words = np.array([len(ws) for ws in cut])
+        n_words = np.array([len(ws) for ws in cut], np.int64)
         index = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cut)), np.int64, int(n_words.sum()))
         sizes = self.n[index]
         ends = np.r_[0, np.cumsum(sizes)]
@@ -242,4 +242,4 @@ def encode_texts(docs: DataFrame, model: str, with_ids: bool = True, text: str =
 
     extra = ("ids array<int>, ", "decoded string, ") if with_ids else ("", "")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_tokens long, {extra[0]}ids_sha256 string, {extra[1]}decoded_sha256 string")
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, {extra[0]}ids_sha256 string, {extra[1]}decoded_sha256 string")

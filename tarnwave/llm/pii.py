@@ -14,17 +14,17 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import lean, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # never begun again inside a run of digits
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -124,7 +124,7 @@ def mentions(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
             near = [x for t in texts if (f := find_base(t)) for x in near_mentions(t, f, rules.reach)]
             yield pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in near], pa.string()), "term": pa.array([t for _, t in near], pa.string())})
 
-    return docs.select(text).mapInArrow(run, "entity string, term string")
+    return docs.select(text).mapInArrow(lean(run), "entity string, term string")
 
 
 def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> DataFrame:
@@ -143,7 +143,7 @@ def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> Dat
                 total.clear()
         yield out(total)
 
-    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.select(text).mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def terms_by_text(docs: DataFrame, terms: DataFrame, text: str = "text") -> Data
             said = [list({w.lower() for w in WORD.findall(t)}) for t in texts]
             yield pa.RecordBatch.from_pydict({"__tw_key": batch.column(1), "words": pa.array(said, pa.list_(pa.string()))})
 
-    words = docs.select(text, F.xxhash64(text).alias("__tw_key")).mapInArrow(run, "__tw_key long, words array<string>")
+    words = docs.select(text, F.xxhash64(text).alias("__tw_key")).mapInArrow(lean(run), "__tw_key long, words array<string>")
     pairs = words.select("__tw_key", F.explode("words").alias("term")).join(terms, "term")
     return pairs.groupBy("__tw_key").agg(F.collect_set(F.struct("term", "removed")).alias("__tw_terms"))
 
@@ -233,7 +233,7 @@ def find_pii(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text",
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(spans, SPANS), "risky": pa.array(risky, RISKY)})
 
     columns = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, risky array<struct<start:int,end:int,removed:boolean>>"
-    return found.select("doc_id", text, "__tw_terms").mapInArrow(run, columns)
+    return found.select("doc_id", text, "__tw_terms").mapInArrow(lean(run), columns)
 
 
 def clean_text(text: str | None, base: list, risky: list) -> str | None:
@@ -256,15 +256,20 @@ def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", br
     """
     found, common = with_terms(docs, rules, text, broadcast_terms)
 
-    def clean_texts(texts: pd.Series, terms: pd.Series) -> pd.Series:
-        def one(t: str | None, own) -> str | None:
-            base = find_base(t) if t else []
-            risky = term_spans(t, base, row_terms(own, common)) if t else []
-            return clean_text(t, [{"start": a, "kind": k, "end": b} for a, k, b in base], risky)
+    kept = docs.columns
+    at = kept.index(text)
 
-        return pd.Series([one(t, own) for t, own in zip(texts, terms, strict=True)], dtype=object)
-
-    return found.withColumn(text, F.pandas_udf(clean_texts, "string")(F.col(text), F.col("__tw_terms"))).select(docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text=at):
+            clean = []
+            for t, own in zip(texts, batch.column(len(kept)).to_pylist(), strict=True):
+                base = find_base(t)
+                risky = term_spans(t, base, row_terms(own, common))
+                clean.append(clean_text(t, [{"start": a, "kind": k, "end": b} for a, k, b in base], risky))
+            new = pa.array(clean, pa.string(), mask=pc.is_null(batch.column(at)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(kept))], names=kept)
+
+    return found.select(*kept, "__tw_terms").mapInArrow(lean(run), docs.schema)
 
 
 def luhn_check_digit(digits: str) -> str:

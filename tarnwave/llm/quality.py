@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, lean, slices
 
 TRAITS = ("bias", "log words", "symbols", "digits", "upper", "lines", "bars", "repeats", "repeated lines", "word length", "distinct")
 
@@ -52,7 +52,7 @@ def trait_table(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | {"traits": pa.array(rows, pa.list_(pa.float64()))})
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, text).mapInArrow(run, f"{schema}, traits array<double>")
+    return docs.select(*columns, text).mapInArrow(lean(run), f"{schema}, traits array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, rules: QualityRules) -> np.ndarray:

@@ -17,12 +17,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, held_out, slices
+from .common import held_out, lean, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Features of a word.
@@ -34,6 +33,7 @@ class ToxicityRules:
     """train_docs: bound of the labelled sample, for each of toxic and other documents. support, ratio: what makes a
     token toxic in training: distinct neighbourhoods in toxic documents, and the lower bound (z) of its odds there
     against those of all words.
+    clean: share of the training windows without toxic tokens that the field learns from.
     buckets: of hashed features. remembered: words whose features a worker keeps. span: least marginal of a toxic span.
     """
 
@@ -41,11 +41,12 @@ class ToxicityRules:
     support: int = 5
     ratio: float = 8.0
     z: float = 1.96
+    clean: float = 0.15
     buckets: int = 1 << 18
     epochs: int = 6
     rate: float = 0.5
     l2: float = 1e-4
-    remembered: int = 300_000
+    remembered: int = 150_000
     span: float = 0.5
 
 
@@ -167,13 +168,13 @@ def train(texts: list[str], toxic: list[bool], rules: ToxicityRules) -> Tagger:
     docs = [WORD.findall(t.lower()) for t in texts]
     bad = token_labels(docs, toxic, rules)
     keep = [i for i, d in enumerate(docs) if d]
-    # windows of 64 words bound a step's size; toxic ones and as many others take part
+    # windows of 64 words bound a step's size; toxic ones and a share of the others take part
     seqs, marks, rng = [], [], np.random.default_rng(7)
     for i in keep:
         for at in range(0, len(docs[i]), 64):
             part = docs[i][at : at + 64]
             y = [toxic[i] and w in bad for w in part]
-            if any(y) or rng.random() < 0.15:
+            if any(y) or rng.random() < rules.clean:
                 seqs.append(part)
                 marks.append(y)
     w, gw = np.zeros(rules.buckets), np.full(rules.buckets, 1e-8)
@@ -257,7 +258,7 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text: str = "text", with_spa
             yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, score double" + ", spans array<struct<start:int,end:int,p:double>>" * with_spans)
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {kind}, score double" + ", spans array<struct<start:int,end:int,p:double>>" * with_spans)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -278,15 +279,11 @@ def toxic_spans(text: str, p: np.ndarray, level: float) -> list[dict]:
 def filter_toxic(docs: DataFrame, tagger: Tagger, level: float, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below level; see score_toxicity."""
 
-    def score(texts: pd.Series) -> pd.Series:
-        out, held, size = [], [], 0
-        for t in [*texts, None]:  # in slices, as a batch of long texts is large
-            if held and size + len(t or "") > SLICE_CHARS:
-                out.append(tagger.scores(*tagger.marginals(held)))
-                held, size = [], 0
-            held.append(WORD.findall(t.lower()) if t else [])
-            size += len(t or "")
-        out.append(tagger.scores(*tagger.marginals(held)))
-        return pd.Series(np.concatenate(out)[: len(texts)])
-
-    return docs.filter(F.pandas_udf(score, "double")(F.col(text)) < level)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text=at):
+            score = tagger.scores(*tagger.marginals([WORD.findall(t.lower()) for t in texts]))
+            yield batch.filter(pa.array(score < level))
+
+    return docs.mapInArrow(lean(run), docs.schema)
