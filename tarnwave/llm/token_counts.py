@@ -4,6 +4,9 @@ Prefix dynamic programming over each word: the encoding of a prefix ends in exac
 last token of the prefix before it, stays apart from it when the two are encoded together; so
 count(prefix) = count(prefix without t) + 1. Two lanes are kept, since the last character of a word carries the word
 end: tokens inside a word, and tokens that close it. Truncation and budget questions read the stored counts.
+
+The words of a slice go through the recurrence together, one prefix length at a time: for each word, the tokens that end
+there are tried from the longest on.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices
+from .common import Hashes, lean, mix, ragged, slices
 
 #: Words, and code points of a word, that a worker remembers at most.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 48
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 48
+#: Places of the table of judged pairs; a pair that another one has displaced is looked up in a dictionary.
+PAIR_BITS = 20
 #: Letters and numbers below U+0100, in lower case as the normaliser leaves them.
 LATIN_L, LATIN_N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
@@ -58,18 +63,30 @@ class PrefixCounter:
         self.wide = regex.compile(rf" ?(?:{split})| ")
         self.latin = re.compile(f" ?(?:'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_L}]+|[{LATIN_N}]|[^ {LATIN_L}{LATIN_N}]+)| ")
         self.spaces = re.compile("  +")
-        #: Of each token text: 1 if it stands inside a word, 2 if it closes one, 3 if both.
-        self.kinds: dict[str, int] = {}
+        #: Texts of tokens without word ends, and of each: 1 if it stands inside a word, 2 if it closes one, 3 if both.
+        kinds: dict[str, int] = {}
         for v in self.vocab:
             closes = v.endswith(self.end) and v != self.end
             body = v.removesuffix(self.end) if closes else v
-            self.kinds[body] = self.kinds.get(body, 0) | (2 if closes else 1)
-        self.apart: dict[tuple, bool] = {}
+            kinds[body] = kinds.get(body, 0) | (2 if closes else 1)
+        bytes_of = {c: b for b, c in self.letters.items()}
+        self.bodies = ["", *(b for b in kinds if all(c in bytes_of for c in b))]  # others can't come out of bytes
+        self.kinds = np.array([0, *(kinds[b] for b in self.bodies[1:])], np.int8)
+        raw = [bytes(map(bytes_of.__getitem__, b)) for b in self.bodies]
+        size = np.array([len(r) for r in raw])
+        values = Hashes(np.frombuffer(b"".join(raw), np.uint8))(np.cumsum(size) - size, size)
+        order = np.argsort(values[1:]) + 1
+        self.body_values, self.body_ids = values[order], order
+        # by the top bits of a value, where it would stand among the sorted ones
+        self.body_begin = np.searchsorted(self.body_values, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46)) if len(order) else np.zeros((1 << 18) + 1, np.int64)
+        self.body_begin[-1] = len(order)
+        self.widest = int(np.diff(self.body_begin).max(initial=0))
+        self.judged: dict[int, bool] = {}
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.prefixes: dict[str, tuple[int, str, int]] = {}
         self.flat, self.at, self.n, self.low = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode_symbols(self, symbols: list[str]) -> list[str]:
@@ -88,75 +105,118 @@ class PrefixCounter:
         body = token.removesuffix(self.end)
         return [*body[:-1], body[-1] + self.end]
 
-    def word_counts(self, word: str) -> list[int]:
-        """Tokens of each prefix of a word by code points, each prefix closed as a word."""
-        raw = word.encode("utf-8", "surrogatepass")
-        text = "".join(map(self.letters.__getitem__, raw))
-        if len(text) > MEMORY_CHARS:
-            return self.long_counts(text, raw)
-        inner, last, out, known = [0], [""], [], self.prefixes
-        for j in range(1, len(text) + 1):
-            state = known.get(text[:j])
-            if state is None:
-                state = known[text[:j]] = self.step(text, j, inner, last, j == len(raw) or raw[j] & 0xC0 != 0x80)
-            inner.append(state[0])
-            last.append(state[1])
-            if state[2]:
-                out.append(state[2])
+    def bodies_at(self, values: np.ndarray) -> np.ndarray:
+        """The number of the token text with each value, 0 where there is none."""
+        top = (values >> np.uint64(46)).astype(np.int64)
+        at, stop = self.body_begin[top], self.body_begin[top + 1]
+        out = np.zeros(len(values), np.int64)
+        some = np.flatnonzero(at < stop)
+        for step in range(self.widest):
+            place = at[some] + step
+            hit = self.body_values[place] == values[some]
+            out[some[hit]] = self.body_ids[place[hit]]
+            some = some[~hit & (place + 1 < stop[some])]
+            if not len(some):
+                break
         return out
 
-    def long_counts(self, text: str, raw: bytes) -> list[int]:
-        inner, last, out = [0], [""], []
-        for j in range(1, len(text) + 1):
-            n, t, closed = self.step(text, j, inner, last, j == len(raw) or raw[j] & 0xC0 != 0x80)
-            inner.append(n)
-            last.append(t)
-            if closed:
-                out.append(closed)
+    def apart(self, before: np.ndarray, body: np.ndarray, closes: int) -> np.ndarray:
+        """Whether each token text (closing the word, or not) stands as it is after the token before (0 at the start)."""
+        pair = (before * len(self.bodies) + body) * 2 + closes
+        slot = (mix(pair.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.pairs[slot]
+        out = (held & 1).astype(bool)
+        miss = np.flatnonzero(held >> 1 != pair)
+        if len(miss):
+            new, where = np.unique(pair[miss], return_inverse=True)
+            if len(self.judged) > 4 * MEMORY_WORDS:
+                self.judged.clear()
+            ok = np.array([self.judge(p) for p in new.tolist()], bool)[where]
+            out[miss] = ok
+            self.pairs[slot[miss]] = pair[miss] * 2 + ok
         return out
 
-    def step(self, text: str, j: int, inner: list[int], last: list[str], closes: bool) -> tuple[int, str, int]:
-        """Of the prefix of j letters: tokens and last token in the inner lane, and tokens closed as a word (or 0)."""
-        kinds, apart, n, token, closed = self.kinds, self.apart, 0, "", 0
-        for i in range(max(0, j - self.longest), j):
-            kind = kinds.get(t := text[i:j])
-            if kind is None:
-                continue
-            before = last[i]
-            if not n and kind & 1:
-                if (ok := apart.get((before, t))) is None:
-                    ok = self.judge(before, t)
-                if ok:
-                    n, token = inner[i] + 1, t
-                    if closed or not closes:
-                        break
-            if closes and not closed and kind & 2:
-                if (ok := apart.get((before, t, 1))) is None:
-                    ok = self.judge(before, t, 1)
-                if ok:
-                    closed = inner[i] + 1
-                    if n:
-                        break
-        return n, token, closed
-
-    def judge(self, before: str, token: str, *end: int) -> bool:
-        """Whether a token (closing the word, with end) stands as it is after the token before ("" at the start)."""
-        if len(self.apart) > 2 * MEMORY_WORDS:
-            self.apart.clear()
-        full = token + self.end if end else token
-        got = self.encode_symbols([*before, *self.symbols(full)])
-        self.apart[(before, token, *end)] = ok = got == ([before, full] if before else [full])
+    def judge(self, pair: int) -> bool:
+        ok = self.judged.get(pair)
+        if ok is None:
+            pair_, closes = divmod(pair, 2)
+            before, body = (self.bodies[i] for i in divmod(pair_, len(self.bodies)))
+            full = body + self.end if closes else body
+            got = self.encode_symbols([*before, *self.symbols(full)])
+            self.judged[pair] = ok = got == ([before, full] if before else [full])
         return ok
 
-    def piece_counts(self, piece: str) -> list[int]:
-        """Counts of the prefixes of one match of the split pattern, with a space in front or not."""
-        lead = [0] * (piece[:1] == " ")
-        word = piece[len(lead) :]
-        if word in self.special:  # its prefixes are ordinary text, cut anew
-            return lead + [self.plain(word[:i]) for i in range(1, len(word))] + [1]
-        if word[:1] == "'" and len(word) > 1 and word[1:].isalpha():  # a cut contraction falls apart
-            return lead + [self.plain(word[:i]) for i in range(1, len(word))] + [self.word_counts(word)[-1]]
-        return lead + (self.word_counts(word) if word else [])
+    def word_tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each prefix of each word by code points, each prefix closed as a word: of all words; prefixes of each."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        stop = np.cumsum(size)
+        word = np.repeat(np.arange(len(raw)), size)
+        left = np.repeat(stop, size) - np.arange(len(flat))  # bytes from here to the word's end
+        hashes, spans = Hashes(flat), []
+        for length in range(1, min(self.longest, int(size.max(initial=0))) + 1):
+            start = np.flatnonzero(left >= length)
+            body = self.bodies_at(hashes(start, length))
+            hit = np.flatnonzero(body)
+            spans.append((start[hit], np.full(len(hit), length), body[hit]))
+        start, length, body = map(np.concatenate, zip(*spans)) if spans else [np.zeros(0, np.int64)] * 3
+        own = word[start]
+        ends = start + length - (stop - size)[own]  # length of the prefix that the token ends
+        order = np.argsort(ends * (len(flat) + 1) + start, kind="stable")  # within a word: the longest token first
+        start, body, own, ends = start[order], body[order], own[order], ends[order]
+        kind = self.kinds[body]
+        here, there = start + own, start + length[order] + own  # states before and after the token; each word has one more than bytes
+        inner, last, closed = np.zeros(len(flat) + len(raw), np.int32), np.zeros(len(flat) + len(raw), np.int64), np.zeros(len(flat) + len(raw), np.int32)
+        # a prefix ends where no continuation byte follows
+        whole = np.r_[(flat[1:] & 0xC0) != 0x80, True][: len(flat)]
+        whole[stop[size > 0] - 1] = True
+        steps = np.searchsorted(ends, np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(steps[:-1], steps[1:]):
+            for closes in (0, 1):
+                use = a + np.flatnonzero(kind[a:b] & (2 if closes else 1))
+                if closes:
+                    use = use[whole[start[use] + length[order[use]] - 1]]
+                # the first token of a word that stays apart from the one before it
+                while len(use):
+                    head = np.r_[True, own[use[1:]] != own[use[:-1]]]
+                    first = use[head]
+                    ok = self.apart(last[here[first]], body[first], closes)
+                    done = first[ok]
+                    if closes:
+                        closed[there[done]] = inner[here[done]] + 1
+                    else:
+                        inner[there[done]], last[there[done]] = inner[here[done]] + 1, body[done]
+                    group = np.cumsum(head) - 1
+                    use = use[~head & ~ok[group]]
+        n = np.bincount(word[whole], minlength=len(raw))
+        return closed[(np.arange(len(flat)) + word + 1)[whole]], n
+
+    def word_counts(self, word: str) -> list[int]:
+        return self.word_tables([word])[0].tolist()
+
+    def odd_counts(self, word: str) -> list[int]:
+        """Counts of the prefixes of a special string or a contraction: as they end, their parts are ordinary text, cut anew."""
+        return [self.plain(word[:i]) for i in range(1, len(word))] + [1 if word in self.special else self.word_counts(word)[-1]]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Stores the prefix counts of matches of the split pattern, each with a space in front or not."""
+        lead = np.array([p[:1] == " " for p in pieces], np.int64)
+        words = [p[1:] if p[:1] == " " else p for p in pieces]
+        odd = {i: self.odd_counts(w) for i, w in enumerate(words) if w in self.special or w[:1] == "'" and len(w) > 1 and w[1:].isalpha()}
+        table, n = self.word_tables(["" if i in odd else w for i, w in enumerate(words)])
+        own = n.copy()
+        own[list(odd)] = [len(c) for c in odd.values()]
+        size = lead + own
+        begin = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.int32)
+        flat[ragged(begin + lead, np.where(own == n, n, 0))] = table
+        for i, counts in odd.items():
+            flat[begin[i] + lead[i] : begin[i] + size[i]] = counts
+        self.seen.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces)), strict=True))
+        self.at, self.n = np.r_[self.at, len(self.flat) + begin], np.r_[self.n, size]
+        self.low = np.r_[self.low, np.minimum.reduceat(flat, begin)]
+        self.flat = np.r_[self.flat, flat]
 
     def plain(self, text: str) -> int:
         return sum(self.word_counts(w)[-1] for p in self.wide.findall(text) if (w := p.removeprefix(" ")))
@@ -190,17 +250,11 @@ class PrefixCounter:
     def measure(self, texts: list[str]) -> Measured:
         """The stored prefix counts of all texts."""
         cut = [self.cut(t)[1] for t in texts]
-        if len(self.seen) > MEMORY_WORDS or len(self.prefixes) > 3 * MEMORY_WORDS:
+        if len(self.seen) > MEMORY_WORDS:
             self.forget()
         new = list(set(chain.from_iterable(cut)).difference(self.seen))
         if new:
-            found = [self.piece_counts(p) for p in new]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            self.seen.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.at = np.r_[self.at, len(self.flat) + np.cumsum(n) - n]
-            self.n = np.r_[self.n, n]
-            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))]
-            self.low = np.minimum.reduceat(self.flat, self.at)
+            self.learn(new)
         pieces = np.fromiter(map(len, cut), np.int64, len(cut))
         index = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
         for p in [p for p in new if len(p) > MEMORY_CHARS]:
@@ -232,15 +286,15 @@ class Measured:
 
     def fits(self, budget: int) -> list[int]:
         """Code points of the longest prefix of each text that has at most budget tokens."""
-        out = []
-        for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True):
+        out = self.chars.tolist()
+        for i in np.flatnonzero(self.tokens > budget).tolist():
+            a, b = int(self.start[i]), int(self.stop[i])
             ok = np.flatnonzero(self.base[a:b] - self.base[a] + self.low[a:b] <= budget)
-            if not len(ok):
-                out.append(0)
-                continue
-            k = a + int(ok[-1])
-            own = self.flat[self.at[k] : self.at[k] + self.size[k]] + (self.base[k] - self.base[a])
-            out.append(int(self.before[k] - self.before[a] + np.flatnonzero(own <= budget)[-1] + 1))
+            out[i] = 0
+            if len(ok):
+                k = a + int(ok[-1])
+                own = self.flat[self.at[k] : self.at[k] + self.size[k]] + (self.base[k] - self.base[a])
+                out[i] = int(self.before[k] - self.before[a] + np.flatnonzero(own <= budget)[-1] + 1)
         return out
 
 
@@ -269,7 +323,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budget: int, with_table: bool
             yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, fits long" + ", prefix_tokens array<int>" * with_table)
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long, fits long" + ", prefix_tokens array<int>" * with_table)
 
 
 def tokens_at(prefix_tokens: Column, chars: Column) -> Column:
