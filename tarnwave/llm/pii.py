@@ -1,13 +1,16 @@
 """Personal data: patterns for what identifies someone, and terms that the corpus shows to give it away.
 
-A protected entity is one found value (an address, a number). Terms that stand near its mentions are weighed over the
-whole corpus: disclosure = PMI(term; entity) / IC(entity), 1 where the term never stands elsewhere. Terms above a
-threshold are generalised wherever they stand in the corpus, above a higher one removed.
+A protected entity is a found value (an address, a number, a secret) or the group it belongs to (a mail domain, a
+network, an issuer). Terms that stand near its mentions are weighed over the documents of the whole corpus:
+disclosure = PMI(term; entity) / IC(entity), 1 where the term stands in no document without the entity; rare counts are
+shrunk toward the entity's own share. Terms above a threshold are generalised wherever they stand in the corpus, above a
+higher one removed. Secrets are found by their information: runs of letters and digits of many bits.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -28,16 +31,24 @@ DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # never begun again ins
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+")
+#: Kinds of found spans; those after the base ones are the method's.
+SECRET, TERM = len(KINDS), len(KINDS) + 1
+NAMES = (*KINDS, "secret", "term")
 
 
 @dataclass(frozen=True)
 class PiiRules:
-    """reach: words looked at on each side of a mention. support: times that a term must stand near an entity."""
+    """reach: words looked at on each side of a mention. support: different texts in which a term must stand near an
+    entity. shrink: documents' worth of weight of the entity's own share. bits: least information of a secret.
+    """
 
     reach: int = 4
-    support: int = 5
+    support: int = 3
+    shrink: float = 1.0
     generalise: float = 0.9
     remove: float = 0.98
+    bits: float = 64.0
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -85,50 +96,77 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def normal_value(kind: int, value: str) -> str:
-    return KINDS[kind] + ":" + (value.lower() if kind < 2 else re.sub("[^0-9]", "", value))
+def secrets(text: str, bits: float) -> list[tuple[int, int, int]]:
+    """(start, SECRET, end) of runs with letters and digits whose characters carry `bits` and 3 bits each on average."""
+    out = []
+    for m in TOKEN.finditer(text):
+        n, count = m.end() - m.start(), Counter(m.group())
+        each = math.log2(n) - sum(c * math.log2(c) for c in count.values()) / n
+        if each >= 3 and n * each >= bits and any(c.isdigit() for c in count) and any(c.isalpha() for c in count):
+            out.append((m.start(), SECRET, m.end()))
+    return out
+
+
+def find_all(text: str, bits: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and secrets that touch none of them."""
+    base = find_base(text)
+    found = secrets(text, bits)
+    if base and found:
+        found = [f for f in found if not any(a < f[2] and f[0] < b for a, _, b in base)]
+    return base, found
 
 
-def near_terms(text: str, start: int, end: int, reach: int) -> list[tuple[int, int, str]]:
-    """Terms around a span: (start, end, lower-case term), reach words on each side, from its own neighbourhood."""
-    room = 40 * reach
-    left = list(WORD.finditer(text, max(0, start - room), start))[-reach:]
-    # a word that the room cuts off is no whole word
-    left = [m for m in left if m.start() > max(0, start - room) or m.start() == 0]
-    right = [m for _, m in zip(range(reach), WORD.finditer(text, end, min(len(text), end + room)))]
-    return [(m.start(), m.end(), m.group().lower()) for m in left + right if m.end() < end + room or m.end() == len(text)]
+def entities(kind: int, value: str) -> tuple[str, str]:
+    """The protected entities of a found value: itself, and its group."""
+    if kind == SECRET:
+        return "secret:" + value, "secrets"
+    name = KINDS[kind]
+    if kind == 0:
+        return f"{name}:{value.lower()}", f"{name}s:{value.lower().rpartition('@')[2]}"
+    if kind == 1:
+        return f"{name}:{value}", f"{name}s:{'.'.join(value.split('.')[:2])}"
+    digits = re.sub("[^0-9]", "", value)
+    return f"{name}:{digits}", f"{name}s:{digits[:6]}"
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-RISKY = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
+RISKY = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
 #: Of each row: the terms that give something away and stand in its text, with whether they are removed.
 TERMS = "array<struct<term:string,removed:boolean>>"
 
 
-def near_mentions(text: str, base: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[str, str]]:
-    """(entity, term) beside each base span, without terms inside another one."""
-    starts = [a for a, _, _ in base]
-    for a, k, b in base:
-        entity = normal_value(k, text[a:b])
-        for s, e, term in near_terms(text, a, b, reach):
-            j = bisect.bisect_right(starts, s) - 1
-            if not (j >= 0 and base[j][2] > s) and not (j + 1 < len(base) and base[j + 1][0] < e):
-                yield entity, term
+def near_mentions(text: str, spans: list[tuple[int, int, int]], reach: int) -> set[tuple[str, str]]:
+    """(entity, term): the reach words on each side of each span, in lower case, without words that touch a span."""
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
+    words = [m.span() for m in WORD.finditer(text)]
+    words = [(s, e) for s, e in words if not ((j := bisect.bisect_left(starts, e)) and ends[j - 1] > s)]
+    out = set()
+    for a, k, b in spans:
+        at = bisect.bisect_left(words, (a, 0))
+        near = {text[s:e].lower() for s, e in words[max(0, at - reach) : at + reach]}
+        out.update((entity, term) for entity in entities(k, text[a:b]) for term in near)
+    return out
 
 
 def mentions(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
-    """Terms beside found values, a row each time: entity, term."""
+    """What each document mentions: text_key, entity, term; once each, and once with a null term for the entity itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, text=0):
-            near = [x for t in texts if (f := find_base(t)) for x in near_mentions(t, f, rules.reach)]
-            yield pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in near], pa.string()), "term": pa.array([t for _, t in near], pa.string())})
+        for batch, texts in slices(batches):
+            rows = []
+            for key, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                spans = sorted([x for f in find_all(t, rules.bits) for x in f])
+                if spans:
+                    pairs = near_mentions(t, spans, rules.reach) | {(e, None) for _, k, _, v in ((a, k, b, t[a:b]) for a, k, b in spans) for e in entities(k, v)}
+                    rows += [(key, e, term) for e, term in pairs]
+            keys, found, terms = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.int64()), "entity": pa.array(found, pa.string()), "term": pa.array(terms, pa.string())})
 
-    return docs.select(text).mapInArrow(lean(run), "entity string, term string")
+    return docs.select(F.xxhash64(text).alias("key"), text).mapInArrow(lean(run), "text_key long, entity string, term string")
 
 
-def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> DataFrame:
-    """How often each term stands in the corpus. Tasks add up before the shuffle, in a table of about keep terms."""
+def term_counts(docs: DataFrame, text: str = "text", keep: int = 100_000) -> DataFrame:
+    """In how many documents each term stands. Tasks add up before the shuffle, in a table of about keep terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
@@ -137,7 +175,7 @@ def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> Dat
         total: Counter = Counter()
         for _, texts in slices(batches, text=0):
             for t in texts:
-                total.update(WORD.findall(t.lower()))
+                total.update(set(WORD.findall(t.lower())))
             if len(total) > keep:
                 yield out(total)
                 total.clear()
@@ -149,26 +187,25 @@ def term_counts(docs: DataFrame, text: str = "text", keep: int = 200_000) -> Dat
 def disclosures(docs: DataFrame, near: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
     """Terms that give entities away: entity, term, disclosure. near: of mentions(docs), staged.
 
-    p(entity | term) = times near it / times anywhere; p(entity) = its share of all terms that stand near something;
+    p(entity) is its share of all documents, p(entity | term) that among the documents with the term in which the term
+    stands near it, shrunk: (documents near + shrink * p(entity)) / (documents with the term + shrink);
     disclosure = log2(p(entity | term) / p(entity)) / -log2 p(entity).
     """
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= rules.support)
-    per_entity = near.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= rules.support)
-    terms = staged(pairs.join(per_entity, "entity"), "pii-pairs")
-    counts = term_counts(docs, text)
-    wanted = terms.select("term").distinct()
-    total = near.agg(F.count("*").alias("n_all"))
-    share = F.least(F.lit(1 - 1e-9), F.col("n_entity") / F.col("n_all"))
-    given = F.least(F.lit(1.0), F.col("n_near") / F.col("n_term"))
-    joined = terms.join(counts.join(wanted, "term", "left_semi"), "term").crossJoin(F.broadcast(total))
-    return joined.select("entity", "term", (F.log2(given / share) / -F.log2(share)).alias("disclosure")).filter(F.col("disclosure") >= rules.generalise)
+    pairs = near.filter("term is not null").groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("texts"))
+    per_entity = near.filter("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    terms = staged(pairs.filter(F.col("texts") >= rules.support).join(per_entity, "entity"), "pii-pairs")
+    n_docs = docs.count()
+    counts = term_counts(docs, text).join(terms.select("term").distinct(), "term", "left_semi")
+    share = F.least(F.lit(1 - 1e-9), F.col("n_entity") / n_docs)
+    given = F.least(F.lit(1.0), (F.col("n_near") + rules.shrink * share) / (F.col("n_term") + rules.shrink))
+    return terms.join(counts, "term").select("entity", "term", (F.log2(given / share) / -F.log2(share)).alias("disclosure"))
 
 
 def risky_terms(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
     """Terms that give some entity away, staged: term, removed (by the strongest disclosure)."""
     near = staged(mentions(docs, rules, text), "pii-near")
-    strongest = disclosures(docs, near, rules, text).groupBy("term").agg((F.max("disclosure") >= rules.remove).alias("removed"))
-    return staged(strongest, "pii-terms")
+    found = disclosures(docs, near, rules, text).filter(F.col("disclosure") >= rules.generalise)
+    return staged(found.groupBy("term").agg((F.max("disclosure") >= rules.remove).alias("removed")), "pii-terms")
 
 
 def terms_by_text(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -195,17 +232,17 @@ def with_terms(docs: DataFrame, rules: PiiRules, text: str, broadcast_terms: int
     return docs.withColumn("__tw_key", F.xxhash64(text)).join(own, "__tw_key", "left").drop("__tw_key"), {}
 
 
-def term_spans(text: str, base: list[tuple[int, int, int]], terms: Mapping[str, bool]) -> list[dict]:
-    """Every occurrence of the terms in a text, without those that a base span touches: start, end, removed."""
+def term_spans(text: str, spans: list[tuple[int, int, int]], terms: Mapping[str, bool]) -> list[dict]:
+    """Every occurrence of the terms in a text, without those that a found span touches: start, kind, end, removed."""
     if not terms or not any(w.lower() in terms for w in set(WORD.findall(text))):
         return []
-    # base spans of several kinds may overlap: the furthest end so far goes with each start
-    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    # spans of several kinds may overlap: the furthest end so far goes with each start
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
     out = []
     for m in WORD.finditer(text):
         removed = terms.get(m.group().lower())
         if removed is not None and not ((j := bisect.bisect_left(starts, m.end())) and ends[j - 1] > m.start()):
-            out.append({"start": m.start(), "end": m.end(), "removed": removed})
+            out.append({"start": m.start(), "kind": TERM, "end": m.end(), "removed": removed})
     return out
 
 
@@ -213,35 +250,40 @@ def row_terms(terms, common: Mapping[str, bool]) -> Mapping[str, bool]:
     return common if terms is None else {x["term"]: x["removed"] for x in terms}
 
 
-def find_pii(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
+def found_in(text: str, rules: PiiRules, terms: Mapping[str, bool]) -> tuple[list[dict], list[dict]]:
+    """Base spans and risky ones of a text."""
+    base, more = find_all(text, rules.bits)
+    risky = [{"start": a, "kind": k, "end": b, "removed": False} for a, k, b in more]
+    risky += term_spans(text, sorted(base + more), terms)
+    return [{"start": a, "kind": k, "end": b} for a, k, b in base], sorted(risky, key=lambda r: r["start"])
+
+
+def find_pii(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 100_000) -> DataFrame:
     """All personal data of each row of docs: doc_id, base, risky.
 
-    base: array of struct of start, kind (number in KINDS), end, by start, then kind. risky: every occurrence of a term
-    that gives some entity away, array of struct of start, end, removed, by start. Positions are code points, ends
-    exclusive. Null or empty text: empty arrays. Repeated rows, repeated ids and null ids keep their rows, and each has
-    its own text's spans. An empty table gives an empty one; other columns of docs are ignored. broadcast_terms: see
-    with_terms.
+    base: array of struct of start, kind (number in NAMES), end, by start, then kind. risky: what the method adds,
+    array of struct of start, kind, end, removed, by start: secrets, and every occurrence of a term that gives some
+    entity away. Positions are code points, ends exclusive. Null or empty text: empty arrays. Repeated rows, repeated
+    ids and null ids keep their rows, and each has its own text's spans. An empty table gives an empty one; other
+    columns of docs are ignored. broadcast_terms: see with_terms.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found, common = with_terms(docs.select("doc_id", text), rules, text, broadcast_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            base = [find_base(t) for t in texts]
-            spans = [[{"start": a, "kind": k, "end": b} for a, k, b in f] for f in base]
-            risky = [term_spans(t, f, row_terms(own, common)) for t, f, own in zip(texts, base, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array(spans, SPANS), "risky": pa.array(risky, RISKY)})
+            both = [found_in(t, rules, row_terms(own, common)) for t, own in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "base": pa.array([b for b, _ in both], SPANS), "risky": pa.array([r for _, r in both], RISKY)})
 
-    columns = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, risky array<struct<start:int,end:int,removed:boolean>>"
+    columns = f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, risky array<struct<start:int,kind:int,end:int,removed:boolean>>"
     return found.select("doc_id", text, "__tw_terms").mapInArrow(lean(run), columns)
 
 
 def clean_text(text: str | None, base: list, risky: list) -> str | None:
-    """A text with base spans as [KIND], general terms as [TERM], and removed ones gone; overlaps go to the earlier start."""
+    """A text with spans as [KIND] and removed terms gone; overlaps go to the earlier start."""
     if text is None or not (len(base) or len(risky)):
         return text
-    marks = [(s["start"], s["end"], f"[{KINDS[s['kind']].upper()}]") for s in base]
-    marks += [(s["start"], s["end"], "" if s["removed"] else "[TERM]") for s in risky]
+    marks = [(s["start"], s["end"], "" if s.get("removed") else f"[{NAMES[s['kind']].upper()}]") for s in [*base, *risky]]
     out, at = [], 0
     for a, b, say in sorted(marks):
         if a >= at:
@@ -250,22 +292,18 @@ def clean_text(text: str | None, base: list, risky: list) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
+def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", broadcast_terms: int = 100_000) -> DataFrame:
     """docs with its columns, the text cleaned of personal data and of every term that gives some away; texts without
     any stay as they are. See find_pii; broadcast_terms: see with_terms.
     """
     found, common = with_terms(docs, rules, text, broadcast_terms)
-
     kept = docs.columns
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text=at):
-            clean = []
-            for t, own in zip(texts, batch.column(len(kept)).to_pylist(), strict=True):
-                base = find_base(t)
-                risky = term_spans(t, base, row_terms(own, common))
-                clean.append(clean_text(t, [{"start": a, "kind": k, "end": b} for a, k, b in base], risky))
+            owns = batch.column(len(kept)).to_pylist()
+            clean = [clean_text(t, *found_in(t, rules, row_terms(own, common))) for t, own in zip(texts, owns, strict=True)]
             new = pa.array(clean, pa.string(), mask=pc.is_null(batch.column(at)).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(kept))], names=kept)
 

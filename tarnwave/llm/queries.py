@@ -19,14 +19,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    names = F.array(*map(F.lit, [*pii.KINDS, "term"]))
+    names = F.array(*map(F.lit, pii.NAMES))
 
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    terms = F.transform("risky", lambda s: F.struct(s["start"], F.lit(len(pii.KINDS)).alias("kind"), s["end"]))
+    more = F.transform("risky", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", terms))).alias("spans"))
+    spans = F.array_sort(F.concat("base", more))
+    return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(spans).alias("spans"), F.size(spans).cast("long").alias("n_found"))
 
 
 def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

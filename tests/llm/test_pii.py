@@ -44,7 +44,62 @@ def test_cards(digits):
 
 
 def test_long_runs_are_linear():
-    assert pii.find_base("a" * 200_000 + "1" * 200_000 + "+" * 1000) == []
+    long = "a" * 200_000 + "1" * 1_000_000 + "." + "+" * 1000 + "1 " * 100_000 + "+1" + "(" * 100_000
+    assert pii.find_base(long) == brute("1 " * 3 + "+1" + "(" * 9) == [] and pii.secrets(long, 64) == []
+
+
+def test_secrets():
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = f'token = "{key}" and aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 or justalongwordwithoutanydigits'
+    assert [text[a:b] for a, _, b in pii.secrets(text, 64)] == [key]
+    assert pii.clean_text(text, *pii.found_in(text, pii.PiiRules(), {})).startswith('token = "[SECRET]" and')
+
+
+def test_disclosures_against_brute_force(spark):
+    import math
+    import random
+    import re
+    from collections import defaultdict
+
+    r = random.Random(4)
+    names = ["Annorst", "Belwin", "Corvath", "dermit", "elost"]
+    rows = []
+    for i in range(120):
+        t = prose(i, 12)
+        for _ in range(r.randrange(3)):
+            j = r.randrange(4)
+            t += f" {r.choice(names[j : j + 2])} {prose(i + 7, 1)} u{j}@mail{j % 2}.example.org, " + prose(r.randrange(99), 6)
+        rows.append((i, t))
+    rows += rows[:5] + [(None, rows[9][1]), (200, None)]
+    rules = pii.PiiRules(support=2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["entity"], x["term"]): x["disclosure"] for x in pii.disclosures(docs, pii.mentions(docs, rules), rules).collect()}
+    near, ent, term = defaultdict(list), defaultdict(int), defaultdict(int)
+    for _, t in rows:
+        said, own = t or "", set()
+        for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", said)}:
+            term[w] += 1
+        # words and addresses in their order; letters of addresses aren't words
+        parts = [(m.group(), m.lastgroup) for m in re.finditer(r"(?P<mail>u\d@mail\d\.example\.org)|(?P<word>[^\W\d_]{3,})", said)]
+        for i, (x, kind) in enumerate(parts):
+            if kind == "mail":
+                before = [w.lower() for w, k in parts[:i] if k == "word"][-4:]
+                after = [w.lower() for w, k in parts[i:] if k == "word"][:4]
+                for e in (f"email:{x}", f"emails:{x[3:]}"):
+                    own.add((e, None))
+                    own |= {(e, w) for w in before + after}
+        for e, w in own:
+            if w is None:
+                ent[e] += 1
+            else:
+                near[e, w].append(said)
+    want = {}
+    for (e, w), texts in near.items():
+        if len(set(texts)) >= 2:
+            p = ent[e] / len(rows)
+            given = min(1.0, (len(texts) + p) / (term[w] + 1))
+            want[e, w] = math.log2(given / p) / -math.log2(p)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 50
 
 
 def test_terms_that_give_an_entity_away(spark):
@@ -63,7 +118,7 @@ def test_terms_that_give_an_entity_away(spark):
 def test_clean_text_overlaps():
     base = [{"start": 2, "kind": 0, "end": 6}, {"start": 4, "kind": 3, "end": 8}]
     assert pii.clean_text("ab123456 z", base, []) == "ab[EMAIL] z"
-    assert pii.clean_text("ab cd", [], [{"start": 3, "end": 5, "removed": True}]) == "ab "
+    assert pii.clean_text("ab cd", [], [{"start": 3, "kind": pii.TERM, "end": 5, "removed": True}]) == "ab "
 
 
 def test_terms_are_marked_in_the_whole_corpus(spark):
