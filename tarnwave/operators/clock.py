@@ -46,12 +46,14 @@ def period_grid(low: float, n: int, step: float) -> Column:
 def grid_score(edges: DataFrame, periods: Column, phases: int, keys: Sequence[str] = KEYS, frame: str = "frame") -> DataFrame:
     """keys, period, score, better_pct: mean distance of edges to the best of so many grids of each period.
 
-    Rows are multiplied by the grid, so this takes edges, not frames; sums are combined before they are shuffled.
+    Rows are multiplied by the periods, so this takes edges, not frames; the phases are columns of one aggregation.
     """
-    grid = edges.select(*keys, F.col(frame).cast("double").alias("__e"), F.explode(periods).alias("period"))
-    grid = grid.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
-    d = grid_distance(F.col("__e"), F.col("period"), F.col("__i") * (F.col("period") / phases))
-    means = grid.groupBy(*keys, "period", "__i").agg(F.avg(d).alias("__d")).groupBy(*keys, "period").agg(F.min("__d").alias("score"))
+    grid = edges.select(*keys, F.explode(periods).alias("period"), F.col(frame).cast("double").alias("__e"))
+    r = F.col("__e") / F.col("period")
+    far = [r - i / phases - F.rint(r - i / phases) for i in range(phases)]
+    means = grid.groupBy(*keys, "period").agg(*[F.avg(F.abs(d)).alias(f"__{i}") for i, d in enumerate(far)])
+    score = F.least(*[F.col(f"__{i}") for i in range(phases)]) * F.col("period") if phases > 1 else F.col("__0") * F.col("period")
+    means = means.select(*keys, "period", score.alias("score"))
     return means.withColumn("better_pct", (F.col("period") / 4.0 - F.col("score")) / (F.col("period") / 4.0) * 100)
 
 

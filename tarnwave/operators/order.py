@@ -16,6 +16,14 @@ from tarnwave.sources.stage import staged
 
 #: Frames of a chunk.
 CHUNK = 1 << 16
+#: Rows of a small table that goes to all executors at most; larger ones are joined by a shuffle.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of summaries: written, counted, and sent to all executors where it is small."""
+    out = staged(df, "summary")
+    return F.broadcast(out) if out.count() <= SMALL else out
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -30,7 +38,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     local_rows = staged(sorted_.withColumn(local, F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order)) - 1))
     counts = local_rows.groupBy(*keys, pid).agg(F.count("*").alias(rows))
     before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn(shift, F.coalesce(F.sum(rows).over(before), F.lit(0))).drop(rows)
+    shifts = small(counts.withColumn(shift, F.coalesce(F.sum(rows).over(before), F.lit(0))).drop(rows))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, pid)]
     joined = local_rows.alias("l").join(shifts.alias("r"), same)
     return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col(f"l.{local}") + F.col(f"r.{shift}")).cast("long").alias(name))

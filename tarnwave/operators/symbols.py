@@ -40,40 +40,53 @@ def bit_windows(sizes: DataFrame, period: float = PERIOD, phase: float = 0.0, ma
     return rows.select(*keys, "k", low.alias("lo"), high.alias("hi"))
 
 
-def served(df: DataFrame, at: Sequence[float], period: float = PERIOD, margin: float | Column = 0.0, n: str = "n") -> DataFrame:
-    """df with a row for each phase and symbol that its frame lies in: phase_id, k, lo, hi. Needs the column n."""
-    table = F.array(*[F.struct(F.lit(i).cast("long").alias("phase_id"), F.lit(float(p)).alias("phase")) for i, p in enumerate(at)])
-    rows = df.withColumn("__p", F.explode(table))
-    phase = F.col("__p.phase")
-    middle = F.floor((F.col("frame") - phase) / period)
+def settings(at: Sequence[float], period: float, shifts: Sequence[float] | None = None, periods: Sequence[float] | None = None) -> Column:
+    """The variants of a decode as one array: phase_id (their place), phase, shift (of the threshold), period."""
+    shifts, periods = shifts or [0.0] * len(at), periods or [period] * len(at)
+    named = lambda x, name: F.lit(float(x)).alias(name)
+    return F.array(*[F.struct(F.lit(i).cast("long").alias("phase_id"), named(p, "phase"), named(s, "shift"), named(t, "period")) for i, (p, s, t) in enumerate(zip(at, shifts, periods, strict=True))])
+
+
+def served(df: DataFrame, at: Sequence[float], period: float = PERIOD, margin: float | Column = 0.0, n: str = "n", shifts: Sequence[float] | None = None, periods: Sequence[float] | None = None) -> DataFrame:
+    """df with a row for each variant and symbol that its frame lies in: phase_id, k, lo, hi. Needs the column n.
+
+    With shifts: __shift, of the threshold.
+    """
+    rows = df.withColumn("__p", F.explode(settings(at, period, shifts, periods)))
+    phase, own = F.col("__p.phase"), F.col("__p.period")
+    middle = F.floor((F.col("frame") - phase) / own)
     rows = rows.withColumn("k", F.explode(F.array(middle - 1, middle, middle + 1)))
-    low, high = window(phase, F.col("k"), period, margin)
-    count = F.floor((F.col(n) - phase - 1) / period)
+    low, high = window(phase, F.col("k"), own, margin)
+    count = F.floor((F.col(n) - phase - 1) / own)
     rows = rows.withColumns({"lo": low, "hi": high, "phase_id": F.col("__p.phase_id")})
+    if shifts:
+        rows = rows.withColumn("__shift", F.col("__p.shift"))
     inside = (F.col("k") >= 0) & (F.col("k") < count) & (F.col("frame") >= F.col("lo")) & (F.col("frame") <= F.col("hi"))
     return rows.filter(inside).drop("__p")
 
 
-def decode(df: DataFrame, rule: str, at: Sequence[float] = (0.0,), period: float = PERIOD, margin: float | Column = 0.0, thr: Column | None = None, keys: Sequence[str] = KEYS, n: str = "n") -> DataFrame:
-    """One bit for each symbol and phase: keys, phase_id, k, bit, margin. df: keys, frame, v, thr, and n frames.
+def decode(df: DataFrame, rule: str, at: Sequence[float] = (0.0,), period: float = PERIOD, margin: float | Column = 0.0, thr: Column | None = None, keys: Sequence[str] = KEYS, n: str = "n", shifts: Sequence[float] | None = None, periods: Sequence[float] | None = None) -> DataFrame:
+    """One bit for each symbol and variant: keys, phase_id, k, bit, margin. df: keys, frame, v, thr, and n frames.
 
     nearest: the frame at the centre; average: the mean over the window; confident: the frame furthest from the
-    threshold, the earliest of equals. A value at the threshold is 0. margin: distance of the deciding value.
+    threshold, the earliest of equals. A value at the threshold is 0. margin: distance of the deciding value. Variants
+    are phases (at) and, beside each, a shift of the threshold in shares of the column span, and a period.
     """
-    d = F.col("v") - (F.col("thr") if thr is None else thr)
+    level = F.col("thr") if thr is None else thr
     if rule == "nearest":
-        table = F.array(*[F.struct(F.lit(i).cast("long").alias("phase_id"), F.lit(float(p)).alias("phase")) for i, p in enumerate(at)])
-        rows = df.withColumn("__d", d).withColumn("__p", F.explode(table))
-        phase = F.col("__p.phase")
-        middle = F.floor((F.col("frame") - phase) / period)
+        rows = df.withColumn("__p", F.explode(settings(at, period, shifts, periods)))
+        phase, own = F.col("__p.phase"), F.col("__p.period")
+        middle = F.floor((F.col("frame") - phase) / own)
         # the last frame can be the centre of symbols whose own one is cut off
         rows = rows.withColumn("k", F.explode(F.sequence(middle - 2, middle + 1)))
-        centre = F.least(F.greatest(F.rint(F.ceil(phase + F.col("k") * F.lit(period)) - F.lit(0.5) + F.lit(period / 2)), F.lit(0.0)), F.col(n) - 1.0)
-        count = F.floor((F.col(n) - phase - 1) / period)
+        centre = F.least(F.greatest(F.rint(F.ceil(phase + F.col("k") * own) - F.lit(0.5) + own / 2), F.lit(0.0)), F.col(n) - 1.0)
+        count = F.floor((F.col(n) - phase - 1) / own)
         rows = rows.filter((F.col("k") >= 0) & (F.col("k") < count) & (centre == F.col("frame")))
-        value = rows.select(*keys, F.col("__p.phase_id").alias("phase_id"), "k", F.col("__d").alias("__v"))
+        d = F.col("v") - (level + F.col("__p.shift") * F.col("span") if shifts else level)
+        value = rows.select(*keys, F.col("__p.phase_id").alias("phase_id"), "k", d.alias("__v"))
     elif rule in ("average", "confident"):
-        rows = served(df.withColumn("__d", d), at, period, margin, n)
+        rows = served(df, at, period, margin, n, shifts, periods)
+        rows = rows.withColumn("__d", F.col("v") - (level + F.col("__shift") * F.col("span") if shifts else level))
         best = F.avg("__d") if rule == "average" else F.max_by("__d", F.struct(F.abs("__d"), -F.col("frame")))
         value = rows.groupBy(*keys, "phase_id", "k").agg(best.alias("__v"))
     else:
@@ -87,11 +100,14 @@ def ensemble(bits: DataFrame, n_phases: int, keys: Sequence[str] = KEYS) -> Data
     return whole.filter(F.col("__n") == n_phases).drop("__n")
 
 
-def agreement(a: DataFrame, b: DataFrame, reach: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Share of equal bits of two streams (keys, k, bit), the best over offsets of up to reach symbols."""
-    moved = b.select(*keys, F.col("bit").alias("__b"), F.explode(F.array(*[F.struct(F.lit(o).alias("off"), (F.col("k") + o).alias("k")) for o in range(-reach, reach + 1)])).alias("__m"))
-    both = a.join(moved.select(*keys, "__b", F.col("__m.off").alias("off"), F.col("__m.k").alias("k")), [*keys, "k"])
-    return both.groupBy(*keys, "off").agg(F.avg((F.col("bit") == F.col("__b")).cast("double")).alias("__s")).groupBy(*keys).agg(F.max("__s").alias("agreement"))
+def agreement(a: DataFrame, b: DataFrame, reach: int = 1, keys: Sequence[str] = KEYS, more: Sequence[str] = ()) -> DataFrame:
+    """Share of equal bits of two streams (keys, k, bit), the best over offsets of up to reach symbols.
+
+    more: columns of b alone, whose streams are all held against a's; the result has them too.
+    """
+    moved = b.select(*keys, *more, F.col("bit").alias("__b"), F.explode(F.array(*[F.struct(F.lit(o).alias("off"), (F.col("k") + o).alias("k")) for o in range(-reach, reach + 1)])).alias("__m"))
+    both = a.join(moved.select(*keys, *more, "__b", F.col("__m.off").alias("off"), F.col("__m.k").alias("k")), [*keys, "k"])
+    return both.groupBy(*keys, *more, "off").agg(F.avg((F.col("bit") == F.col("__b")).cast("double")).alias("__s")).groupBy(*keys, *more).agg(F.max("__s").alias("agreement"))
 
 
 def symbol_means(df: DataFrame, period: float, phase: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -102,4 +118,4 @@ def symbol_means(df: DataFrame, period: float, phase: float, keys: Sequence[str]
 
 def sized(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """df with n, the frames of its key."""
-    return with_stats(df, keys, n=F.count("*"))
+    return df if "n" in df.columns else with_stats(df, keys, n=F.count("*"))

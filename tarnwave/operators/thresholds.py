@@ -7,16 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import carried, numbered, with_stats
+from tarnwave.operators.order import SMALL, carried, numbered, small, with_stats
+from tarnwave.sources.stage import staged
 
 KEYS = ("lamp",)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], v: str, **shares: float) -> DataFrame:
-    """Exact quantiles (linear between ranks) of each key, one column for each share.
+def quantiles(df: DataFrame, keys: Sequence[str], v: str, accuracy: int = 100_000, gathered: int = 4_000_000, **shares: float) -> DataFrame:
+    """Exact quantiles (linear between ranks) of each key, one column for each share; keys without values have none.
 
-    Ranks come from a distributed sort, so one large key is no single task's work; ties make no difference.
+    A sketch brackets each rank by values some 8 / accuracy of the key's rows apart; the rows below a bracket are
+    counted, and only those inside are gathered and sorted. Where a bracket would hold more than `gathered` rows, ranks
+    come from a distributed sort instead.
     """
+    at = {name: F.lit(float(p)) for name, p in shares.items()}
+    width = 4 / accuracy
+    asked = [x for p in shares.values() for x in (max(0.0, p - width), min(1.0, p + width))]
+    rows = df.select(*keys, F.col(v).alias("__v")).filter(F.col("__v").isNotNull())
+    sketch = staged(rows.groupBy(*keys).agg(F.percentile_approx("__v", asked, accuracy).alias("__b"), F.count("*").alias("__n")), "sketch")
+    sizes = sketch.agg(F.max("__n").alias("n"), F.count("*").alias("keys")).first()
+    if (sizes["n"] or 0) * 2 * width > gathered:
+        return sorted_quantiles(df, keys, v, **shares)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    both = rows.alias("r").join(F.broadcast(sketch.alias("s")) if sizes["keys"] <= SMALL else sketch.alias("s"), same)
+    parts = []
+    for i, name in enumerate(shares):
+        lo, hi, x = F.col("__b")[2 * i], F.col("__b")[2 * i + 1], F.col("__v")
+        inside = F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x)))
+        # with the neighbours on both sides, as a rank may lie between a bracket and the next value
+        under, over = (F.array_compact(F.array(y)) for y in (F.max(F.when(x < lo, x)), F.min(F.when(x > hi, x))))
+        parts += [(F.count_if(x < lo) - F.size(under)).alias(f"__below_{name}"), F.concat(under, inside, over).alias(f"__in_{name}")]
+    got = both.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.first("__n").alias("__n"), *parts)
+
+    def value(name: str) -> Column:
+        place = at[name] * (F.col("__n") - 1)
+        inside, below = F.col(f"__in_{name}"), F.col(f"__below_{name}")
+        low, high = ((edge(place) - below).cast("int") for edge in (F.floor, F.ceil))
+        exact = F.get(inside, low) + (F.get(inside, high) - F.get(inside, low)) * (place - F.floor(place))
+        return F.when((low >= 0) & (high < F.size(inside)), exact).otherwise(F.raise_error(F.lit("a rank lies outside its bracket"))).alias(name)
+
+    return got.select(*keys, *[value(name) for name in shares])
+
+
+def sorted_quantiles(df: DataFrame, keys: Sequence[str], v: str, **shares: float) -> DataFrame:
+    """The same from a distributed sort, so one large key is no single task's work; ties make no difference."""
     n, at = "__n", "__rank"
     ranked = numbered(df.select(*keys, v).filter(F.col(v).isNotNull()), keys, [v], at)
     sized = ranked.join(df.groupBy(*keys).agg(F.count(v).alias(n)), list(keys))
@@ -31,9 +65,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], v: str, **shares: float) -> Da
 
 
 def fixed(df: DataFrame, low: float = 0.1, high: float = 0.9, keys: Sequence[str] = KEYS) -> DataFrame:
-    """df with thr: the middle between two quantiles of its key."""
+    """df with thr (the middle between two quantiles of its key), n (its frames) and span (max less min).
+
+    One small table of the keys' figures meets the rows; it is sent to all executors where its size allows.
+    """
     q = quantiles(df, keys, "v", __lo=low, __hi=high).select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("thr"))
-    return df.join(q, list(keys))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("v") - F.min("v")).alias("span"))
+    return df.drop("n", "span").join(small(q.join(sizes, list(keys))), list(keys))
 
 
 def middle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -12,6 +12,7 @@ from tarnwave.operators.symbols import PERIOD
 from tarnwave.plans.base import AVERAGE, BITS, CONFIDENT, DEV, NEAREST, THR, Book, T, r6
 from tarnwave.plans.base import windows as win
 from tarnwave.sources import views
+from tarnwave.sources.stage import staged
 from tarnwave.sources.views import SIGNAL
 
 book = Book()
@@ -23,7 +24,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def thresholded(spark, sf) -> DataFrame:
-    return symbols.sized(thresholds.fixed(views.signal(spark, sf)))
+    """lamp, frame, v, thr, n, span."""
+    return thresholds.fixed(views.signal(spark, sf))
 
 
 def binary(spark, sf) -> DataFrame:
@@ -99,7 +101,7 @@ def t6(spark, sf):
     SELECT lamp, k, CAST(last_value(s IGNORE NULLS) OVER (PARTITION BY lamp ORDER BY k) AS BIGINT) AS state FROM y""")
 def t7(spark, sf):
     rows = thresholded(spark, sf)
-    first = order.with_stats(rows, ["lamp"], span=F.max("v") - F.min("v")).filter("frame = 0").select("lamp", "span", (F.col("v") > F.col("thr")).cast("int").alias("s0"))
+    first = rows.filter("frame = 0").select("lamp", "span", (F.col("v") > F.col("thr")).cast("int").alias("s0"))
     served = symbols.served(rows.withColumn("d", F.col("v") - F.col("thr")), [0.0])
     best = served.groupBy("lamp", "k").agg(F.max_by("d", F.struct(F.abs("d"), -F.col("frame"))).alias("x")).join(first, "lamp")
     return thresholds.schmitt(best, F.lit(0.0), 0.2 * F.col("span"), v="x", frame="k", start=F.when(F.col("k") == 0, F.col("s0"))).select("lamp", "k", "state")
@@ -107,8 +109,7 @@ def t7(spark, sf):
 
 @query("t8_threshold_shift", f"{HEAD} SELECT lamp, s AS shift, round(avg(CAST(v > thr + s * span AS DOUBLE)), 6) AS lit FROM dev, (SELECT unnest([-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3]::DOUBLE[]) AS s) GROUP BY ALL")
 def t8(spark, sf):
-    rows = order.with_stats(thresholds.fixed(views.signal(spark, sf)), ["lamp"], span=F.max("v") - F.min("v"))
-    rows = rows.withColumn("shift", F.explode(F.array(*map(F.lit, (-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3)))))
+    rows = thresholded(spark, sf).withColumn("shift", F.explode(F.array(*map(F.lit, (-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3)))))
     return rows.groupBy("lamp", "shift").agg(r6(F.avg((F.col("v") > F.col("thr") + F.col("shift") * F.col("span")).cast("double")), "lit"))
 
 
@@ -334,9 +335,10 @@ def a20(spark, sf):
 @query("a19_margin_stats", f"{BITS0} SELECT lamp, round(median(margin) / max(span) * 100, 6) AS median_pct, round(min(margin) / max(span) * 100, 6) AS worst_pct, round(avg(CAST(margin < 0.05 * span AS INT)) * 100, 6) AS below_5_pct, round(avg(CAST(margin < 0.15 * span AS INT)) * 100, 6) AS below_15_pct FROM bits JOIN stats USING (lamp) GROUP BY lamp")
 def a19(spark, sf):
     rows = thresholded(spark, sf)
-    span = rows.groupBy("lamp").agg((F.max("v") - F.min("v")).alias("span"))
-    bits = symbols.decode(rows, "nearest").join(span, "lamp")
-    return bits.groupBy("lamp").agg(r6(F.percentile("margin", F.lit(0.5)) / F.max("span") * 100, "median_pct"), r6(F.min("margin") / F.max("span") * 100, "worst_pct"), *[r6(F.avg((F.col("margin") < p * F.col("span")).cast("double")) * 100, f"below_{round(100 * p)}_pct") for p in (0.05, 0.15)])
+    span = rows.groupBy("lamp").agg(F.max("span").alias("span"))
+    bits = staged(symbols.decode(rows, "nearest").join(span, "lamp"))
+    middle = thresholds.quantiles(bits, ["lamp"], "margin", middle=0.5)
+    return bits.join(middle, "lamp").groupBy("lamp").agg(r6(F.max("middle") / F.max("span") * 100, "median_pct"), r6(F.min("margin") / F.max("span") * 100, "worst_pct"), *[r6(F.avg((F.col("margin") < p * F.col("span")).cast("double")) * 100, f"below_{round(100 * p)}_pct") for p in (0.05, 0.15)])
 
 
 def shifted_bits(phase: str, thr: str, name: str) -> str:
@@ -357,21 +359,24 @@ def b17(spark, sf):
 def indicators(rows: DataFrame, rule: str, margin: float = 0.0, n_phases: int = 12, shift: float = 0.1, keys: tuple[str, ...] = ("lamp",)) -> DataFrame:
     """How far a decode can be trusted: safe share, stability under shifts of phase and threshold, margins, ones, flips.
 
-    rows: keys, frame, v, thr, n. Several keys give one row each, so a grid of settings is one query.
+    rows: keys, frame, v, thr, n, span. Several keys give one row each, so a grid of settings is one query. All phases
+    and shifted variants are decoded in one pass over the rows, whose bits are written once.
     """
     keys = list(keys)
-    span = rows.groupBy(*keys).agg((F.max("v") - F.min("v")).alias("span"))
-    with_span = rows.join(span, keys)
-    bits = symbols.decode(rows, rule, symbols.phases(n_phases), margin=margin, keys=keys)
-    ens = symbols.ensemble(bits, n_phases, keys)
-    b0 = ens.select(*keys, "k", F.col("b0").alias("bit"))
-    out = ens.groupBy(*keys).agg(F.count("*").alias("n_bits"), (F.avg(F.col("safe").cast("double")) * 100).alias("safe_pct"), (F.avg("b0") * 100).alias("ones_pct"))
-    for name, phases, moves in (("phase_stability_pct", ((-0.15 * PERIOD) % PERIOD, (0.15 * PERIOD) % PERIOD), (0.0, 0.0)), ("threshold_tolerance_pct", (0.0, 0.0), (-shift, shift))):
-        two = [symbols.agreement(b0, symbols.decode(with_span, rule, [p], margin=margin, thr=F.col("thr") + m * F.col("span"), keys=keys), keys=keys).withColumnRenamed("agreement", f"__{i}") for i, (p, m) in enumerate(zip(phases, moves))]
-        out = out.join(two[0].join(two[1], keys).select(*keys, ((F.col("__0") + F.col("__1")) * 50).alias(name)), keys)
-    margins = bits.filter("phase_id = 0").join(b0, [*keys, "k"], "left_semi").join(span, keys)
-    out = out.join(margins.groupBy(*keys).agg((F.percentile("margin", F.lit(0.5)) / F.max("span") * 100).alias("median_margin_pct")), keys)
-    flips = windows.lagged(b0, keys, v="bit", frame="k").filter("before is not null").groupBy(*keys).agg((F.avg((F.col("bit") != F.col("before")).cast("double")) * 100).alias("flip_pct"))
+    at = [*symbols.phases(n_phases), (-0.15 * PERIOD) % PERIOD, (0.15 * PERIOD) % PERIOD, 0.0, 0.0]
+    bits = staged(symbols.decode(rows, rule, at, margin=margin, keys=keys, shifts=[0.0] * (n_phases + 2) + [-shift, shift]), "bits")
+    own = bits.filter(F.col("phase_id") < n_phases)
+    first = F.col("phase_id") == 0
+    ens = own.groupBy(*keys, "k").agg(F.count("*").alias("c"), F.max(F.when(first, F.col("bit"))).alias("bit"), F.max(F.when(first, F.col("margin"))).alias("margin"), (F.min("bit") == F.max("bit")).alias("safe"))
+    ens = staged(ens.filter(F.col("c") == n_phases), "ensemble")
+    out = ens.groupBy(*keys).agg(F.count("*").alias("n_bits"), (F.avg(F.col("safe").cast("double")) * 100).alias("safe_pct"), (F.avg("bit") * 100).alias("ones_pct"))
+    same = symbols.agreement(ens.select(*keys, "k", "bit"), bits.filter(F.col("phase_id") >= n_phases), keys=keys, more=["phase_id"])
+    half = lambda a, b: (F.max(F.when(F.col("phase_id") == a, F.col("agreement"))) + F.max(F.when(F.col("phase_id") == b, F.col("agreement")))) * 50
+    out = out.join(same.groupBy(*keys).agg(half(n_phases, n_phases + 1).alias("phase_stability_pct"), half(n_phases + 2, n_phases + 3).alias("threshold_tolerance_pct")), keys)
+    span = rows.groupBy(*keys).agg(F.max("span").alias("span"))
+    middle = thresholds.quantiles(ens, keys, "margin", middle=0.5)
+    out = out.join(middle.join(span, keys).select(*keys, (F.col("middle") / F.col("span") * 100).alias("median_margin_pct")), keys)
+    flips = windows.lagged(ens.select(*keys, "k", "bit"), keys, v="bit", frame="k").filter("before is not null").groupBy(*keys).agg((F.avg((F.col("bit") != F.col("before")).cast("double")) * 100).alias("flip_pct"))
     return out.join(flips, keys)
 
 

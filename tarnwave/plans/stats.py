@@ -91,7 +91,7 @@ def p6(spark, sf):
 
 @query("p8_normal_deviation", f"{HEAD} SELECT lamp, frame, round(d / span, 6) AS dev, round((v - min(v) OVER (PARTITION BY lamp)) / span * 255, 6) AS scaled FROM dev")
 def p8(spark, sf):
-    rows = order.with_stats(thresholds.fixed(views.signal(spark, sf)), ["lamp"], lo=F.min("v"), span=F.max("v") - F.min("v"))
+    rows = order.with_stats(thresholded(spark, sf), ["lamp"], lo=F.min("v"))
     return rows.select("lamp", "frame", r6((F.col("v") - F.col("thr")) / F.col("span"), "dev"), r6((F.col("v") - F.col("lo")) / F.col("span") * 255, "scaled"))
 
 
