@@ -87,13 +87,33 @@ def decode(df: DataFrame, rule: str, at: Sequence[float] = (0.0,), period: float
     elif rule in ("average", "confident"):
         rows = served(df, at, period, margin, n, shifts, periods)
         rows = rows.withColumn("__d", F.col("v") - (level + F.col("__shift") * F.col("span") if shifts else level))
-        best = F.avg("__d") if rule == "average" else F.max_by("__d", F.struct(F.abs("__d"), -F.col("frame")))
-        value = rows.groupBy(*keys, "phase_id", "k").agg(best.alias("__v"))
+        width = int(max(periods or [period])) + 1
+        parts = [F.col(f"__{j}") for j in range(width)]
+        rows = rows.groupBy(*keys, "phase_id", "k").agg(*window_values(F.col("__d"), width))
+        value = rows.select(*keys, "phase_id", "k", (mean_of if rule == "average" else furthest)(parts).alias("__v"))
     else:
         raise ValueError(f"rule {rule!r} is none of nearest, average, confident")
     return value.select(*keys, "phase_id", "k", (F.col("__v") > 0).cast("long").alias("bit"), F.abs("__v").alias("margin"))
 
 
+def window_values(value: Column, width: int, frame: str = "frame", lo: str = "lo") -> list[Column]:
+    """Aggregates of a symbol's frames: its first value, its second, ... as __0, __1, ... (null beyond its last one)."""
+    return [F.max(F.when(F.col(frame) == F.col(lo) + j, value)).alias(f"__{j}") for j in range(width)]
+
+
+def mean_of(parts: Sequence[Column]) -> Column:
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+    return total / sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
+
+
+def furthest(parts: Sequence[Column]) -> Column:
+    """The value furthest from 0, the first of equals."""
+    best = parts[0]
+    for p in parts[1:]:
+        best = F.when(best.isNull() | (F.abs(p) > F.abs(best)), p).otherwise(best)
+    return best
+
+
 def ensemble(bits: DataFrame, n_phases: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Of bits at several phases: k, b0 (at the first phase), votes (share of ones), safe (equal at all phases)."""
     whole = bits.groupBy(*keys, "k").agg(F.count("*").alias("__n"), F.max(F.when(F.col("phase_id") == 0, F.col("bit"))).alias("b0"), F.avg("bit").alias("votes"), (F.min("bit") == F.max("bit")).alias("safe"))

@@ -165,27 +165,6 @@ def d2(spark, sf):
     return synth.drifting(views.truth(spark, sf), drift=0.1).select("stream", "frame", r6("v"))
 
 
-@query("e4_period_tolerance", None)
-def e4(spark, sf):
-    """How far the assumed period may be off: the band around the true one with at most 1 % errors."""
-    rows = syn_signal(spark, sf, 0.7)
-    ref = views.truth(spark, sf).filter("k < 500")
-    parts = [symbols.decode(rows.filter(F.col("frame") < int(500 * PERIOD)).drop("n").join(rows.groupBy("lamp").agg(F.least(F.count("*"), F.lit(int(500 * PERIOD))).alias("n")), "lamp"), "nearest", [0.7], period=PERIOD * (1 + (i - 10) / 100)).select(F.col("lamp").alias("stream"), "k", "bit", F.lit(i).cast("long").alias("i")) for i in range(7, 14)]
-    e = scoring.ber(union(parts), ref.withColumn("i", F.explode(F.sequence(F.lit(7).cast("long"), F.lit(13).cast("long")))), keys=("stream", "i"))
-    b = scoring.band(e.withColumn("i", F.col("i") - 7).withColumn("ok", F.col("ber") <= 0.01), "i", "ok", 3, ["stream"], 6)
-    return b.select("stream", r6(F.coalesce((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0)), "tolerance_pct"))
-
-
-@query("e5_timing_surface", None)
-def e5(spark, sf):
-    """Error rates over period error and phase error, in one table."""
-    rows = syn_signal(spark, sf, 0.7)
-    steps = [(p, q) for p in (-1, 0, 1) for q in range(5)]
-    parts = [symbols.decode(rows, "nearest", [(0.7 + (q - 2) * 0.2 * PERIOD) % PERIOD], period=PERIOD * (1 + p / 500)).select(F.col("lamp").alias("stream"), "k", "bit", F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in steps]
-    ref = views.truth(spark, sf).withColumn("s", F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in steps]))).select("stream", "k", "bit", "s.p", "s.q")
-    return scoring.ber(union(parts), ref, keys=("stream", "p", "q")).select("stream", "p", "q", r6("ber"))
-
-
 @query("e7_message_match", f"WITH {TRUTH}, m AS (SELECT stream, k // 8 AS c, string_agg(CAST(bit AS VARCHAR), '' ORDER BY k) AS w FROM truth GROUP BY ALL) SELECT count(*) AS n, round(avg(CAST(a.w = b.w AS INT)), 6) AS exact_share FROM m a JOIN m b USING (c) WHERE a.stream = 'toxic' AND b.stream = 'quality'")
 def e7(spark, sf):
     c = F.array_sort(F.collect_list(F.struct("k", "bit")))
