@@ -141,32 +141,32 @@ def chunk_keys(sig: Column, rules: NearRules) -> Column:
     return F.posexplode(F.array(*keys))
 
 
-def first_shared(a: Column, b: Column, rules: NearRules) -> Column:
-    """The place of the first key that two signatures share; a pair is taken in that bucket alone.
+def first_shared(a: np.ndarray, b: np.ndarray, rules: NearRules) -> np.ndarray:
+    """The place of the first key that the signatures of each pair share (-1: none); a pair is taken in that bucket alone.
 
-    A chunk is a long of four symbols. If all agree, its first choice is shared; if one differs, the choice without it.
+    a, b: symbols, a row for each pair.
     """
-    assert (rules.chunk, rules.errors) == (4, 1), "written for chunks of four symbols and one error"
-    low, mark = F.lit(0x00FF00FF00FF00FF), F.lit(0x0100010001000100)
-    places = []
-    for c in range(rules.chunks):
-        x = a[c].bitwiseXOR(b[c])
-        # one bit for each symbol that differs: its halves together, carried over
-        differ = (x.bitwiseOR(F.shiftrightunsigned(x, 8)).bitwiseAND(low) + low).bitwiseAND(mark)
-        # choices leave out the last symbol first; the bits below a single one tell its symbol
-        choice = F.greatest(3 - F.shiftright(F.bit_count(differ - 1), 4), F.lit(0))
-        places.append(F.when(F.bit_count(differ) <= 1, c * 4 + choice))
-    return F.least(*places)
+    assert rules.errors == 1, "written for one symbol left out"
+    same = (a == b).reshape(len(a), rules.chunks, rules.chunk)
+    chunk = (same.sum(2) >= rules.chunk - 1).argmax(1)
+    own = same[np.arange(len(a)), chunk]
+    # choices leave out the last symbol first; if all agree, the first choice is shared
+    choice = np.where(own.all(1), 0, rules.chunk - 1 - own.argmin(1))
+    return np.where(own.sum(1) >= rules.chunk - 1, chunk * rules.chunk + choice, -1)
 
 
-def may_link(na: Column, nb: Column, a: Column, b: Column, rules: NearRules) -> Column:
-    """False only for pairs that can't be links, by their sizes (na, nb) or by their parities (a, b).
+def may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, rules: NearRules) -> np.ndarray:
+    """Of each set of one side against each of the other: False only for pairs that can't be links, by their sizes
+    (na, nb) or by their parities (a, b: a row of unsigned longs each).
 
     At percent p, two sets differ in (100 - p) / (100 + p) of the sum of their sizes at most, and their parities in no
     more cells than that.
     """
-    cells = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(rules.bits // 64)), F.lit(0))
-    return (100 * F.least(na, nb) >= rules.percent * F.greatest(na, nb)) & ((100 + rules.percent) * cells <= (100 - rules.percent) * (na + nb))
+    na, nb = na[:, None], nb[None, :]
+    cells = np.zeros((len(a), len(b)), np.int64)
+    for i in range(a.shape[1]):
+        cells += np.bitwise_count(a[:, i, None] ^ b[None, :, i])
+    return (100 * np.minimum(na, nb) >= rules.percent * np.maximum(na, nb)) & ((100 + rules.percent) * cells <= (100 - rules.percent) * (na + nb))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
@@ -277,18 +277,71 @@ def star_pairs(now: DataFrame, turn: int) -> DataFrame:
 def all_pairs(now: DataFrame, known: DataFrame, few: bool, rules: NearRules) -> DataFrame:
     """What is left: pairs (a, b, ca, cb) of a bucket across components that may_link allows, each in one bucket alone.
 
-    A bucket's members are dealt to cells of about rules.block, and each cell is compared with the whole bucket; pairs
-    are tested inside the join.
+    A bucket of more than rules.block members is dealt to cells; each cell's members are held, and the whole bucket
+    streams past them, so that neither a task's memory nor its work grows with the square of a bucket.
     """
     cells = F.ceil(F.col("n_key") / rules.block).cast("int")
     sized = now.join(now.groupBy("key").agg(F.count("*").alias("n_key")), "key")
-    full = staged(sized.join(sent(known.select("id", "n", "sig", "bits"), few), "id"), "near-left")
-    x = full.withColumn("cell", F.pmod(F.xxhash64("id.b"), cells).cast("int")).alias("x")
-    y = full.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    close = may_link(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), rules)
-    once = first_shared(F.col("x.sig"), F.col("y.sig"), rules) == F.col("x.place")
-    return x.join(y, same & close & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+    full = staged(sized.join(sent(known.select("id", "n", "sig", "bits"), few), "id").select("key", "place", cells.alias("cells"), F.col("id.a").alias("a"), F.col("id.b").alias("b"), "comp.d", F.col("comp.a").alias("ca"), F.col("comp.b").alias("cb"), "n", "sig", "bits"), "near-left")
+    held = full.withColumns({"cell": F.pmod(F.xxhash64("b"), "cells").cast("int"), "part": F.lit(0)})
+    past = full.filter("cells > 1").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("part", F.lit(1))
+    dealt = held.unionByName(past).repartition("key", "cell").sortWithinPartitions("key", "cell", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cell = None, []
+        for part in (g for batch in batches for g in grouped(members(batch, rules))):
+            now = (part["key"][0], part["cell"][0])
+            if now != group:
+                yield from unlike(joined(cell), joined(cell), rules) if cell and cell[0]["cells"][0] == 1 else ()
+                group, cell = now, []
+            streams = part["part"] == 1
+            if not streams.all():
+                cell.append({c: v[~streams] for c, v in part.items()})
+            if streams.any():
+                cell = [joined(cell)] if cell else []
+                for own in cell:
+                    yield from unlike(own, {c: v[streams] for c, v in part.items()}, rules)
+        yield from unlike(joined(cell), joined(cell), rules) if cell and cell[0]["cells"][0] == 1 else ()
+
+    node = "struct<d:long,a:long,b:long>"
+    return dealt.select("key", "cell", "cells", "part", "place", "a", "b", "d", "ca", "cb", "n", "sig", "bits").mapInArrow(lean(run), f"a struct<a:long,b:long>, b struct<a:long,b:long>, ca {node}, cb {node}")
+
+
+def members(batch: pa.RecordBatch, rules: NearRules) -> dict[str, np.ndarray]:
+    """The columns of a batch; signatures as rows of symbols, parities as rows of unsigned longs."""
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("sig", "bits")}
+    lists_ = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("sig", "bits")}
+    return out | {"sig": lists_["sig"].view("<u2").reshape(batch.num_rows, rules.symbols), "bits": lists_["bits"].view("<u8").reshape(batch.num_rows, -1)}
+
+
+def grouped(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+    """Stretches of rows of one key and cell."""
+    n = len(rows["key"])
+    cut = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["cell"][1:] != rows["cell"][:-1])) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), n], strict=True) if n else ():
+        yield {c: v[a:b] for c, v in rows.items()}
+
+
+def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+def unlike(x: dict[str, np.ndarray], y: dict[str, np.ndarray], rules: NearRules) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of x and y in different components that may be links and are met in this bucket first."""
+    for at in range(0, len(x["key"]), 256):
+        own = {c: v[at : at + 256] for c, v in x.items()}
+        pair = lambda c: (own[c][:, None], y[c][None, :])
+        (xa, ya), (xb, yb) = pair("a"), pair("b")
+        apart = np.logical_or.reduce([u != v for u, v in map(pair, ("d", "ca", "cb"))])
+        ok = ((xa < ya) | ((xa == ya) & (xb < yb))) & apart & may_link(own["n"], y["n"], own["bits"], y["bits"], rules)
+        i, j = np.nonzero(ok)
+        once = first_shared(own["sig"][i], y["sig"][j], rules) == own["place"][i]
+        i, j = i[once], j[once]
+        if len(i):
+            sides = ((own, i), (y, j))
+            ids = [pa.StructArray.from_arrays([pa.array(t["a"][k]), pa.array(t["b"][k])], ["a", "b"]) for t, k in sides]
+            comps = [pa.StructArray.from_arrays([pa.array(t["d"][k]), pa.array(t["ca"][k]), pa.array(t["cb"][k])], ["d", "a", "b"]) for t, k in sides]
+            yield pa.RecordBatch.from_arrays([*ids, *comps], names=["a", "b", "ca", "cb"])
 
 
 def one_of_each(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", most: int = 200_000) -> DataFrame:
