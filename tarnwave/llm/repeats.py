@@ -368,7 +368,8 @@ def without_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), text: s
     Repeated rows are copies of each other and lose all (from depth bytes on); null doc_ids and ties keep their rows;
     an empty table gives an empty one; other columns are ignored.
     """
-    ranges = repeated_ranges(docs, rules, text)
+    # written, so that the join with them is a stage of its own, whose hot texts (copies) Spark can split
+    ranges = staged(repeated_ranges(docs, rules, text), "repeat-ranges")
     keyed = docs.select("doc_id", F.col(text).alias("text")).withColumn("key", text_key("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
