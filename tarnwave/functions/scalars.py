@@ -29,3 +29,19 @@ def bits_text(bits: Column) -> Column:
 def phase_of(phase: Column, k: Column, period: float) -> Column:
     """Where a symbol starts between two frames, 0 to 1."""
     return F.pmod(phase + k * F.lit(period), F.lit(1.0))
+
+
+def period_of(rate_: Column, fps: float) -> Column:
+    """Frames of a symbol at a rate in symbols a second."""
+    return F.lit(fps) / rate_
+
+
+def rate_of(period: Column, fps: float) -> Column:
+    """Symbols a second of a period in frames."""
+    return F.lit(fps) / period
+
+
+def truth_bits(text: Column) -> Column:
+    """The bits of a truth file's text: field bits of json, else the text itself; null where neither is 0 and 1 alone."""
+    said = F.coalesce(F.get_json_object(text, "$.bits"), F.trim(text))
+    return F.when(said.rlike("^[01]+$"), said)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.sources.stage import staged
+
 KEYS = ("lamp",)
 
 
@@ -20,6 +24,72 @@ def pair_correlation(signal: DataFrame, key: str = "lamp") -> DataFrame:
     return per.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.corr("va", "vb").alias("corr"), F.count("*").alias("n"))
 
 
+def block_correlation(signal: DataFrame, key: str = "lamp", channels: int = 64, frames: int = 1024) -> DataFrame:
+    """a, b, corr, n of all pairs of channels over the frames that both have, for many channels.
+
+    Channels are dealt to blocks of about `channels` and frames to chunks; a task meets two blocks in one chunk, as two
+    small tables whose products give its sums of all their pairs. Only sums of pairs are shuffled.
+    """
+    blocks = -(-signal.select(key).distinct().count() // channels) or 1
+    rows = signal.select(F.col(key).alias("key"), "frame", F.col("v").cast("double").alias("v"))
+    cells = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.floor(F.col("frame") / frames).alias("chunk")).agg(F.collect_list(F.struct("key", "frame", "v")).alias("rows"))
+    cells = staged(cells, "cells")
+    x, y = cells.select("chunk", F.col("block").alias("p"), F.col("rows").alias("x")), cells.select("chunk", F.col("block").alias("q"), F.col("rows").alias("y"))
+    kind = signal.schema[key].dataType.simpleString()
+
+    def table(rows: pa.Array, size: int) -> tuple[list, np.ndarray, np.ndarray]:
+        cols = {c: rows.field(c) for c in ("key", "frame", "v")}
+        names = cols["key"].dictionary_encode()
+        at, frame = names.indices.to_numpy(zero_copy_only=False), cols["frame"].to_numpy() % size
+        there, value = np.zeros((len(names.dictionary), size)), np.zeros((len(names.dictionary), size))
+        there[at, frame], value[at, frame] = 1, cols["v"].to_numpy()
+        return names.dictionary, there, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, ta, va), (b, tb, vb) = (table(batch.column(c).slice(i, 1).flatten(), frames) for c in ("x", "y"))
+                sums = {"n": ta @ tb.T, "sa": va @ tb.T, "sb": ta @ vb.T, "saa": (va * va) @ tb.T, "sbb": ta @ (vb * vb).T, "sab": va @ vb.T}
+                j, k = np.nonzero(sums["n"])
+                yield pa.RecordBatch.from_pydict({"a": a.take(pa.array(j)), "b": b.take(pa.array(k))} | {c: pa.array(s[j, k]) for c, s in sums.items()})
+
+    got = x.join(y, "chunk").filter("p <= q").select("x", "y").mapInArrow(run, f"a {kind}, b {kind}, n double, sa double, sb double, saa double, sbb double, sab double")
+    # within a block, and between blocks the other way round, each pair once
+    two = got.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", *[F.when(F.col("a") < F.col("b"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("sa", "sb"), ("sb", "sa"), ("saa", "sbb"), ("sbb", "saa"))], "sab", (F.col("a") < F.col("b")).alias("way"))
+    s = two.groupBy("a", "b", "way").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    s = s.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+    spread = lambda q, t: F.col(q) - F.col(t) * F.col(t) / n
+    corr = F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / n, F.sqrt(spread("saa", "sa") * spread("sbb", "sb")))
+    return s.select("a", "b", corr.alias("corr"), n.cast("long").alias("n"))
+
+
+def all_lags(bits: DataFrame, keys: Sequence[str] = KEYS, block: int = 4096) -> DataFrame:
+    """keys, lag, s, n: the sum of products of bits (as -1 and 1) at every lag from 0 on, and the stream's length.
+
+    Streams are cut into blocks; a task meets two of them, and their Fourier transforms give the sums of all lags between.
+    """
+    rows = bits.groupBy(*keys, F.floor(F.col("k") / block).alias("i")).agg(F.array_sort(F.collect_list(F.struct("k", (2 * F.col("bit") - 1).cast("double").alias("x")))).alias("x"))
+    cells = staged(rows.select(*keys, "i", F.transform("x", lambda p: p["x"]).alias("x")), "blocks")
+    two = cells.join(cells.select(*keys, F.col("i").alias("j"), F.col("x").alias("y")), list(keys)).filter("j >= i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x, y = (batch.column(c).slice(r, 1).flatten().to_numpy() for c in "xy")
+                far = int(batch.column("j")[r].as_py() - batch.column("i")[r].as_py()) * block
+                size = 1 << (len(x) + len(y)).bit_length()
+                s = np.rint(np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size))
+                lag = np.r_[np.arange(len(y)), np.arange(1 - len(x), 0)]
+                ok = lag + far >= 0
+                cols = {k: pa.array([batch.column(k)[r].as_py()] * int(ok.sum()), batch.schema.field(k).type) for k in keys}
+                yield pa.RecordBatch.from_pydict(cols | {"lag": pa.array(lag[ok] + far, pa.int64()), "s": pa.array(s[lag[ok]])})
+
+    kinds = ", ".join(f"{k} {bits.schema[k].dataType.simpleString()}" for k in keys)
+    sums = two.select(*keys, "i", "j", "x", "y").mapInArrow(run, f"{kinds}, lag long, s double").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+    return sums.join(bits.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+
+
 def autocorrelation(bits: DataFrame, lags: Sequence[int], keys: Sequence[str] = KEYS, centre: bool = False, value: Column | None = None) -> DataFrame:
     """keys, lag, ac: sum of products at each lag over the sum at lag 0; bits as -1 and 1, or value less its mean."""
     x = (2 * F.col("bit") - 1).cast("double") if value is None else value

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.sources.stage import staged
+
 
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
@@ -86,15 +88,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d)).cast("long")
 
 
-def components(mask: DataFrame, rounds: int) -> DataFrame:
+def components(mask: DataFrame) -> DataFrame:
     """Cells (x, y) of a mask with label: the smallest cell number of their 8-connected component.
 
-    Each round gives every cell the smallest label among its neighbours' and its own; rounds must cover the longest
-    path inside a component (width * height of the frame does always). Masks are as small as one frame.
+    Rounds in which each cell takes the smallest label around it, then that label's own, as written tables, until
+    nothing changes. Masks are as small as one frame.
     """
     around = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    labels = mask.select("x", "y", (F.col("y") * 1_000_000 + F.col("x")).alias("label"))
-    for _ in range(rounds):
-        spread_ = labels.select("label", around.alias("c")).groupBy(F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.min("label").alias("label"))
-        labels = spread_.join(mask.select("x", "y"), ["x", "y"], "left_semi")
-    return labels
+    cell = F.col("y") * 1_000_000 + F.col("x")
+    labels = staged(mask.select("x", "y", cell.alias("label")))
+    while True:
+        near = labels.select("label", around.alias("c")).groupBy(F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.min("label").alias("near"))
+        jump = labels.select(cell.alias("near"), F.col("label").alias("next"))
+        after = staged(labels.join(near, ["x", "y"]).join(jump, "near").select("x", "y", F.col("label").alias("was"), F.least("near", "next").alias("label")))
+        labels = after.select("x", "y", "label")
+        if after.filter("label <> was").isEmpty():
+            return labels

@@ -24,10 +24,16 @@ def compare_manifests(old: DataFrame, new: DataFrame, key: str, sha: str) -> Dat
     return both.filter(~F.col("__a").eqNullSafe(F.col("__b"))).select(key, state.alias("state"))
 
 
-def verdict(rules: Sequence[tuple[str, Column, Column]]) -> tuple[Column, Column]:
-    """Of rules (level, holds, reason): the worst level that holds (red, amber, else green), and the reasons in order."""
-    red = [c for level, c, _ in rules if level == "red"]
-    amber = [c for level, c, _ in rules if level == "amber"]
-    level = F.when(F.greatest(*red, F.lit(False)), "red").when(F.greatest(*amber, F.lit(False)), "amber").otherwise("green")
-    reasons = F.array_compact(F.array(*[F.when(c, text) for _, c, text in rules]))
-    return level, F.when(F.size(reasons) == 0, F.array(F.lit("no problems found"))).otherwise(reasons)
+def verdict(rules: Sequence[tuple[str, Column, Column]], readable: Column | None = None) -> tuple[Column, Column]:
+    """Of rules (level, holds, reason): the worst level that holds (red, amber, else green), and the reasons in order.
+
+    note: told, but no matter. unless red: amber, told only where nothing is red. What isn't readable is red at once.
+    """
+    holds = lambda *levels: F.greatest(F.lit(False), F.lit(False), *[F.coalesce(c, F.lit(False)) for level, c, _ in rules if level in levels])
+    red = holds("red")
+    level = F.when(red, "red").when(holds("amber", "unless red"), "amber").otherwise("green")
+    reasons = F.array_compact(F.array(*[F.when(c & ~red if level_ == "unless red" else c, text) for level_, c, text in rules]))
+    reasons = F.when(F.size(reasons) == 0, F.array(F.lit("nothing to object to"))).otherwise(reasons)
+    if readable is None:
+        return level, reasons
+    return F.when(readable, level).otherwise("red"), F.when(readable, reasons).otherwise(F.array(F.lit("cannot be read")))

@@ -35,14 +35,15 @@ def synthesise(bits: DataFrame, period: float, phase: float = 0.0, exposure: flo
     return lit
 
 
-def exposed(bits: DataFrame, period: float, duty: float, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """keys, frame, v: the exact share of light in [frame, frame + duty]."""
-    first, last = F.floor(F.col("k") * F.lit(period) - duty), F.ceil((F.col("k") + 1) * F.lit(period))
+def exposed(bits: DataFrame, period: float | Column, duty: float | Column, keys: Sequence[str] = ("stream",)) -> DataFrame:
+    """keys, frame, v: the exact share of light in [frame, frame + duty]. period, duty: figures, or columns among keys."""
+    period, duty = (x if isinstance(x, Column) else F.lit(x) for x in (period, duty))
+    first, last = F.floor(F.col("k") * period - duty), F.ceil((F.col("k") + 1) * period)
     rows = bits.withColumn("frame", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    part = F.greatest(F.lit(0.0), F.least(F.col("frame") + F.lit(duty), (F.col("k") + 1) * F.lit(period)) - F.greatest(F.col("frame").cast("double"), F.col("k") * F.lit(period)))
-    n = bits.groupBy(*keys).agg(F.floor(F.count("*") * F.lit(period)).alias("__n"))
-    sums = rows.groupBy(*keys, "frame").agg((F.sum(F.col("bit") * part) / duty).alias("v"))
-    return sums.join(n, list(keys)).filter(F.col("frame") < F.col("__n") - 1).drop("__n")
+    part = F.greatest(F.lit(0.0), F.least(F.col("frame") + duty, (F.col("k") + 1) * period) - F.greatest(F.col("frame").cast("double"), F.col("k") * period))
+    n = bits.groupBy(*keys).agg(F.count("*").alias("__n"))
+    sums = rows.withColumn("__part", F.col("bit") * part / duty).groupBy(*keys, "frame").agg(F.sum("__part").alias("v"))
+    return sums.join(n, list(keys)).filter(F.col("frame") < F.floor(F.col("__n") * period) - 1).drop("__n")
 
 
 def drifting(bits: DataFrame, fps: float = 30.0, rate: float = 10.0, phase: float = 0.35, drift: float = 0.0, lo: float = 0.25, hi: float = 0.85, exposure: float = 0.8, sub: int = 32, keys: Sequence[str] = ("stream",)) -> DataFrame:

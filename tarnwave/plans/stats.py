@@ -14,6 +14,7 @@ from tarnwave.plans.base import BITS, DEV, NEAREST, THR, Book, T, r6
 from tarnwave.plans.base import windows as win
 from tarnwave.plans.core import ISLANDS, LIT, binary, thresholded
 from tarnwave.sources import views
+from tarnwave.sources.stage import staged
 from tarnwave.sources.views import PIXELS, SIGNAL, TRUTH
 
 book = Book()
@@ -62,10 +63,16 @@ def s9(spark, sf):
     return views.read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("s11_truth_join", "SELECT doc_id, quality IS NOT NULL AS has_truth, coalesce(CAST(quality AS BIGINT), -1) AS bit FROM documents LEFT JOIN labels USING (doc_id)")
+@query("s11_truth_join", """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"bits":"' || quality || toxic || '"}' WHEN 1 THEN quality || toxic WHEN 2 THEN '{"bits":' ELSE '' END AS text FROM labels), p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN json_extract_string(text, '$.bits') WHEN doc_id % 4 = 1 THEN text END AS bits, doc_id % 4 >= 2 AS failed FROM t)
+    SELECT doc_id, p.doc_id IS NOT NULL AS has_truth, bits, coalesce(failed, false) AS failed FROM documents d LEFT JOIN p USING (doc_id)""".replace("p.doc_id IS NOT NULL", "failed IS NOT NULL"))
 def s11(spark, sf):
-    d = views.read(spark, sf, "documents").select("doc_id").join(views.read(spark, sf, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.col("quality").isNotNull().alias("has_truth"), F.coalesce(F.col("quality").cast("long"), F.lit(-1)).alias("bit"))
+    """Documents with their truth where there is one: json first, then plain bits; what is neither is told as failed."""
+    text = F.concat(F.col("quality").cast("string"), F.col("toxic").cast("string"))
+    i = F.col("doc_id") % 4
+    said = F.when(i == 0, F.concat(F.lit('{"bits":"'), text, F.lit('"}'))).when(i == 1, text).when(i == 2, '{"bits":').otherwise("")
+    t = views.read(spark, sf, "labels").select("doc_id", scalars.truth_bits(said).alias("bits"))
+    d = views.read(spark, sf, "documents").select("doc_id").join(t.withColumn("failed", F.col("bits").isNull()), "doc_id", "left")
+    return d.select("doc_id", F.col("failed").isNotNull().alias("has_truth"), "bits", F.coalesce("failed", F.lit(False)).alias("failed"))
 
 
 @query("p3_clear_levels", f"WITH {SIGNAL}, z AS (SELECT lamp, min(v) AS lo, max(v) AS hi FROM signal GROUP BY lamp) SELECT lamp, round(avg(CAST(v > (lo + hi) / 2 + 0.25 * (hi - lo) AS INT)), 6) AS clear_on, round(avg(CAST(v < (lo + hi) / 2 - 0.25 * (hi - lo) AS INT)), 6) AS clear_off, round(avg(CAST(abs(v - (lo + hi) / 2) <= 0.25 * (hi - lo) AS INT)), 6) AS between FROM signal JOIN z USING (lamp) GROUP BY lamp")
@@ -128,10 +135,12 @@ def a13(spark, sf):
     return rows.groupBy("frame").agg(r6(F.avg(F.col("pos") % 8), "cx"), r6(F.avg(F.floor(F.col("pos") / 8)), "cy"), F.count("*").alias("n"))
 
 
-@query("a14_variance_map", f"WITH {PIXELS}, m AS (SELECT x, y, var_pop(v) AS var FROM pixels GROUP BY x, y) SELECT x, y, round(var, 6) AS var, round(var / max(var) OVER (), 6) AS share FROM m")
+@query("a14_variance_map", f"WITH {PIXELS}, m AS (SELECT x, y, var_pop(v) AS var FROM pixels GROUP BY x, y) SELECT x, y, round(var, 6) AS var, round(var / max(var) OVER (), 6) AS share, round(max(var) OVER () / greatest(median(var) OVER (), 0.001), 4) AS ratio FROM m")
 def a14(spark, sf):
-    m = frames.variance_map(views.pixels(spark, sf))
-    return m.crossJoin(F.broadcast(m.agg(F.max("var").alias("top")))).select("x", "y", r6("var"), r6(F.col("var") / F.col("top"), "share"))
+    """The variance of each pixel, and the largest against a typical one (the median, 0.001 at least)."""
+    m = staged(frames.variance_map(views.pixels(spark, sf)))
+    top = m.agg(F.max("var").alias("top"), F.percentile("var", F.lit(0.5)).alias("mid"))
+    return m.crossJoin(F.broadcast(top)).select("x", "y", r6("var"), r6(F.col("var") / F.col("top"), "share"), F.round(F.col("top") / F.greatest("mid", F.lit(0.001)), 4).alias("ratio"))
 
 
 @query("a26_frame_roi_stats", f"WITH {PIXELS} SELECT frame, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std, round(avg(CAST(v >= 0.2::DOUBLE AS INT)), 6) AS full_share FROM pixels GROUP BY frame")
@@ -177,10 +186,7 @@ def l2(spark, sf):
 def l5(spark, sf):
     m = frames.variance_map(views.pixels(spark, sf)).withColumn("one", F.lit(1))
     mask = order.with_stats(m, ["one"], need=F.percentile("var", F.lit(0.6))).filter("var >= need").select("x", "y")
-    from tarnwave.sources.stage import staged
-
-    mask = staged(mask)
-    labels = frames.components(mask, 16)
+    labels = frames.components(staged(mask))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     best = sizes.agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
     return labels.join(F.broadcast(best), "label").select("x", "y")
@@ -209,19 +215,39 @@ def a5(spark, sf):
     return thresholded(spark, sf).groupBy("lamp").agg(r6(gap, "gap"), r6(noise, "noise"), r6(gap / noise, "ratio"))
 
 
+def two_groups_sql(src: str, thr: str) -> str:
+    return f"SELECT lamp, max({thr}) AS thr, count(*) FILTER (v <= {thr}) AS nl, count(*) FILTER (v > {thr}) AS nh, avg(v) FILTER (v <= {thr}) AS ml, avg(v) FILTER (v > {thr}) AS mh, stddev_pop(v) FILTER (v <= {thr}) AS sl, stddev_pop(v) FILTER (v > {thr}) AS sh FROM {src} GROUP BY lamp"
+
+
 @query("a6_otsu", f"""WITH {SIGNAL}, z AS (SELECT lamp, min(v) AS lo, max(v) AS hi, count(*) AS n FROM signal GROUP BY lamp), b AS (SELECT lamp, lo, hi, n, CAST(trunc((v - lo) / (hi - lo) * 255) AS BIGINT) AS bin FROM signal JOIN z USING (lamp)),
     h AS (SELECT lamp, bin, max(lo) AS lo, max(hi) AS hi, max(n) AS n, count(*) AS c FROM b GROUP BY lamp, bin), q AS (SELECT *, sum(c) OVER w AS w0, sum(c * bin) OVER w AS m0, sum(c * bin) OVER (PARTITION BY lamp) AS mt FROM h WINDOW w AS (PARTITION BY lamp ORDER BY bin)),
-    s AS (SELECT *, CASE WHEN w0 < n THEN w0 * (n - w0) * power(m0 / w0 - (mt - m0) / (n - w0), 2) / (CAST(n AS DOUBLE) * n) ELSE 0 END AS between FROM q)
-    SELECT lamp, bin AS threshold_bin, round(lo + bin / 255.0::DOUBLE * (hi - lo), 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY round(between, 6) DESC, bin) AS i FROM s) WHERE i = 1""")
+    s AS (SELECT *, CASE WHEN w0 < n THEN w0 * (n - w0) * power(m0 / w0 - (mt - m0) / (n - w0), 2) / (CAST(n AS DOUBLE) * n) ELSE 0 END AS between FROM q),
+    o AS (SELECT lamp, bin AS threshold_bin, lo, hi, lo + bin / 255.0::DOUBLE * (hi - lo) AS t, (lo + hi) / 2 AS mid FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY round(between, 6) DESC, bin) AS i FROM s) WHERE i = 1), j AS (SELECT lamp, v, t, mid FROM signal JOIN o USING (lamp)), g AS ({two_groups_sql('j', 't')}), m AS ({two_groups_sql('j', 'mid')}), u AS (SELECT lamp, unnest([g, m]) AS r, unnest([1, 2]) AS way FROM g JOIN m USING (lamp))
+    SELECT o.lamp, threshold_bin, round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN g.thr ELSE m.thr END, 6) AS threshold, round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN abs(g.mh - g.ml) / greatest(sqrt((g.sl * g.sl + g.sh * g.sh) / 2), 0.5) WHEN m.nl >= 2 AND m.nh >= 2 THEN abs(m.mh - m.ml) / greatest(sqrt((m.sl * m.sl + m.sh * m.sh) / 2), 0.5) ELSE 0 END, 6) AS separation FROM o JOIN g USING (lamp) JOIN m USING (lamp)""".replace(", u AS (SELECT lamp, unnest([g, m]) AS r, unnest([1, 2]) AS way FROM g JOIN m USING (lamp))", ""))
 def a6(spark, sf):
-    rows = order.with_stats(views.signal(spark, sf), ["lamp"], lo=F.min("v"), hi=F.max("v"), n=F.count("*"))
-    h = rows.groupBy("lamp", "lo", "hi", "n", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).cast("long").alias("bin")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("lamp").orderBy("bin")  # 256 bins at most
-    h = h.withColumns({"w0": F.sum("c").over(w), "m0": F.sum(F.col("c") * F.col("bin")).over(w), "mt": F.sum(F.col("c") * F.col("bin")).over(Window.partitionBy("lamp"))})
+    """The threshold that splits each channel best, and how far the two groups lie apart in units of their spread."""
+    return two_groups(order.with_stats(views.signal(spark, sf), ["lamp"], lo=F.min("v"), hi=F.max("v"), n=F.count("*"))).select("lamp", "threshold_bin", r6("threshold"), r6("separation"))
+
+
+def two_groups(rows: DataFrame, key: str = "lamp") -> DataFrame:
+    """key, threshold_bin, threshold, separation. rows: key, v, and the key's lo, hi, n. A split that leaves a group fewer
+    than two values gives way to the midpoint; the spread is 0.5 at least.
+    """
+    h = rows.groupBy(key, "lo", "hi", "n", F.try_divide((F.col("v") - F.col("lo")) * 255, F.col("hi") - F.col("lo")).cast("long").alias("bin")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy("bin")  # 256 bins at most
+    h = h.withColumns({"w0": F.sum("c").over(w), "m0": F.sum(F.col("c") * F.col("bin")).over(w), "mt": F.sum(F.col("c") * F.col("bin")).over(Window.partitionBy(key))})
     rest = F.col("n") - F.col("w0")
     between = F.when(rest > 0, F.col("w0") * rest * F.pow(F.col("m0") / F.col("w0") - F.try_divide(F.col("mt") - F.col("m0"), rest), 2) / (F.col("n").cast("double") * F.col("n"))).otherwise(0.0)
-    best = h.withColumn("b", F.round(between, 6)).groupBy("lamp", "lo", "hi").agg(F.max_by("bin", F.struct("b", -F.col("bin"))).alias("threshold_bin"))
-    return best.select("lamp", "threshold_bin", r6(F.col("lo") + F.col("threshold_bin") / F.lit(255.0) * (F.col("hi") - F.col("lo")), "threshold"))
+    best = h.withColumn("b", F.round(between, 6)).groupBy(key, "lo", "hi").agg(F.max_by("bin", F.struct("b", -F.col("bin"))).alias("threshold_bin"))
+    best = order.small(best.select(key, "threshold_bin", (F.col("lo") + F.col("threshold_bin") / F.lit(255.0) * (F.col("hi") - F.col("lo"))).alias("t1"), ((F.col("lo") + F.col("hi")) / 2).alias("t2")))
+    split = rows.select(key, "v").join(best, key)
+    sums = []
+    for i in (1, 2):
+        low, high = F.when(F.col("v") <= F.col(f"t{i}"), F.col("v")), F.when(F.col("v") > F.col(f"t{i}"), F.col("v"))
+        far = F.abs(F.avg(high) - F.avg(low)) / F.greatest(F.sqrt((F.var_pop(low) + F.var_pop(high)) / 2), F.lit(0.5))
+        sums.append(F.when((F.count(low) >= 2) & (F.count(high) >= 2), far).alias(f"s{i}"))
+    got = split.groupBy(key, "threshold_bin", "t1", "t2").agg(*sums)
+    return got.select(key, "threshold_bin", F.when(F.col("s1").isNotNull(), F.col("t1")).otherwise(F.col("t2")).alias("threshold"), F.coalesce("s1", "s2", F.lit(0.0)).alias("separation"))
 
 
 @query("a7_ambient", f"{HEAD} SELECT lamp, round(coalesce(avg(v) FILTER (v <= 180), avg(v)), 6) AS ambient FROM dev GROUP BY lamp")
@@ -286,17 +312,40 @@ def a16(spark, sf):
     return runs.runs(binary(spark, sf)).groupBy("bit", "length").agg(F.count("*").alias("n"))
 
 
-@query("a17_jitter", "WITH d AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dt FROM events), j AS (SELECT user_id, stddev_pop(dt) / avg(dt) AS jitter, count(*) AS n FROM d WHERE dt > 0 GROUP BY user_id) SELECT user_id, round(jitter, 6) AS jitter, jitter > 0.02 AS variable FROM j WHERE n > 3")
+@query("a17_jitter", "WITH d AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dt FROM events), j AS (SELECT user_id, stddev_pop(dt) / avg(dt) AS jitter, count(*) AS n FROM d WHERE dt > 0 GROUP BY user_id) SELECT user_id, round(jitter, 6) AS jitter, jitter > 0.02 AS variable FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 5) JOIN j USING (user_id) WHERE n > 3")
 def a17(spark, sf):
     e = order.numbered(views.read(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "frame")
     d = windows.lagged(e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), ["user_id"], v="us").withColumn("dt", F.col("us") - F.col("before")).filter("dt > 0")
-    j = d.groupBy("user_id").agg((F.stddev_pop("dt") / F.avg("dt")).alias("jitter"), F.count("*").alias("n")).filter("n > 3")
+    enough = e.groupBy("user_id").agg(F.count("*").alias("times")).filter("times > 5")
+    j = d.groupBy("user_id").agg((F.stddev_pop("dt") / F.avg("dt")).alias("jitter"), F.count("*").alias("n")).filter("n > 3").join(enough, "user_id")
     return j.select("user_id", r6("jitter"), (F.col("jitter") > 0.02).alias("variable"))
 
 
-@query("a18_truth_summary", f"WITH {TRUTH} SELECT stream, count(*) AS n, CAST(sum(bit) AS BIGINT) AS ones, CAST(count(*) - sum(bit) AS BIGINT) AS zeros, round(avg(bit), 6) AS share FROM truth GROUP BY stream")
+@query("a18_truth_summary", f"WITH {TRUTH}, t AS (SELECT stream, k // 64 AS part, string_agg(CAST(bit AS VARCHAR), '' ORDER BY k) || CASE WHEN (k // 64) % 5 = 3 THEN 'x' ELSE '' END AS bits FROM truth GROUP BY stream, k // 64) SELECT stream, part, CASE WHEN ok THEN length(bits) END AS n, CASE WHEN ok THEN length(replace(bits, '0', '')) END AS ones, CASE WHEN ok THEN length(replace(bits, '1', '')) END AS zeros, round(CASE WHEN ok THEN length(replace(bits, '0', '')) / CAST(length(bits) AS DOUBLE) END, 6) AS share FROM (SELECT *, regexp_full_match(bits, '[01]+') AS ok FROM t)")
 def a18(spark, sf):
-    return views.truth(spark, sf).groupBy("stream").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"), (F.count("*") - F.sum("bit")).alias("zeros"), r6(F.avg("bit"), "share"))
+    """Bit texts of 64 symbols (some damaged on purpose): their figures where they are 0 and 1 alone, nulls where not."""
+    c = F.array_sort(F.collect_list(F.struct("k", "bit")))
+    t = views.truth(spark, sf).groupBy("stream", F.floor(F.col("k") / 64).alias("part")).agg(F.array_join(F.transform(c, lambda x: x["bit"].cast("string")), "").alias("bits"))
+    t = t.withColumn("bits", F.concat("bits", F.when(F.col("part") % 5 == 3, "x").otherwise("")))
+    ok = F.col("bits").rlike("^[01]+$")
+    ones, n = F.length(F.regexp_replace("bits", "0", "")), F.length("bits")
+    return t.select("stream", "part", F.when(ok, n).cast("long").alias("n"), F.when(ok, ones).cast("long").alias("ones"), F.when(ok, n - ones).cast("long").alias("zeros"), r6(F.when(ok, ones / n), "share"))
+
+
+@query("a25_timings", "WITH m AS (SELECT user_id, event_type, median(value) AS ms FROM events GROUP BY ALL), s AS (SELECT user_id, sum(ms) AS total, count(*) AS stages FROM m GROUP BY user_id) SELECT user_id, stages, round(total, 6) AS total_ms, round(total / n, 6) AS ms_per_frame FROM s JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) USING (user_id)")
+def a25(spark, sf):
+    """Timings of stages (values by type, several runs of each): the median of each stage, their sum, and that for each frame."""
+    e = views.read(spark, sf, "events")
+    m = thresholds.quantiles(e, ["user_id", "event_type"], "value", ms=0.5)
+    s = m.groupBy("user_id").agg(F.sum("ms").alias("total"), F.count("*").alias("stages")).join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+    return s.select("user_id", "stages", r6("total", "total_ms"), r6(F.col("total") / F.col("n"), "ms_per_frame"))
+
+
+@query("p12_rates_and_periods", "SELECT event_id, round(260.0::DOUBLE / (1 + event_id % 130), 6) AS period, round(260.0::DOUBLE / (260.0::DOUBLE / (1 + event_id % 130)), 6) AS bps FROM events")
+def p12(spark, sf):
+    """Symbol periods in frames of rates in symbols a second, and back."""
+    e = views.read(spark, sf, "events").select("event_id", scalars.period_of((1 + F.col("event_id") % 130).cast("double"), 260.0).alias("p"))
+    return e.select("event_id", r6("p", "period"), r6(scalars.rate_of(F.col("p"), 260.0), "bps"))
 
 
 @query("a21_median_over_lamps", f"{HEAD}, m AS (SELECT lamp, avg(v) AS mean, avg(CAST(v > thr AS INT)) AS lit FROM dev GROUP BY lamp) SELECT round(median(mean), 6) AS mean, round(median(lit), 6) AS lit FROM m")
@@ -348,9 +397,9 @@ def k5(spark, sf):
 
 @query("k6_pivot_table", f"{HEAD} SELECT CAST(frame // 1000 AS BIGINT) AS block, " + ", ".join(f"round(avg(v) FILTER (lamp = '{n}'), 6) AS \"{n}\"" for n in ("click", "error", "purchase", "signup", "view")) + " FROM dev GROUP BY ALL")
 def k6(spark, sf):
-    names = ["click", "error", "purchase", "signup", "view"]
-    p = views.signal(spark, sf).groupBy(F.floor(F.col("frame") / 1000).alias("block")).pivot("lamp", names).agg(F.avg("v"))
-    return p.select("block", *[r6(n) for n in names])
+    """Block means with a column for each channel that there is (its SQL names those of the test tables)."""
+    p = views.signal(spark, sf).groupBy(F.floor(F.col("frame") / 1000).alias("block")).pivot("lamp").agg(F.avg("v"))
+    return p.select("block", *[r6(n) for n in p.columns if n != "block"])
 
 
 QUERIES, ORACLES = book.queries, book.oracles

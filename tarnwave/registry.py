@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "b10_phase_ensemble"
-MODULES: tuple[str, ...] = ("core", "stats", "clock", "more", "sweeps")
+MODULES: tuple[str, ...] = ("core", "stats", "clock", "more", "sweeps", "files")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

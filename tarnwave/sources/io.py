@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwave.operators.governance import compare_manifests, fingerprint
+from tarnwave.operators.order import small
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -36,6 +37,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/signal")
 
 
+def load_with_manifest(spark: SparkSession, path: str, key: str = "lamp") -> DataFrame:
+    """The frozen signal with the columns of its manifest (one short row for each channel)."""
+    return load(spark, path).join(small(spark.read.parquet(f"{path}/manifest")), key)
+
+
 def verify(spark: SparkSession, path: str, key: str = "lamp") -> DataFrame:
     """key, state of what is missing, new or changed against the manifest; no rows if all is as it was."""
     return compare_manifests(spark.read.parquet(f"{path}/manifest"), fingerprint(load(spark, path), [key]), key, "sha256")
