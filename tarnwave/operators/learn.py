@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import with_stats
+from tarnwave.operators.order import numbered, with_stats
+from tarnwave.sources.stage import staged
 
 FEATURES = ("d_m1", "d_0", "d_1", "d_2", "d_3", "frac")
 
@@ -22,26 +24,26 @@ def fit_and_score(train: DataFrame, rows: DataFrame, features: Sequence[str] = F
     n = max(1, train.count())
     model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100)
     out = model.fit(vector.transform(train)).transform(vector.transform(rows))
-    from pyspark.ml.functions import vector_to_array
-
     p = vector_to_array("probability")[1]
     return out.select(*rows.columns, (p > 0.5).cast("long").alias("bit"), (2 * F.abs(p - 0.5)).alias("confidence"))
 
 
-def pixel_clusters(pixels: DataFrame, most: int = 6, least_share: float = 0.05, apart: float = 0.02, seed: int = 0) -> DataFrame:
-    """x, y, cluster, k: pixels (z-scored over time) in the largest k whose clusters are big enough and apart.
+def pixel_clusters(pixels: DataFrame, frames: int = 600, most: int = 6, least_share: float = 0.05, apart: float = 0.02, seed: int = 0) -> DataFrame:
+    """x, y, cluster, k: pixels (z-scored over time) in the largest k, from 1 on, whose clusters are big enough and apart.
 
-    A pixel is one row; the series of each is as long as the sample of frames that the caller passes in.
+    A pixel is one row of at most `frames` values: the sample of evenly strided frames that the clusters are made of.
     """
-    z = with_stats(pixels, ["x", "y"], __m=F.avg("v"), __s=F.stddev_pop("v")).withColumn("z", (F.col("v") - F.col("__m")) / (F.col("__s") + 1e-6))
-    rows = z.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("frame", "z"))).alias("s")).select("x", "y", array_to_vector(F.transform("s", lambda p: p["z"])).alias("features")).cache()
-    n, best = rows.count(), None
-    for k in range(2, most + 1):
+    stamps = pixels.select("frame").distinct()
+    stride = max(1, -(-stamps.count() // frames))
+    chosen = numbered(stamps.withColumn("__one", F.lit(1)), ["__one"], ["frame"], "__i").filter(F.col("__i") % stride == 0).select("frame")
+    sample = staged(pixels.join(F.broadcast(chosen), "frame"))
+    z = with_stats(sample, ["x", "y"], __m=F.avg("v"), __s=F.stddev_pop("v")).withColumn("z", (F.col("v") - F.col("__m")) / (F.col("__s") + 1e-6))
+    rows = staged(z.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("frame", "z"))).alias("s")).select("x", "y", F.transform("s", lambda p: p["z"]).alias("z"))).withColumn("features", array_to_vector("z"))
+    n, different, best = rows.count(), rows.select("z").distinct().count(), None
+    for k in range(2, min(most, different) + 1):
         model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
-        sizes = model.summary.clusterSizes
         c = model.clusterCenters()
-        far = min((1 - (a - a.mean()) @ (b - b.mean()) / max(((a - a.mean()) @ (a - a.mean()) * ((b - b.mean()) @ (b - b.mean()))) ** 0.5, 1e-12) for i, a in enumerate(c) for b in c[:i]), default=0)
-        if min(sizes) >= least_share * n and far > apart:
+        if min(model.summary.clusterSizes) >= least_share * n and (1 - np.corrcoef(c)[np.triu_indices(len(c), 1)]).min() > apart:
             best = model
     if best is None:
         return rows.select("x", "y", F.lit(0).cast("long").alias("cluster"), F.lit(1).cast("long").alias("k"))

@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwave.operators import learn, order, scoring, symbols, synth, thresholds, windows
+from tarnwave.operators import frames, learn, order, scoring, symbols, synth, thresholds, windows
 from tarnwave.operators.symbols import PERIOD
 from tarnwave.plans.base import Book, T, r6
 from tarnwave.plans.clock import BITS01, ber_sql, features, syn_signal, synth_sql
 from tarnwave.plans.core import ma_sql, thresholded
 from tarnwave.sources import views
 from tarnwave.sources.stage import staged
-from tarnwave.sources.views import SIGNAL
+from tarnwave.sources.views import PIXELS, SIGNAL
 
 book = Book()
 query = book.query
@@ -162,4 +162,87 @@ def e5(spark, sf):
     return e.select("stream", (F.floor(F.col("phase_id") / 21) - 10).alias("period_pct"), (F.col("phase_id") % 21).alias("phase_step"), r6("ber"), r6("robust"))
 
 
+#: One factor at a time: widths of smoothing, shifts of the threshold (of the range), of the phase (of a symbol), of the period (%), and boxes.
+SMOOTH, SHIFTS = (1, 3, 5, 7, 9), (-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3)
+ERRORS = (-10.0, -3.0, -2.0, -1.0, -0.5, -0.2, 0.0, 0.2, 0.5, 1.0, 2.0, 3.0, 10.0)
+BOXES = [(s, 0.0) for s in (0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0)] + [(1.0, d) for d in (-0.5, -0.25, 0.25, 0.5)]
+#: Of each variant of a decode: factor, value, phase, shift, period. The base is the last one.
+VARIANTS = [("threshold", x, 0.0, x, PERIOD) for x in SHIFTS] + [("phase", round(o, 2), (o * PERIOD) % PERIOD, 0.0, PERIOD) for o in OFFSETS] + [("period", e, 0.0, 0.0, PERIOD * (1 + e / 100)) for e in ERRORS] + [("base", 0.0, 0.0, 0.0, PERIOD)]
+SWEPT = ("confident", "nearest")
+
+
+def held_against(bits: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """factor, value, rule, same_pct: the median over keys of the share of bits (keys, factor, value, rule, k) that equal the base's."""
+    both = bits.join(base.select(*keys, "rule", "k", F.col("bit").alias("b0")), [*keys, "rule", "k"])
+    per = both.groupBy(*keys, "factor", "value", "rule").agg((F.avg((F.col("bit") == F.col("b0")).cast("double")) * 100).alias("s"))
+    return per.groupBy("factor", "value", "rule").agg(r6(F.percentile("s", F.lit(0.5)), "same_pct"))
+
+
+def both_rules(rows: DataFrame, keys: list[str], phases: list[float] | None = None, **variants) -> DataFrame:
+    one, two = (symbols.decode(rows, r, phases or [0.0], keys=keys, **variants).withColumn("rule", F.lit(r)) for r in SWEPT)
+    return one.unionByName(two)
+
+
+def swept_sql(src: str, o: str, key: str = "lamp") -> str:
+    """CTEs of both rules' bits of src (key, frame, v) over variants o (i, ph, sh, per)."""
+    return f"""st AS (SELECT {key}, count(*) AS n, (quantile_cont(v, 0.1) + quantile_cont(v, 0.9)) / 2 AS thr, max(v) - min(v) AS span FROM {src} GROUP BY {key}), w0 AS (SELECT {key}, n, thr, span, i, ph, sh, per, unnest(range(CAST(floor((n - ph - 1) / per) AS BIGINT))) AS k FROM st, {o}),
+    w AS (SELECT *, ceil(ph + k * per) AS lo, greatest(floor((ph + k * per) + per), ceil(ph + k * per)) AS hi FROM w0), x AS (SELECT w.{key}, i, k, frame, v - (thr + sh * span) AS d, frame = least(greatest(round_even(lo - 0.5::DOUBLE + per / 2, 0), 0), n - 1) AS mid, frame <= hi AS inside FROM w JOIN {src} s ON s.{key} = w.{key} AND s.frame BETWEEN lo AND greatest(hi, lo + ceil(per))),
+    bb AS (SELECT {key}, i, k, 'nearest' AS rule, CAST(d > 0 AS BIGINT) AS bit FROM x WHERE mid UNION ALL SELECT {key}, i, k, 'confident', CAST(d > 0 AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY {key}, i, k ORDER BY abs(d) DESC, frame) AS r FROM x WHERE inside) WHERE r = 1)"""
+
+
+FACTORS = f"""WITH {SIGNAL}, o AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}', {v}::DOUBLE, {ph!r}::DOUBLE, {sh}::DOUBLE, {per!r}::DOUBLE)" for i, (f, v, ph, sh, per) in enumerate(VARIANTS))}) t(i, factor, value, ph, sh, per)), {swept_sql('signal', 'o')}, p AS (SELECT a.lamp, a.i, a.rule, avg(CAST(a.bit = b.bit AS INT)) * 100 AS s FROM bb a JOIN bb b ON b.lamp = a.lamp AND b.rule = a.rule AND b.k = a.k AND b.i = {len(VARIANTS) - 1} GROUP BY ALL)
+    SELECT factor, value, rule, round(median(s), 6) AS same_pct FROM p JOIN o USING (i) WHERE factor <> 'base' GROUP BY ALL"""
+SMOOTHED = f"WITH {SIGNAL}, sm AS (" + " UNION ALL ".join(f"SELECT lamp || ':{w}' AS lamp, frame, ma AS v FROM {ma_sql(w)}" for w in SMOOTH) + f"), o AS (SELECT 0 AS i, 0::DOUBLE AS ph, 0::DOUBLE AS sh, {T} AS per), {swept_sql('sm', 'o')}, q AS (SELECT split_part(lamp, ':', 1) AS lamp, CAST(split_part(lamp, ':', 2) AS DOUBLE) AS value, rule, k, bit FROM bb), p AS (SELECT a.lamp, a.value, a.rule, avg(CAST(a.bit = b.bit AS INT)) * 100 AS s FROM q a JOIN q b ON b.lamp = a.lamp AND b.rule = a.rule AND b.k = a.k AND b.value = 1 GROUP BY ALL) SELECT 'smoothing' AS factor, value, rule, round(median(s), 6) AS same_pct FROM p GROUP BY ALL"
+BOXED = f"WITH {PIXELS}, b AS (SELECT * FROM (VALUES {', '.join(f'({i}, {round(4 + d * 4 - 2 * s)}, {round(4 - 2 * s)}, {max(1, round(4 * s))})' for i, (s, d) in enumerate(BOXES))}) t(box, x0, y0, w)), src AS (SELECT box, row_number() OVER (PARTITION BY box ORDER BY frame) - 1 AS frame, avg(v) AS v FROM b JOIN pixels ON x >= greatest(x0, 0) AND x < x0 + w AND y >= greatest(y0, 0) AND y < y0 + w GROUP BY box, frame), o AS (SELECT 0 AS i, 0::DOUBLE AS ph, 0::DOUBLE AS sh, {T} AS per), {swept_sql('src', 'o', 'box')}, p AS (SELECT a.box, a.rule, avg(CAST(a.bit = b.bit AS INT)) * 100 AS s FROM bb a JOIN bb b ON b.rule = a.rule AND b.k = a.k AND b.box = 3 GROUP BY ALL) SELECT 'box' AS factor, CAST(box AS DOUBLE) AS value, rule, round(s, 6) AS same_pct FROM p"
+
+
+@query("x3_one_factor_sweeps", f"SELECT * FROM ({FACTORS}) UNION ALL SELECT * FROM ({SMOOTHED}) UNION ALL SELECT * FROM ({BOXED})")
+def x3(spark, sf):
+    """Bits that keep their value as one factor moves, for five factors and two rules; the median over channels.
+
+    Boxes are told by their number. Shifts of threshold, phase and period are variants of one pass over the rows.
+    """
+    rows = staged(thresholded(spark, sf))
+    phases, shifts, periods = ([v[i] for v in VARIANTS] for i in (2, 3, 4))
+    named = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(float(v)).alias("value")) for f, v, *_ in VARIANTS])
+    bits = staged(both_rules(rows, ["lamp"], phases=phases, shifts=shifts, periods=periods).withColumn("f", F.element_at(named, F.col("phase_id").cast("int") + 1)).select("lamp", "f.factor", "f.value", "rule", "k", "bit"))
+    moved = held_against(bits.filter("factor <> 'base'"), bits.filter("factor = 'base'"), ["lamp"])
+
+    raw = rows.select("lamp", "frame", "v")
+    smooth = [windows.moving_average(raw, w).select("lamp", "frame", F.col("ma").alias("v"), F.lit(float(w)).alias("value")) for w in SMOOTH]
+    for part in smooth[1:]:
+        smooth[0] = smooth[0].unionByName(part)
+    sb = staged(both_rules(thresholds.fixed(staged(smooth[0]), keys=["lamp", "value"]), ["lamp", "value"]).withColumn("factor", F.lit("smoothing")))
+    smoothed = held_against(sb, sb.filter("value = 1"), ["lamp"])
+
+    grid = spark.createDataFrame([(float(i), round(4 + d * 4 - 2 * s), round(4 - 2 * s), max(1, round(4 * s))) for i, (s, d) in enumerate(BOXES)], "value double, x0 long, y0 long, w long")
+    inside = frames.crop(views.pixels(spark, sf), grid.withColumn("h", F.col("w"))).groupBy("value", F.col("frame").alias("at")).agg(F.avg("v").alias("v"))
+    boxes = order.numbered(staged(inside), ["value"], ["at"], "frame").select("value", "frame", "v")
+    bb = staged(both_rules(thresholds.fixed(boxes, keys=["value"]), ["value"]).withColumns({"factor": F.lit("box"), "all": F.lit(1)}))
+    boxed = held_against(bb, bb.filter("value = 3"), ["all"])
+    return moved.unionByName(smoothed).unionByName(boxed)
+
+
+@query("x2_best_per_candidate", None)
+def x2(spark, sf):
+    """The best of the grid's threshold settings, and six learned ones (three penalties, five or seven frames), by error rate on a stream they haven't seen."""
+    bits = staged(views.truth(spark, sf))
+    made = staged(thresholds.fixed(staged(synth.synthesise(bits, PERIOD, TRUE_PHASE, noise=160.0).withColumnRenamed("stream", "lamp"))))
+    ref = bits.select(F.col("stream").alias("lamp"), "k", F.col("bit").alias("label"))
+    runs = []
+    for count, (first, last) in ((5, (-1, 3)), (7, (-2, 4))):
+        table = staged(features(made, TRUE_PHASE, first, last).join(ref, ["lamp", "k"]))
+        names = [c for c in table.columns if c.startswith("d_")] + ["frac"]
+        for c in (0.1, 1.0, 10.0):
+            scored = learn.fit_and_score(table.filter("lamp = 'quality'"), table.filter("lamp = 'toxic'"), names, c)
+            runs.append(scored.agg(F.round(F.avg((F.col("bit") != F.col("label")).cast("double")) * 100, 3).alias("ber_pct")).select(F.lit("model").alias("candidate"), F.lit(f"{count} frames, C {c}").alias("setting"), "ber_pct"))
+    plain = [symbols.decode(made.filter("lamp = 'toxic'"), r, [TRUE_PHASE]).join(ref, ["lamp", "k"]).agg(F.round(F.avg((F.col("bit") != F.col("label")).cast("double")) * 100, 3).alias("ber_pct")).select(F.lit("threshold").alias("candidate"), F.lit(r).alias("setting"), "ber_pct") for r in RULES]
+    table = runs[0]
+    for part in [*runs[1:], *plain]:
+        table = table.unionByName(part)
+    # nine rows
+    best = F.row_number().over(Window.partitionBy("candidate").orderBy("ber_pct", "setting")) == 1
+    return table.withColumn("best", best)
+
+
 QUERIES, ORACLES = book.queries, book.oracles
