@@ -122,3 +122,68 @@ def test_licences(spark):
     assert {i: r["license_id"] for i, r in got.items()} == {1: "MIT", 2: "Apache-2.0", 4: "GPL-3.0", 6: "LGPL-3.0"}
     assert rows[0][1][got[1]["start"] : got[1]["end"]] == "Released under the MIT License"
     assert all(r["bytes_given"] < r["bytes_alone"] for r in got.values())
+
+
+def test_quality_against_brute_force(spark):
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        host = f"h{min(r.randrange(12), 5)}"
+        good = r.random() < (0.9 if host in ("h0", "h5") else 0.4)
+        rows.append((i, prose(i, 40) if good else "win! " * 30 + prose(i, 6), host, f"{host}/{r.randrange(3)}", int(good)))
+    docs = spark.createDataFrame([x[:4] for x in rows] + [(900, None, None, None), (None, "a b", "h1", "new")], "doc_id long, text string, site string, page string")
+    labels = spark.createDataFrame([(x[0], x[4]) for x in rows if x[0] % 3], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.score_quality(docs, labels, "site", "page").collect()}
+    learned = [x for x in rows if x[0] % 3 and not held(x[0])]
+
+    # shares: each level shrunk toward the one above by a strength from the spread between sites
+    def strength(sites):
+        ss = sum(n * (g / n - p) ** 2 for g, n, p in sites)
+        pq, npq = sum(p * (1 - p) for _, _, p in sites), sum(n * p * (1 - p) for _, n, p in sites)
+        return 1 / min(max((ss - pq) / max(npq - pq, 1e-9), 1e-3), 0.5) - 1
+
+    count = [defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for _, _, host, path, good in learned:
+        for c, key in zip(count, (host, (host, path))):
+            c[key][0] += good
+            c[key][1] += 1
+    whole = (sum(x[4] for x in learned) + 1) / (len(learned) + 2)
+    m = strength([(g, n, whole) for g, n in count[0].values()])
+    hosts = {h: (g + m * whole) / (n + m) for h, (g, n) in count[0].items()}
+    m = strength([(g, n, hosts[h]) for (h, _), (g, n) in count[1].items()])
+    paths = {k: (g + m * hosts[k[0]]) / (n + m) for k, (g, n) in count[1].items()}
+
+    # the classifier: penalised likelihood, by plain gradient steps
+    x, y = np.array([quality.traits(t[1]) for t in learned]), np.array([t[4] for t in learned], float)
+    w, penalty = np.zeros(x.shape[1]), np.r_[1e-6, np.ones(x.shape[1] - 1)]
+    for _ in range(60_000):
+        w -= 2e-3 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + penalty * w)
+    prior = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    for i, text, host, path, _ in rows:
+        one = got[i]
+        assert abs(one["host_share"] - hosts[host]) < 1e-9 and abs(one["path_share"] - paths.get((host, path), hosts[host])) < 1e-9
+        evidence = float(np.array(quality.traits(text)) @ w) - prior
+        assert abs(one["evidence"] - evidence) < 0.05
+        score = 1 / (1 + math.exp(-(math.log(one["path_share"] / (1 - one["path_share"])) + one["evidence"])))
+        assert abs(one["score"] - score) < 1e-9 and one["keep"] == (score >= 0.5)
+    assert abs(got[900]["host_share"] - whole) < 1e-9 and abs(got[None]["path_share"] - hosts["h1"]) < 1e-9
+
+
+def test_quality_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    docs = frame(spark, [(1, prose(1, 20)), (2, None)])
+    got = quality.score_quality(docs, none, "host", "path").collect()
+    assert [(g["evidence"], g["host_share"], g["path_share"], g["score"]) for g in got] == [(0.0, 0.5, 0.5, 0.5)] * 2
+    assert quality.score_quality(frame(spark, []), none, "host", "path").collect() == []
+
+
+def test_tagger_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    docs = frame(spark, [(1, prose(1, 20)), (2, None)])
+    for d, labels in ((docs, none), (frame(spark, []), none), (frame(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))):
+        tagger = toxicity.fit_tagger(d, labels)
+        assert all(r["score"] < 0.7 for r in toxicity.score_toxicity(docs, tagger).collect())
