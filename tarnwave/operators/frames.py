@@ -5,6 +5,8 @@ Frames are arrays (frame, pixels) or one row for each pixel (frame, x, y, v).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d)).cast("long")
 
 
+def brightest_spot(pixels: DataFrame, keys: list[str], width: int, height: int, reach: int = 7, sigma: float = 2.6) -> DataFrame:
+    """keys, cx, cy: where a frame of each key is brightest after a Gaussian blur over 2 * reach + 1 pixels, mirrored at the border.
+
+    pixels: keys, x, y, v of one frame each, at least reach + 1 wide and high. Of equals, the first row, then column.
+    """
+    raw = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / sum(raw)).alias("w")) for d, w in zip(range(-reach, reach + 1), raw)])
+    spread = pixels.select(*keys, "x", "y", F.explode(table).alias("a")).withColumn("b", F.explode(table))
+
+    def mirrored(at: Column, size: int) -> Column:
+        return F.when(at < 0, -at).when(at >= size, 2 * (size - 1) - at).otherwise(at)
+
+    near = spread.select(*keys, F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("a.w") * F.col("b.w")).alias("w"), mirrored(F.col("x") + F.col("a.d"), width).alias("x"), mirrored(F.col("y") + F.col("b.d"), height).alias("y"))
+    blur = near.join(pixels.select(*keys, "x", "y", "v"), [*keys, "x", "y"]).groupBy(*keys, "cx", "cy").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("blur"))
+    best = blur.groupBy(*keys).agg(F.max_by(F.struct("cx", "cy"), F.struct("blur", -F.col("cy"), -F.col("cx"))).alias("s"))
+    return best.select(*keys, "s.cx", "s.cy")
+
+
 def components(mask: DataFrame) -> DataFrame:
     """Cells (x, y) of a mask with label: the smallest cell number of their 8-connected component.
 

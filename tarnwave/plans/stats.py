@@ -129,6 +129,17 @@ def a4(spark, sf):
     return views.frames(spark, sf).select("frame", *[r6(frames.frame_statistic(px, n), n) for n in frames.STATISTICS], frames.above(px, F.lit(0.1)).alias("bright"))
 
 
+SWITCHED = ("mean", "max", "p90")
+
+
+@query("a3_switched_statistic", f"WITH {PIXELS} SELECT CAST(label AS BIGINT) AS label, CASE CAST(label AS BIGINT) % 3 WHEN 0 THEN 'mean' WHEN 1 THEN 'max' ELSE 'p90' END AS statistic, count(*) AS n, round(avg(s), 6) AS level FROM (SELECT frame, label, CASE CAST(label AS BIGINT) % 3 WHEN 0 THEN avg(v) WHEN 1 THEN max(v) ELSE quantile_cont(v, 0.9) END AS s FROM pixels GROUP BY frame, label) GROUP BY label")
+def a3(spark, sf):
+    """Each label's frames under the statistic that is named for it."""
+    f = views.frames(spark, sf).withColumn("label", F.col("label").cast("long"))
+    parts = [f.filter(F.col("label") % 3 == i).select("label", F.lit(n).alias("statistic"), frames.frame_statistic(F.col("pixels"), n).alias("s")) for i, n in enumerate(SWITCHED)]
+    return union(parts).groupBy("label", "statistic").agg(F.count("*").alias("n"), r6(F.avg("s"), "level"))
+
+
 @query("a13_bright_centroid", f"WITH {PIXELS}, z AS (SELECT frame, quantile_cont(v, 0.9) AS t FROM pixels GROUP BY frame) SELECT frame, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n FROM pixels JOIN z USING (frame) WHERE v > t GROUP BY frame")
 def a13(spark, sf):
     rows = views.frames(spark, sf).select("frame", frames.quantile(F.col("pixels"), 0.9).alias("t"), F.posexplode("pixels").alias("pos", "v")).filter("v > t")
@@ -192,6 +203,19 @@ def l5(spark, sf):
     return labels.join(F.broadcast(best), "label").select("x", "y")
 
 
+REFLECT = "CASE WHEN {0} < 0 THEN -{0} WHEN {0} > 7 THEN 14 - {0} ELSE {0} END"
+
+
+@query("l5b_brightest_spot", f"""WITH {PIXELS}, first AS (SELECT label, min(frame) AS frame FROM pixels GROUP BY label), g AS (SELECT d, exp(-d * d / (2 * 2.6 * 2.6)) / sum(exp(-d * d / (2 * 2.6 * 2.6))) OVER () AS w FROM range(-7, 8) t(d)), px AS (SELECT p.* FROM pixels p JOIN first USING (label, frame)),
+    t AS (SELECT px.label, px.x, px.y, a.w * b.w AS w, {REFLECT.format('(px.x + a.d)')} AS nx, {REFLECT.format('(px.y + b.d)')} AS ny FROM px, g a, g b), s AS (SELECT t.label, t.x, t.y, round(sum(t.w * n.v), 9) AS blur FROM t JOIN px n ON n.label = t.label AND n.x = nx AND n.y = ny GROUP BY ALL)
+    SELECT CAST(label AS BIGINT) AS label, x AS cx, y AS cy, greatest(x - 2, 0) AS x0, greatest(y - 2, 0) AS y0 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY blur DESC, y, x) AS i FROM s) WHERE i = 1""")
+def l5b(spark, sf):
+    """The brightest spot of each label's first frame after a 15 x 15 Gaussian blur (mirrored at the border), and a box from it."""
+    px = views.pixels(spark, sf)
+    first = order.small(px.groupBy("label").agg(F.min("frame").alias("frame")))
+    return frames.brightest_spot(staged(px.join(first, ["label", "frame"])), ["label"], 8, 8).select(F.col("label").cast("long").alias("label"), "cx", "cy", F.greatest(F.col("cx") - 2, F.lit(0)).cast("long").alias("x0"), F.greatest(F.col("cy") - 2, F.lit(0)).cast("long").alias("y0"))
+
+
 @query("l6_box_variants", f"WITH {PIXELS}, b AS (SELECT s, d, CAST(round_even(4 + d * 4 - 2 * s, 0) AS BIGINT) AS x0, CAST(round_even(4 - 2 * s, 0) AS BIGINT) AS y0, CAST(greatest(1, round_even(4 * s, 0)) AS BIGINT) AS w FROM (SELECT unnest([0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0]::DOUBLE[]) AS s), (SELECT unnest([-0.5, -0.25, 0.0, 0.25, 0.5]::DOUBLE[]) AS d)) SELECT s AS scale, d AS shift, count(*) AS n, round(avg(v), 6) AS mean FROM b JOIN pixels ON x >= greatest(x0, 0) AND x < x0 + w AND y >= greatest(y0, 0) AND y < y0 + w GROUP BY ALL")
 def l6(spark, sf):
     grid = spark.createDataFrame([(s, d) for s in (0.5, 0.7, 0.85, 1.0, 1.25, 1.5, 2.0) for d in (-0.5, -0.25, 0.0, 0.25, 0.5)], "scale double, shift double")
@@ -285,13 +309,40 @@ def a11(spark, sf):
     return gaps.groupBy("lamp").agg(F.max("gap").alias("gap"), F.max_by("start", F.struct("gap", -F.col("start"))).alias("start"))
 
 
-@query("a12_audit", f"{HEAD}, {LIT}, s AS (SELECT lamp, count(*) AS frames, count(*) FILTER (bit = 1) AS lit, min(frame) FILTER (bit = 1) AS first_lit, max(frame) FILTER (bit = 1) AS last_lit, avg(v) FILTER (bit = 0) AS ambient, median(v) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, max(v) AS peak FROM bin GROUP BY lamp), d AS (SELECT lamp, count(*) FILTER (v = was) AS duplicates FROM (SELECT *, lag(v) OVER (PARTITION BY lamp ORDER BY frame) AS was FROM signal) GROUP BY lamp) SELECT lamp, frames, lit, first_lit, last_lit, round(ambient, 6) AS ambient, round(median, 6) AS median, round(iqr, 6) AS iqr, round(peak, 6) AS peak, duplicates FROM s JOIN d USING (lamp)")
+#: Levels above which a pixel is bright and a frame dark, and bright pixels of a lit frame.
+BRIGHT, DARK, LIT_PIXELS, BLOCK = 0.15, 0.2, 8, 26
+AUDIT = f"""WITH {PIXELS}, o AS (SELECT vec_id AS frame, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding = lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS dup FROM embeddings), f AS (SELECT label, frame, max(v) AS top, count(*) FILTER (v > {BRIGHT}) AS nb, avg(v) FILTER (v > {BRIGHT}) AS lvl, coalesce(avg(v) FILTER (v <= {BRIGHT}), avg(v)) AS amb, avg(x) FILTER (v > {BRIGHT}) AS cx, avg(y) FILTER (v > {BRIGHT}) AS cy FROM pixels GROUP BY label, frame),
+    r AS (SELECT f.*, i, dup, nb > {LIT_PIXELS} AS lit FROM f JOIN o USING (frame)), l AS (SELECT *, row_number() OVER w - 1 AS j, lag(i) OVER w AS was FROM r WHERE lit WINDOW w AS (PARTITION BY label ORDER BY i)), ln AS (SELECT *, count(*) OVER (PARTITION BY label) AS nl FROM l), dr AS (SELECT label, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM (SELECT label, j // greatest(1, nl // 20) AS b, avg(cx) AS x, avg(cy) AS y FROM ln WHERE j // greatest(1, nl // 20) < 20 GROUP BY ALL) GROUP BY label),
+    g AS (SELECT label, i - was AS gap, was AS start FROM l WHERE was IS NOT NULL), gm AS (SELECT label, gap - 1 AS gap, start FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gap DESC, start) AS q FROM g) WHERE q = 1), ps AS (SELECT label, max(m) - min(m) AS range FROM (SELECT label, i // {BLOCK} AS b, avg(amb) AS m FROM r GROUP BY ALL HAVING count(*) = {BLOCK}) GROUP BY label),
+    a AS (SELECT label, count(*) AS frames_read, count(*) FILTER (dup) AS duplicated_frames, count(*) FILTER (top < {DARK}) AS black_frames, median(amb) AS amb FROM r GROUP BY label), b AS (SELECT label, min(i) AS first, max(i) AS last, count(*) AS nl, median(nb) AS size, quantile_cont(nb, 0.75) - quantile_cont(nb, 0.25) AS iqr, median(lvl) AS lvl, quantile_cont(lvl, 0.05) AS p5, quantile_cont(lvl, 0.95) AS p95 FROM l GROUP BY label)
+    SELECT CAST(label AS BIGINT) AS label, frames_read, duplicated_frames, black_frames, round(frames_read / 260.0::DOUBLE, 4) AS length_s, '8x8' AS resolution, 260.0::DOUBLE AS fps, first AS dark_lead_in_frames, frames_read - 1 - last AS dark_lead_out_frames, round((last - first + 1) / 260.0::DOUBLE, 4) AS transmission_s, CAST(floor((last - first + 1) / {T}) AS BIGINT) AS bits_available, round(nl * 100.0::DOUBLE / (last - first + 1), 4) AS lit_share_of_span_pct, gap AS longest_unlit_gap_frames, round(gap / {T}, 4) AS longest_unlit_gap_bits, start AS longest_gap_starts_at_frame,
+      CAST(floor(size) AS BIGINT) AS size_median_px, CAST(floor(iqr) AS BIGINT) AS size_iqr_px, round(lvl, 4) AS on_level_median, round(p5, 4) AS on_level_5, round(p95, 4) AS on_level_95, round(amb, 4) AS ambient_median, round(range, 4) AS ambient_range, round(lvl - amb, 4) AS contrast, round(range / (lvl - amb) * 100, 2) AS ambient_range_pct_of_contrast, round(dx, 4) AS drift_x_px, round(dy, 4) AS drift_y_px FROM a JOIN b USING (label) JOIN gm USING (label) JOIN dr USING (label) LEFT JOIN ps USING (label)"""
+
+
+@query("a12_audit", AUDIT)
 def a12(spark, sf):
-    rows = binary(spark, sf)
-    q = thresholds.quantiles(rows, ["lamp"], "v", median=0.5, a=0.25, b=0.75)
-    lit = F.when(F.col("bit") == 1, F.col("frame"))
-    s = windows.lagged(rows).groupBy("lamp").agg(F.count("*").alias("frames"), F.sum("bit").alias("lit"), F.min(lit).alias("first_lit"), F.max(lit).alias("last_lit"), r6(F.avg(F.when(F.col("bit") == 0, F.col("v"))), "ambient"), r6(F.max("v"), "peak"), F.count_if(F.col("v") == F.col("before")).alias("duplicates"))
-    return s.join(q.select("lamp", r6("median"), r6(F.col("b") - F.col("a"), "iqr")), "lamp")
+    """Everything that is told of a recording (here: a label's frames): length, dark ends, gaps, size and level of its light, ambient, drift."""
+    px = F.col("pixels")
+    bright = F.filter(F.transform(px, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda p: p["v"] > BRIGHT)
+    dark = F.filter(px, lambda v: v <= BRIGHT)
+    mean_of = lambda xs, f: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, p: a + f(p)), F.size(xs))
+    f = order.numbered(views.frames(spark, sf), ["label"], ["frame"], "i")
+    f = order.chunked(f, ["label"], "i", 1, 0, lambda w: {"was": F.lag("pixels").over(w)})
+    r = f.select("label", "i", F.array_max(px).alias("top"), F.size(bright).alias("nb"), mean_of(bright, lambda p: p["v"]).alias("lvl"), F.when(F.size(dark) > 0, frames.mean(dark)).otherwise(frames.mean(px)).alias("amb"), mean_of(bright, lambda p: (p["i"] % 8).cast("double")).alias("cx"), mean_of(bright, lambda p: F.floor(p["i"] / 8).cast("double")).alias("cy"), (px == F.col("was")).alias("dup"))
+    r = staged(r)
+    lit = order.numbered(r.filter(F.col("nb") > LIT_PIXELS), ["label"], ["i"], "j")
+    lit = staged(order.with_stats(windows.lagged(lit, ["label"], v="i", name="before", frame="j"), ["label"], nl=F.count("*")))
+    block = F.floor(F.col("j") / F.greatest(F.lit(1), F.floor(F.col("nl") / 20)))
+    drift = lit.groupBy("label", block.alias("b")).agg(F.avg("cx").alias("x"), F.avg("cy").alias("y")).filter("b < 20").groupBy("label").agg((F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
+    gap = lit.filter("before is not null").groupBy("label").agg((F.max(F.col("i") - F.col("before")) - 1).alias("gap"), F.max_by("before", F.struct(F.col("i") - F.col("before"), -F.col("before"))).alias("start"))
+    seconds = r.groupBy("label", F.floor(F.col("i") / BLOCK).alias("b")).agg(F.avg("amb").alias("m"), F.count("*").alias("c")).filter(F.col("c") == BLOCK).groupBy("label").agg((F.max("m") - F.min("m")).alias("range"))
+    whole = r.groupBy("label").agg(F.count("*").alias("frames_read"), F.count_if("dup").alias("duplicated_frames"), F.count_if(F.col("top") < DARK).alias("black_frames"))
+    ends = lit.groupBy("label").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.max("nl").alias("nl"))
+    q = thresholds.quantiles(r, ["label"], "amb", amb=0.5).join(thresholds.quantiles(lit.withColumn("nb", F.col("nb").cast("double")), ["label"], "nb", size=0.5, s25=0.25, s75=0.75), "label").join(thresholds.quantiles(lit, ["label"], "lvl", lvl=0.5, p5=0.05, p95=0.95), "label")
+    t = whole.join(ends, "label").join(q, "label").join(gap, "label").join(drift, "label").join(seconds, "label", "left")
+    span, contrast = F.col("last") - F.col("first") + 1, F.col("lvl") - F.col("amb")
+    r4 = lambda c, name: F.round(c, 4).alias(name)
+    return t.select(F.col("label").cast("long").alias("label"), "frames_read", "duplicated_frames", "black_frames", r4(F.col("frames_read") / 260, "length_s"), F.lit("8x8").alias("resolution"), F.lit(260.0).alias("fps"), F.col("first").alias("dark_lead_in_frames"), (F.col("frames_read") - 1 - F.col("last")).alias("dark_lead_out_frames"), r4(span / 260, "transmission_s"), F.floor(span / PERIOD).alias("bits_available"), r4(F.col("nl") * 100 / span, "lit_share_of_span_pct"), F.col("gap").alias("longest_unlit_gap_frames"), r4(F.col("gap") / PERIOD, "longest_unlit_gap_bits"), F.col("start").alias("longest_gap_starts_at_frame"), F.floor("size").alias("size_median_px"), F.floor(F.col("s75") - F.col("s25")).alias("size_iqr_px"), r4(F.col("lvl"), "on_level_median"), r4(F.col("p5"), "on_level_5"), r4(F.col("p95"), "on_level_95"), r4(F.col("amb"), "ambient_median"), r4(F.col("range"), "ambient_range"), r4(contrast, "contrast"), F.round(F.col("range") / contrast * 100, 2).alias("ambient_range_pct_of_contrast"), r4(F.col("dx"), "drift_x_px"), r4(F.col("dy"), "drift_y_px"))
 
 
 @query("a15_gap_histogram", f"{HEAD}, {LIT}, {ISLANDS}, k AS (SELECT lamp, unnest(range(1, 9)) AS k FROM (SELECT DISTINCT lamp FROM signal)), h AS (SELECT lamp, least(length, 8) AS k, count(*) AS c FROM rn GROUP BY ALL) SELECT lamp, k, round(coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY lamp), 6) AS share FROM k LEFT JOIN h USING (lamp, k)")
