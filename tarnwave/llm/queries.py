@@ -58,8 +58,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(table(spark, sf_dir, "documents"))
-    # what was removed comes first, then sizes, digest and what is left (U+FFFD where a cut has split a character)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    # what was removed comes first, then sizes, digest and what is left (null where a cut has split a character)
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
     return left.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), text.alias("kept_text"))
 
 
@@ -74,7 +74,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
 
-#: Near-duplicate components say themselves in SQL; the others rest on models, libraries' vocabularies or file formats.
+#: Near-duplicate components and repeated windows say themselves in SQL; the others rest on models, libraries' vocabularies or file formats.
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     places AS (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS i FROM words),
@@ -83,4 +83,10 @@ ORACLE_SQL: dict[str, str] = {
     linked AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
     reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT l.b, reach.r FROM reach JOIN ways l ON l.a = reach.id)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.r AS component_id, d.doc_id = c.r AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(r) AS r FROM reach GROUP BY id) c ON c.id = d.doc_id""",
+    "op8_repeats": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), s AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+    again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), r AS (SELECT doc_id, i FROM s SEMI JOIN again USING (h)), g AS (SELECT doc_id, i, sum(CASE WHEN i - was <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM r)),
+    cut AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run), kept AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM cut UNION ALL SELECT doc_id, max(z), NULL FROM cut GROUP BY doc_id),
+    txt AS (SELECT d.doc_id, b, coalesce(string_agg(substr(hex(b), 2 * a - 1, 2 * (coalesce(z, octet_length(b) + 1) - a)), '' ORDER BY a), hex(any_value(b))) AS x FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, b),
+    n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CAST(octet_length(b) AS BIGINT) AS n_bytes, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS removed, TRY(decode(unhex(x))) AS kept_text FROM txt LEFT JOIN n USING (doc_id)""",
 }
