@@ -13,40 +13,49 @@ from tarnwave.sources.stage import staged
 KEYS = ("lamp",)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], v: str, accuracy: int = 100_000, gathered: int = 4_000_000, **shares: float) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], v: str, accuracy: int = 100_000, gathered: int = 4_000_000, also: dict[str, Column] | None = None, **shares: float) -> DataFrame:
     """Exact quantiles (linear between ranks) of each key, one column for each share; keys without values have none.
 
+    also: further aggregates of the key's rows, by name, which come out of the same pass.
+
     A sketch brackets each rank by values some 8 / accuracy of the key's rows apart; the rows below a bracket are
-    counted, and only those inside are gathered and sorted. Where a bracket would hold more than `gathered` rows, ranks
+    counted, and only those strictly inside are gathered and sorted (so ties, however many, are not). Where a bracket would hold more than `gathered` rows, ranks
     come from a distributed sort instead.
     """
     at = {name: F.lit(float(p)) for name, p in shares.items()}
     width = 4 / accuracy
     asked = [x for p in shares.values() for x in (max(0.0, p - width), min(1.0, p + width))]
-    rows = df.select(*keys, F.col(v).alias("__v")).filter(F.col("__v").isNotNull())
-    sketch = staged(rows.groupBy(*keys).agg(F.percentile_approx("__v", asked, accuracy).alias("__b"), F.count("*").alias("__n")), "sketch")
+    also = also or {}
+    rows = df.withColumn("__v", F.col(v))
+    sketch = staged(rows.groupBy(*keys).agg(F.percentile_approx("__v", asked, accuracy).alias("__b"), F.count("__v").alias("__n")).filter("__n > 0"), "sketch")
     sizes = sketch.agg(F.max("__n").alias("n"), F.count("*").alias("keys")).first()
     if (sizes["n"] or 0) * 2 * width > gathered:
-        return sorted_quantiles(df, keys, v, **shares)
+        exact = sorted_quantiles(df, keys, v, **shares)
+        return exact.join(df.groupBy(*keys).agg(*[c.alias(name) for name, c in also.items()]), list(keys)) if also else exact
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     both = rows.alias("r").join(F.broadcast(sketch.alias("s")) if sizes["keys"] <= SMALL else sketch.alias("s"), same)
-    parts = []
+    parts, x = [F.first("__n").alias("__n")], F.col("__v")
     for i, name in enumerate(shares):
-        lo, hi, x = F.col("__b")[2 * i], F.col("__b")[2 * i + 1], F.col("__v")
-        inside = F.sort_array(F.collect_list(F.when((x >= lo) & (x <= hi), x)))
-        # with the neighbours on both sides, as a rank may lie between a bracket and the next value
-        under, over = (F.array_compact(F.array(y)) for y in (F.max(F.when(x < lo, x)), F.min(F.when(x > hi, x))))
-        parts += [(F.count_if(x < lo) - F.size(under)).alias(f"__below_{name}"), F.concat(under, inside, over).alias(f"__in_{name}")]
-    got = both.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.first("__n").alias("__n"), *parts)
+        lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
+        # ties with a bracket's ends are counted; with the neighbours outside, as a rank may lie between a bracket and the next value
+        here = {"lo": F.first(lo), "hi": F.first(hi), "below": F.count_if(x < lo), "at_lo": F.count_if(x == lo), "at_hi": F.count_if((x == hi) & (hi > lo)), "inside": F.sort_array(F.collect_list(F.when((x > lo) & (x < hi), x))), "under": F.max(F.when(x < lo, x)), "over": F.min(F.when(x > hi, x))}
+        parts.append(F.struct(*[c.alias(n) for n, c in here.items()]).alias(f"__of_{name}"))
+    got = both.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(*parts, *[c.alias(name) for name, c in also.items()])
 
     def value(name: str) -> Column:
-        place = at[name] * (F.col("__n") - 1)
-        inside, below = F.col(f"__in_{name}"), F.col(f"__below_{name}")
-        low, high = ((edge(place) - below).cast("int") for edge in (F.floor, F.ceil))
-        exact = F.get(inside, low) + (F.get(inside, high) - F.get(inside, low)) * (place - F.floor(place))
-        return F.when((low >= 0) & (high < F.size(inside)), exact).otherwise(F.raise_error(F.lit("a rank lies outside its bracket"))).alias(name)
+        place, b = at[name] * (F.col("__n") - 1), F.col(f"__of_{name}")
+        m = F.size(b["inside"])
+
+        def ranked(rank: Column) -> Column:
+            i = (rank - b["below"] - b["at_lo"]).cast("int")
+            found = F.when(rank == b["below"] - 1, b["under"]).when((rank >= b["below"]) & (i < 0), b["lo"]).when((i >= 0) & (i < m), F.get(b["inside"], i))
+            found = found.when((i >= m) & (i < m + b["at_hi"]), b["hi"]).when(i == m + b["at_hi"], b["over"])
+            return F.coalesce(found, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+
+        low, high = ranked(F.floor(place)), ranked(F.ceil(place))
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
 
-    return got.select(*keys, *[value(name) for name in shares])
+    return got.select(*keys, *[value(name) for name in shares], *also)
 
 
 def sorted_quantiles(df: DataFrame, keys: Sequence[str], v: str, **shares: float) -> DataFrame:
@@ -69,9 +78,8 @@ def fixed(df: DataFrame, low: float = 0.1, high: float = 0.9, keys: Sequence[str
 
     One small table of the keys' figures meets the rows; it is sent to all executors where its size allows.
     """
-    q = quantiles(df, keys, "v", __lo=low, __hi=high).select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("thr"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("v") - F.min("v")).alias("span"))
-    return df.drop("n", "span").join(small(q.join(sizes, list(keys))), list(keys))
+    q = quantiles(df, keys, "v", also={"n": F.count("*"), "span": F.max("v") - F.min("v")}, __lo=low, __hi=high)
+    return df.drop("n", "span").join(small(q.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("thr"), "n", "span")), list(keys))
 
 
 def middle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
