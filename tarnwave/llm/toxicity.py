@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, slices
+from .common import SLICE_BYTES, held_out, lean, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: Features of a word.
 FEATURES = 6
+#: Bytes of text handled at once: a step of the recurrences covers all texts of a slice, so many of them share its cost.
+SLICE = 4 * SLICE_BYTES
 
 
 @dataclass(frozen=True)
@@ -247,7 +249,7 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text: str = "text", with_spa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=SLICE):
             low = [t.lower() for t in texts]
             cut = [WORD.findall(t) for t in low]
             p, n = tagger.marginals(cut)
@@ -282,7 +284,7 @@ def filter_toxic(docs: DataFrame, tagger: Tagger, level: float, text: str = "tex
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, text=at):
+        for batch, texts in slices(batches, text=at, size=SLICE):
             score = tagger.scores(*tagger.marginals([WORD.findall(t.lower()) for t in texts]))
             yield batch.filter(pa.array(score < level))
 
