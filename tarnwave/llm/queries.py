@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity
+from . import decontaminate, dialogue, licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity, url_filter
 from .common import held_out, table
 
 #: Context length that op3 asks about, and least score that op6 calls toxic.
@@ -72,7 +72,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_report(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "aliased")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses, op11_conversation_repair, op13_url_filter)}
 
 #: Near-duplicate components and repeated windows say themselves in SQL; the others rest on models, libraries' vocabularies or file formats.
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +97,51 @@ ORACLE_SQL: dict[str, str] = {
     txt AS (SELECT d.doc_id, b, coalesce(string_agg(substr(hex(b), 2 * a - 1, 2 * (coalesce(z, octet_length(b) + 1) - a)), '' ORDER BY a), hex(any_value(b))) AS x FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, b),
     n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut GROUP BY doc_id)
     SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CAST(octet_length(b) AS BIGINT) AS n_bytes, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS removed, TRY(decode(unhex(x))) AS kept_text FROM txt LEFT JOIN n USING (doc_id)""",
+    "op11_conversation_repair": r"""WITH RECURSIVE tab AS (
+        SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+    hashed AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM raw, tab),
+    hurt AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM hurt),
+    told AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM placed),
+    sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND was || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM told GROUP BY conv_id),
+    go(conv_id, i, z, s, u, a) AS (
+        SELECT conv_id, n, {'c': 0, 'e': ''}, {'c': 10, 'e': 'II'}, {'c': 5, 'e': 'I'}, {'c': 0, 'e': ''} FROM sums
+        UNION ALL
+        SELECT conv_id, i, list_sort([dz, {'c': du.c + 5, 'e': 'I' || du.e}, {'c': da.c + 10, 'e': 'II' || da.e}])[1], list_sort([ds, {'c': du.c + 5, 'e': 'I' || du.e}, {'c': da.c + 10, 'e': 'II' || da.e}])[1],
+            list_sort([du, {'c': da.c + 5, 'e': 'I' || da.e}])[1], list_sort([da, {'c': du.c + 5, 'e': 'I' || du.e}])[1]
+        FROM (SELECT conv_id, i,
+            list_sort([{'c': z.c + 2, 'e': 'D' || z.e}, {'c': u.c + gone + cut + 1, 'e': 'R' || u.e}, CASE r WHEN 's' THEN {'c': s.c + gone + cut, 'e': 'K' || s.e} WHEN 'u' THEN {'c': u.c + gone + cut, 'e': 'K' || u.e} ELSE {'c': 1000000, 'e': ''} END])[1] AS dz,
+            list_sort([{'c': s.c + 2, 'e': 'D' || s.e}, {'c': u.c + gone + cut + 1, 'e': 'R' || u.e}, CASE r WHEN 'u' THEN {'c': u.c + gone + cut, 'e': 'K' || u.e} ELSE {'c': 1000000, 'e': ''} END])[1] AS ds,
+            list_sort([{'c': u.c + 2, 'e': 'D' || u.e}, {'c': a.c + gone + cut + 1, 'e': 'R' || a.e}, CASE r WHEN 'a' THEN {'c': a.c + gone + cut, 'e': 'K' || a.e} ELSE {'c': 1000000, 'e': ''} END])[1] AS du,
+            list_sort([{'c': a.c + 2, 'e': 'D' || a.e}, {'c': u.c + gone + cut + 1, 'e': 'R' || u.e}, CASE r WHEN 'u' THEN {'c': u.c + gone + cut, 'e': 'K' || u.e} ELSE {'c': 1000000, 'e': ''} END])[1] AS da
+            FROM (SELECT g.conv_id, g.i - 1 AS i, z, s, u, a, r, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE 0 END AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut FROM go g JOIN told t ON t.conv_id = g.conv_id AND t.i = g.i))),
+    best AS (SELECT conv_id, z.c AS cost, z.e AS audit FROM go WHERE i = 0),
+    walk(conv_id, j, i, q, audit, role, text) AS (
+        SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', audit, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM best
+        UNION ALL
+        SELECT w.conv_id, j + 1, CASE op WHEN 'I' THEN w.i ELSE w.i + 1 END, CASE WHEN op = 'D' THEN q WHEN op = 'K' THEN t.r WHEN q = 'u' THEN 'a' ELSE 'u' END, audit,
+            CASE WHEN op = 'D' THEN NULL WHEN op = 'K' THEN t.role WHEN q = 'u' THEN 'assistant' ELSE 'user' END, CASE op WHEN 'D' THEN NULL WHEN 'I' THEN '' ELSE t.text END
+        FROM (SELECT *, substr(audit, j + 1, 1) AS op FROM walk WHERE j < length(audit)) w LEFT JOIN told t ON t.conv_id = w.conv_id AND t.i = w.i + 1),
+    fixed AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY j) AS body FROM walk WHERE role IS NOT NULL GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN fixed USING (conv_id)""",
+    "op13_url_filter": r"""WITH RECURSIVE p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query, coalesce(html, '') AS html FROM pages),
+    rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    tags AS (SELECT page_id, host, path, host || CASE path WHEN '' THEN '/' ELSE path END || query AS node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> ''),
+    raw AS (SELECT *, CASE WHEN regexp_matches(tag, '(?is)^<link.*[\s"''/]rel\s*=\s*["'']?([^"''>]*\s)?canonical([\s"''>])') THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)
+        WHEN regexp_matches(tag, '(?is)^<meta.*[\s"''/]http-equiv\s*=\s*["'']?refresh[\s"''>]') THEN regexp_extract(regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '(?is)^["'']?[\s\d.]*[;,]\s*url\s*=\s*(.*)$', 1) END AS link FROM tags),
+    links AS (SELECT node, host, path, regexp_replace(replace(trim(regexp_replace(trim(link), '^["'']+|["'']+$', '', 'g')), '&amp;', '&'), '(?s)#.*$', '') AS l FROM raw WHERE link IS NOT NULL AND link <> ''),
+    full_ AS (SELECT node, CASE WHEN regexp_matches(l, '(?i)^https?://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l WHEN l = '' OR regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(l, '/') THEN 'http://' || host || l WHEN starts_with(l, '?') THEN 'http://' || host || path || l
+        ELSE 'http://' || host || CASE regexp_extract(path, '(?s)^(.*/)', 1) WHEN '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || l END AS t FROM links),
+    ends AS (SELECT node, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(t, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS query FROM full_ WHERE t IS NOT NULL),
+    edges AS (SELECT node AS a, host || CASE path WHEN '' THEN '/' ELSE path END || query AS b FROM ends),
+    places AS (SELECT DISTINCT host, path FROM p UNION SELECT host, path FROM ends),
+    judged AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM places JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+    reach AS (SELECT a AS id, a AS r FROM edges UNION SELECT b, b FROM edges UNION SELECT e.b, reach.r FROM reach JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON e.a = reach.id),
+    said AS (SELECT host || CASE path WHEN '' THEN '/' ELSE path END || query AS node, verdict FROM (SELECT host, path, query FROM p UNION SELECT host, path, query FROM ends) JOIN judged USING (host, path)),
+    class AS (SELECT reach.id, bool_or(verdict = 'allow') AS ok, bool_or(verdict = 'block') AS bad FROM reach JOIN said ON said.node = reach.r GROUP BY reach.id)
+    SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN ok THEN 'allow' WHEN bad THEN 'block' END, 'allow') AS verdict, rule IS NULL AND coalesce(ok OR bad, false) AS aliased
+    FROM p LEFT JOIN judged USING (host, path) LEFT JOIN class ON class.id = p.host || CASE p.path WHEN '' THEN '/' ELSE p.path END || p.query AND p.host <> ''""",
 }
