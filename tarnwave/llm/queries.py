@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, licenses, media, near_dedup, pii, piece_codec, quality, repeats, token_counts, toxicity, url_filter
+from . import decontaminate, dialogue, licenses, media, near_dedup, phrases, pii, piece_codec, quality, repeats, token_counts, toxicity, url_filter
 from .common import held_out, table
 
 #: Context length that op3 asks about, and least score that op6 calls toxic.
@@ -76,11 +76,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_report(dialogue.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "aliased")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses, op11_conversation_repair, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_prefix_tokens, op4_png_media, op5_minhash_near_dedup, op6_toxicity, op7_quality, op8_repeats, op9_sentencepiece, op10_licenses, op11_conversation_repair, op12_phrases, op13_url_filter)}
 
 #: Near-duplicate components and repeated windows say themselves in SQL; the others rest on models, libraries' vocabularies or file formats.
 ORACLE_SQL: dict[str, str] = {
@@ -127,6 +131,15 @@ ORACLE_SQL: dict[str, str] = {
     fixed AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY j) AS body FROM walk WHERE role IS NOT NULL GROUP BY conv_id)
     SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN fixed USING (conv_id)""",
+    "op12_phrases": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces), sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM cut GROUP BY lang),
+    places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, range(1, 6) t(k) WHERE len(w) >= k),
+    grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+    wanted AS (SELECT * FROM grams x WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM grams y WHERE y.lang = x.lang AND y.k > x.k AND y.f >= x.f AND contains(' ' || y.g || ' ', ' ' || x.g || ' '))),
+    parts AS (SELECT lang, g, f AS a, c, array_to_string(string_split(g, ' ')[1:c], ' ') AS head, array_to_string(string_split(g, ' ')[c + 1:k], ' ') AS tail FROM wanted, range(1, 5) t(c) WHERE c < k),
+    scored AS (SELECT p.lang, p.g AS phrase, a, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score, c FROM parts p JOIN grams x ON x.lang = p.lang AND x.g = p.head JOIN grams y ON y.lang = p.lang AND y.g = p.tail JOIN sizes s ON s.lang = p.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000""",
     "op13_url_filter": r"""WITH RECURSIVE p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query, coalesce(html, '') AS html FROM pages),
     rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
     tags AS (SELECT page_id, host, path, host || CASE path WHEN '' THEN '/' ELSE path END || query AS node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> ''),
