@@ -1,7 +1,7 @@
 """Phrases whose words keep company, counted exactly by counting quotient filters.
 
 Texts are cut into pieces and words; a shard is a stretch of one language's texts as word ids. Only words that are
-frequent enough themselves get global ids (no phrase is more frequent than its words), dense within a language. An
+frequent enough themselves get global ids (no phrase is more frequent than its words), as small as can be. An
 n-gram is its packed ids, permuted by an invertible Feistel network over exactly those bits. The leading bits of the
 result (the quotient) choose the range and a run inside it, the rest (the full remainder) is stored, so a filter loses
 nothing: entry and count come back by the inverse permutation. A shard sends one sorted filter for each range; a range
@@ -15,6 +15,7 @@ spreads n-grams evenly over ranges, whose number grows with the corpus. A very f
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import numbered, small
+from tarnwave.operators.order import small
 
 from .common import U, lean, mix, staged
 
@@ -177,7 +178,9 @@ def from_stream(raw: bytes) -> np.ndarray:
 
 
 def shards(docs: DataFrame, rules: PhraseRules, text: str, lang: str) -> DataFrame:
-    """Texts as shards: shard (unique), lang, ids (a stream, see there, of the shard's own dictionary), words, n."""
+    """Texts as shards: shard (unique), lang, total (words), ids (a stream, see there, of the shard's own dictionary), and
+    the dictionary by the words' hashes: words (one text, by spaces), n (counts), places (own ids), as varints.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[defaultdict, list[np.ndarray], int]] = {}
@@ -186,8 +189,10 @@ def shards(docs: DataFrame, rules: PhraseRules, text: str, lang: str) -> DataFra
             own, parts, _ = known.pop(of)
             raw = np.concatenate(parts)
             raw = raw[raw != 0].astype(np.int64) - 2  # 0: between two spaces; 1: the end of a piece
-            n = np.bincount(raw[raw >= 0], minlength=len(own) - 2)
-            return pa.RecordBatch.from_pydict({"shard": [uuid.uuid4().hex], "lang": [of], "ids": [stream(raw)], "words": pa.array([[w.decode("utf-8", "replace") for w in list(own)[2:]]], pa.list_(pa.string())), "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
+            words = list(own)[2:]
+            n = np.bincount(raw[raw >= 0], minlength=len(words))
+            order = np.argsort(hashes(words), kind="stable")
+            return pa.RecordBatch.from_pydict({"shard": [uuid.uuid4().hex], "lang": [of], "total": pa.array([int(n.sum())], pa.int64()), "ids": [stream(raw)], "words": [b" ".join([words[i] for i in order.tolist()])], "n": [varints(n[order])], "places": [varints(order)]})
 
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
@@ -209,28 +214,76 @@ def shards(docs: DataFrame, rules: PhraseRules, text: str, lang: str) -> DataFra
             yield flush(of)
 
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(lean(run), "shard string, lang string, ids binary, words array<string>, n array<long>")
+    return rows.mapInArrow(lean(run), "shard string, lang string, total long, ids binary, words binary, n binary, places binary")
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """32 bits of each word, whose leading bits tell the range that it is counted in."""
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    return raw.split(b" ") if raw else []
+
+
+def dictionaries(cut: DataFrame) -> DataFrame:
+    """The shards' dictionaries by ranges: shard, lang, range_bits, part, words, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            words, n = words_of(row["words"]), from_varints(row["n"])
+            part = hashes(words) >> (32 - row["range_bits"])
+            heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=True)) if len(part) else []
+            if spans:
+                k = len(spans)
+                yield pa.RecordBatch.from_pydict({"shard": [row["shard"]] * k, "lang": [row["lang"]] * k, "range_bits": pa.array([row["range_bits"]] * k, pa.int32()), "part": pa.array(part[heads]), "words": [b" ".join(words[a:b]) for a, b in spans], "n": [varints(n[a:b]) for a, b in spans]})
 
+    return cut.select("shard", "lang", "range_bits", "words", "n").mapInArrow(lean(run), "shard string, lang string, range_bits int, part long, words binary, n binary")
 
-def with_ids(cut: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Shards (shard, lang, ids) with global ids (-1: the end of a piece or a word that isn't frequent).
 
-    A shard's dictionary meets the vocabulary by (lang, word); what comes back is one list for each shard.
+def vocabulary_of(sent: DataFrame, least: int) -> DataFrame:
+    """Of each range: its dictionaries merged. Rows of frequent words (lang, word, id, f; the more frequent, the smaller
+    the id, which is near dense as hashes are even) and of answers (shard, part, ids: the word's id + 1, 0 for none).
     """
-    own = cut.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    ids = own.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("map"))
-    met = cut.select("shard", "lang", "ids").join(ids, "shard")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, bits = table["part"][0].as_py(), table["range_bits"][0].as_py()
+        own = [words_of(table["words"][i].as_py()) for i in range(table.num_rows)]
+        total: dict[bytes, int] = {}
+        for words, n in zip(own, table["n"].to_pylist(), strict=True):
+            for w, c in zip(words, from_varints(n).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+        often = sorted((w for w, f in total.items() if f >= least), key=lambda w: (-total[w], w))
+        ids = {w: (i << bits) + part for i, w in enumerate(often)}
+        told = [varints(np.fromiter((ids.get(w, -1) + 1 for w in words), np.int64, len(words))) for words in own]
+        k, m = len(often), table.num_rows
+        return pa.table({
+            "shard": pa.chunked_array([pa.nulls(k, pa.string()), table["shard"].combine_chunks().cast(pa.string())]),
+            "lang": pa.array([table["lang"][0].as_py()] * (k + m), pa.string()),
+            "part": pa.array([part] * (k + m), pa.int64()),
+            "ids": pa.chunked_array([pa.nulls(k, pa.binary()), pa.array(told, pa.binary())]),
+            "word": pa.chunked_array([pa.array([w.decode("utf-8", "replace") for w in often], pa.string()), pa.nulls(m, pa.string())]),
+            "id": pa.chunked_array([pa.array([ids[w] for w in often], pa.int64()), pa.nulls(m, pa.int64())]),
+            "f": pa.chunked_array([pa.array([total[w] for w in often], pa.int64()), pa.nulls(m, pa.int64())]),
+        })
+
+    return sent.groupBy("lang", "part").applyInArrow(run, "shard string, lang string, part long, ids binary, word string, id long, f long")
+
+
+def with_ids(cut: DataFrame, answers: DataFrame) -> DataFrame:
+    """Shards (shard, lang, ids) with global ids (-1: the end of a piece or a word that isn't frequent)."""
+    told = answers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = from_stream(batch.column("ids")[i].as_buffer())
-                pairs = batch.column("map")[i].values
-                table = np.full(int(raw.max(initial=-1)) + 2, -1, np.int64)  # the last one stands for -1
-                table[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
-                yield pa.RecordBatch.from_pydict({"shard": [batch.column("shard")[i].as_py()], "lang": [batch.column("lang")[i].as_py()], "ids": [stream(once_ended(table[raw]))]})
+        for row in rows_of(batches):
+            order = from_varints(row["places"])
+            table = np.full(len(order) + 1, -1, np.int64)  # the last one stands for -1
+            table[order] = np.concatenate([from_varints(t["ids"]) for t in row["told"]]) - 1
+            ids = once_ended(table[from_stream(row["ids"])])
+            yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "lang": [row["lang"]], "ids": [stream(ids)]})
 
-    return met.select("shard", "lang", "ids", "map").mapInArrow(lean(run), "shard string, lang string, ids binary")
+    return cut.select("shard", "lang", "ids", "places").join(told, "shard").mapInArrow(lean(run), "shard string, lang string, ids binary")
 
 
 def once_ended(ids: np.ndarray) -> np.ndarray:
@@ -348,16 +401,16 @@ def marked(state: DataFrame, answers: DataFrame, n: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, rules: PhraseRules = PhraseRules(), text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact counts: (phrases: lang, ids, f of 1 to rules.longest words; vocabulary: lang, word, id; sizes: lang, n)."""
     cut = staged(shards(docs, rules, text, lang), "phrases-shards")
-    seen = staged(cut.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.n").alias("f")), "phrases-words")
-    sizes = staged(seen.groupBy("lang").agg(F.sum("f").alias("n"), F.count(F.when(F.col("f") >= rules.least, 1)).alias("words")), "phrases-sizes")
-    often = seen.filter(F.col("f") >= rules.least).withColumn("rare", -F.col("f"))
-    vocabulary = staged(numbered(often, ["lang"], ["rare", "word"], "id"), "phrases-vocabulary")
-    bits = F.greatest(F.ceil(F.log2(F.greatest("words", F.lit(2)).cast("double"))), F.lit(2)).cast("int")
+    sizes = small(cut.groupBy("lang").agg(F.sum("total").alias("n")))
     ranges = F.greatest(F.ceil(F.log2(F.greatest(F.col("n") / rules.entries, F.lit(1.0)))), F.lit(0)).cast("int")
+    ranged = sizes.select("lang", ranges.alias("range_bits"))
+    level = staged(vocabulary_of(dictionaries(cut.join(ranged, "lang")), rules.least), "phrases-words")
+    vocabulary = level.filter("word is not null").select("lang", "word", "id", "f")
+    bits = small(vocabulary.groupBy("lang").agg(F.greatest(F.length(F.bin(F.max("id"))), F.lit(2)).alias("bits")))
     # a range can't have more bits than the first lane of a pair of ids
-    per_lang = small(sizes.select("lang", bits.alias("bits"), F.least(ranges, bits).alias("range_bits")))
-    state = with_ids(cut, vocabulary).join(per_lang, "lang").select("shard", "lang", "bits", "range_bits", "ids", F.lit(None).cast("binary").alias("marks"))
-    state = staged(state, "phrases-state")
+    per_lang = bits.join(ranged, "lang").select("lang", "bits", F.least("range_bits", "bits").alias("range_bits"))
+    state = with_ids(cut, level.filter("ids is not null").select("shard", "part", "ids")).join(small(per_lang), "lang")
+    state = staged(state.select("shard", "lang", "bits", "range_bits", "ids", F.lit(None).cast("binary").alias("marks")), "phrases-state")
     found = [vocabulary.select("lang", F.array("id").alias("ids"), "f")]
     for n in range(2, rules.longest + 1):
         level = staged(merged(filters(state, n), n, rules.least), f"phrases-level{n}")
@@ -367,7 +420,7 @@ def frequent_phrases(docs: DataFrame, rules: PhraseRules = PhraseRules(), text:
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
-    return phrases, vocabulary, small(sizes.select("lang", "n"))
+    return phrases, vocabulary, sizes
 
 
 def collocations(docs: DataFrame, rules: PhraseRules = PhraseRules(), text: str = "text", lang: str = "lang") -> DataFrame:
