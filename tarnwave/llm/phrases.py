@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,12 +167,12 @@ def restored(blob: tuple[bytes, bytes, bytes], bits: int, range_bits: int, at: i
 
 
 def stream(ids: np.ndarray) -> bytes:
-    """Word ids and -1 (the end of a piece) in few bytes, as both dictionaries give small ids to frequent words."""
-    return varints(ids + 1)
+    """Word ids and -1 (the end of a piece) in few bytes: dictionaries give small ids to frequent words, zstandard the rest."""
+    return zstandard.compress(varints(ids + 1), 1)
 
 
 def from_stream(raw: bytes) -> np.ndarray:
-    return from_varints(raw) - 1
+    return from_varints(zstandard.decompress(raw)) - 1
 
 
 # --- shards ----------------------------------------------------------------------------------------------------------
