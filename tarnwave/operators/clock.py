@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators.fourier import CELLS, lag_sums
+from tarnwave.operators.order import with_stats
 from tarnwave.sources.stage import staged
 
 KEYS = ("lamp",)
@@ -64,30 +66,17 @@ def block_correlation(signal: DataFrame, key: str = "lamp", channels: int = 64,
     return s.select("a", "b", corr.alias("corr"), n.cast("long").alias("n"))
 
 
-def all_lags(bits: DataFrame, keys: Sequence[str] = KEYS, block: int = 4096) -> DataFrame:
-    """keys, lag, s, n: the sum of products of bits (as -1 and 1) at every lag from 0 on, and the stream's length.
+def all_lags(bits: DataFrame, keys: Sequence[str] = KEYS, cells: int = CELLS) -> DataFrame:
+    """keys, lag, s, n: the sum of products of bits (as -1 and 1) at every lag from 0 on, and the stream's length."""
+    return lag_sums(bits, 2 * F.col("bit") - 1, keys, cells=cells, whole=True)
 
-    Streams are cut into blocks; a task meets two of them, and their Fourier transforms give the sums of all lags between.
-    """
-    rows = bits.groupBy(*keys, F.floor(F.col("k") / block).alias("i")).agg(F.array_sort(F.collect_list(F.struct("k", (2 * F.col("bit") - 1).cast("double").alias("x")))).alias("x"))
-    cells = staged(rows.select(*keys, "i", F.transform("x", lambda p: p["x"]).alias("x")), "blocks")
-    two = cells.join(cells.select(*keys, F.col("i").alias("j"), F.col("x").alias("y")), list(keys)).filter("j >= i")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x, y = (batch.column(c).slice(r, 1).flatten().to_numpy() for c in "xy")
-                far = int(batch.column("j")[r].as_py() - batch.column("i")[r].as_py()) * block
-                size = 1 << (len(x) + len(y)).bit_length()
-                s = np.rint(np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size))
-                lag = np.r_[np.arange(len(y)), np.arange(1 - len(x), 0)]
-                ok = lag + far >= 0
-                cols = {k: pa.array([batch.column(k)[r].as_py()] * int(ok.sum()), batch.schema.field(k).type) for k in keys}
-                yield pa.RecordBatch.from_pydict(cols | {"lag": pa.array(lag[ok] + far, pa.int64()), "s": pa.array(s[lag[ok]])})
-
-    kinds = ", ".join(f"{k} {bits.schema[k].dataType.simpleString()}" for k in keys)
-    sums = two.select(*keys, "i", "j", "x", "y").mapInArrow(run, f"{kinds}, lag long, s double").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
-    return sums.join(bits.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+def all_lags_of(rows: DataFrame, value: str, keys: Sequence[str] = KEYS, cells: int = CELLS) -> DataFrame:
+    """keys, lag, ac: autocorrelation of a value less its mean at every lag, over that at lag 0."""
+    centred = with_stats(rows.select(*keys, "k", F.col(value).cast("double").alias("__v")), keys, __m=F.avg("__v"))
+    sums = lag_sums(centred, F.col("__v") - F.col("__m"), keys, cells=cells)
+    zero = centred.groupBy(*keys).agg(F.sum((F.col("__v") - F.col("__m")) * (F.col("__v") - F.col("__m"))).alias("__z"))
+    return sums.join(zero, list(keys)).select(*keys, "lag", F.try_divide("s", "__z").alias("ac"))
 
 
 def autocorrelation(bits: DataFrame, lags: Sequence[int], keys: Sequence[str] = KEYS, centre: bool = False, value: Column | None = None) -> DataFrame:

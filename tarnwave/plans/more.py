@@ -170,7 +170,7 @@ def c5(spark, sf):
     v = s.select("lamp", "n", F.explode(F.array(*[F.col("frame") + d for d in (-1, 0, 1)])).alias("k")).filter("k between 0 and n - 1").distinct()
     votes = v.groupBy("k").agg(F.count("*").alias("c"))
     track = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).join(votes, "k", "left").select(F.lit("all").alias("lamp"), "k", (F.coalesce("c", F.lit(0)) >= 3).cast("double").alias("t"))
-    ac = staged(clock.autocorrelation(staged(track), range(1, 101), value=F.col("t"), centre=True).select("lamp", "lag", r6("ac")))
+    ac = staged(clock.all_lags_of(staged(track), "t").filter(F.col("lag").between(1, 100)).select("lamp", "lag", r6("ac")))
     peaks = windows.local_peaks(ac, v="ac", frame="lag").filter(F.col("lag").between(4, 99))
     # lags of one short table
     place = F.row_number().over(Window.partitionBy("lamp").orderBy(F.desc("ac"), "lag")).cast("long")
