@@ -72,6 +72,7 @@ def lag_sums(rows: DataFrame, value: Column, keys: Sequence[str], k: str = "k",
     rows: one for each sample, k from 0 on without gaps (a missing one counts as 0). Keys are taken as they are, null
     among them. whole: samples are whole numbers, so sums are rounded to whole numbers.
     """
+    cells = 1 << (cells.bit_length() - 1)  # blocks divide sides, all powers of 2
     size = small(rows.groupBy(*keys).agg((F.max(k) + 1).alias("__n")))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
     samples = rows.select(*keys, F.col(k).cast("long").alias("__k"), value.cast("double").alias("__x")).alias("a").join(size.alias("b"), same)
