@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators import packed
+
 
 def aligned(pred: DataFrame, ref: DataFrame, reach: int, keys: Sequence[str]) -> DataFrame:
-    """Overlap and differing bits for each offset: keys, off, m, wrong, n_ref. One join with the shifts of pred."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(o).cast("long").alias("off"), (F.col("k") - o).alias("k")) for o in range(-reach, reach + 1)]))
-    moved = pred.select(*keys, F.col("bit").alias("__p"), shifts.alias("__s")).select(*keys, "__p", "__s.off", "__s.k").filter("k >= 0")
-    both = moved.join(ref, [*keys, "k"])
-    sums = both.groupBy(*keys, "off").agg(F.count("*").alias("m"), F.sum((F.col("__p") != F.col("bit")).cast("long")).alias("wrong"))
+    """Overlap and differing bits for each offset: keys, off, m, wrong, n_ref. Streams are packed, so a word is one row."""
+    sums = packed.offset_sums(packed.pack(pred, keys), packed.pack(ref, keys), reach, keys)
     return sums.join(ref.groupBy(*keys).agg(F.count("*").alias("n_ref")), list(keys))
 
 
@@ -35,23 +34,6 @@ def ber(pred: DataFrame, ref: DataFrame, reach: int = 3, keys: Sequence[str] = (
     return full.select(*keys, F.coalesce("b.err", F.lit(1.0)).alias("ber"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("long").alias("polarity"), F.coalesce("b.off", F.lit(0)).cast("long").alias("offset"))
 
 
-def with_neighbours(rows: DataFrame, ref: DataFrame, reach: int, keys: Sequence[str]) -> DataFrame:
-    """rows (keys, k, ...) with the reference's bits at k - off as __r0, __r1, ... for off from -reach on (null where it has none)."""
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("k") + o).alias("k")) for i, o in enumerate(range(-reach, reach + 1))]))
-    spread = ref.select(*keys, "bit", near.alias("__s")).groupBy(*keys, F.col("__s.k").alias("k"))
-    return rows.join(spread.agg(*[F.max(F.when(F.col("__s.i") == i, F.col("bit"))).alias(f"__r{i}") for i in range(2 * reach + 1)]), [*keys, "k"])
-
-
-def ber_of(bit: Column, reach: int, n_ref: Column) -> Column:
-    """The lowest error rate of a group of rows from with_neighbours, as ber() gives it; 1 without an alignment of half the reference."""
-    each = []
-    for i in range(2 * reach + 1):
-        r = F.col(f"__r{i}")
-        m, wrong = F.count(r), F.sum((bit != r).cast("long"))
-        each.append(F.when((m >= F.floor(n_ref / 2)) & (m > 0), F.least(wrong, m - wrong) / m))
-    return F.coalesce(F.least(*each), F.lit(1.0))
-
-
 def ber_padded(pred: DataFrame, ref: DataFrame, reach: int = 2, keys: Sequence[str] = ("stream",)) -> DataFrame:
     """The variant that fills a shift to the right with zeros, which count; indel: symbols too many or too few."""
     sizes = pred.groupBy(*keys).agg(F.count("*").alias("n_pred")).join(ref.groupBy(*keys).agg(F.count("*").alias("__n_ref"), F.sum("bit").alias("__ones")), list(keys))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators import packed
 from tarnwave.operators.order import with_stats
 
 KEYS = ("lamp",)
@@ -125,9 +126,8 @@ def agreement(a: DataFrame, b: DataFrame, reach: int = 1, keys: Sequence[str] =
 
     more: columns of b alone, whose streams are all held against a's; the result has them too.
     """
-    moved = b.select(*keys, *more, F.col("bit").alias("__b"), F.explode(F.array(*[F.struct(F.lit(o).alias("off"), (F.col("k") + o).alias("k")) for o in range(-reach, reach + 1)])).alias("__m"))
-    both = a.join(moved.select(*keys, *more, "__b", F.col("__m.off").alias("off"), F.col("__m.k").alias("k")), [*keys, "k"])
-    return both.groupBy(*keys, *more, "off").agg(F.avg((F.col("bit") == F.col("__b")).cast("double")).alias("__s")).groupBy(*keys, *more).agg(F.max("__s").alias("agreement"))
+    sums = packed.offset_sums(packed.pack(b, [*keys, *more]), packed.pack(a, keys), reach, keys, more)
+    return sums.groupBy(*keys, *more).agg(F.max((F.col("m") - F.col("wrong")) / F.col("m")).alias("agreement"))
 
 
 def symbol_means(df: DataFrame, period: float, phase: float, keys: Sequence[str] = KEYS) -> DataFrame:

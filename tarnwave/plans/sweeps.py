@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwave.operators import frames, learn, order, scoring, symbols, synth, thresholds, windows
+from tarnwave.operators import frames, learn, order, packed, scoring, symbols, synth, thresholds, windows
 from tarnwave.operators.symbols import PERIOD
 from tarnwave.plans.base import Book, T, r6
 from tarnwave.plans.clock import BITS01, ber_sql, features, syn_signal, synth_sql
@@ -34,24 +34,39 @@ def thresholds_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     return order.small(q.select(*keys, "n", each.alias("s")).select(*keys, "n", "s.*"))
 
 
-def grid_bits(rows: DataFrame, levels: DataFrame, at: list[float], keys: list[str]) -> DataFrame:
-    """keys, phase_id, k, pair, margin, and a bit for each rule. rows: keys, frame, v, n."""
+#: Of each setting: its column and what it stands for.
+SETTINGS = [(f"{rule}_{pair}_{i}", rule, pair, margin) for rule in RULES for pair in PAIRS for i, margin in enumerate(MARGINS)]
+
+
+def grid_words(rows: DataFrame, levels: DataFrame, at: list[float], keys: list[str]) -> DataFrame:
+    """keys, phase_id, word, mask, and the packed bits of each setting. rows: keys, frame, v, n.
+
+    The values of a symbol's frames are gathered once; the bits of all settings are columns, packed 64 to a long.
+    """
     width = int(PERIOD) + 1
     values = symbols.served(rows, at).withColumn("centre", F.least(F.rint(F.col("lo") - 0.5 + PERIOD / 2), F.col("n") - 1.0))
     values = values.groupBy(*keys, "phase_id", "k", "lo").agg(*symbols.window_values(F.col("v"), width), F.max(F.when(F.col("frame") == F.col("centre"), F.col("v"))).alias("mid"))
     phase = F.element_at(F.array(*map(F.lit, at)), F.col("phase_id").cast("int") + 1)
     values = values.withColumn("stop", phase + F.col("k") * F.lit(PERIOD) + PERIOD)
-    cells = values.join(levels.drop("n"), keys).withColumn("margin", F.explode(F.array(*map(F.lit, MARGINS))))
-    frames = F.greatest(F.floor(F.col("stop") - F.col("margin")), F.col("lo")) - F.col("lo")
-    d = [F.when(frames >= j, F.col(f"__{j}") - F.col("thr")) for j in range(width)]
-    bits = {"confident": symbols.furthest(d), "nearest": F.col("mid") - F.col("thr"), "average": symbols.mean_of([F.when(frames >= j, F.col(f"__{j}")) for j in range(width)]) - F.col("thr")}
-    return cells.select(*keys, "phase_id", "k", "pair", "margin", *[(bits[r] > 0).cast("long").alias(r) for r in RULES])
+    cells = values.join(levels.groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == p, F.col("thr"))).alias(f"thr{p}") for p in PAIRS]), keys)
+    cells = cells.withColumns({f"f{i}": F.greatest(F.floor(F.col("stop") - m), F.col("lo")) - F.col("lo") for i, m in enumerate(MARGINS)})
 
+    def value(rule: str, pair: int, i: int) -> Column:
+        there, thr = [F.col(f"f{i}") >= j for j in range(width)], F.col(f"thr{pair}")
+        if rule == "nearest":
+            return F.col("mid") - thr
+        if rule == "confident":
+            return symbols.furthest([F.when(there[j], F.col(f"__{j}") - thr) for j in range(width)])
+        return symbols.mean_of([F.when(there[j], F.col(f"__{j}")) for j in range(width)]) - thr
 
-def by_rule(df: DataFrame, keep: list[str], **figures: str) -> DataFrame:
-    """Rows of one rule each, from columns <rule>_<figure>."""
-    each = F.array(*[F.struct(F.lit(r).alias("rule"), *[F.col(f"{r}_{f}").alias(name) for name, f in figures.items()]) for r in RULES])
-    return df.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    bits = cells.select(*keys, "phase_id", "k", *[(value(rule, pair, MARGINS.index(m)) > 0).cast("int").alias(name) for name, rule, pair, m in SETTINGS])
+    return packed.pack(bits, [*keys, "phase_id"], [name for name, *_ in SETTINGS])
+
+
+def each_setting(words: DataFrame, keep: list[str]) -> DataFrame:
+    """A row of each word for each setting: keep, rule, pair, margin, bit."""
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(pair).alias("pair"), F.lit(margin).alias("margin"), F.col(name).alias("bit")) for name, rule, pair, margin in SETTINGS])
+    return words.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
 
 
 def validated(spark, sf) -> DataFrame:
@@ -62,9 +77,9 @@ def validated(spark, sf) -> DataFrame:
     at = [(TRUE_PHASE + o * PERIOD) % PERIOD for o in OFFSETS] + [0.0]
     ref = staged(views.truth(spark, sf))
     n_ref = order.small(ref.groupBy("stream").agg(F.count("*").alias("n_ref")))
-    rows = scoring.with_neighbours(grid_bits(sized, levels, at, ["stream"]), ref, 3, ["stream"]).join(n_ref, "stream")
-    e = rows.groupBy("stream", "pair", "margin", "phase_id").agg(*[scoring.ber_of(F.col(r), 3, F.max("n_ref")).alias(f"{r}_ber") for r in RULES])
-    e = staged(by_rule(e, ["stream", "pair", "margin", "phase_id"], ber="ber"))
+    words = each_setting(grid_words(sized, levels, at, ["stream"]), ["stream", "phase_id", "word", "mask"])
+    run = ["phase_id", "rule", "pair", "margin"]
+    e = staged(packed.best_rate(packed.offset_sums(words, packed.pack(ref, ["stream"]), 3, ["stream"], run), ["stream", *run], n_ref))
     keys = ["stream", "rule", "pair", "margin"]
     band = scoring.band(e.filter("phase_id < 21").withColumn("ok", F.col("ber") <= 0.01), "phase_id", "ok", 10, keys, 20)
     tol = band.select(*keys, F.coalesce((F.col("hi") - F.col("lo")) * F.lit(0.05), F.lit(0.0)).alias("tol"))
@@ -78,20 +93,26 @@ def on_dev(spark, sf) -> DataFrame:
     sizes = order.small(s.groupBy("lamp").agg((F.count("*") * F.lit(0.3)).cast("long").alias("n")))
     dev = staged(s.join(sizes, "lamp").filter("frame < n").select("lamp", "frame", "v", "n"))
     levels = thresholds_of(dev, ["lamp"])
-    keys, at = ["lamp", "pair", "margin"], [*symbols.phases(12), (-0.15 * PERIOD) % PERIOD, (0.15 * PERIOD) % PERIOD]
-    bits = grid_bits(dev, levels, at, ["lamp"])
+    keys, at = ["lamp", "rule", "pair", "margin"], [*symbols.phases(12), (-0.15 * PERIOD) % PERIOD, (0.15 * PERIOD) % PERIOD]
+    words = each_setting(grid_words(dev, levels, at, ["lamp"]), ["lamp", "phase_id", "word", "mask"])
     own = F.col("phase_id") < 12
-    per = [a for r in RULES for a in (F.min(F.when(own, F.col(r))).alias(f"{r}_lo"), F.max(F.when(own, F.col(r))).alias(f"{r}_hi"), *[F.max(F.when(F.col("phase_id") == p, F.col(r))).alias(f"{r}_{n}") for p, n in ((0, "b"), (12, "x"), (13, "y"))])]
-    ens = staged(bits.groupBy(*keys, "k").agg(F.count_if(own).alias("c"), *per))
-    near = order.chunked(ens, keys, "k", 1, 1, lambda w: {f"{r}_{v}{o}": f(f"{r}_{v}").over(w) for r in RULES for v in "xy" for o, f in (("m", F.lead), ("p", F.lag))})
-    full = F.col("c") == 12
-
-    def agree(r: str, v: str) -> Column:
+    of = lambda p, c: F.coalesce(F.max(F.when(F.col("phase_id") == p, F.col(c))), F.lit(0).cast("long"))
+    # symbols that all 12 phases have, and those that all decode alike
+    full = F.when(F.count_if(own) == 12, F.bit_and(F.when(own, F.col("mask")))).otherwise(0)
+    alike = F.bit_and(F.when(own, F.col("bit"))).bitwiseOR(F.bitwise_not(F.bit_or(F.when(own, F.col("bit")))))
+    ens = staged(words.groupBy(*keys, "word").agg(full.alias("full"), full.bitwiseAND(alike).alias("safe"), of(0, "bit").alias("b"), *[of(p, c).alias(f"{c}{n}") for p, n in ((12, "x"), (13, "y")) for c in ("bit", "mask")]))
+    near = packed.with_sides(ens, keys, ("bitx", "maskx", "bity", "masky")).join(ens.select(*keys, "word", "full", "safe", "b"), [*keys, "word"])
+
+    def agree(v: str) -> Column:
         """The best share of equal bits over offsets of -1, 0 and 1."""
-        return F.greatest(*[F.avg(F.when(full, (F.col(f"{r}_b") == F.col(f"{r}_{v}{o}")).cast("double"))) for o in ("m", "", "p")])
-
-    out = near.groupBy(*keys).agg(*[(F.avg(F.when(full, (F.col(f"{r}_lo") == F.col(f"{r}_hi")).cast("double"))) * 100).alias(f"{r}_safe") for r in RULES], *[((agree(r, "x") + agree(r, "y")) * 50).alias(f"{r}_ps") for r in RULES])
-    out = by_rule(out, keys, safe="safe", ps="ps")
+        shares = []
+        for o in (-1, 0, 1):
+            there = packed.moved(f"mask{v}", o)
+            m, w = F.sum(packed.met(there, F.col("full"))), F.sum(packed.apart(packed.moved(f"bit{v}", o), F.col("b"), there, F.col("full")))
+            shares.append(F.try_divide(m - w, m))
+        return F.greatest(*shares)
+
+    out = near.groupBy(*keys).agg((F.try_divide(F.sum(F.bit_count("safe")), F.sum(F.bit_count("full"))) * 100).alias("safe"), ((agree("x") + agree("y")) * 50).alias("ps"))
     return out.groupBy("rule", "margin", "pair").agg(r6(F.percentile("safe", F.lit(0.5)), "safe_pct"), r6(F.percentile("ps", F.lit(0.5)), "stability_pct"))
 
 
@@ -140,8 +161,8 @@ def timing_errors(spark, sf, at: list[float], periods: list[float], bits: int |
         ref = ref.filter(F.col("k") < bits)
     got = symbols.decode(rows, "nearest", at, periods=periods).withColumnRenamed("lamp", "stream")
     n_ref = order.small(ref.groupBy("stream").agg(F.count("*").alias("n_ref")))
-    near = scoring.with_neighbours(got, ref, 3, ["stream"]).join(n_ref, "stream")
-    return near.groupBy("stream", "phase_id").agg(scoring.ber_of(F.col("bit"), 3, F.max("n_ref")).alias("ber"))
+    sums = packed.offset_sums(packed.pack(got, ["stream", "phase_id"]), packed.pack(ref, ["stream"]), 3, ["stream"], ["phase_id"])
+    return packed.best_rate(sums, ["stream", "phase_id"], n_ref)
 
 
 @query("e4_period_tolerance", f"{tolerance_sql(f'(SELECT i, {T} * (1 + (i - 10) / 100.0::DOUBLE) AS per FROM range(21) t(i))', '(SELECT 0 AS j, 0.7::DOUBLE AS ph)', '500')}, z AS (SELECT stream, coalesce(max(i // 100) FILTER (ber > 0.01 AND i < 1000) + 1, 0) AS lo, coalesce(min(i // 100) FILTER (ber > 0.01 AND i > 1000) - 1, 20) AS hi, bool_or(ber <= 0.01 AND i = 1000) AS ok, min(ber) AS best FROM q GROUP BY stream) SELECT stream, round(CASE WHEN ok THEN hi - lo ELSE 0 END, 6)::DOUBLE AS tolerance_pct, round(best, 6) AS best_ber FROM z")
@@ -173,9 +194,9 @@ SWEPT = ("confident", "nearest")
 
 def held_against(bits: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
     """factor, value, rule, same_pct: the median over keys of the share of bits (keys, factor, value, rule, k) that equal the base's."""
-    both = bits.join(base.select(*keys, "rule", "k", F.col("bit").alias("b0")), [*keys, "rule", "k"])
-    per = both.groupBy(*keys, "factor", "value", "rule").agg((F.avg((F.col("bit") == F.col("b0")).cast("double")) * 100).alias("s"))
-    return per.groupBy("factor", "value", "rule").agg(r6(F.percentile("s", F.lit(0.5)), "same_pct"))
+    own = [*keys, "rule"]
+    per = packed.same_share(packed.pack(bits, [*own, "factor", "value"]), packed.pack(base, own), own, ["factor", "value"])
+    return per.groupBy("factor", "value", "rule").agg(r6(F.percentile(F.col("share") * 100, F.lit(0.5)), "same_pct"))
 
 
 def both_rules(rows: DataFrame, keys: list[str], phases: list[float] | None = None, **variants) -> DataFrame:
