@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators.folds import folded, sampled
 from tarnwave.operators.fourier import CELLS, lag_sums
 from tarnwave.operators.order import with_stats
 from tarnwave.sources.stage import staged
@@ -97,30 +98,82 @@ def grid_distance(at: Column, period: Column, phase: Column) -> Column:
     return F.abs(r - F.rint(r)) * period
 
 
-def period_grid(low: float, n: int, step: float) -> Column:
-    """An array of n periods from low on."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + i * F.lit(step))
+def period_grid(low: float, n: int, step: float) -> list[float]:
+    """n periods from low on."""
+    return [low + i * step for i in range(n)]
 
 
-def grid_score(edges: DataFrame, periods: Column, phases: int, keys: Sequence[str] = KEYS, frame: str = "frame") -> DataFrame:
+def of_period(sums: DataFrame, periods: Sequence[float]) -> DataFrame:
+    """sums with the column period in place of its number i."""
+    return sums.withColumn("period", F.element_at(F.array(*map(F.lit, periods)), F.col("i") + 1)).drop("i")
+
+
+def grid_score(edges: DataFrame, periods: Sequence[float], phases: int, keys: Sequence[str] = KEYS, frame: str = "frame") -> DataFrame:
     """keys, period, score, better_pct: mean distance of edges to the best of so many grids of each period.
 
-    Rows are multiplied by the periods, so this takes edges, not frames; the phases are columns of one aggregation.
+    Edges fold into `phases` bins of each period. Inside a bin the distance to any of the grids is linear, so a bin's
+    count and sum of places are enough for all grids.
     """
-    grid = edges.select(*keys, F.explode(periods).alias("period"), F.col(frame).cast("double").alias("__e"))
-    r = F.col("__e") / F.col("period")
-    far = [r - i / phases - F.rint(r - i / phases) for i in range(phases)]
-    means = grid.groupBy(*keys, "period").agg(*[F.avg(F.abs(d)).alias(f"__{i}") for i, d in enumerate(far)])
-    score = F.least(*[F.col(f"__{i}") for i in range(phases)]) * F.col("period") if phases > 1 else F.col("__0") * F.col("period")
-    means = means.select(*keys, "period", score.alias("score"))
-    return means.withColumn("better_pct", (F.col("period") / 4.0 - F.col("score")) / (F.col("period") / 4.0) * 100)
+    if phases % 2:
+        raise ValueError("phases must be even, so that distances bend at borders of bins alone")
+    p = np.array(periods)
+
+    def fold(at: np.ndarray) -> np.ndarray:
+        r = at[None, :].astype(float) / p[:, None]
+        u = r - np.floor(r)
+        cell = np.minimum((u * phases).astype(np.int64), phases - 1) + np.arange(len(p))[:, None] * phases
+        return np.stack([np.bincount(cell.ravel(), w, len(p) * phases) for w in (None, u.ravel())], 1)
+
+    bins = folded(edges, keys, [frame], ("c", "s"), len(p) * phases, fold)
+    bins = bins.withColumns({"b": F.col("i") % phases, "i": F.floor(F.col("i") / phases).cast("int")})
+    far = []
+    for j in range(phases):
+        sign = [1.0 if (b - j) % phases < phases // 2 else -1.0 for b in range(phases)]
+        rest = [x * ((b < j) - j / phases) + (x < 0) for b, x in enumerate(sign)]
+        of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("b") + 1)
+        far.append(F.sum(F.col("c") * of(rest) + F.col("s") * of(sign)))
+    means = of_period(bins.groupBy(*keys, "i").agg((F.least(*far) / F.sum("c")).alias("least")), periods)
+    score = F.col("least") * F.col("period")
+    return means.select(*keys, "period", score.alias("score"), ((F.col("period") / 4.0 - score) / (F.col("period") / 4.0) * 100).alias("better_pct"))
+
+
+def concentration(edges: DataFrame, periods: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, period, r: length of the mean unit vector of the edges' phases."""
+    p = np.array(periods)[:, None]
 
+    def fold(at: np.ndarray) -> np.ndarray:
+        a = 2 * np.pi * (np.mod(at[None, :].astype(float), p) / p)
+        return np.stack([np.cos(a).sum(1), np.sin(a).sum(1), np.full(len(p), float(len(at)))], 1)
 
-def concentration(edges: DataFrame, periods: Column, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, period, r: length of the mean unit vector of the edges' phases."""
-    a = F.lit(6.283185307179586) * (F.pmod(F.col("frame").cast("double"), F.col("period")) / F.col("period"))
-    rows = edges.withColumn("period", F.explode(periods))
-    return rows.groupBy(*keys, "period").agg(F.sqrt(F.pow(F.avg(F.cos(a)), F.lit(2.0)) + F.pow(F.avg(F.sin(a)), F.lit(2.0))).alias("r"))
+    sums = of_period(folded(edges, keys, ["frame"], ("x", "y", "n"), len(p), fold), periods)
+    return sums.select(*keys, "period", (F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / F.col("n")).alias("r"))
+
+
+def gap_cost(gaps: DataFrame, periods: Sequence[float], keys: Sequence[str], gap: str = "gap") -> DataFrame:
+    """keys, period, c: how far gaps lie from whole numbers of periods on average, in periods."""
+    p = np.array(periods)[:, None]
+
+    def fold(x: np.ndarray) -> np.ndarray:
+        q = x[None, :].astype(float) / p
+        return np.stack([np.abs(q - np.rint(q)).sum(1), np.full(len(p), float(len(x)))], 1)
+
+    sums = of_period(folded(gaps, keys, [gap], ("s", "n"), len(p), fold), periods)
+    return sums.select(*keys, "period", (F.col("s") / F.col("n")).alias("c"))
+
+
+def sampled_mean(rows: DataFrame, settings: Sequence[tuple[float, float]], value: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, i (of the setting), mean: of value over the frames nearest to first + k * period, for settings (first, period).
+
+    rows: keys, frame, n (frames of the key).
+    """
+    first, period = (np.array(x) for x in zip(*settings, strict=True))
+
+    def fold(frame: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+        there = sampled(frame, n, first, period)
+        return np.stack([there @ x, there.sum(1).astype(float)], 1)
+
+    sums = folded(rows.withColumn("__x", value.cast("double")), keys, ["frame", "n", "__x"], ("s", "c"), len(settings), fold)
+    return sums.select(*keys, "i", F.try_divide("s", "c").alias("mean"))
 
 
 def spectrum(signal: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:

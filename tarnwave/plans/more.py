@@ -55,12 +55,8 @@ def w9(spark, sf):
 
 @query("b14_phase_by_eye", f"WITH {SIGNAL}, {THR}, {DEV}, p AS (SELECT i, i * 0.02::DOUBLE AS ph FROM range(142) t(i)), k AS (SELECT lamp, i, ph, unnest(range(CAST(ceil((n - 1 - (ph + {T} / 2)) / {T}) AS BIGINT))) AS k FROM stats, p), s AS (SELECT k.lamp, i, round(avg(abs(d)), 6) AS score FROM k JOIN dev d ON d.lamp = k.lamp AND d.frame = CAST(round_even(ph + {T} / 2 + k * {T}, 0) AS BIGINT) GROUP BY ALL) SELECT lamp, CAST(i AS BIGINT) AS phase_id, score FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY score DESC, i) AS r FROM s) WHERE r = 1")
 def b14(spark, sf):
-    rows = thresholded(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(141).cast("long"))))
-    first = F.col("i") * F.lit(0.02) + F.lit(PERIOD / 2)
-    k = F.floor((F.col("frame") - first) / PERIOD)
-    rows = rows.withColumn("k", F.explode(F.array(k - 1, k, k + 1, k + 2)))
-    rows = rows.filter((F.col("k") >= 0) & (F.col("k") < F.ceil((F.col("n") - 1 - first) / PERIOD)) & (F.rint(first + F.col("k") * F.lit(PERIOD)) == F.col("frame")))
-    s = rows.groupBy("lamp", "i").agg(r6(F.avg(F.abs(F.col("v") - F.col("thr"))), "score"))
+    settings = [(i * 0.02 + PERIOD / 2, PERIOD) for i in range(142)]
+    s = clock.sampled_mean(thresholded(spark, sf), settings, F.abs(F.col("v") - F.col("thr"))).select("lamp", F.col("i").cast("long").alias("i"), r6("mean", "score"))
     return s.groupBy("lamp").agg(F.max_by("i", F.struct("score", -F.col("i"))).alias("phase_id"), F.max("score").alias("score"))
 
 
