@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarnwave.operators.order import SMALL, carried, numbered, small, with_stats
+from tarnwave.operators.order import CHUNK, SMALL, carried, numbered, small, with_stats
 from tarnwave.sources.stage import staged
 
 KEYS = ("lamp",)
@@ -87,35 +90,64 @@ def middle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return with_stats(df, keys, thr_mid=(F.min("v") + F.max("v")) / 2, thr_mean=F.avg("v"))
 
 
-def moving_quantiles(df: DataFrame, window: int, shares: dict[str, float], quarter: bool = True, odd: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+def moving_quantiles(df: DataFrame, window: int, shares: dict[str, float], quarter: bool = True, odd: bool = False, keys: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
     """df with one column for each share: quantiles over a moving window at knots, linear between them.
 
     The window is min(window, max(51, n // 4)) frames if quarter, else window; odd makes it odd. Knots stand every
     max(1, w // 8) frames; windows see the edge value repeated; beyond the last knot its value holds.
+
+    A chunk of frames comes together with what its windows see beyond its ends (some `window` frames a side), so there
+    is one exchange, of hardly more than the table. Inside, blocks of frames are sorted once, and a window merges its
+    sorted blocks with the few frames at its ends.
     """
-    n, w, step = "__n", "__w", "__step"
-    size = F.least(F.lit(window), F.greatest(F.lit(51), F.floor(F.col(n) / 4))).cast("long") if quarter else F.lit(window).cast("long")
-    sized = with_stats(df, keys, **{n: F.count("*")}).withColumn(w, size.bitwiseOR(F.lit(1)) if odd else size)
-    sized = sized.withColumn(step, F.greatest(F.lit(1), F.floor(F.col(w) / 8)).cast("long"))
-    half = F.floor(F.col(w) / 2)
-    # which knots see this frame, and how often: the first and last frame stand for those beyond the ends as well
-    first = F.col("frame") - (F.col(w) - 1 - half)
-    last = F.col("frame") + half
-    from_, to = F.ceil(F.greatest(F.lit(0), first) / F.col(step)), F.floor(F.least(F.col(n) - 1, last) / F.col(step))
-    seen = sized.filter(from_ <= to).withColumn("knot", F.explode(F.sequence(from_, to)))
-    at = F.col("knot") * F.col(step)
-    begin, end = at - half, at - half + F.col(w) - 1
-    times = F.when((F.col("frame") >= begin) & (F.col("frame") <= end), 1).otherwise(0)
-    times = times + F.when(F.col("frame") == 0, F.greatest(F.lit(0), -begin)).otherwise(0)
-    times = times + F.when(F.col("frame") == F.col(n) - 1, F.least(F.col(w), F.greatest(F.lit(0), end - F.col(n) + 1))).otherwise(0)
-    seen = seen.withColumn("__times", times.cast("long")).filter("__times > 0")
-    at_knots = seen.groupBy(*keys, "knot").agg(*[F.percentile("v", F.lit(p), F.col("__times")).alias(c) for c, p in shares.items()])
-    left = sized.withColumn("knot", F.floor(F.col("frame") / F.col(step)))
-    own = left.join(at_knots, [*keys, "knot"])
-    after = at_knots.select(*keys, (F.col("knot") - 1).alias("knot"), *[F.col(c).alias(f"__next_{c}") for c in shares])
-    both = own.join(after, [*keys, "knot"], "left")
-    part = (F.col("frame") - F.col("knot") * F.col(step)) / F.col(step)
-    return both.select(*df.columns, *[F.coalesce(F.col(c) + (F.col(f"__next_{c}") - F.col(c)) * part, F.col(c)).alias(c) for c in shares])
+    size = small(df.groupBy(*keys).agg(F.count("*").alias("__n")))
+    own, far = [f"__own_{k}" for k in keys], window + window // 8 + 2
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+    rows = df.join(size.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "__n"), same).drop(*own)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("frame") - far) / chunk)), F.least(F.floor((F.col("__n") - 1) / chunk), F.floor((F.col("frame") + far) / chunk)))
+    rows = rows.withColumn("__c", F.explode(near))
+    names, kept = list(shares), list(df.columns)
+
+    def run(table: pa.Table) -> pa.Table:
+        n, c = table["__n"][0].as_py(), table["__c"][0].as_py()
+        w = min(window, max(51, n // 4)) if quarter else window
+        w |= int(odd)
+        step, half = max(1, w // 8), w // 2
+        table = table.take(np.argsort(table["frame"].to_numpy(), kind="stable"))
+        frame, v = table["frame"].to_numpy(), table["v"].to_numpy().astype(float)
+        first = frame[0]
+        inside = np.flatnonzero((frame >= c * chunk) & (frame < (c + 1) * chunk))
+        knots = np.arange(frame[inside[0]] // step, min(frame[inside[-1]] // step + 1, (n - 1) // step) + 1)
+        blocks = {}
+
+        def sorted_block(i: int) -> np.ndarray:
+            if i not in blocks:
+                blocks[i] = np.sort(v[i * step : (i + 1) * step])
+            return blocks[i]
+
+        at = np.empty((len(knots), len(names)))
+        ranks = np.array([shares[x] for x in names]) * (w - 1)
+        low = np.floor(ranks).astype(np.int64)
+        for i, knot in enumerate(knots.tolist()):
+            begin, end = knot * step - half, knot * step - half + w  # end not included
+            a, b = max(begin, 0) - first, min(end, n) - first
+            lo, hi = -(-a // step), b // step
+            parts = [np.repeat(v[:1], max(0, -begin)), np.repeat(v[-1:], max(0, end - n))]
+            parts += [v[a : lo * step], *map(sorted_block, range(lo, hi)), v[hi * step : b]] if lo < hi else [v[a:b]]
+            seen = np.sort(np.concatenate(parts), kind="stable")  # merges the runs it finds
+            at[i] = seen[low] + (seen[np.minimum(low + 1, w - 1)] - seen[low]) * (ranks - low)
+            blocks.pop(lo - 1, None)
+        k = frame[inside] // step - knots[0]
+        after = np.minimum(k + 1, len(knots) - 1)
+        part = ((frame[inside] % step) / step)[:, None]
+        values = at[k] + (at[after] - at[k]) * part
+        out = table.take(inside).select(kept)
+        for j, x in enumerate(names):
+            out = out.append_column(x, pa.array(values[:, j]))
+        return out
+
+    kinds = StructType([*df.schema.fields, *(StructField(x, DoubleType()) for x in names)])
+    return rows.groupBy(*keys, "__c").applyInArrow(run, kinds)
 
 
 def adaptive(df: DataFrame, window: int = 2600, low: float = 0.1, high: float = 0.9, odd: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
