@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,16 @@ CHUNK = 1 << 16
 SMALL = 100_000
 
 
+def fetched(df: DataFrame, most: int = SMALL) -> pa.Table | None:
+    """df as a local table if it has `most` rows or fewer, in one job; else null."""
+    table = df.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, a table of summaries: written, counted, and sent to all executors where it is small."""
-    out = staged(df, "summary")
-    return F.broadcast(out) if out.count() <= SMALL else out
+    """df, a table of summaries, computed once: sent to all executors if it has SMALL rows or fewer, else a written table."""
+    table = fetched(df)
+    return staged(df, "summary") if table is None else F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

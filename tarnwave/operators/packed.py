@@ -28,9 +28,10 @@ def pack(bits: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("bit",)
 
     more: further masks, of the symbols for which a condition holds.
     """
-    own = [F.bit_or(F.when(F.col(c) == 1, place(k)).otherwise(F.lit(0).cast("long"))).alias(c) for c in columns]
-    own += [F.bit_or(F.when(c, place(k)).otherwise(F.lit(0).cast("long"))).alias(name) for name, c in (more or {}).items()]
-    return bits.groupBy(*keys, word_of(k).alias("word")).agg(F.bit_or(place(k)).alias("mask"), *own)
+    at = bits.withColumn("__at", place(k))
+    own = [F.expr(f"bit_or(if(`{c}` = 1, __at, 0L))").alias(c) for c in columns]
+    own += [F.bit_or(F.when(c, F.col("__at")).otherwise(F.lit(0).cast("long"))).alias(name) for name, c in (more or {}).items()]
+    return at.groupBy(*keys, word_of(k).alias("word")).agg(F.bit_or("__at").alias("mask"), *own)
 
 
 def with_sides(words: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("bit", "mask")) -> DataFrame:

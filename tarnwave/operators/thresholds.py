@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarnwave.operators.order import CHUNK, SMALL, carried, numbered, small, with_stats
+from tarnwave.operators.order import CHUNK, carried, fetched, numbered, small, with_stats
 from tarnwave.sources.stage import staged
 
 KEYS = ("lamp",)
@@ -30,13 +31,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], v: str, accuracy: int = 100_00
     asked = [x for p in shares.values() for x in (max(0.0, p - width), min(1.0, p + width))]
     also = also or {}
     rows = df.withColumn("__v", F.col(v))
-    sketch = staged(rows.groupBy(*keys).agg(F.percentile_approx("__v", asked, accuracy).alias("__b"), F.count("__v").alias("__n")).filter("__n > 0"), "sketch")
-    sizes = sketch.agg(F.max("__n").alias("n"), F.count("*").alias("keys")).first()
-    if (sizes["n"] or 0) * 2 * width > gathered:
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", asked, accuracy).alias("__b"), F.count("__v").alias("__n")).filter("__n > 0")
+    table = fetched(sketch)
+    sketch = staged(sketch, "sketch") if table is None else F.broadcast(df.sparkSession.createDataFrame(table, sketch.schema))
+    most = (sketch.agg(F.max("__n")).first()[0] if table is None else pc.max(table["__n"]).as_py()) or 0
+    if most * 2 * width > gathered:
         exact = sorted_quantiles(df, keys, v, **shares)
         return exact.join(df.groupBy(*keys).agg(*[c.alias(name) for name, c in also.items()]), list(keys)) if also else exact
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    both = rows.alias("r").join(F.broadcast(sketch.alias("s")) if sizes["keys"] <= SMALL else sketch.alias("s"), same)
+    both = rows.alias("r").join(sketch.alias("s"), same)
     parts, x = [F.first("__n").alias("__n")], F.col("__v")
     for i, name in enumerate(shares):
         lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]

@@ -49,24 +49,31 @@ def grid_words(rows: DataFrame, levels: DataFrame, at: list[float], keys: list[s
     phase = F.element_at(F.array(*map(F.lit, at)), F.col("phase_id").cast("int") + 1)
     values = values.withColumn("stop", phase + F.col("k") * F.lit(PERIOD) + PERIOD)
     cells = values.join(levels.groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == p, F.col("thr"))).alias(f"thr{p}") for p in PAIRS]), keys)
-    cells = cells.withColumns({f"f{i}": F.greatest(F.floor(F.col("stop") - m), F.col("lo")) - F.col("lo") for i, m in enumerate(MARGINS)})
-
-    def value(rule: str, pair: int, i: int) -> Column:
-        there, thr = [F.col(f"f{i}") >= j for j in range(width)], F.col(f"thr{pair}")
+    # what each rule says of the first one, two, ... frames of a window; a margin only tells how many there are
+    steps: list[dict[str, str]] = [{f"d{p}_{j}": f"__{j} - thr{p}" for p in PAIRS for j in range(width)}]
+    for j in range(width):
+        before = {p: f"confident{p}_{j - 1}" if j else "cast(null as double)" for p in PAIRS}
+        furthest = {f"confident{p}_{j}": f"case when d{p}_{j} is not null and ({was} is null or abs(d{p}_{j}) > abs({was})) then d{p}_{j} else {was} end" for p, was in before.items()}
+        total, count = (" + ".join(x.format(i) for i in range(j + 1)) for x in ("coalesce(__{0}, 0D)", "cast(__{0} is not null as int)"))
+        steps.append(furthest | {f"mean_{j}": f"({total}) / ({count})"})
+    steps.append({f"f{i}": f"least(greatest(floor(stop - {m}D), lo) - lo, {width - 1})" for i, m in enumerate(MARGINS)})
+    for step in steps:
+        cells = cells.selectExpr("*", *[f"{x} as {name}" for name, x in step.items()])
+
+    def value(rule: str, pair: int, margin: float) -> str:
         if rule == "nearest":
-            return F.col("mid") - thr
-        if rule == "confident":
-            return symbols.furthest([F.when(there[j], F.col(f"__{j}") - thr) for j in range(width)])
-        return symbols.mean_of([F.when(there[j], F.col(f"__{j}")) for j in range(width)]) - thr
+            return f"mid - thr{pair}"
+        of = {"confident": f"confident{pair}_{{}}", "average": f"mean_{{}} - thr{pair}"}[rule]
+        return f"case f{MARGINS.index(margin)} {' '.join(f'when {j} then {of.format(j)}' for j in range(width))} end"
 
-    bits = cells.select(*keys, "phase_id", "k", *[(value(rule, pair, MARGINS.index(m)) > 0).cast("int").alias(name) for name, rule, pair, m in SETTINGS])
+    bits = cells.selectExpr(*keys, "phase_id", "k", *[f"cast({value(rule, pair, m)} > 0 as int) as {name}" for name, rule, pair, m in SETTINGS])
     return packed.pack(bits, [*keys, "phase_id"], [name for name, *_ in SETTINGS])
 
 
 def each_setting(words: DataFrame, keep: list[str]) -> DataFrame:
     """A row of each word for each setting: keep, rule, pair, margin, bit."""
-    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(pair).alias("pair"), F.lit(margin).alias("margin"), F.col(name).alias("bit")) for name, rule, pair, margin in SETTINGS])
-    return words.select(*keep, F.explode(each).alias("s")).select(*keep, "s.*")
+    each = ", ".join(f"struct('{rule}' as rule, {pair} as pair, {margin}D as margin, {name} as bit)" for name, rule, pair, margin in SETTINGS)
+    return words.selectExpr(*keep, f"inline(array({each}))")
 
 
 def validated(spark, sf) -> DataFrame:
