@@ -65,7 +65,7 @@ def folded(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], sums: S
         if held:
             yield told()
 
-    per = rows.select(*keys, *columns).mapInArrow(go, f"{kinds}, i int, {', '.join(f'{c} double' for c in sums)}")
+    per = rows.select(*keys, *columns).mapInArrow(go, ", ".join([*([kinds] if kinds else []), "i int", *(f"{c} double" for c in sums)]))
     return per.groupBy(*keys, "i").agg(*[F.sum(c).alias(c) for c in sums])
 
 

@@ -1,17 +1,16 @@
-"""Learned models by Spark ML: a symbol classifier, and clusters of pixels that blink together."""
+"""Learned models: a symbol classifier, and clusters of pixels that blink together."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators import newton
 from tarnwave.operators.order import numbered, with_stats
 from tarnwave.sources.stage import staged
 
@@ -20,12 +19,17 @@ FEATURES = ("d_m1", "d_0", "d_1", "d_2", "d_3", "frac")
 
 def fit_and_score(train: DataFrame, rows: DataFrame, features: Sequence[str] = FEATURES, c: float = 1.0) -> DataFrame:
     """rows with bit and confidence under a logistic regression fitted to train's label, with an L2 penalty of 1 / c."""
-    vector = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip")
-    n = max(1, train.count())
-    model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100)
-    out = model.fit(vector.transform(train)).transform(vector.transform(rows))
-    p = vector_to_array("probability")[1]
-    return out.select(*rows.columns, (p > 0.5).cast("long").alias("bit"), (2 * F.abs(p - 0.5)).alias("confidence"))
+    return newton.fit(staged(train), features, penalties=(c,)).scored(rows, F.lit(0))
+
+
+def leave_one_out(table: DataFrame, key: str, features: Sequence[str] = FEATURES, c: float = 1.0) -> DataFrame:
+    """table with bit and confidence, each key's rows by a model that hasn't seen that key. All models are fitted together.
+
+    Beyond newton.FOLDS keys, keys share a fold, which is left out as a whole.
+    """
+    dealt = staged(newton.fold_of(table, key))
+    folds = (dealt.agg(F.max("__folds")).first()[0]) or 1
+    return newton.fit(dealt, features, folds, (c,), fold="fold").scored(dealt, F.col("fold")).drop("fold", "__folds")
 
 
 def pixel_clusters(pixels: DataFrame, frames: int = 600, most: int = 6, least_share: float = 0.05, apart: float = 0.02, seed: int = 0) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from tarnwave.operators import clock, learn
+from pyspark.sql import functions as F
+
+from tarnwave.operators import clock, learn, newton
 
 
 def test_classifier_learns_a_plane(spark):
@@ -19,6 +21,51 @@ def test_classifier_learns_a_plane(spark):
     assert all(0 <= g["confidence"] <= 1 for g in got)
 
 
+def numpy_fit(x, y, c):
+    """Gradient steps of Newton's method on the whole matrix, to the end."""
+    x, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    ridge = np.diag(np.r_[np.ones(x.shape[1] - 1), 0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(c * (x.T * (p * (1 - p))) @ x + ridge, c * x.T @ (p - y) + ridge @ w)
+    return w
+
+
+def test_all_folds_and_penalties_in_the_same_passes(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for channel in range(5):
+        x = rng.normal(channel / 3, 1, (60, 3))
+        y = (x @ [1.0, -2.0, 0.5] + rng.normal(0, 1, 60) > 0.3).astype(int)
+        rows += [(f"c{channel}", *map(float, r), int(b)) for r, b in zip(x, y)]
+    df = newton.fold_of(spark.createDataFrame(rows, "lamp string, p double, q double, r double, label long").repartition(3), "lamp")
+    models = newton.fit(df, ["p", "q", "r"], 5, (0.1, 1.0, 10.0), fold="fold")
+    assert models.passes < 20
+    for fold in range(5):
+        own = [r for r in rows if r[0] != f"c{fold}"]
+        for j, c in enumerate((0.1, 1.0, 10.0)):
+            assert np.allclose(models.weights[fold, j], numpy_fit(np.array([r[1:4] for r in own]), np.array([r[4] for r in own]), c), atol=1e-6)
+    scored = models.scored(df, F.col("fold"), 1).collect()
+    for r in scored:
+        w = models.weights[r["fold"], 1]
+        p = 1 / (1 + np.exp(-(w[:3] @ [r["p"], r["q"], r["r"]] + w[3])))
+        assert r["bit"] == (p > 0.5) and abs(r["confidence"] - 2 * abs(p - 0.5)) < 1e-9
+
+
+def test_separable_missing_and_empty_rows(spark):
+    df = spark.createDataFrame([(float(i), int(i > 9)) for i in range(20)] + [(None, 1), (3.0, None)], "x double, label long")
+    models = newton.fit(df, ["x"], penalties=(1e6,))
+    assert np.isfinite(models.weights).all() and np.allclose(models.weights[0, 0], numpy_fit(np.arange(20.0)[:, None], np.arange(20) > 9, 1e6), rtol=1e-2)
+    assert models.scored(df, F.lit(0)).count() == 21
+    assert (newton.fit(df.limit(0), ["x"]).weights == 0).all()
+
+
+def test_many_channels_share_folds(spark):
+    df = newton.fold_of(spark.range(500).select(F.col("id").alias("lamp")), "lamp", most=7)
+    got = df.groupBy("fold").count().collect()
+    assert len(got) == 7 and {r["__folds"] for r in df.collect()} == {7}
+
+
 def test_penalty_shrinks_weights(spark):
     rows = [(float(i % 2), i % 2) for i in range(100)]
     df = spark.createDataFrame(rows, "d_0 double, label long")
@@ -58,7 +105,7 @@ def test_all_lags_equal_a_loop(spark):
     r = random.Random(5)
     bits = {c: [r.randrange(2) for _ in range(n)] for c, n in (("a", 70), ("b", 33))}
     df = spark.createDataFrame([(c, k, b) for c in bits for k, b in enumerate(bits[c])], "lamp string, k long, bit long")
-    got = {(g["lamp"], g["lag"]): g["s"] for g in clock.all_lags(df, block=16).collect()}
+    got = {(g["lamp"], g["lag"]): g["s"] for g in clock.all_lags(df, cells=16).collect()}
     for c, bs in bits.items():
         x = [2 * b - 1 for b in bs]
         for lag in range(len(x)):
