@@ -79,6 +79,12 @@ def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     return pixels.join(b, inside)
 
 
+def hash_long(hash_: Column) -> Column:
+    """A hash of 64 characters 0 and 1 as a long, the first character in the top bit."""
+    half = lambda at: F.conv(F.substring(hash_, at, 32), 2, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(33))
+
+
 def average_hash(pixels: Column) -> Column:
     """Which of 64 pixels exceed their mean, as a string of 0 and 1."""
     m = mean(pixels)

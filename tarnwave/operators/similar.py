@@ -1,4 +1,4 @@
-"""Signals that go up and down alike, found through a lossless index.
+"""Signals that go up and down alike, and frames whose hashes are near, found through lossless indexes.
 
 Two signals are compared over the frames of the shorter one. Which pairs of lengths meet is known, so each signal enters
 the few levels of length in which a partner may stop. There, the first L frames are told by their leading coefficients of
@@ -15,6 +15,7 @@ touches; those who meet there and lie within both radii are candidates, and only
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,3 +94,30 @@ def near_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.98, least
     out = both.groupBy("a", "b").agg(F.covar_pop("va", "vb").alias("sab"), F.count("*").alias("n"), F.stddev_pop("va").alias("sa"), F.stddev_pop("vb").alias("sb"))
     out = out.withColumn("corr", F.try_divide("sab", F.col("sa") * F.col("sb")))
     return out.filter((F.col("corr") > corr) & (F.col("sa") >= 1e-9) & (F.col("sb") >= 1e-9)).select("a", "b", "corr", "n")
+
+
+def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "hash", key: str = "frame") -> tuple[DataFrame, DataFrame]:
+    """Hashes of 64 bits (longs) that differ in `radius` bits at most, anywhere in the table, by the pigeonhole principle.
+
+    Of so many bands, two such hashes differ in radius // bands bits at most in at least one. So each hash is filed under
+    the value of each band, and asks under all values that near its own: no pair is lost, and frames are never compared
+    all with all. Equal hashes are one class from the start, however many frames share one.
+
+    Returns pairs (a, b, distance: hashes, a < b) and members (hash, frames, first: their number and smallest key). Null
+    hashes are left out.
+    """
+    if bands < 1 or 64 % bands or radius // bands > 2:
+        raise ValueError("64 bits must divide into the bands, and a band may differ in 2 bits at most")
+    members = staged(frames.filter(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("hash")).agg(F.count("*").alias("frames"), F.min(key).alias("first")), "hashes")
+    width, slips = 64 // bands, radius // bands
+    full = (1 << width) - 1
+    flips = [sum(1 << i for i in at) for n in range(slips + 1) for at in combinations(range(width), n)]
+    value = [F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit(full)) for i in range(bands)]
+    filed = members.select(F.col("hash").alias("b"), F.posexplode(F.array(*value)).alias("band", "value"))
+    asks = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: x.bitwiseXOR(F.col("own")))
+    asked = members.select(F.col("hash").alias("a"), F.posexplode(F.array(*value)).alias("band", "own")).select("a", "band", F.explode(asks).alias("value"))
+    met = asked.join(filed, ["band", "value"]).filter("a < b").withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    # a pair may meet in several bands: the first band that is near enough keeps it
+    near = [F.bit_count(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), i * width).bitwiseAND(F.lit(full))) <= slips for i in range(bands)]
+    first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(near)])
+    return met.filter((F.col("distance") <= radius) & (F.col("band") == first)).select("a", "b", F.col("distance").cast("long").alias("distance")), members

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwave.operators import clock, frames, learn, order, runs, symbols, synth, thresholds, windows
+from tarnwave.operators import clock, frames, learn, order, runs, similar, symbols, synth, thresholds, windows
 from tarnwave.operators.symbols import PERIOD
 from tarnwave.plans.base import BITS, CONFIDENT, DEV, NEAREST, THR, Book, T, r6
 from tarnwave.plans.base import windows as win
@@ -19,6 +19,8 @@ from tarnwave.sources.views import ARR_LABEL, PIXELS, SIGNAL, TRUTH
 
 book = Book()
 query = book.query
+#: Bits in which near frames' hashes differ at most.
+NEAR_BITS = 19
 
 
 def shifted_window(name: str, shift: float) -> str:
@@ -53,6 +55,16 @@ def w9(spark, sf):
     return rows.groupBy("label").agg(F.count_if(F.col("pixels") == F.col("was")).alias("duplicates"), F.count_if(far <= 12).alias("alike"), F.min(F.when(F.col("before").isNotNull(), far)).alias("nearest"), F.count("*").alias("n"))
 
 
+@query("f8_near_frames", f"WITH {ARR_LABEL}, h AS (SELECT frame, array_to_string(list_transform(px, lambda x: CASE WHEN x > list_avg(px) THEN '1' ELSE '0' END), '') AS hash FROM fr), c AS (SELECT hash, count(*) AS frames, min(frame) AS first FROM h GROUP BY hash) SELECT least(a.first, b.first) AS a, greatest(a.first, b.first) AS b, CAST(hamming(a.hash, b.hash) AS BIGINT) AS distance, a.frames + b.frames AS frames FROM c a JOIN c b ON a.hash < b.hash AND hamming(a.hash, b.hash) <= {NEAR_BITS}")
+def f8_near(spark, sf):
+    """Frames anywhere whose average hashes differ in NEAR_BITS bits at most; frames of one hash are told by the first one."""
+    f = views.frames(spark, sf).select("frame", frames.hash_long(frames.average_hash(F.col("pixels"))).alias("hash"))
+    pairs, members = similar.near_hashes(f, NEAR_BITS, bands=8)
+    side = lambda s: members.select(F.col("hash").alias(s), F.col("first").alias(f"f{s}"), F.col("frames").alias(f"n{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "distance", (F.col("na") + F.col("nb")).alias("frames"))
+
+
 @query("b14_phase_by_eye", f"WITH {SIGNAL}, {THR}, {DEV}, p AS (SELECT i, i * 0.02::DOUBLE AS ph FROM range(142) t(i)), k AS (SELECT lamp, i, ph, unnest(range(CAST(ceil((n - 1 - (ph + {T} / 2)) / {T}) AS BIGINT))) AS k FROM stats, p), s AS (SELECT k.lamp, i, round(avg(abs(d)), 6) AS score FROM k JOIN dev d ON d.lamp = k.lamp AND d.frame = CAST(round_even(ph + {T} / 2 + k * {T}, 0) AS BIGINT) GROUP BY ALL) SELECT lamp, CAST(i AS BIGINT) AS phase_id, score FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY score DESC, i) AS r FROM s) WHERE r = 1")
 def b14(spark, sf):
     settings = [(i * 0.02 + PERIOD / 2, PERIOD) for i in range(142)]

@@ -74,3 +74,22 @@ def test_levels(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "lamp long, frame long, v double")
     assert similar.near_signals(none).collect() == []
+
+
+def test_near_hashes_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    signed = lambda x: int(x) - (1 << 64) if int(x) >> 63 else int(x)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)] + [0, (1 << 64) - 1]
+    near = []
+    for h in base:
+        for n in (1, 3, 7, 8, 10, 11, 12):
+            near.append(h ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)))
+    hashes = [signed(x) for x in [*base, *near, *base[:5], base[0]]]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)] + [(999, None)], "frame long, hash long").repartition(4)
+    for radius, bands in ((0, 4), (3, 4), (7, 4), (11, 4), (19, 8)):
+        pairs, members = similar.near_hashes(df, radius, bands)
+        far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+        want = {(a, b, far(a, b)) for a, b in itertools.combinations(sorted(set(hashes)), 2) if far(a, b) <= radius}
+        got = [tuple(r) for r in pairs.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert sum(r["frames"] for r in members.collect()) == len(hashes)
