@@ -58,9 +58,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(table(spark, sf_dir, "documents"))
-    # what was removed comes first, then sizes, digest and what is left (null where a cut has split a character)
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    return left.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), text.alias("kept_text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("removed"), F.lower(F.hex("kept")).alias("kept_hex"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     cut AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run), kept AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM cut UNION ALL SELECT doc_id, max(z), NULL FROM cut GROUP BY doc_id),
     txt AS (SELECT d.doc_id, b, coalesce(string_agg(substr(hex(b), 2 * a - 1, 2 * (coalesce(z, octet_length(b) + 1) - a)), '' ORDER BY a), hex(any_value(b))) AS x FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id, b),
     n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut GROUP BY doc_id)
-    SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CAST(octet_length(b) AS BIGINT) AS n_bytes, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS removed, TRY(decode(unhex(x))) AS kept_text FROM txt LEFT JOIN n USING (doc_id)""",
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS removed, lower(x) AS kept_hex FROM txt LEFT JOIN n USING (doc_id)""",
     "op11_conversation_repair": r"""WITH RECURSIVE tab AS (
         SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
     raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
