@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnwave.operators import thresholds
 from tarnwave.operators.governance import compare_manifests, fingerprint
+from tarnwave.operators.order import small
 from tarnwave.plans.base import Book, r6
-from tarnwave.sources import io, views
+from tarnwave.sources import arrays, io, views
 from tarnwave.sources.stage import shared_dir, staged
 from tarnwave.sources.views import SIGNAL
 
@@ -40,16 +41,15 @@ def s8(spark, sf):
     return io.load_with_manifest(spark, at).select("lamp", "frame", r6("v"), "frames", "sha256")
 
 
-@query("s12_named_arrays", f"WITH {SIGNAL} SELECT lamp, name, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT lamp, 'level' AS name, v AS x FROM signal WHERE frame < 500 UNION ALL SELECT lamp, 'square', v * v FROM signal WHERE frame < 500) GROUP BY ALL")
+@query("s12_named_arrays", f"WITH {SIGNAL} SELECT lamp, name, count(*) AS n, round(sum(x), 4) AS total, round(max(x) FILTER (frame = 700), 6) AS at_700 FROM (SELECT lamp, frame, 'level' AS name, v AS x FROM signal UNION ALL SELECT lamp, frame, 'square', v * v FROM signal) GROUP BY ALL")
 def s12(spark, sf):
-    """Several arrays of one file, loaded by name: the first 500 levels of each channel, and their squares."""
+    """Named arrays of a signal's array files, written and loaded by name: every level, and its square."""
     at = folder(spark, "arrays")
-    parts = views.signal(spark, sf).filter("frame < 500").groupBy("lamp").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("x"))
-    parts.select("lamp", F.transform("x", lambda p: p["v"]).alias("level"), F.transform("x", lambda p: p["v"] * p["v"]).alias("square")).write.parquet(at)
-    back = spark.read.parquet(at)
-    names = [c for c in back.columns if c != "lamp"]
-    rows = back.select("lamp", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("xs")) for c in names])).alias("s")).select("lamp", "s.name", F.explode("s.xs").alias("x"))
-    return rows.groupBy("lamp", "name").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
+    made = views.signal(spark, sf).withColumns({"level": F.col("v"), "square": F.col("v") * F.col("v"), "unread": -F.col("v")})
+    manifest = small(arrays.save_arrays(made, at, ["level", "square", "unread"], chunk=1 << 14))
+    rows = arrays.load_arrays(spark, at, ["level", "square"]).join(manifest, "file")
+    there = F.col("first") + F.col("frame") == 700
+    return rows.groupBy("lamp", "name").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), r6(F.max(F.when(there, F.col("v"))), "at_700"))
 
 
 @query("k1_partitioned_write", f"WITH {SIGNAL} SELECT lamp, count(*) AS frames, round(avg(v), 6) AS mean FROM signal WHERE lamp >= 'p' GROUP BY lamp")
