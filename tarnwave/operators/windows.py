@@ -31,8 +31,12 @@ def detrend(df: DataFrame, width: int, centre: bool = True, keys: Sequence[str]
     return moved.withColumn("flat", F.col("v") - F.col("ma")).drop("ma")
 
 
-def rolling_z(df: DataFrame, width: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """df with z: (v - mean) / sd, both moving; sd from the squared distances to the moving mean, plus 1e-6."""
+def rolling_z(df: DataFrame, width: int, keys: Sequence[str] = KEYS, odd: bool = False) -> DataFrame:
+    """df with z: (v - mean) / sd, both moving; sd from the squared distances to the moving mean, plus 1e-6.
+
+    An even window reaches one frame further to the left than to the right; odd makes it one frame wider and centred.
+    """
+    width |= int(odd)
     moved = moving_average(df, width, keys, name="__mu").withColumn("__sq", F.pow(F.col("v") - F.col("__mu"), F.lit(2.0)))
     moved = moving_average(moved, width, keys, v="__sq", name="__var")
     return moved.withColumn("z", (F.col("v") - F.col("__mu")) / (F.sqrt("__var") + 1e-6)).drop("__mu", "__sq", "__var")

@@ -17,7 +17,15 @@ from tarnwave.sources.views import SIGNAL
 
 book = Book()
 query = book.query
-PRINTS = f"WITH {SIGNAL}, p AS (SELECT lamp, frame // 1000 AS part, sha256(string_agg(CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY frame)) AS h FROM signal GROUP BY ALL), f AS (SELECT lamp, sha256(string_agg(h, ',' ORDER BY part)) AS sha256 FROM p GROUP BY lamp)"
+
+
+def prints(src: str = "signal", out: str = "f", part: str = "p") -> str:
+    """CTEs of the fingerprint of each channel of src (lamp, frame, v)."""
+    return f"""{part} AS (SELECT lamp, frame // 1000 AS part, sha256(string_agg(CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY frame)) AS h FROM {src} GROUP BY ALL),
+    {out} AS (SELECT lamp, sha256(string_agg(h, ',' ORDER BY part)) AS sha256 FROM {part} GROUP BY lamp)"""
+
+
+PRINTS = f"WITH {SIGNAL}, {prints()}"
 
 
 def folder(spark, name: str) -> str:
@@ -75,7 +83,8 @@ def k9(spark, sf):
     return io.freeze(views.signal(spark, sf), folder(spark, "frozen")).select("lamp", "sha256", "frames", r6("low"), r6("high"))
 
 
-@query("k10_verify_copy", "SELECT * FROM (VALUES ('click', 'missing'), ('view', 'changed'), ('other', 'new')) t(lamp, state)")
+@query("k10_verify_copy", f"""{PRINTS}, copy AS (SELECT lamp, frame, CASE WHEN lamp = 'view' AND frame = 3 THEN v + 1 ELSE v END AS v FROM signal WHERE lamp <> 'click' UNION ALL SELECT 'other', frame, v FROM signal WHERE lamp = 'view'), {prints("copy", "g", "q")}
+    SELECT coalesce(f.lamp, g.lamp) AS lamp, CASE WHEN g.lamp IS NULL THEN 'missing' WHEN f.lamp IS NULL THEN 'new' ELSE 'changed' END AS state FROM f FULL JOIN g ON f.lamp = g.lamp WHERE f.sha256 IS DISTINCT FROM g.sha256""")
 def k10(spark, sf):
     """A frozen signal against a copy that lost a channel, changed one and got another on purpose."""
     at = folder(spark, "frozen")
@@ -85,7 +94,8 @@ def k10(spark, sf):
     return compare_manifests(manifest, fingerprint(copy.unionByName(more)), "lamp", "sha256")
 
 
-@query("f5_determinism", "SELECT DISTINCT event_type AS lamp, true AS same FROM events")
+@query("f5_determinism", f"""{PRINTS}, mixed AS (SELECT event_type AS lamp, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame, value AS v FROM (SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR)))), {prints("mixed", "g", "q")}
+    SELECT lamp, f.sha256 = g.sha256 AS same FROM f JOIN g USING (lamp)""")
 def f5(spark, sf):
     """Whether two runs over differently dealt rows give each channel the same fingerprint."""
 

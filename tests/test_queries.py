@@ -23,8 +23,8 @@ def duck(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
-    return round(float(v), 5) if hasattr(v, "as_integer_ratio") and not isinstance(v, (int, bool)) else v
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
+    return round(float(v), 9) if hasattr(v, "as_integer_ratio") and not isinstance(v, (int, bool)) else v
 
 
 def table(columns, rows):
