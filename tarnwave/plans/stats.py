@@ -383,13 +383,13 @@ def a18(spark, sf):
     return t.select("stream", "part", F.when(ok, n).cast("long").alias("n"), F.when(ok, ones).cast("long").alias("ones"), F.when(ok, n - ones).cast("long").alias("zeros"), r6(F.when(ok, ones / n), "share"))
 
 
-@query("a25_timings", "WITH m AS (SELECT user_id, event_type, median(value) AS ms FROM events GROUP BY ALL), s AS (SELECT user_id, sum(ms) AS total, count(*) AS stages FROM m GROUP BY user_id) SELECT user_id, stages, round(total, 6) AS total_ms, round(total / n, 6) AS ms_per_frame FROM s JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) USING (user_id)")
+@query("a25_timings", "WITH m AS (SELECT user_id, event_type, median(value) AS ms FROM events GROUP BY ALL), s AS (SELECT user_id, sum(ms) AS total, count(*) AS stages FROM m GROUP BY user_id) SELECT user_id, stages, round(total, 6) AS total_ms, round(round(total / n, 9), 6) AS ms_per_frame FROM s JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) USING (user_id)")
 def a25(spark, sf):
     """Timings of stages (values by type, several runs of each): the median of each stage, their sum, and that for each frame."""
     e = views.read(spark, sf, "events")
     m = thresholds.quantiles(e, ["user_id", "event_type"], "value", ms=0.5)
     s = m.groupBy("user_id").agg(F.sum("ms").alias("total"), F.count("*").alias("stages")).join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
-    return s.select("user_id", "stages", r6("total", "total_ms"), r6(F.col("total") / F.col("n"), "ms_per_frame"))
+    return s.select("user_id", "stages", r6("total", "total_ms"), r6(F.round(F.col("total") / F.col("n"), 9), "ms_per_frame"))
 
 
 @query("p12_rates_and_periods", "SELECT event_id, round(260.0::DOUBLE / (1 + event_id % 130), 6) AS period, round(260.0::DOUBLE / (260.0::DOUBLE / (1 + event_id % 130)), 6) AS bps FROM events")
