@@ -1,7 +1,11 @@
 """Personal data: patterns for what identifies someone, and terms that the corpus shows to give it away.
 
 A protected entity is a found value (an address, a number, a secret) or the group it belongs to (a mail domain, a
-network, an issuer). Terms that stand near its mentions are weighed over the documents of the whole corpus:
+network, an issuer; secrets have none). A group that holds most documents of its kind is no more than the kind, and what
+gives it away is a label such as "email": such groups are not weighed. Terms are words, and names: two capitalised words
+side by side, which may give someone away where neither does. A name beside found values is an entity as well (someone
+may have several values), if the values recur with it; beside ever new values it is a label. Terms that stand near an
+entity's mentions are weighed over the documents of the whole corpus:
 disclosure = PMI(term; entity) / IC(entity), 1 where the term stands in no document without the entity; rare counts are
 shrunk toward the entity's own share. Terms above a threshold are generalised wherever they stand in the corpus, above a
 higher one removed. Secrets are found by their information: runs of letters and digits of many bits.
@@ -31,6 +35,8 @@ DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")  # never begun again ins
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
+#: Capitalised words in a row; begun at a word's first letter only.
+CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ](?<![^\W\d_][A-ZÀ-ÖØ-Þ])[^\W\d_]{2,}+(?: [A-ZÀ-ÖØ-Þ][^\W\d_]{2,}+)+")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+")
 #: Kinds of found spans; those after the base ones are the method's.
 SECRET, TERM = len(KINDS), len(KINDS) + 1
@@ -40,7 +46,8 @@ NAMES = (*KINDS, "secret", "term")
 @dataclass(frozen=True)
 class PiiRules:
     """reach: words looked at on each side of a mention. support: different texts in which a term must stand near an
-    entity. shrink: documents' worth of weight of the entity's own share. bits: least information of a secret.
+    entity. shrink: documents' worth of weight of the entity's own share. beyond: least information (bits) of a group
+    once its kind is known. bits: least information of a secret.
     """
 
     reach: int = 4
@@ -48,6 +55,7 @@ class PiiRules:
     shrink: float = 1.0
     generalise: float = 0.9
     remove: float = 0.98
+    beyond: float = 1.0
     bits: float = 64.0
 
 
@@ -116,10 +124,10 @@ def find_all(text: str, bits: float) -> tuple[list[tuple[int, int, int]], list[t
     return base, found
 
 
-def entities(kind: int, value: str) -> tuple[str, str]:
-    """The protected entities of a found value: itself, and its group."""
+def entities(kind: int, value: str) -> tuple[str, ...]:
+    """The protected entities of a found value: itself, and its group (kind and s before the colon)."""
     if kind == SECRET:
-        return "secret:" + value, "secrets"
+        return ("secret:" + value,)
     name = KINDS[kind]
     if kind == 0:
         return f"{name}:{value.lower()}", f"{name}s:{value.lower().rpartition('@')[2]}"
@@ -135,21 +143,41 @@ RISKY = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end",
 TERMS = "array<struct<term:string,removed:boolean>>"
 
 
+def names(text: str) -> Iterator[tuple[int, int]]:
+    """Every two capitalised words side by side; longer names overlap in their pairs."""
+    for m in CAPITALS.finditer(text):
+        words = [w.span() for w in WORD.finditer(text, m.start(), m.end())]
+        yield from ((a, b) for (a, _), (_, b) in zip(words, words[1:], strict=False))
+
+
+def terms_in(text: str) -> set[str]:
+    """The words and names of a text, in lower case."""
+    return {w.lower() for w in WORD.findall(text)} | {text[a:b].lower() for a, b in names(text)}
+
+
 def near_mentions(text: str, spans: list[tuple[int, int, int]], reach: int) -> set[tuple[str, str]]:
-    """(entity, term): the reach words on each side of each span, in lower case, without words that touch a span."""
+    """(entity, term): the reach words on each side of each span, and the names among them, in lower case, without words
+    that touch a span. The names are entities too: name: with these terms, a null term, and = with the value beside.
+    """
     starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
     words = [m.span() for m in WORD.finditer(text)]
     words = [(s, e) for s, e in words if not ((j := bisect.bisect_left(starts, e)) and ends[j - 1] > s)]
-    out = set()
+    pairs, out = {a: b for a, b in names(text)}, set()
     for a, k, b in spans:
         at = bisect.bisect_left(words, (a, 0))
-        near = {text[s:e].lower() for s, e in words[max(0, at - reach) : at + reach]}
-        out.update((entity, term) for entity in entities(k, text[a:b]) for term in near)
+        seen = words[max(0, at - reach) : at + reach]
+        near = {text[s:e].lower() for s, e in seen}
+        named = {text[s:e].lower() for (s, _), (_, e) in zip(seen, seen[1:], strict=False) if pairs.get(s) == e}
+        own = entities(k, text[a:b])
+        out.update((entity, term) for entity in own for term in near | named)
+        out.update(("name:" + name, term) for name in named for term in (*near, *named, None, "=" + own[0]))
     return out
 
 
 def mentions(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
-    """What each document mentions: text_key, entity, term; once each, and once with a null term for the entity itself."""
+    """What each document mentions: text_key, entity, term; once each, and once with a null term for the entity itself
+    and for its kind ("kind:s", the s standing for the groups of it).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -157,7 +185,8 @@ def mentions(docs: DataFrame, rules: PiiRules, text: str = "text") -> DataFrame:
             for key, t in zip(batch.column(0).to_pylist(), texts, strict=True):
                 spans = sorted([x for f in find_all(t, rules.bits) for x in f])
                 if spans:
-                    pairs = near_mentions(t, spans, rules.reach) | {(e, None) for _, k, _, v in ((a, k, b, t[a:b]) for a, k, b in spans) for e in entities(k, v)}
+                    said = {e for a, k, b in spans for e in entities(k, t[a:b])} | {f"kind:{NAMES[k]}s" for _, k, _ in spans}
+                    pairs = near_mentions(t, spans, rules.reach) | {(e, None) for e in said}
                     rows += [(key, e, term) for e, term in pairs]
             keys, found, terms = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.int64()), "entity": pa.array(found, pa.string()), "term": pa.array(terms, pa.string())})
@@ -175,7 +204,7 @@ def term_counts(docs: DataFrame, text: str = "text", keep: int = 100_000) -> Dat
         total: Counter = Counter()
         for _, texts in slices(batches, text=0):
             for t in texts:
-                total.update(set(WORD.findall(t.lower())))
+                total.update(set(WORD.findall(t.lower())) | {t[a:b].lower() for a, b in names(t)})
             if len(total) > keep:
                 yield out(total)
                 total.clear()
@@ -189,11 +218,19 @@ def disclosures(docs: DataFrame, near: DataFrame, rules: PiiRules, text: str = "
 
     p(entity) is its share of all documents, p(entity | term) that among the documents with the term in which the term
     stands near it, shrunk: (documents near + shrink * p(entity)) / (documents with the term + shrink);
-    disclosure = log2(p(entity | term) / p(entity)) / -log2 p(entity).
+    disclosure = log2(p(entity | term) / p(entity)) / -log2 p(entity). A group whose share of its kind's documents is
+    above 2^-beyond is left out, and so is a name that has more than one value for two texts.
     """
     pairs = near.filter("term is not null").groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("texts"))
-    per_entity = near.filter("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = staged(pairs.filter(F.col("texts") >= rules.support).join(per_entity, "entity"), "pii-pairs")
+    per_entity = near.filter("term is null").groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"))
+    values = pairs.filter("term like '=%'").groupBy("entity").agg(F.count("*").alias("n_values"))
+    # as many kinds as there are in NAMES
+    kinds = per_entity.filter("entity like 'kind:%'").select(F.substring_index("entity", ":", -1).alias("kind"), F.col("n_entity").alias("n_kind"))
+    known = per_entity.withColumn("kind", F.substring_index("entity", ":", 1)).join(F.broadcast(kinds), "kind", "left").join(values, "entity", "left")
+    apart = F.col("n_kind").isNull() | (-F.log2(F.col("n_entity") / F.col("n_kind")) >= rules.beyond)
+    told = known.filter(apart & (F.col("n_values").isNull() | (F.col("n_texts") >= 2 * F.col("n_values")))).select("entity", "n_entity")
+    often = pairs.filter((F.col("texts") >= rules.support) & ~F.col("term").startswith("="))
+    terms = staged(often.join(told, "entity"), "pii-pairs")
     n_docs = docs.count()
     counts = term_counts(docs, text).join(terms.select("term").distinct(), "term", "left_semi")
     share = F.least(F.lit(1 - 1e-9), F.col("n_entity") / n_docs)
@@ -213,7 +250,7 @@ def terms_by_text(docs: DataFrame, terms: DataFrame, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text=0):
-            said = [list({w.lower() for w in WORD.findall(t)}) for t in texts]
+            said = [list(terms_in(t)) for t in texts]
             yield pa.RecordBatch.from_pydict({"__tw_key": batch.column(1), "words": pa.array(said, pa.list_(pa.string()))})
 
     words = docs.select(text, F.xxhash64(text).alias("__tw_key")).mapInArrow(lean(run), "__tw_key long, words array<string>")
@@ -234,15 +271,15 @@ def with_terms(docs: DataFrame, rules: PiiRules, text: str, broadcast_terms: int
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: Mapping[str, bool]) -> list[dict]:
     """Every occurrence of the terms in a text, without those that a found span touches: start, kind, end, removed."""
-    if not terms or not any(w.lower() in terms for w in set(WORD.findall(text))):
+    if not terms or terms_in(text).isdisjoint(terms):
         return []
     # spans of several kinds may overlap: the furthest end so far goes with each start
     starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
     out = []
-    for m in WORD.finditer(text):
-        removed = terms.get(m.group().lower())
-        if removed is not None and not ((j := bisect.bisect_left(starts, m.end())) and ends[j - 1] > m.start()):
-            out.append({"start": m.start(), "kind": TERM, "end": m.end(), "removed": removed})
+    for a, b in sorted([*(m.span() for m in WORD.finditer(text)), *names(text)], key=lambda at: (at[0], -at[1])):
+        removed = terms.get(text[a:b].lower())
+        if removed is not None and not ((j := bisect.bisect_left(starts, b)) and ends[j - 1] > a):
+            out.append({"start": a, "kind": TERM, "end": b, "removed": removed})
     return out
 
 

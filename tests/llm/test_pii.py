@@ -71,7 +71,7 @@ def test_disclosures_against_brute_force(spark):
             t += f" {r.choice(names[j : j + 2])} {prose(i + 7, 1)} u{j}@mail{j % 2}.example.org, " + prose(r.randrange(99), 6)
         rows.append((i, t))
     rows += rows[:5] + [(None, rows[9][1]), (200, None)]
-    rules = pii.PiiRules(support=2)
+    rules = pii.PiiRules(support=2, beyond=0)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(x["entity"], x["term"]): x["disclosure"] for x in pii.disclosures(docs, pii.mentions(docs, rules), rules).collect()}
     near, ent, term = defaultdict(list), defaultdict(int), defaultdict(int)
@@ -133,3 +133,56 @@ def test_terms_are_marked_in_the_whole_corpus(spark):
         assert len(clean) == len(rows) and not any(t and ("qxvorlan" in t.lower() or "zwembrak" in t.lower()) for t in clean)
         assert sum(t.count("[TERM]") for t in clean if t) == sum(len(r["risky"]) for r in found) == 24 + 1 + 1 + 12
         assert rows[27][1] in clean
+
+
+def test_names_are_pairs_of_capitalised_words():
+    said = lambda t: [t[a:b] for a, b in pii.names(t)]
+    assert said("Dear Maria Élise Smith, aMaria Smith Al Bo Maria smith Maria  Smith") == ["Dear Maria", "Maria Élise", "Élise Smith"]
+    assert said("A" * 200_000) == said("") == [] and len(said("Aaa " * 50_000)) == 49_999
+    assert "maria smith" in pii.terms_in("x Maria Smith") and pii.terms_in("x1 y2") == set()
+    near = pii.near_mentions("Jan Maria Smith a@b.org Foo Bar", [(16, 0, 23)], 2)
+    assert {t for e, t in near if e == "email:a@b.org"} == {"maria", "smith", "maria smith", "foo", "bar", "foo bar"}
+
+
+def test_groups_that_are_no_more_than_their_kind(spark):
+    """Eight of ten mails in one domain: it gives no more away than "mail" does; the small domain does."""
+    rows = [(i, f"{prose(i, 20)} post u{i}@big.example.org {prose(i + 50, 20)}") for i in range(40)]
+    rows += [(100 + i, f"{prose(i + 90, 20)} Zwembrak v{i}@small.example.org {prose(i + 150, 20)}") for i in range(10)]
+    rows += [(200 + i, prose(i + 700, 40)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = pii.PiiRules()
+    near = pii.mentions(docs, rules)
+    of = lambda r: {(x["entity"], x["term"]) for x in pii.disclosures(docs, near, r).collect() if x["disclosure"] >= r.generalise}
+    assert of(rules) == {("emails:small.example.org", "zwembrak")}
+    assert of(pii.PiiRules(beyond=0)) == of(rules) | {("emails:big.example.org", "post")}
+
+
+def test_planted_entities_and_labels(spark):
+    """1,000 documents: persons with two values, a place of their own and a name of common parts; labels before values
+    give none away, nor do capitalised headings.
+    """
+    import random
+
+    r = random.Random(8)
+    firsts, lasts = ([f"{w}{c}" for c in ("a", "o", "i", "u")] for w in ("Mar", "Bren"))
+    labels = {"email", "phone", "tel", "token"}
+    rows, want, person = [], set(), 0
+    for first in firsts:
+        for last in lasts:
+            person += 1
+            place = "qx" + "".join(r.choices("abcdefgh", k=6))
+            number = f"+31 20 {r.randrange(10**6, 10**7)}"
+            want |= {place, f"{first} {last}".lower()}
+            for _ in range(5):
+                value = r.choice([f"email: p{person}@host{person % 9}.example.org", f"phone {number}", f"tel {number}"])
+                rows.append(f"{prose(r.random(), 40)}. {first} {last}, {place} {value} {prose(r.random(), 40)}")
+    for _ in range(200):  # parts of names in other company, values without a person, and secrets behind their label
+        rows.append(f"{prose(r.random(), 20)}. {r.choice(firsts)} said, {r.choice(lasts)} too, {prose(r.random(), 20)} Contact Details email: x{r.random()}@h{r.randrange(30)}.org {prose(r.random(), 9)} tel +31 30 {r.randrange(10**6, 10**7)}")
+        rows.append(f"{prose(r.random(), 20)} token {''.join(r.choices('0123456789abcdef', k=40))} {prose(r.random(), 20)}")
+    rows += [prose(r.random(), 80) for _ in range(1000 - len(rows))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x["term"] for x in pii.risky_terms(docs, pii.PiiRules()).collect()}
+    assert not got & labels
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (len(want), sorted(got - want), sorted(want - got))
+    found = {x["doc_id"]: {rows[x["doc_id"]][s["start"] : s["end"]].lower() for s in x["risky"] if s["kind"] == pii.TERM} for x in pii.find_pii(docs).collect()}
+    assert all(found[i] == {t for t in got if t in rows[i].lower()} for i in found)
