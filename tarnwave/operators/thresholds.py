@@ -84,8 +84,18 @@ def fixed(df: DataFrame, low: float = 0.1, high: float = 0.9, keys: Sequence[str
 
     One small table of the keys' figures meets the rows; it is sent to all executors where its size allows.
     """
+    return with_levels(df, small(levels(df, low, high, keys)), keys)
+
+
+def levels(df: DataFrame, low: float = 0.1, high: float = 0.9, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, thr, n, span: the figures of fixed, one row for each key."""
     q = quantiles(df, keys, "v", also={"n": F.count("*"), "span": F.max("v") - F.min("v")}, __lo=low, __hi=high)
-    return df.drop("n", "span").join(small(q.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("thr"), "n", "span")), list(keys))
+    return q.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias("thr"), "n", "span")
+
+
+def with_levels(df: DataFrame, figures: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with the figures of its keys."""
+    return df.drop("n", "span").join(figures, list(keys))
 
 
 def middle(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

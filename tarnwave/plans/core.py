@@ -25,12 +25,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 def thresholded(spark, sf) -> DataFrame:
     """lamp, frame, v, thr, n, span."""
-    return thresholds.fixed(views.signal(spark, sf))
+    return views.thresholded(spark, sf)
 
 
 def binary(spark, sf) -> DataFrame:
     """The signal as bits against its fixed threshold."""
-    return thresholds.fixed(views.signal(spark, sf)).withColumn("bit", (F.col("v") > F.col("thr")).cast("long"))
+    return views.thresholded(spark, sf).withColumn("bit", (F.col("v") > F.col("thr")).cast("long"))
 
 
 LIT = "bin AS (SELECT lamp, frame, v, thr, CAST(v > thr AS BIGINT) AS bit FROM dev)"
@@ -92,7 +92,7 @@ BANDS = (0.0, 20.0, 60.0)
 @query("t6_schmitt", f"""{HEAD}, b AS (SELECT unnest([0.0, 20.0, 60.0]::DOUBLE[]) AS band), x AS (SELECT lamp, band, frame, CASE WHEN v > thr + band THEN 1 WHEN v < thr - band THEN 0 WHEN frame = 0 THEN CAST(v > thr AS INT) END AS s FROM dev, b)
     SELECT lamp, band, frame, CAST(last_value(s IGNORE NULLS) OVER (PARTITION BY lamp, band ORDER BY frame) AS BIGINT) AS state FROM x""")
 def t6(spark, sf):
-    rows = thresholds.fixed(views.signal(spark, sf)).withColumn("band", F.explode(F.array(*map(F.lit, BANDS))))
+    rows = views.thresholded(spark, sf).withColumn("band", F.explode(F.array(*map(F.lit, BANDS))))
     return thresholds.schmitt(rows, F.col("thr"), F.col("band"), ["lamp", "band"]).select("lamp", "band", "frame", "state")
 
 
@@ -223,14 +223,14 @@ def r5(spark, sf):
     st AS (SELECT lamp, band, frame, last_value(s IGNORE NULLS) OVER (PARTITION BY lamp, band ORDER BY frame) AS bit FROM x), i AS (SELECT *, sum(CASE WHEN was <> bit THEN 1 ELSE 0 END) OVER (PARTITION BY lamp, band ORDER BY frame) AS g FROM (SELECT *, lag(bit) OVER (PARTITION BY lamp, band ORDER BY frame) AS was FROM st)),
     rn AS (SELECT lamp, band, g, count(*) AS length FROM i GROUP BY ALL) SELECT lamp, band, count(*) AS n_runs, round(avg(CAST(length = 1 AS INT)), 6) AS single_share FROM (SELECT *, max(g) OVER (PARTITION BY lamp, band) AS z FROM rn) WHERE g > 0 AND g < z GROUP BY ALL""")
 def r6_sweep(spark, sf):
-    rows = thresholds.fixed(views.signal(spark, sf)).withColumn("band", F.explode(F.array(*map(F.lit, BANDS))))
+    rows = views.thresholded(spark, sf).withColumn("band", F.explode(F.array(*map(F.lit, BANDS))))
     states = thresholds.schmitt(rows, F.col("thr"), F.col("band"), ["lamp", "band"])
     return runs.runs(states, ["lamp", "band"], False, "state").groupBy("lamp", "band").agg(F.count("*").alias("n_runs"), r6(F.avg((F.col("length") == 1).cast("double")), "single_share"))
 
 
 @query("r7_subframe_edges", f"{HEAD} SELECT lamp, frame, round(frame - 1 + (thr - v0) / (v - v0), 6) AS at FROM (SELECT *, lag(v) OVER (PARTITION BY lamp ORDER BY frame) AS v0 FROM dev) WHERE (v > thr) <> (v0 > thr)")
 def r7(spark, sf):
-    rows = windows.lagged(thresholds.fixed(views.signal(spark, sf)), name="v0").filter((F.col("v") > F.col("thr")) != (F.col("v0") > F.col("thr")))
+    rows = windows.lagged(views.thresholded(spark, sf), name="v0").filter((F.col("v") > F.col("thr")) != (F.col("v0") > F.col("thr")))
     return rows.select("lamp", "frame", r6(F.col("frame") - 1 + (F.col("thr") - F.col("v0")) / (F.col("v") - F.col("v0")), "at"))
 
 

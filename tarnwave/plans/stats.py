@@ -290,7 +290,7 @@ def a8(spark, sf):
 
 @query("a9_lit_drift", f"{HEAD}, l AS (SELECT lamp, v, row_number() OVER (PARTITION BY lamp ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY lamp) AS n FROM dev WHERE v > thr), b AS (SELECT lamp, i // greatest(1, n // 20) AS block, avg(v) AS mean FROM l GROUP BY ALL) SELECT lamp, count(*) AS blocks, round(max(mean) - min(mean), 6) AS drift FROM b WHERE block < 20 GROUP BY lamp")
 def a9(spark, sf):
-    lit = thresholds.fixed(views.signal(spark, sf)).filter("v > thr").select("lamp", "frame", "v")
+    lit = views.thresholded(spark, sf).filter("v > thr").select("lamp", "frame", "v")
     rows = order.with_stats(order.numbered(lit, ["lamp"], ["frame"], "i"), ["lamp"], n=F.count("*"))
     b = rows.groupBy("lamp", F.floor(F.col("i") / F.greatest(F.lit(1), F.floor(F.col("n") / 20))).alias("block")).agg(F.avg("v").alias("mean")).filter("block < 20")
     return b.groupBy("lamp").agg(F.count("*").alias("blocks"), r6(F.max("mean") - F.min("mean"), "drift"))

@@ -5,6 +5,8 @@ Settings are columns of one plan. What all settings of a symbol need (the values
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +213,19 @@ def both_rules(rows: DataFrame, keys: list[str], phases: list[float] | None = No
     return one.unionByName(two)
 
 
+def smoothings(raw: DataFrame) -> DataFrame:
+    """lamp, frame, v, value: raw under each width of smoothing."""
+    parts = [windows.moving_average(raw, w).select("lamp", "frame", F.col("ma").alias("v"), F.lit(float(w)).alias("value")) for w in SMOOTH]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def boxed_signals(spark, sf) -> DataFrame:
+    """value (a box's number), frame, v: the mean of each box in each frame."""
+    grid = spark.createDataFrame([(float(i), round(4 + d * 4 - 2 * s), round(4 - 2 * s), max(1, round(4 * s))) for i, (s, d) in enumerate(BOXES)], "value double, x0 long, y0 long, w long")
+    inside = frames.crop(views.pixels(spark, sf), grid.withColumn("h", F.col("w"))).groupBy("value", F.col("frame").alias("at")).agg(F.avg("v").alias("v"))
+    return order.numbered(staged(inside), ["value"], ["at"], "frame").select("value", "frame", "v")
+
+
 def swept_sql(src: str, o: str, key: str = "lamp") -> str:
     """CTEs of both rules' bits of src (key, frame, v) over variants o (i, ph, sh, per)."""
     return f"""st AS (SELECT {key}, count(*) AS n, (quantile_cont(v, 0.1) + quantile_cont(v, 0.9)) / 2 AS thr, max(v) - min(v) AS span FROM {src} GROUP BY {key}), w0 AS (SELECT {key}, n, thr, span, i, ph, sh, per, unnest(range(CAST(floor((n - ph - 1) / per) AS BIGINT))) AS k FROM st, {o}),
@@ -237,20 +252,102 @@ def x3(spark, sf):
     moved = held_against(bits.filter("factor <> 'base'"), bits.filter("factor = 'base'"), ["lamp"])
 
     raw = rows.select("lamp", "frame", "v")
-    smooth = [windows.moving_average(raw, w).select("lamp", "frame", F.col("ma").alias("v"), F.lit(float(w)).alias("value")) for w in SMOOTH]
-    for part in smooth[1:]:
-        smooth[0] = smooth[0].unionByName(part)
-    sb = staged(both_rules(thresholds.fixed(staged(smooth[0]), keys=["lamp", "value"]), ["lamp", "value"]).withColumn("factor", F.lit("smoothing")))
+    sb = staged(both_rules(thresholds.fixed(staged(smoothings(raw)), keys=["lamp", "value"]), ["lamp", "value"]).withColumn("factor", F.lit("smoothing")))
     smoothed = held_against(sb, sb.filter("value = 1"), ["lamp"])
 
-    grid = spark.createDataFrame([(float(i), round(4 + d * 4 - 2 * s), round(4 - 2 * s), max(1, round(4 * s))) for i, (s, d) in enumerate(BOXES)], "value double, x0 long, y0 long, w long")
-    inside = frames.crop(views.pixels(spark, sf), grid.withColumn("h", F.col("w"))).groupBy("value", F.col("frame").alias("at")).agg(F.avg("v").alias("v"))
-    boxes = order.numbered(staged(inside), ["value"], ["at"], "frame").select("value", "frame", "v")
-    bb = staged(both_rules(thresholds.fixed(boxes, keys=["value"]), ["value"]).withColumns({"factor": F.lit("box"), "all": F.lit(1)}))
+    bb = staged(both_rules(thresholds.fixed(boxed_signals(spark, sf), keys=["value"]), ["value"]).withColumns({"factor": F.lit("box"), "all": F.lit(1)}))
     boxed = held_against(bb, bb.filter("value = 3"), ["all"])
     return moved.unionByName(smoothed).unionByName(boxed)
 
 
+#: Amplitudes of noise on the synthetic streams.
+NOISES = (8, 80)
+#: Of each variant of a decode with known bits: factor, value, whether from the true phase, phase, shift, period.
+TRUTHS = [(f, v, known, (ph + TRUE_PHASE * known) % PERIOD, sh, per) for f, v, ph, sh, per in VARIANTS[:-1] for known in (0, 1) if known or f != "phase"]
+#: A phase of a smoothed stream.
+STARTS = [("smoothing", 0.0, known, TRUE_PHASE * known, 0.0, PERIOD) for known in (0, 1)]
+
+
+def noisy_sql(variants: list[tuple], smoothed: bool) -> str:
+    """Rows of x3_error_rates for variants of the synthetic streams, or of each smoothing of them."""
+    o = ", ".join(f"({i}, '{f}', {v}::DOUBLE, {known}, {ph!r}::DOUBLE, {sh}::DOUBLE, {per!r}::DOUBLE)" for i, (f, v, known, ph, sh, per) in enumerate(variants))
+    widths = " UNION ALL ".join(f"SELECT lamp || ':{w}' AS lamp, frame, ma AS v FROM {ma_sql(w)}" for w in (SMOOTH if smoothed else ()))
+    src = f"sm AS ({widths})" if smoothed else "sm AS (SELECT lamp || ':0' AS lamp, frame, v FROM signal)"
+    return f"""WITH {BITS01}, {synth_sql("0.7::DOUBLE")},
+    signal AS (SELECT lamp || ':' || a AS lamp, frame, v + a * (('0x' || substr(md5('17:' || frame), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS v
+      FROM syn, (SELECT unnest([{", ".join(map(str, NOISES))}]) AS a)),
+    {src}, o AS (SELECT * FROM (VALUES {o}) t(i, factor, value, known, ph, sh, per)), {swept_sql("sm", "o")},
+    p AS (SELECT lamp || ':' || i || ':' || rule AS stream, k, bit FROM bb),
+    r AS (SELECT q.stream, k, bit FROM (SELECT DISTINCT stream FROM p) q JOIN truth t ON t.stream = split_part(q.stream, ':', 1)),
+    {ber_sql("p", "r")},
+    e AS (SELECT CAST(split_part(stream, ':', 2) AS BIGINT) AS noise, CAST(split_part(stream, ':', 3) AS DOUBLE) AS width, CAST(split_part(stream, ':', 4) AS INT) AS i, split_part(stream, ':', 5) AS rule, ber FROM ber)
+    SELECT factor, value + width AS value, rule, noise, round(avg(ber) FILTER (known = 0) * 100, 6) AS ber_start_pct, round(avg(ber) FILTER (known = 1) * 100, 6) AS ber_true_pct
+    FROM e JOIN o USING (i) GROUP BY ALL"""
+
+
+def known_errors(rows: DataFrame, ref: DataFrame, n_ref: DataFrame, variants: list[tuple]) -> DataFrame:
+    """factor, value, rule, noise, ber_start_pct, ber_true_pct of rows (lamp, value, frame, v), lamp being stream:noise."""
+    phases, shifts, periods = ([v[i] for v in variants] for i in (3, 4, 5))
+    named = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(float(v)).alias("at"), F.lit(known).alias("known")) for f, v, known, *_ in variants])
+    own = ["stream", "noise", "value", "rule", "phase_id"]
+    bits = both_rules(thresholds.fixed(rows, keys=["lamp", "value"]), ["lamp", "value"], phases=phases, shifts=shifts, periods=periods)
+    bits = bits.withColumns({"stream": F.substring_index("lamp", ":", 1), "noise": F.substring_index("lamp", ":", -1).cast("long")})
+    sums = packed.offset_sums(packed.pack(bits.select(*own, "k", "bit"), own), packed.pack(ref, ["stream"]), 3, ["stream"], own[1:])
+    e = packed.best_rate(sums, own, n_ref).withColumn("s", F.element_at(named, F.col("phase_id").cast("int") + 1))
+    rate = lambda known, name: r6(F.avg(F.when(F.col("s.known") == known, F.col("ber"))) * 100, name)
+    return e.groupBy("s.factor", (F.col("s.at") + F.col("value")).alias("value"), "rule", "noise").agg(rate(0, "ber_start_pct"), rate(1, "ber_true_pct"))
+
+
+@query("x3_error_rates", f"SELECT * FROM ({noisy_sql(TRUTHS, False)}) UNION ALL SELECT * FROM ({noisy_sql(STARTS, True)})")
+def x3_error_rates(spark, sf):
+    """Error rates on streams of known bits at two noises as one factor moves: decoded from the first frame, and from the true phase.
+
+    The mean over the streams. Offsets of the phase are told from the true phase alone.
+    """
+    ref = staged(views.truth(spark, sf))
+    n_ref = order.small(ref.groupBy("stream").agg(F.count("*").alias("n_ref")))
+    made = [synth.synthesise(ref, PERIOD, TRUE_PHASE, noise=float(a)).select(F.concat_ws(":", "stream", F.lit(a)).alias("lamp"), "frame", "v") for a in NOISES]
+    raw = staged(reduce(DataFrame.unionByName, made))
+    moved = known_errors(raw.withColumn("value", F.lit(0.0)), ref, n_ref, TRUTHS)
+    return moved.unionByName(known_errors(staged(smoothings(raw)), ref, n_ref, STARTS))
+
+
+TWELVE = f"o AS (SELECT i, i * ({T} / 12) AS ph, 0::DOUBLE AS sh, {T} AS per FROM range(12) t(i))"
+BOX_SRC = f"""b AS (SELECT * FROM (VALUES {", ".join(f"({i}, {round(4 + d * 4 - 2 * s)}, {round(4 - 2 * s)}, {max(1, round(4 * s))})" for i, (s, d) in enumerate(BOXES))}) t(box, x0, y0, w)),
+    src AS (SELECT CAST(box AS VARCHAR) AS lamp, row_number() OVER (PARTITION BY box ORDER BY frame) - 1 AS frame, avg(v) AS v
+      FROM b JOIN pixels ON x >= greatest(x0, 0) AND x < x0 + w AND y >= greatest(y0, 0) AND y < y0 + w GROUP BY box, frame)"""
+SAFE_SQL = """sf AS (SELECT lamp, rule, avg(CAST(lo = hi AS INT)) * 100 AS safe
+      FROM (SELECT lamp, rule, k, min(bit) AS lo, max(bit) AS hi FROM bb GROUP BY ALL HAVING count(*) = 12) GROUP BY ALL)"""
+BOX_QUALITY = f"""WITH {PIXELS}, {BOX_SRC}, {TWELVE}, {swept_sql("src", "o")}, {SAFE_SQL},
+    g AS (SELECT lamp, (avg(v) FILTER (v > thr + 0.25 * span) - avg(v) FILTER (v < thr - 0.25 * span))
+      / greatest(sqrt((var_pop(v) FILTER (v > thr + 0.25 * span) + var_pop(v) FILTER (v < thr - 0.25 * span)) / 2), 1e-9) AS gap FROM src JOIN st USING (lamp) GROUP BY lamp)
+    SELECT 'box' AS factor, CAST(lamp AS DOUBLE) AS value, rule, round(safe, 6) AS phase_indep_pct, round(gap, 6) AS gap_over_noise FROM sf JOIN g USING (lamp)"""
+SMOOTH_QUALITY = f"""WITH {SIGNAL}, sm AS ({" UNION ALL ".join(f"SELECT lamp || ':{w}' AS lamp, frame, ma AS v FROM {ma_sql(w)}" for w in SMOOTH)}), {TWELVE}, {swept_sql("sm", "o")}, {SAFE_SQL}
+    SELECT 'smoothing' AS factor, CAST(split_part(lamp, ':', 2) AS DOUBLE) AS value, rule, round(median(safe), 6) AS phase_indep_pct, NULL::DOUBLE AS gap_over_noise FROM sf GROUP BY ALL"""
+
+
+@query("x3_sweep_quality", f"SELECT * FROM ({BOX_QUALITY}) UNION ALL SELECT * FROM ({SMOOTH_QUALITY})")
+def x3_quality(spark, sf):
+    """Share of symbols that twelve phases decode alike, by box and by width of smoothing (the median over channels); of boxes
+    the gap between lit and dark frames in units of their noise as well.
+    """
+    twelve = symbols.phases(12)
+
+    def safe(rows: DataFrame, keys: list[str]) -> DataFrame:
+        own = [*keys, "rule"]
+        return symbols.ensemble(both_rules(rows, keys, phases=twelve), 12, own).groupBy(*own).agg((F.avg(F.col("safe").cast("int")) * 100).alias("pct"))
+
+    boxes = staged(thresholds.fixed(boxed_signals(spark, sf), keys=["value"]))
+    edge = 0.25 * F.col("span")
+    on, off = (F.when(side, F.col("v")) for side in (F.col("v") > F.col("thr") + edge, F.col("v") < F.col("thr") - edge))
+    gaps = boxes.groupBy("value").agg(((F.avg(on) - F.avg(off)) / F.greatest(F.sqrt((F.var_pop(on) + F.var_pop(off)) / 2), F.lit(1e-9))).alias("gap"))
+    # a row for each box
+    boxed = safe(boxes, ["value"]).join(F.broadcast(gaps), "value").select(F.lit("box").alias("factor"), "value", "rule", r6("pct", "phase_indep_pct"), r6("gap", "gap_over_noise"))
+    smooth = thresholds.fixed(staged(smoothings(views.signal(spark, sf))), keys=["lamp", "value"])
+    per = safe(smooth, ["lamp", "value"]).groupBy("value", "rule").agg(r6(F.percentile("pct", F.lit(0.5)), "phase_indep_pct"))
+    return boxed.unionByName(per.select(F.lit("smoothing").alias("factor"), "value", "rule", "phase_indep_pct", F.lit(None).cast("double").alias("gap_over_noise")))
+
+
 @query("x2_best_per_candidate", None)
 def x2(spark, sf):
     """The best of the grid's threshold settings, and six learned ones (three penalties, five or seven frames), by error rate on a stream they haven't seen."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,45 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     The table goes when the driver ends: results are lazy, and may read it until then.
     """
     spark = df.sparkSession
+    path = written(df, name)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The folder that df is written to, until the driver ends."""
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnwave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = file_system(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: Tables that later queries of a session read again: (application, name, source, its state) to folder and schema.
+_STORED: dict[tuple, tuple] = {}
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make derives from the files at source alone, written by the first query that asks for it.
+
+    Later queries of the session read it, unless files came, went or changed (number, bytes and time are compared) or
+    the table is gone; then it is made anew. Each call gives a new relation, so tables can be joined with themselves.
+    """
+    files, at = file_system(spark, source)
+    size = files.getContentSummary(at)
+    state = (size.getFileCount(), size.getLength(), max([files.getFileStatus(at).getModificationTime(), *(x.getModificationTime() for x in files.listStatus(at))]))
+    key = (spark.sparkContext.applicationId, name, source, state)
+    if key in _STORED:
+        path, schema = _STORED[key]
+        kept, where = file_system(spark, path + "/_SUCCESS")
+        if kept.exists(where):
+            return spark.read.schema(schema).parquet(path)
+    made = make()
+    _STORED[key] = written(made, name), made.schema
+    return spark.read.schema(made.schema).parquet(_STORED[key][0])

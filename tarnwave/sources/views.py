@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import numbered
+from tarnwave.operators.order import numbered, small
+from tarnwave.operators.thresholds import levels, with_levels
+from tarnwave.sources.stage import stored
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,15 +15,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
-    """lamp string, frame long, v double: one channel for each event type (or another column of events)."""
-    rows = read(spark, sf_dir, "events").select(F.col(by).cast("string").alias("lamp"), "ts", "event_id", F.col("value").alias("v"))
-    return numbered(rows, ["lamp"], ["ts", "event_id"], "frame").select("lamp", "frame", "v")
+    """lamp string, frame long, v double: one channel for each event type (or another column of events).
 
+    Numbered and stored, in ranges of lamp and time, by the first query of a session that asks.
+    """
 
-def signal_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from orders: one channel for each priority."""
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("lamp"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v"))
-    return numbered(rows, ["lamp"], ["o_orderdate", "o_orderkey"], "frame").select("lamp", "frame", "v")
+    def made() -> DataFrame:
+        rows = read(spark, sf_dir, "events").select(F.col(by).cast("string").alias("lamp"), "ts", "event_id", F.col("value").alias("v"))
+        return numbered(rows, ["lamp"], ["ts", "event_id"], "frame").select("lamp", "frame", "v")
+
+    return stored(spark, f"signal-{by}", f"{sf_dir}/events.parquet", made)
+
+
+def thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal with thr, n and span: thresholds.fixed, its channels' figures stored beside the signal."""
+    rows = signal(spark, sf_dir)
+    return with_levels(rows, small(stored(spark, "levels", f"{sf_dir}/events.parquet", lambda: levels(rows))))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +53,6 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views in SQL, for the oracles.
 SIGNAL = "signal AS (SELECT event_type AS lamp, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame, value AS v FROM events)"
-SIGNAL_LONG = "signal AS (SELECT o_orderpriority AS lamp, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS frame, o_totalprice AS v FROM orders)"
 PIXELS = "pixels AS (SELECT vec_id AS frame, label, CAST((i - 1) % 8 AS BIGINT) AS x, CAST((i - 1) // 8 AS BIGINT) AS y, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i))"
 TRUTH = "base AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, quality, toxic FROM labels), truth AS (SELECT 'quality' AS stream, k, CAST(quality AS BIGINT) AS bit FROM base UNION ALL SELECT 'toxic', k, CAST(toxic AS BIGINT) FROM base)"
 ARR_LABEL = "fr AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS px FROM embeddings)"
