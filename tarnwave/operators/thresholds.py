@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -180,3 +180,24 @@ def schmitt(df: DataFrame, thr: Column, band: Column, keys: Sequence[str] = KEYS
     decided = F.when(F.col(v) > thr + band, 1).when(F.col(v) < thr - band, 0)
     firsts = start if start is not None else F.when(F.col(frame) == 0, F.when(F.col(v) > thr, 1).otherwise(0))
     return carried(df, keys, frame, F.coalesce(decided, firsts), name).withColumn(name, F.col(name).cast("long"))
+
+
+def two_groups(rows: DataFrame, key: str = "lamp") -> DataFrame:
+    """key, threshold_bin, threshold, separation. rows: key, v, and the key's lo, hi, n. A split that leaves a group fewer
+    than two values gives way to the midpoint; the spread is 0.5 at least.
+    """
+    h = rows.groupBy(key, "lo", "hi", "n", F.try_divide((F.col("v") - F.col("lo")) * 255, F.col("hi") - F.col("lo")).cast("long").alias("bin")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy("bin")  # 256 bins at most
+    h = h.withColumns({"w0": F.sum("c").over(w), "m0": F.sum(F.col("c") * F.col("bin")).over(w), "mt": F.sum(F.col("c") * F.col("bin")).over(Window.partitionBy(key))})
+    rest = F.col("n") - F.col("w0")
+    between = F.when(rest > 0, F.col("w0") * rest * F.pow(F.col("m0") / F.col("w0") - F.try_divide(F.col("mt") - F.col("m0"), rest), 2) / (F.col("n").cast("double") * F.col("n"))).otherwise(0.0)
+    best = h.withColumn("b", F.round(between, 6)).groupBy(key, "lo", "hi").agg(F.max_by("bin", F.struct("b", -F.col("bin"))).alias("threshold_bin"))
+    best = small(best.select(key, "threshold_bin", (F.col("lo") + F.col("threshold_bin") / F.lit(255.0) * (F.col("hi") - F.col("lo"))).alias("t1"), ((F.col("lo") + F.col("hi")) / 2).alias("t2")))
+    split = rows.select(key, "v").join(best, key)
+    sums = []
+    for i in (1, 2):
+        low, high = F.when(F.col("v") <= F.col(f"t{i}"), F.col("v")), F.when(F.col("v") > F.col(f"t{i}"), F.col("v"))
+        far = F.abs(F.avg(high) - F.avg(low)) / F.greatest(F.sqrt((F.var_pop(low) + F.var_pop(high)) / 2), F.lit(0.5))
+        sums.append(F.when((F.count(low) >= 2) & (F.count(high) >= 2), far).alias(f"s{i}"))
+    got = split.groupBy(key, "threshold_bin", "t1", "t2").agg(*sums)
+    return got.select(key, "threshold_bin", F.when(F.col("s1").isNotNull(), F.col("t1")).otherwise(F.col("t2")).alias("threshold"), F.coalesce("s1", "s2", F.lit(0.0)).alias("separation"))

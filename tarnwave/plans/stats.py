@@ -243,35 +243,25 @@ def two_groups_sql(src: str, thr: str) -> str:
     return f"SELECT lamp, max({thr}) AS thr, count(*) FILTER (v <= {thr}) AS nl, count(*) FILTER (v > {thr}) AS nh, avg(v) FILTER (v <= {thr}) AS ml, avg(v) FILTER (v > {thr}) AS mh, stddev_pop(v) FILTER (v <= {thr}) AS sl, stddev_pop(v) FILTER (v > {thr}) AS sh FROM {src} GROUP BY lamp"
 
 
-@query("a6_otsu", f"""WITH {SIGNAL}, z AS (SELECT lamp, min(v) AS lo, max(v) AS hi, count(*) AS n FROM signal GROUP BY lamp), b AS (SELECT lamp, lo, hi, n, CAST(trunc((v - lo) / (hi - lo) * 255) AS BIGINT) AS bin FROM signal JOIN z USING (lamp)),
-    h AS (SELECT lamp, bin, max(lo) AS lo, max(hi) AS hi, max(n) AS n, count(*) AS c FROM b GROUP BY lamp, bin), q AS (SELECT *, sum(c) OVER w AS w0, sum(c * bin) OVER w AS m0, sum(c * bin) OVER (PARTITION BY lamp) AS mt FROM h WINDOW w AS (PARTITION BY lamp ORDER BY bin)),
+#: The best split of each channel of a CTE named signal.
+OTSU = f"""WITH z AS (SELECT lamp, min(v) AS lo, max(v) AS hi, count(*) AS n FROM signal GROUP BY lamp),
+    b AS (SELECT lamp, lo, hi, n, CAST(trunc((v - lo) / (hi - lo) * 255) AS BIGINT) AS bin FROM signal JOIN z USING (lamp)),
+    h AS (SELECT lamp, bin, max(lo) AS lo, max(hi) AS hi, max(n) AS n, count(*) AS c FROM b GROUP BY lamp, bin),
+    q AS (SELECT *, sum(c) OVER w AS w0, sum(c * bin) OVER w AS m0, sum(c * bin) OVER (PARTITION BY lamp) AS mt FROM h WINDOW w AS (PARTITION BY lamp ORDER BY bin)),
     s AS (SELECT *, CASE WHEN w0 < n THEN w0 * (n - w0) * power(m0 / w0 - (mt - m0) / (n - w0), 2) / (CAST(n AS DOUBLE) * n) ELSE 0 END AS between FROM q),
-    o AS (SELECT lamp, bin AS threshold_bin, lo, hi, lo + bin / 255.0::DOUBLE * (hi - lo) AS t, (lo + hi) / 2 AS mid FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY round(between, 6) DESC, bin) AS i FROM s) WHERE i = 1), j AS (SELECT lamp, v, t, mid FROM signal JOIN o USING (lamp)), g AS ({two_groups_sql('j', 't')}), m AS ({two_groups_sql('j', 'mid')}), u AS (SELECT lamp, unnest([g, m]) AS r, unnest([1, 2]) AS way FROM g JOIN m USING (lamp))
-    SELECT o.lamp, threshold_bin, round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN g.thr ELSE m.thr END, 6) AS threshold, round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN abs(g.mh - g.ml) / greatest(sqrt((g.sl * g.sl + g.sh * g.sh) / 2), 0.5) WHEN m.nl >= 2 AND m.nh >= 2 THEN abs(m.mh - m.ml) / greatest(sqrt((m.sl * m.sl + m.sh * m.sh) / 2), 0.5) ELSE 0 END, 6) AS separation FROM o JOIN g USING (lamp) JOIN m USING (lamp)""".replace(", u AS (SELECT lamp, unnest([g, m]) AS r, unnest([1, 2]) AS way FROM g JOIN m USING (lamp))", ""))
+    o AS (SELECT lamp, bin AS threshold_bin, lo, hi, lo + bin / 255.0::DOUBLE * (hi - lo) AS t, (lo + hi) / 2 AS mid FROM (SELECT *, row_number() OVER (PARTITION BY lamp ORDER BY round(between, 6) DESC, bin) AS i FROM s) WHERE i = 1),
+    j AS (SELECT lamp, v, t, mid FROM signal JOIN o USING (lamp)),
+    g AS ({two_groups_sql('j', 't')}),
+    m AS ({two_groups_sql('j', 'mid')})
+    SELECT o.lamp, threshold_bin, round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN g.thr ELSE m.thr END, 6) AS threshold,
+        round(CASE WHEN g.nl >= 2 AND g.nh >= 2 THEN abs(g.mh - g.ml) / greatest(sqrt((g.sl * g.sl + g.sh * g.sh) / 2), 0.5)
+        WHEN m.nl >= 2 AND m.nh >= 2 THEN abs(m.mh - m.ml) / greatest(sqrt((m.sl * m.sl + m.sh * m.sh) / 2), 0.5) ELSE 0 END, 6) AS separation FROM o JOIN g USING (lamp) JOIN m USING (lamp)"""
+
+
+@query("a6_otsu", OTSU.replace("WITH ", f"WITH {SIGNAL}, ", 1))
 def a6(spark, sf):
     """The threshold that splits each channel best, and how far the two groups lie apart in units of their spread."""
-    return two_groups(order.with_stats(views.signal(spark, sf), ["lamp"], lo=F.min("v"), hi=F.max("v"), n=F.count("*"))).select("lamp", "threshold_bin", r6("threshold"), r6("separation"))
-
-
-def two_groups(rows: DataFrame, key: str = "lamp") -> DataFrame:
-    """key, threshold_bin, threshold, separation. rows: key, v, and the key's lo, hi, n. A split that leaves a group fewer
-    than two values gives way to the midpoint; the spread is 0.5 at least.
-    """
-    h = rows.groupBy(key, "lo", "hi", "n", F.try_divide((F.col("v") - F.col("lo")) * 255, F.col("hi") - F.col("lo")).cast("long").alias("bin")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy("bin")  # 256 bins at most
-    h = h.withColumns({"w0": F.sum("c").over(w), "m0": F.sum(F.col("c") * F.col("bin")).over(w), "mt": F.sum(F.col("c") * F.col("bin")).over(Window.partitionBy(key))})
-    rest = F.col("n") - F.col("w0")
-    between = F.when(rest > 0, F.col("w0") * rest * F.pow(F.col("m0") / F.col("w0") - F.try_divide(F.col("mt") - F.col("m0"), rest), 2) / (F.col("n").cast("double") * F.col("n"))).otherwise(0.0)
-    best = h.withColumn("b", F.round(between, 6)).groupBy(key, "lo", "hi").agg(F.max_by("bin", F.struct("b", -F.col("bin"))).alias("threshold_bin"))
-    best = order.small(best.select(key, "threshold_bin", (F.col("lo") + F.col("threshold_bin") / F.lit(255.0) * (F.col("hi") - F.col("lo"))).alias("t1"), ((F.col("lo") + F.col("hi")) / 2).alias("t2")))
-    split = rows.select(key, "v").join(best, key)
-    sums = []
-    for i in (1, 2):
-        low, high = F.when(F.col("v") <= F.col(f"t{i}"), F.col("v")), F.when(F.col("v") > F.col(f"t{i}"), F.col("v"))
-        far = F.abs(F.avg(high) - F.avg(low)) / F.greatest(F.sqrt((F.var_pop(low) + F.var_pop(high)) / 2), F.lit(0.5))
-        sums.append(F.when((F.count(low) >= 2) & (F.count(high) >= 2), far).alias(f"s{i}"))
-    got = split.groupBy(key, "threshold_bin", "t1", "t2").agg(*sums)
-    return got.select(key, "threshold_bin", F.when(F.col("s1").isNotNull(), F.col("t1")).otherwise(F.col("t2")).alias("threshold"), F.coalesce("s1", "s2", F.lit(0.0)).alias("separation"))
+    return thresholds.two_groups(order.with_stats(views.signal(spark, sf), ["lamp"], lo=F.min("v"), hi=F.max("v"), n=F.count("*"))).select("lamp", "threshold_bin", r6("threshold"), r6("separation"))
 
 
 @query("a7_ambient", f"{HEAD} SELECT lamp, round(coalesce(avg(v) FILTER (v <= 180), avg(v)), 6) AS ambient FROM dev GROUP BY lamp")
