@@ -1,9 +1,10 @@
 """Licence notices by conditional compression.
 
-Around each word that speaks of licensing, every template is held against the words beside it, as far as
-an agreeing span can reach; line breaks and comment marks count as spaces. The span with the
-largest word ratio is its match. Matches are compressed alone and with their template as a zstandard raw dictionary.
-Of matches that overlap, the one with the largest ratio stays, among equals the one that saves most.
+Blocks are cut around each word that speaks of licensing: for each template the span beside it whose wording comes
+nearest, if it comes near enough; line breaks and comment marks count as spaces. A block's words are then compressed alone
+and with each template as a zstandard raw dictionary, and templates are ranked by what they save. The first in this order
+whose exact wording differences from the block are few enough is the block's licence. Of blocks that overlap, the one that
+saves most stays.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ import re
 from array import array
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -180,8 +183,8 @@ class LicenseRules:
     agree: float = 0.8
 
 
-#: id, bytes alone, bytes given the template, word ratio, start and end in the text.
-Match = tuple[str, int, int, float, int, int]
+#: id, bytes alone, bytes given the template, word ratio, start and end in the text, words missing and added.
+Match = tuple[str, int, int, float, int, int, list[str], list[str]]
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -222,16 +225,48 @@ def best_span(own: np.ndarray, said: np.ndarray, at: int, agree: Fraction) -> tu
         found, agree = (ratio, start, end), ratio
 
 
+def differences(own: Sequence[str], said: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The words of own that said lacks, and those that said adds, each in order, by a longest common subsequence."""
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in (own, said))
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a)):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + (b == a[i])))
+    missing, added = [], []
+    i, j = len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif j and (not i or best[i, j - 1] == best[i, j]):
+            j -= 1
+            added.append(said[j])
+        else:
+            i -= 1
+            missing.append(own[i])
+    return missing[::-1], added[::-1]
+
+
+def apart(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans in order of preference those that overlap none before them that stays."""
+    kept: list[tuple[int, int]] = []
+    for a, b in spans:
+        k = bisect_right(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+            kept.insert(k, (a, b))
+    return kept
+
+
 class Matcher:
     def __init__(self, notices: Sequence[tuple[str, str]], rules: LicenseRules):
         import zstandard as zstd
 
         self.notices, self.rules, self.signal = notices, rules, re.compile(rules.signal, re.IGNORECASE)
+        self.said = [words(t) for _, t in notices]
         self.plain = zstd.ZstdCompressor(level=3, write_checksum=False)
         kind = zstd.DICT_TYPE_RAWCONTENT
-        self.given = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(t.encode(), dict_type=kind)) for _, t in notices]
+        self.given = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(" ".join(w).encode(), dict_type=kind)) for w in self.said]
         self.ids: dict[str, int] = {}
-        self.words = [np.array([self.ids.setdefault(w, len(self.ids)) for w in words(t)], np.int64) for _, t in notices]
+        self.words = [np.array([self.ids.setdefault(w, len(self.ids)) for w in ws], np.int64) for ws in self.said]
         self.counts = [Counter(w.tolist()) for w in self.words]
         self.first = {n.lower(): i for i, (n, _) in reversed(list(enumerate(notices)))}
         self.agree = Fraction(str(rules.agree))
@@ -242,7 +277,9 @@ class Matcher:
         for i, r in enumerate(self.reach):
             self.classes.setdefault(1 << r.bit_length(), []).append(i)
         self.judge = lru_cache(50_000)(self._judge)
-        self.saving = lru_cache(50_000)(self._saving)
+        self.sizes = lru_cache(20_000)(self._sizes)
+        self.held = lru_cache(20_000)(self._held)
+        self.winner = lru_cache(20_000)(self._winner)
 
     def _judge(self, width: int, said: tuple[int, ...], at: int) -> list[tuple[int, Fraction, int, int]]:
         """(template, ratio, first and last + 1 word) of each template of a class that agrees with a span around `at`."""
@@ -257,26 +294,47 @@ class Matcher:
                 out.append((i, span[0], a + span[1], a + span[2]))
         return out
 
-    def _saving(self, block: str, i: int) -> tuple[int, int]:
-        raw = block.encode("utf-8", "surrogatepass")
-        return len(self.plain.compress(raw)), len(self.given[i].compress(raw))
+    def _sizes(self, said: tuple[str, ...]) -> tuple[int, list[int]]:
+        """Bytes of a block's words alone, and with each template as a dictionary."""
+        raw = " ".join(said).encode("utf-8", "surrogatepass")
+        return len(self.plain.compress(raw)), [len(c.compress(raw)) for c in self.given]
 
-    def tags(self, text: str) -> Iterator[tuple[Fraction, int, int, int, int, int, int]]:
-        """SPDX ids as find ranks them: each id of an expression is a match, the first one's reaches back to its tag.
+    def _held(self, said: tuple[str, ...], i: int) -> tuple[Fraction, list[str], list[str]]:
+        """Word ratio of a block with template i, and the words that the block lacks and adds."""
+        missing, added = differences(self.said[i], said)
+        return Fraction(2 * (len(said) - len(added)), len(said) + len(self.said[i])), missing, added
 
-        Bytes are of a tag with this id alone; given is with the id's first template.
+    def _winner(self, said: tuple[str, ...]) -> int | None:
+        """Of the templates whose wording is confirmed the one that saves most, among equals the nearest, then the first."""
+        near = Counter(self.ids.get(w, -1) for w in said)
+        ranked: dict[int, list[int]] = {}
+        for i, size in enumerate(self.sizes(said)[1]):
+            ranked.setdefault(size, []).append(i)
+        for size in sorted(ranked):
+            ratios = []
+            for i in ranked[size]:
+                # the words both have, in any order, bound those in common
+                if 2 * sum(min(n, near[w]) for w, n in self.counts[i].items()) >= self.agree * (len(said) + len(self.said[i])):
+                    ratios.append((self.held(said, i)[0], -i))
+            if ratios and max(ratios)[0] >= self.agree:
+                return -max(ratios)[1]
+        return None
+
+    def tags(self, text: str) -> Iterator[tuple]:
+        """SPDX ids as find ranks them, before all wordings: each id of an expression is a match, the first one's reaches back
+        to its tag. Bytes are of a tag with this id alone; given is with the id's first template.
         """
         for tag in SPDX_TAG.finditer(text):
             seen = False
             for m in SPDX_ID.finditer(text, tag.start(1), tag.end(1)):
                 i = self.first.get(SPDX_LATER.sub("", m.group()).lower())
                 if i is not None:
-                    alone, given = self.saving(f"SPDX-License-Identifier: {m.group()}", i)
-                    yield Fraction(-1), given - alone, i, m.start() if seen else tag.start(), m.end(), alone, given
+                    alone, given = self.sizes(tuple(words(f"SPDX-License-Identifier: {m.group()}")))
+                    yield 0, given[i] - alone, Fraction(-1), i, m.start() if seen else tag.start(), m.end(), alone, given[i], [], []
                     seen = True
 
     def find(self, text: str) -> list[Match]:
-        """All notices of a text, by start: of those that overlap the best, by ratio, saving, template and start."""
+        """All notices of a text, by start: of those that overlap the one that saves most, then by ratio, template and start."""
         if not self.signal.search(text):
             return []
         starts, ends, ids = array("q"), array("q"), array("q")
@@ -284,35 +342,70 @@ class Matcher:
             starts.append(m.start())
             ends.append(m.end())
             ids.append(self.ids.get(m.group().lower(), -1))
-        seen = set()
-        for at in {bisect_right(starts, m.start()) - 1 for m in self.signal.finditer(text)}:
+
+        def said(first: int, last: int) -> tuple[str, ...]:
+            return tuple(text[starts[k] : ends[k]].lower() for k in range(first, last))
+
+        blocks = set()
+        for at in {bisect_right(starts, m.start()) - 1 for m in self.signal.finditer(text)} - {-1}:
+            cut = {}
             for width in self.classes:
                 low = max(0, at - width)
-                for i, ratio, first, last in self.judge(width, tuple(ids[low : at + width]), at - low):
-                    seen.add((i, ratio, starts[low + first], ends[low + last - 1]))
-        ranked = []
-        for i, ratio, a, b in seen:
-            alone, given = self.saving(text[a:b], i)
-            ranked.append((-ratio, given - alone, i, a, b, alone, given))
-        ranked += self.tags(text)
-        kept: list[tuple[int, int]] = []
+                for i, _, first, last in self.judge(width, tuple(ids[low : at + width]), at - low):
+                    cut[i] = low + first, low + last
+            for span in set(cut.values()):
+                i = self.winner(said(*span))
+                if i is not None:
+                    # a template confirmed on a block has itself been cut there, perhaps closer
+                    blocks.add((i, *cut.get(i, span)))
+        # a template's blocks that overlap are cuts of one notice: the closest is its block
+        closest = sorted((i, -self.held(said(first, last), i)[0], first, last) for i, first, last in blocks)
+        ranked = list(self.tags(text))
+        for i, group in groupby(closest, lambda c: c[0]):
+            for first, last in apart((c[2], c[3]) for c in group):
+                block = said(first, last)
+                alone, given = self.sizes(block)
+                ratio, missing, added = self.held(block, i)
+                ranked.append((1, given[i] - alone, -ratio, i, starts[first], ends[last - 1], alone, given[i], missing, added))
+        ranked.sort()
+        won = set(apart((a, b) for _, _, _, _, a, b, *_ in ranked))
         out = []
-        for ratio, _, i, a, b, alone, given in sorted(ranked):
-            k = bisect_right(kept, (a, b))
-            if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
-                kept.insert(k, (a, b))
-                out.append((self.notices[i][0], alone, given, float(-ratio), a, b))
+        for _, _, ratio, i, a, b, alone, given, missing, added in ranked:
+            if (a, b) in won:
+                won.remove((a, b))
+                out.append((self.notices[i][0], alone, given, float(-ratio), a, b, missing, added))
         return sorted(out, key=lambda m: m[4])
 
 
-def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, rules: LicenseRules = LicenseRules(), text: str = "text") -> DataFrame:
+#: Bounds of a table of templates: rows, and characters of all.
+MOST_NOTICES, MOST_CHARACTERS = 2_000, 4_000_000
+
+
+def notices_of(table: DataFrame) -> list[tuple[str, str]]:
+    """Templates from a table (license_id, text), for instance of whole licence texts, by id and text.
+
+    Templates go to every task, so a table beyond MOST_NOTICES rows or MOST_CHARACTERS is an error. Rows with a null, or
+    without a word, are no templates; repeated rows are one.
+    """
+    rows = table.select("license_id", "text").dropna().distinct()
+    size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if size[0] > MOST_NOTICES or size[1] > MOST_CHARACTERS:
+        raise ValueError(f"{size[0]} templates of {size[1]} characters are more than go to every task")
+    return sorted((i, t) for i, t in rows.collect() if words(t))
+
+
+def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str]] | DataFrame = NOTICES, rules: LicenseRules = LicenseRules(), text: str = "text") -> DataFrame:
     """Licence notices in the texts of docs, one row for each; they may be wrapped over lines.
 
-    Returns doc_id, license_id, start, end (code points of the words that agree), bytes_alone, bytes_given (these
-    words compressed without and with the template), agreement (word ratio, 6 decimals). Texts that are null, empty or without notices
-    give no rows; repeated rows give their own; a null doc_id stays null; ties go to the larger saving, then the
-    earlier notice; an empty table gives an empty one; texts have no limit; other columns of docs are ignored.
+    notices: templates (id, text), or a table of them (license_id, text; see notices_of).
+    Returns doc_id, license_id, start, end (code points of the block), bytes_alone, bytes_given (the block's words, in lower
+    case, compressed without and with the template), agreement (word ratio, 6 decimals), missing and added (the
+    template's words that the block lacks, and those it adds). Texts that are null, empty or without notices give no rows;
+    repeated rows give their own; a null doc_id stays null; ties go to the nearer wording, then the earlier notice; an empty
+    table gives an empty one; texts have no limit; other columns of docs are ignored.
     """
+    if isinstance(notices, DataFrame):
+        notices = notices_of(notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(notices, rules)
@@ -327,8 +420,10 @@ def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES,
                     "bytes_alone": pa.array([j[1] for _, j in rows], pa.int64()),
                     "bytes_given": pa.array([j[2] for _, j in rows], pa.int64()),
                     "agreement": pa.array([round(j[3], 6) for _, j in rows], pa.float64()),
+                    "missing": pa.array([j[6] for _, j in rows], pa.list_(pa.string())),
+                    "added": pa.array([j[7] for _, j in rows], pa.list_(pa.string())),
                 }
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, license_id string, start long, end long, bytes_alone long, bytes_given long, agreement double")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, license_id string, start long, end long, bytes_alone long, bytes_given long, agreement double, missing array<string>, added array<string>")

@@ -79,3 +79,60 @@ def test_bodies_in_comments():
 def test_spdx_expressions():
     text = "// SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND Foo-1.0\n/* spdx-license-identifier: apache-2.0 */"
     assert found(text) == [("GPL-2.0", "SPDX-License-Identifier: (GPL-2.0-or-later"), ("MIT", "MIT"), ("Apache-2.0", "spdx-license-identifier: apache-2.0")]
+
+
+def test_differences_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        own, said = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        missing, added = licenses.differences(own, said)
+        assert len(own) - len(missing) == len(said) - len(added) == common(own, said)
+        for words, lost in ((own, missing), (said, added)):
+            at = iter(words)
+            assert all(w in at for w in lost)
+
+
+def test_ranking_against_brute_force():
+    """The winner of a block: by bytes with each template as a dictionary, then by words, confirmed by a plain comparison."""
+    import zstandard as zstd
+
+    m, rng = licenses.Matcher(licenses.NOTICES, RULES), random.Random(4)
+    for k in range(60):
+        own = licenses.words(licenses.NOTICES[k % len(licenses.NOTICES)][1])
+        block = tuple(w if rng.random() > 0.1 else rng.choice(("other", "words", "here")) for w in own if rng.random() > 0.05)
+        ranked = []
+        for i, (_, t) in enumerate(licenses.NOTICES):
+            ratio = 2 * common(licenses.words(t), block) / (len(licenses.words(t)) + len(block))
+            raw = zstd.ZstdCompressionDict(" ".join(licenses.words(t)).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            if ratio >= 0.8:
+                ranked.append((len(zstd.ZstdCompressor(level=3, dict_data=raw).compress(" ".join(block).encode())), -ratio, i))
+        assert m.winner(block) == (min(ranked)[2] if ranked else None)
+
+
+def test_every_template_wins_its_own_words():
+    m = licenses.Matcher(licenses.NOTICES, RULES)
+    for i, t in licenses.NOTICES:
+        assert licenses.NOTICES[m.winner(tuple(licenses.words(t)))][0] == i
+
+
+def test_edited_and_refused_whole_texts(spark):
+    """Whole texts from a table: edits are told word by word; a text with a third of its words changed is no match."""
+    rng = random.Random(6)
+    whole = "The Lantern Public License. " + prose(31, 500) + " End of the license. " + prose(32, 100)
+    said = whole.split(" ")
+    edited, far = list(said), list(said)
+    for k in range(40, 600, 40):
+        edited[k] = f"edit{k}"
+    for k in rng.sample(range(len(far)), len(far) // 3):
+        far[k] = f"far{k}"
+    given = spark.createDataFrame([("Lantern", whole), ("Lantern", whole), (None, "x"), ("None", None), ("Blank", " ")], "license_id string, text string")
+    docs = frame(spark, [(1, " ".join(edited)), (2, " ".join(far)), (3, prose(9, 80) + " " + whole), (4, None), (5, "")])
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs, given).collect()}
+    assert set(rows) == {1, 3}
+    assert set(rows[1]["added"]) == {f"edit{k}" for k in range(40, 600, 40)} and len(rows[1]["missing"]) == len(rows[1]["added"])
+    assert rows[3]["missing"] == rows[3]["added"] == [] and rows[3]["agreement"] == 1 and rows[3]["start"] == len(prose(9, 80)) + 1
+
+
+def test_many_signals():
+    text = "license " * 5000 + "Released under the MIT License. " + "copyright " * 5000
+    assert found(text) == [("MIT", "Released under the MIT License")]
