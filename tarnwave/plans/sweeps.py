@@ -183,6 +183,71 @@ def e4(spark, sf):
     return b.select("stream", r6(F.coalesce((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0)), "tolerance_pct")).join(best, "stream")
 
 
+RULES = ("nearest", "average", "confident")
+
+
+def rule_errors_sql(variants: str, cut: int | None = None) -> str:
+    """A query for stream, rule, i, ber over variants (i, ph, per) of the synthetic streams; cut: symbols looked at."""
+    n = f"least(n, CAST(floor({cut} * {T}) AS BIGINT))" if cut else "n"
+    return f"""WITH st AS (SELECT lamp, {n} AS n, thr FROM (SELECT lamp, count(*) AS n, (quantile_cont(v, 0.1) + quantile_cont(v, 0.9)) / 2 AS thr
+        FROM syn GROUP BY lamp)), o AS ({variants}),
+    w AS (SELECT *, unnest(range(CAST(floor((n - ph - 1) / per) AS BIGINT))) AS k FROM st, o),
+    b AS (SELECT *, ceil(ph + k * per) AS lo, greatest(floor((ph + k * per) + per), ceil(ph + k * per)) AS hi FROM w),
+    x AS (SELECT b.lamp, i, k, s.frame, s.v - thr AS d, s.frame = least(greatest(round_even(lo - 0.5::DOUBLE + per / 2, 0), 0), n - 1) AS mid
+        FROM b JOIN syn s ON s.lamp = b.lamp AND s.frame BETWEEN lo AND hi AND s.frame < n),
+    d AS (SELECT lamp, i, k, unnest(['nearest', 'average', 'confident']) AS rule,
+        unnest([max(d) FILTER (mid), avg(d), first(d ORDER BY abs(d) DESC, frame)]) AS d FROM x GROUP BY lamp, i, k),
+    p AS (SELECT lamp || '|' || rule || '|' || i AS stream, lamp, k, CAST(d > 0 AS BIGINT) AS bit FROM d),
+    r AS (SELECT s.stream, t.k, t.bit FROM (SELECT DISTINCT stream, lamp FROM p) s JOIN truth t ON t.stream = s.lamp {f'WHERE t.k < {cut}' if cut else ''}),
+    {ber_sql('p', 'r')}
+    SELECT split_part(stream, '|', 1) AS stream, split_part(stream, '|', 2) AS rule, CAST(split_part(stream, '|', 3) AS INT) AS i, ber FROM ber"""
+
+
+def band_sql(src: str) -> str:
+    """stream, rule, wide: steps of the band around variant 10 of 21 with at most 1 % errors."""
+    return f"""SELECT stream, rule, CASE WHEN bool_or(ber <= 0.01 AND i = 10) THEN coalesce(min(i) FILTER (ber > 0.01 AND i BETWEEN 11 AND 20) - 1, 20)
+        - coalesce(max(i) FILTER (ber > 0.01 AND i < 10) + 1, 0) ELSE 0 END AS wide FROM {src} GROUP BY stream, rule"""
+
+
+RULE_TOLERANCES = f"""WITH {BITS01}, {synth_sql('0.7::DOUBLE')},
+    whole AS ({rule_errors_sql(f"SELECT i, CASE WHEN i = 21 THEN 0::DOUBLE ELSE ((0.7::DOUBLE + (-0.5::DOUBLE + i * 0.05::DOUBLE) * {T}) % {T} + {T}) % {T} END AS ph, {T} AS per FROM range(22) t(i)")}),
+    part AS ({rule_errors_sql(f"SELECT i, 0.7::DOUBLE AS ph, {T} * (1 + (i - 10) / 100.0::DOUBLE) AS per FROM range(21) t(i)", 500)}),
+    f AS ({band_sql('whole')}), g AS ({band_sql('part')}),
+    e AS (SELECT stream, rule, max(ber) FILTER (i = 10) AS bt, max(ber) FILTER (i = 21) AS b0 FROM whole GROUP BY stream, rule)
+    SELECT stream, rule, round(bt * 100, 6) AS ber_true_pct, round(b0 * 100, 6) AS ber_phase0_pct, round(f.wide * 0.05::DOUBLE, 6) AS phase_tolerance_bits,
+        CAST(g.wide AS DOUBLE) AS period_tolerance_pct FROM e JOIN f USING (stream, rule) JOIN g USING (stream, rule)"""
+
+
+def rule_errors(rows: DataFrame, ref: DataFrame, at: list[float], periods: list[float]) -> DataFrame:
+    """stream, rule, phase_id, ber of each rule of RULES at each phase and the period beside it; rows: syn_signal."""
+    parts = [symbols.decode(rows, r, at, periods=periods).withColumn("rule", F.lit(r)) for r in RULES]
+    got = reduce(DataFrame.unionByName, parts).withColumnRenamed("lamp", "stream")
+    n_ref = order.small(ref.groupBy("stream").agg(F.count("*").alias("n_ref")))
+    sums = packed.offset_sums(packed.pack(got, ["stream", "rule", "phase_id"]), packed.pack(ref, ["stream"]), 3, ["stream"], ["rule", "phase_id"])
+    return packed.best_rate(sums, ["stream", "rule", "phase_id"], n_ref)
+
+
+@query("e3_rule_tolerances", RULE_TOLERANCES)
+def e3_rules(spark, sf):
+    """Each rule's error rates at the true phase and at phase 0, and how far phase (of a symbol) and period (%, first 500
+    symbols) may be off with at most 1 % errors.
+    """
+    rows, ref = syn_signal(spark, sf, TRUE_PHASE), staged(views.truth(spark, sf))
+    whole = staged(rule_errors(rows, ref, [*((TRUE_PHASE + o * PERIOD) % PERIOD for o in OFFSETS), 0.0], [PERIOD] * 22))
+    last = int(500 * PERIOD)
+    part = rows.filter(F.col("frame") < last).withColumn("n", F.least("n", F.lit(last).cast("long")))
+    part = rule_errors(part, ref.filter("k < 500"), [TRUE_PHASE] * 21, [PERIOD * (1 + (i - 10) / 100) for i in range(21)])
+    keys = ["stream", "rule"]
+
+    def wide(e: DataFrame, step: float, name: str) -> DataFrame:
+        b = scoring.band(e.filter("phase_id < 21").withColumn("ok", F.col("ber") <= 0.01), "phase_id", "ok", 10, keys, 20)
+        return b.select(*keys, r6(F.coalesce((F.col("hi") - F.col("lo")) * F.lit(step), F.lit(0.0)), name))
+
+    at = [F.max(F.when(F.col("phase_id") == i, F.col("ber") * 100)).alias(name) for i, name in ((10, "ber_true_pct"), (21, "ber_phase0_pct"))]
+    e = whole.groupBy(*keys).agg(*at).select(*keys, r6("ber_true_pct"), r6("ber_phase0_pct"))
+    return e.join(wide(whole, 0.05, "phase_tolerance_bits"), keys).join(wide(part, 1.0, "period_tolerance_pct"), keys)
+
+
 @query("e5_timing_surface", f"{tolerance_sql(f'(SELECT i, {T} * (1 + (i - 10) / 100.0::DOUBLE) AS per FROM range(21) t(i))', f'(SELECT j, ((0.7::DOUBLE + (-0.5::DOUBLE + j * 0.05::DOUBLE) * {T}) % {T} + {T}) % {T} AS ph FROM range(21) t(j))')} SELECT stream, CAST(i // 100 - 10 AS BIGINT) AS period_pct, CAST(i % 100 AS BIGINT) AS phase_step, round(ber, 6) AS ber, round(avg(CAST(ber <= 0.01 AS INT)) OVER (PARTITION BY stream), 6) AS robust FROM q")
 def e5(spark, sf):
     """Error rates over 21 period errors (up to 10 %) by 21 phases, and the share of them with at most 1 % errors."""
