@@ -184,9 +184,9 @@ def schmitt(df: DataFrame, thr: Column, band: Column, keys: Sequence[str] = KEYS
 
 def two_groups(rows: DataFrame, key: str = "lamp") -> DataFrame:
     """key, threshold_bin, threshold, separation. rows: key, v, and the key's lo, hi, n. A split that leaves a group fewer
-    than two values gives way to the midpoint; the spread is 0.5 at least.
+    than two values gives way to the midpoint; the spread is 0.5 at least. The largest value is in bin 255.
     """
-    h = rows.groupBy(key, "lo", "hi", "n", F.try_divide((F.col("v") - F.col("lo")) * 255, F.col("hi") - F.col("lo")).cast("long").alias("bin")).agg(F.count("*").alias("c"))
+    h = rows.groupBy(key, "lo", "hi", "n", (F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 255).cast("long").alias("bin")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(key).orderBy("bin")  # 256 bins at most
     h = h.withColumns({"w0": F.sum("c").over(w), "m0": F.sum(F.col("c") * F.col("bin")).over(w), "mt": F.sum(F.col("c") * F.col("bin")).over(Window.partitionBy(key))})
     rest = F.col("n") - F.col("w0")
