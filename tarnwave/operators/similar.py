@@ -14,9 +14,13 @@ touches; those who meet there and lie within both radii are candidates, and only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ from tarnwave.sources.stage import staged
 
 #: Sums lose some digits; distances are allowed that much more.
 SLIP = 1e-6
+#: Hashes of a block at most.
+BLOCK = 1 << 14
+#: Share of all hashes that an index may bring before each one; where it is more, comparing all pairs in blocks costs less.
+WORTH = 0.01
 
 
 def level_of(n: Column, least: int, share: float) -> Column:
@@ -97,11 +105,12 @@ def near_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.98, least
 
 
 def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "hash", key: str = "frame") -> tuple[DataFrame, DataFrame]:
-    """Hashes of 64 bits (longs) that differ in `radius` bits at most, anywhere in the table, by the pigeonhole principle.
+    """Hashes of 64 bits (longs) that differ in `radius` bits at most, anywhere in the table.
 
-    Of so many bands, two such hashes differ in radius // bands bits at most in at least one. So each hash is filed under
-    the value of each band, and asks under all values that near its own: no pair is lost, and frames are never compared
-    all with all. Equal hashes are one class from the start, however many frames share one.
+    By the pigeonhole principle, two such hashes differ in radius // bands bits at most in at least one of so many bands.
+    So each hash is filed under the value of each band, and asks under all values that near its own. Where it would meet
+    more than WORTH of all hashes that way (a large radius), blocks of hashes are compared as a whole instead. No pair is
+    lost either way. Equal hashes are one class from the start, however many frames share one.
 
     Returns pairs (a, b, distance: hashes, a < b) and members (hash, frames, first: their number and smallest key). Null
     hashes are left out.
@@ -110,6 +119,14 @@ def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "ha
         raise ValueError("64 bits must divide into the bands, and a band may differ in 2 bits at most")
     members = staged(frames.filter(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("hash")).agg(F.count("*").alias("frames"), F.min(key).alias("first")), "hashes")
     width, slips = 64 // bands, radius // bands
+    if bands * sum(comb(width, n) for n in range(slips + 1)) > WORTH * 2**width:
+        return pairs_by_blocks(members, radius), members
+    return pairs_by_bands(members, radius, bands), members
+
+
+def pairs_by_bands(members: DataFrame, radius: int, bands: int) -> DataFrame:
+    """The pairs of near_hashes by an index of bands."""
+    width, slips = 64 // bands, radius // bands
     full = (1 << width) - 1
     flips = [sum(1 << i for i in at) for n in range(slips + 1) for at in combinations(range(width), n)]
     value = [F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit(full)) for i in range(bands)]
@@ -120,4 +137,41 @@ def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "ha
     # a pair may meet in several bands: the first band that is near enough keeps it
     near = [F.bit_count(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), i * width).bitwiseAND(F.lit(full))) <= slips for i in range(bands)]
     first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(near)])
-    return met.filter((F.col("distance") <= radius) & (F.col("band") == first)).select("a", "b", F.col("distance").cast("long").alias("distance")), members
+    return met.filter((F.col("distance") <= radius) & (F.col("band") == first)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+def pairs_by_blocks(members: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """The pairs of near_hashes by all comparisons: hashes are dealt to blocks, and a task holds two of them at a time."""
+    spark, n = members.sparkSession, members.count()
+    blocks = max(1, -(-n // block), min(16, n // 1024))
+    # two blocks are a row of up to 16 * BLOCK bytes
+    parts = max(4 * spark.sparkContext.defaultParallelism, blocks * (blocks + 1) // 128)
+    at = F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int")
+    cells = staged(members.groupBy(at.alias("own")).agg(F.collect_list("hash").alias("hashes")), "blocks")
+    x = cells.select(F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("q"), F.col("hashes").alias("x"))
+    y = cells.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("hashes").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i] == batch.column(1)[i]
+                a, b = (np.sort(batch.column(c).slice(i, 1).flatten().to_numpy()) for c in (2, 3))
+                rows = max(1, (1 << 15) // len(b))  # comparisons that stay near the processor
+                held, size = [], 0
+                for j in range(0, len(a), rows):
+                    far = np.bitwise_count(a[j : j + rows, None].view(np.uint64) ^ b.view(np.uint64))
+                    near = np.flatnonzero(far <= radius)
+                    k, m = j + near // len(b), near % len(b)
+                    u, v, d = a[k], b[m], far.ravel()[near].astype(np.int64)
+                    if same:
+                        once = u < v
+                        u, v, d = u[once], v[once], d[once]
+                    held.append(np.stack([np.minimum(u, v), np.maximum(u, v), d]))
+                    size += len(d)
+                    if j + rows >= len(a) or size > 1 << 15:
+                        found = np.concatenate(held, axis=1)
+                        held, size = [], 0
+                        yield pa.RecordBatch.from_pydict({c: pa.array(s) for c, s in zip(("a", "b", "distance"), found, strict=True)})
+
+    two = x.repartition(parts, "p", "q").hint("merge").join(y.repartition(parts, "p", "q"), ["p", "q"])
+    return two.select("p", "q", "x", "y").mapInArrow(run, "a long, b long, distance long")
