@@ -4,6 +4,9 @@ The table of all prefixes is walked along its anti-diagonals, a whole diagonal a
 diagonal. A script that leaves a band of half-width k has more than k insertions or deletions, so a distance of at most k
 is proved; else the band widens to twice its width. So two streams of n symbols with d edits cost some n * d steps, not
 n * n. Of all cheapest scripts, those with the fewest insertions and deletions count.
+
+Long streams that differ much are not one task's work: their table is cut into tiles, and all tiles of an anti-diagonal
+are walked at once, each by a task that holds two blocks of symbols and the costs along its borders.
 """
 
 from __future__ import annotations
@@ -15,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.sources.stage import staged
+
 #: One edit, in units of which an insertion or deletion costs one more: costs compare by edits, then by these.
 EDIT = 1 << 32
 FAR = 1 << 62
+#: Symbols of a tile's side at least, and tiles along the longer stream at most.
+SIDE, TILES = 1 << 14, 24
 
 
 def edits(a: np.ndarray, b: np.ndarray, band: int = 64) -> tuple[int, int, int, int]:
@@ -96,8 +103,121 @@ def texts_of(bits: DataFrame, keys: Sequence[str], symbol: Column, name: str, k:
     return rows.select(*keys, F.array_join(F.transform("__x", lambda p: p["__s"]), "").alias(name))
 
 
-def stream_edits(pred: DataFrame, ref: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n_ref, distance, insertions, deletions, substitutions, rate: what turns ref's bits into pred's."""
+def stream_edits(pred: DataFrame, ref: DataFrame, keys: Sequence[str], side: int = SIDE) -> DataFrame:
+    """keys, n_ref, distance, insertions, deletions, substitutions, rate: what turns ref's bits into pred's.
+
+    Streams of up to `side` symbols, and those within the first band, take one task; others are dealt to tiles.
+    """
     both = texts_of(ref, keys, F.col("bit"), "__a").join(texts_of(pred, keys, F.col("bit"), "__b"), list(keys))
-    n = F.length("__a").cast("long")
-    return with_edits(both, "__a", "__b").select(*keys, n.alias("n_ref"), "distance", "insertions", "deletions", "substitutions", F.try_divide("distance", n).alias("rate"))
+    looked = staged(with_bounds(both, side), "edits-bounds")
+    costs = looked.filter("__exact").select(*keys, "__n", "__m", "__cost")
+    far = looked.filter("not __exact")
+    if not far.isEmpty():
+        costs = costs.unionByName(tiled(far, keys, side))
+    distance, moved = F.expr(f"__cost div {EDIT}"), F.col("__cost") % EDIT
+    found = costs.withColumns({"distance": distance, "__moved": moved, "n_ref": F.col("__n")})
+    ways = [F.expr("(__moved + __m - __n) div 2").alias("insertions"), F.expr("(__moved - __m + __n) div 2").alias("deletions"), (F.col("distance") - F.col("__moved")).alias("substitutions")]
+    return found.select(*keys, "n_ref", "distance", *ways, F.try_divide("distance", "n_ref").alias("rate"))
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def with_bounds(pairs: DataFrame, side: int) -> DataFrame:
+    """pairs (__a, __b) with __n, __m (symbols), __cost of a script that turns a into b, and __exact: whether none is cheaper."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def look(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
+        n, m = len(a), len(b)
+        if max(n, m) <= side:
+            distance, more, less, _ = edits(a, b)
+            return n, m, distance * EDIT + more + less, True
+        both = min(n, m)
+        plain = (int((a[:both] != b[:both]).sum()) + abs(n - m)) * EDIT + abs(n - m)
+        if abs(n - m) > 64:
+            return n, m, plain, False
+        cost = min(plain, within(a, b, 64))
+        return n, m, cost, cost // EDIT <= 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [look(codes(batch.column("__a")[i].as_py()), codes(batch.column("__b")[i].as_py())) for i in range(batch.num_rows)]
+            more = {c: pa.array([r[j] for r in found], k) for j, (c, k) in enumerate((("__n", pa.int64()), ("__m", pa.int64()), ("__cost", pa.int64()), ("__exact", pa.bool_())))}
+            yield pa.RecordBatch.from_pydict(dict(zip(batch.schema.names, batch.columns, strict=True)) | more)
+
+    return pairs.mapInArrow(run, f"{kinds}, __n long, __m long, __cost long, __exact boolean")
+
+
+def walked(a: np.ndarray, b: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The costs along a tile's lower border (with its left corner) and its right one (without the upper corner), of
+    those along the upper (with the left corner) and the left one (without it). a: symbols of its rows, b: of its columns.
+    """
+    step, rows, columns = EDIT + 1, len(a), len(b)
+    # costs less one step for each row and column: a step down or to the right is free, a diagonal one saves
+    now = top - np.arange(columns + 1) * step
+    down = left - np.arange(1, rows + 1) * step
+    saved = {x: np.where(b == x, -2 * step, EDIT - 2 * step) for x in np.unique(a).tolist()}
+    right, way = np.empty(rows, np.int64), np.empty(columns, np.int64)
+    for i, x in enumerate(a.tolist()):
+        np.add(now[:-1], saved[x], out=way)
+        np.minimum(now[1:], way, out=now[1:])
+        now[0] = down[i]
+        np.minimum.accumulate(now, out=now)
+        right[i] = now[-1]
+    return now + (np.arange(columns + 1) + rows) * step, right + (np.arange(1, rows + 1) + columns) * step
+
+
+def tiled(pairs: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
+    """keys, __n, __m and the least __cost of pairs (of with_bounds), by tiles.
+
+    A script no dearer than the known one stays within as many diagonals of the main one as that has edits; tiles
+    beyond are left out. The borders of each anti-diagonal of tiles are a written table.
+    """
+    pairs = pairs.withColumn("__side", F.greatest(F.lit(side), F.ceil(F.greatest("__n", "__m") / TILES)).cast("long"))
+    pairs = pairs.withColumn("__band", F.expr(f"__cost div {EDIT}"))
+    known = [*keys, "__n", "__m", "__side", "__band"]
+
+    def blocks(n: str, text: str, at: str, name: str) -> DataFrame:
+        cut = pairs.select(*keys, "__side", text, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(n) / F.col("__side")) - 1, F.lit(0)).cast("long"))).alias(at))
+        return staged(cut.select(*keys, at, F.substring(F.col(text), (F.col(at) * F.col("__side") + 1).cast("int"), F.col("__side").cast("int")).alias(name)), "edits-blocks")
+
+    rows, columns = blocks("__n", "__a", "__i", "__x"), blocks("__m", "__b", "__j", "__y")
+    where = pairs.select(*known).join(rows.select(*keys, "__i"), list(keys)).join(columns.select(*keys, "__j"), list(keys))
+    least = (F.col("__j") - F.col("__i") - 1) * F.col("__side"), (F.col("__i") - F.col("__j") - 1) * F.col("__side")
+    where = staged(where.filter(F.greatest(*least) <= F.col("__band")).withColumn("__wave", F.col("__i") + F.col("__j")), "edits-tiles")
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = EDIT + 1
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, size, n, m = (batch.column(c)[r].as_py() for c in ("__i", "__j", "__side", "__n", "__m"))
+                a, b = (codes(batch.column(c)[r].as_py()) for c in ("__x", "__y"))
+                top, left = (batch.column(c).slice(r, 1) for c in ("__top", "__left"))
+                # along the table's own edges costs are insertions or deletions alone; beyond the band nothing comes in
+                top = top.flatten().to_numpy() if top.null_count == 0 else (np.arange(len(b) + 1) + j * size) * step if i == 0 else np.full(len(b) + 1, FAR)
+                left = left.flatten().to_numpy() if left.null_count == 0 else (np.arange(1, len(a) + 1) + i * size) * step if j == 0 else np.full(len(a), FAR)
+                low, right = walked(a, b, top, left)
+                end = (i + 1) * size >= n and (j + 1) * size >= m
+                out = [(i, j, "end", low[-1:])] if end else [(i + 1, j, "top", low), (i, j + 1, "left", right)]
+                own = {c: pa.array([batch.column(c)[r].as_py()] * len(out), batch.schema.field(c).type) for c in keys}
+                to, by, kind, cost = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict(own | {"__i": pa.array(to, pa.int64()), "__j": pa.array(by, pa.int64()), "__kind": pa.array(kind), "__costs": pa.array(cost, pa.list_(pa.int64()))})
+
+    at = [*keys, "__i", "__j"]
+    borders, ends = None, []
+    for wave, tiles in sorted(map(tuple, where.groupBy("__wave").count().collect())):
+        now = where.filter(F.col("__wave") == wave).join(rows, [*keys, "__i"]).join(columns, [*keys, "__j"])
+        for kind in ("top", "left"):
+            if borders is None:
+                now = now.withColumn(f"__{kind}", F.lit(None).cast("array<bigint>"))
+            else:
+                now = now.join(borders.filter(F.col("__kind") == kind).select(*at, F.col("__costs").alias(f"__{kind}")), at, "left")
+        now = now.select(*at, "__side", "__n", "__m", "__x", "__y", "__top", "__left").repartition(tiles)
+        borders = staged(now.mapInArrow(run, f"{kinds}, __i long, __j long, __kind string, __costs array<bigint>"), "edits-borders")
+        ends.append(borders.filter("__kind = 'end'").select(*keys, F.col("__costs")[0].alias("__cost")))
+    found = ends[0]
+    for more in ends[1:]:
+        found = found.unionByName(more)
+    return pairs.select(*keys, "__n", "__m").join(found, list(keys))
