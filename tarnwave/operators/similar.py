@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import small
+from tarnwave.operators.order import numbered, small
 from tarnwave.sources.stage import staged
 
 #: Sums lose some digits; distances are allowed that much more.
@@ -104,6 +104,69 @@ def near_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.98, least
     return out.filter((F.col("corr") > corr) & (F.col("sa") >= 1e-9) & (F.col("sb") >= 1e-9)).select("a", "b", "corr", "n")
 
 
+def correlated_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.3, least: int = 20, share: float = 0.05, few: int = 3, channels: int = 256, frames: int = 1024) -> DataFrame:
+    """The pairs of near_signals for a corr that is too low for its index to tell pairs apart: all pairs whose lengths
+    fit are compared, in blocks of signals of like length, and only sums of pairs over `frames` frames at a time.
+
+    Signals are sorted by length and dealt to blocks of `channels`. Blocks none of whose lengths fit don't meet. Signals
+    of up to `frames` frames are compared inside one task, and only pairs above corr leave it; sums of longer ones
+    are shuffled by pair.
+    """
+    rows = staged(signal.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("frame").cast("long").alias("frame"), F.col("v").cast("double").alias("v")), "signals")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).filter(F.col("n") >= least).withColumn("one", F.lit(1))
+    placed = numbered(sizes, ["one"], ["n", "key"], "place").withColumn("block", F.floor(F.col("place") / channels)).drop("one", "place")
+    placed = staged(placed, "places")
+    spans = placed.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    span = lambda s: spans.select(F.col("block").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
+    fit = F.col("low_q") - F.col("high_p") <= F.greatest(F.lit(float(few)), share * F.col("high_p"))
+    met = span("p").join(span("q"), F.col("p") <= F.col("q")).filter(fit).select("p", "q")
+    # values less their signal's mean: sums of squares keep their digits
+    dealt = rows.join(small(placed), "key").select("block", F.floor(F.col("frame") / frames).alias("chunk"), "key", "n", (F.col("frame") % frames).alias("frame"), (F.col("v") - F.col("mean")).alias("v"))
+    cells = staged(dealt.groupBy("block", "chunk").agg(F.collect_list(F.struct("key", "n", "frame", "v")).alias("rows")), "cells")
+    side = lambda s, name: cells.select(F.col("block").alias(s), "chunk", F.col("rows").alias(name))
+    kind = signal.schema[key].dataType.simpleString()
+    names = ("sa", "sb", "saa", "sbb", "sab")
+
+    def table(rows: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        cols = {c: rows.field(c) for c in ("key", "n", "frame", "v")}
+        keys = cols["key"].dictionary_encode()
+        at, frame = keys.indices.to_numpy(zero_copy_only=False), cols["frame"].to_numpy()
+        n, there, value = np.zeros(len(keys.dictionary), np.int64), *np.zeros((2, len(keys.dictionary), frames))
+        n[at] = cols["n"].to_numpy()
+        there[at, frame], value[at, frame] = 1, cols["v"].to_numpy()
+        return keys.dictionary, n, there, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, na, ta, va), (b, nb, tb, vb) = (table(batch.column(c).slice(i, 1).flatten()) for c in (2, 3))
+                sums = {"sa": va @ tb.T, "sb": ta @ vb.T, "saa": (va * va) @ tb.T, "sbb": ta @ (vb * vb).T, "sab": va @ vb.T}
+                m = np.minimum(na[:, None], nb[None, :])
+                ok = np.abs(na[:, None] - nb[None, :]) <= np.maximum(float(few), share * m)
+                if batch.column(0)[i] == batch.column(1)[i]:
+                    # both sides are one block, whose signals stand in one order
+                    ok &= np.triu(np.ones(ok.shape, bool), 1)
+                # signals that end in this chunk are told here; the slip is for sums in another order
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = (sums["sab"] - sums["sa"] * sums["sb"] / m) / np.sqrt((sums["saa"] - sums["sa"] ** 2 / m) * (sums["sbb"] - sums["sb"] ** 2 / m))
+                ok &= (m > frames) | ~(far <= corr - SLIP)
+                j, k = np.nonzero(ok)
+                yield pa.RecordBatch.from_pydict({"a": a.take(pa.array(j)), "b": b.take(pa.array(k)), "n": pa.array(m[j, k])} | {c: pa.array(sums[c][j, k]) for c in names})
+
+    spark = rows.sparkSession
+    two = side("p", "x").join(small(met), "p").join(side("q", "y"), ["q", "chunk"]).repartition(max(8 * spark.sparkContext.defaultParallelism, met.count() // 64), "p", "q")
+    got = two.select("p", "q", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, n long, {', '.join(f'{c} double' for c in names)}")
+    swap = F.col("a") > F.col("b")
+    either = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
+    got = got.select(either("a", "b"), either("b", "a"), "n", either("sa", "sb"), either("sb", "sa"), either("saa", "sbb"), either("sbb", "saa"), "sab")
+    s = got.groupBy("a", "b", "n").agg(*[F.sum(c).alias(c) for c in names])
+    n = F.col("n")
+    spread = lambda q, t: F.sqrt(F.greatest((F.col(q) - F.col(t) * F.col(t) / n) / n, F.lit(0.0)))
+    s = s.select("a", "b", ((F.col("sab") - F.col("sa") * F.col("sb") / n) / n).alias("c"), spread("saa", "sa").alias("da"), spread("sbb", "sb").alias("db"), "n")
+    s = s.withColumn("corr", F.try_divide("c", F.col("da") * F.col("db")))
+    return s.filter((F.col("corr") > corr) & (F.col("da") >= 1e-9) & (F.col("db") >= 1e-9)).select("a", "b", "corr", "n")
+
+
 def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "hash", key: str = "frame") -> tuple[DataFrame, DataFrame]:
     """Hashes of 64 bits (longs) that differ in `radius` bits at most, anywhere in the table.
 
