@@ -7,7 +7,7 @@ every choice of symbols left out, and all pairs within that distance share a key
 
 Only classes of equal sets enter. Buckets never give all their pairs: in each of a few turns, a member is held against
 one member that a bucket names for the turn, links are merged into components, and only buckets that still span several
-components go on. In the end their pairs across components are compared by an exact bound: the parities of a set's
+components go on, for as long as turns bring links. In the end their pairs across components are compared by an exact bound: the parities of a set's
 values in `bits` cells differ in no more cells than two sets differ in values, so pairs that differ in too many cells
 can't be links. So a large group of near copies costs a few rows for each member, and no link is lost.
 """
@@ -28,12 +28,14 @@ from .common import BASE, U, lean, mix, slices, spaced_words, staged
 
 #: Stands for a missing doc_id, so that it sorts last.
 NO_ID = (1 << 63) - 1
+#: A turn that links fewer than one in so many of the components left is the last one.
+WORTH = 50
 
 
 @dataclass(frozen=True)
 class NearRules:
     """size: words of a shingle. percent: 100 * intersection >= percent * union. errors: symbols left out of a chunk.
-    bits: parities of each set (a power of 2, 64 at least). turns: in which members meet one member of their buckets.
+    bits: parities of each set (a power of 2, 64 at least). turns: in which members meet one member of their buckets, at least.
     block: members of a bucket that one task compares with the others at once. small: most rows sent to all executors.
     """
 
@@ -236,12 +238,15 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     few = known.count() <= rules.small
     sets = staged(shingles_of(docs, known, rules, text), "near-sets")
     labels = known.select("id", F.struct("d", "id.a", "id.b").alias("comp"))
-    for turn in range(rules.turns + 1):
+    turn, going = 0, True
+    while going or turn < rules.turns:
         now = staged(mixed(buckets, labels, few), "near-mixed")
-        pairs = star_pairs(now, turn) if turn < rules.turns else all_pairs(now, known, few, rules)
-        found = staged(confirmed(pairs, sets, rules), "near-links")
-        if not found.isEmpty():
-            labels = merged(labels, components(found, rules.small), few)
+        labels, n = linked(star_pairs(now, turn), labels, sets, few, rules)
+        # turns are cheap: they go on for as long as they bring down the components whose pairs are compared in the end
+        going = n * WORTH > now.select("comp").distinct().count()
+        turn += 1
+    now = staged(mixed(buckets, labels, few), "near-mixed")
+    labels, _ = linked(all_pairs(now, known, few, rules), labels, sets, few, rules)
     new = classes.select("id", "d", "copies").join(labels, "id", "left").select("id", F.coalesce("comp.d", "d").alias("component"), "d", "copies")
     new = staged(new.filter("copies > 1 or component <> d").select("id", F.nullif("component", F.lit(NO_ID)).alias("component")), "near-components")
     out = rows.select("doc_id", "text_key", "n_shingles", "id").join(sent(new, new.count() <= rules.small), "id", "left")
@@ -249,6 +254,15 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), text: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame, few: bool, rules: NearRules) -> tuple[DataFrame, int]:
+    """labels after the links among pairs, and the number of linked pairs of components. Each such pair counts once,
+    however many members link it.
+    """
+    found = staged(confirmed(pairs, sets, rules).distinct(), "near-links")
+    n = found.count()
+    return (merged(labels, components(found, rules.small), few), n) if n else (labels, 0)
+
+
 def merged(labels: DataFrame, comps: DataFrame, few: bool) -> DataFrame:
     """labels (id, comp) with components renamed by comps (id, comp)."""
     new = comps.select(F.col("id").alias("comp"), F.col("comp").alias("next"))

@@ -145,3 +145,17 @@ def test_other_ids_are_refused(spark):
 
     with pytest.raises(TypeError):
         near_dedup.near_groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_members_of_two_components_link_them_once(spark, monkeypatch):
+    node, comp = "struct<a:long,b:long>", "struct<d:long,a:long,b:long>"
+    ids = [(i, i) for i in range(20)]
+    sets = spark.createDataFrame([(i, list(range(8))) for i in ids], f"id {node}, shingles array<long>")
+    comps = [(i % 2, i % 2, i % 2) for i in range(20)]
+    labels = spark.createDataFrame(list(zip(ids, comps, strict=True)), f"id {node}, comp {comp}")
+    pairs = [(ids[i], ids[j], comps[i], comps[j]) for i in range(0, 20, 2) for j in range(1, 20, 2)]
+    seen, whole = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges, small: seen.append(edges.count()) or whole(edges, small))
+    after, n = near_dedup.linked(spark.createDataFrame(pairs, f"a {node}, b {node}, ca {comp}, cb {comp}"), labels, sets, True, near_dedup.NearRules())
+    assert seen == [1] and n == 1
+    assert {tuple(r["comp"]) for r in after.collect()} == {(0, 0, 0)}
