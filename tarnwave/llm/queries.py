@@ -25,7 +25,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     more = F.transform("risky", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+
+    def count(kind: int):
+        # a second parameter of a lambda, default or not, would be the element's index
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     spans = F.array_sort(F.concat("base", more))
     return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(spans).alias("spans"), F.size(spans).cast("long").alias("n_found"))
 

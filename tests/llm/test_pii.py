@@ -36,6 +36,22 @@ def test_base_spans(text):
     assert pii.find_base(text) == brute(text)
 
 
+def test_query_has_the_columns_of_its_contract(spark, tmp_path):
+    import hashlib
+
+    from tarnwave.llm import queries
+
+    card = "411111111111111" + pii.luhn_check_digit("411111111111111")
+    texts = [f"{card} then 10.0.0.1", "1.2.3.4 5.6.7.8.9.10.11.12 300.1.1.1", "call +1 (555) 010-9999 or a@b.co, c@d.org", "+49 30 1234567", None, "", f"é\U0001f642 x@y.zz {card}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_pii(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        spans, r = brute(text or ""), got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for _, k, _ in spans) for kind in range(4))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    assert len(got) == len(texts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from("0123456789"), min_size=13, max_size=17))
 def test_cards(digits):
