@@ -7,19 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwave.operators.order import chunked, with_stats
+from tarnwave.operators.order import chunked, small, with_stats
+from tarnwave.sources.stage import staged
 
 KEYS = ("lamp",)
 
 
+def moving_averages(df: DataFrame, widths: dict[str, tuple[str, int]], keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with, for each name, the mean of a column (its value: column, width) as moving_average gives it; rows are dealt once.
+
+    The keys' ends are one small table, told by a pass over df, so df should be cheap to read twice: step on step, stage.
+    """
+    columns = {v: i for i, v in enumerate(dict.fromkeys(v for v, _ in widths.values()))}
+    reach = {name: (width // 2, width - 1 - width // 2) for name, (_, width) in widths.items()}
+    ends = df.groupBy(*keys).agg(F.count("*").alias("__n"), *[end for v, i in columns.items() for end in (F.min_by(v, "frame").alias(f"__first{i}"), F.max_by(v, "frame").alias(f"__last{i}"))])
+    rows = df.join(small(ends), list(keys))
+    left, right = (max(r[i] for r in reach.values()) for i in (0, 1))
+    summed = chunked(rows, keys, "frame", left, right, lambda w: {f"__sum_{name}": F.sum(v).over(w.rowsBetween(-reach[name][0], reach[name][1])) for name, (v, _) in widths.items()})
+    out = {}
+    for name, (v, width) in widths.items():
+        missing_left = F.greatest(F.lit(reach[name][0]) - F.col("frame"), F.lit(0)) * F.col(f"__first{columns[v]}")
+        missing_right = F.greatest(F.col("frame") + reach[name][1] - (F.col("__n") - 1), F.lit(0)) * F.col(f"__last{columns[v]}")
+        out[name] = (F.col(f"__sum_{name}") + missing_left + missing_right) / width
+    made = [f"__sum_{name}" for name in widths] + [f"__{end}{i}" for i in columns.values() for end in ("first", "last")]
+    return summed.withColumns(out).drop("__n", *made)
+
+
 def moving_average(df: DataFrame, width: int, keys: Sequence[str] = KEYS, v: str = "v", name: str = "ma") -> DataFrame:
     """df with the mean over [-width // 2, width - 1 - width // 2] frames; the first and last value stand in beyond the ends."""
-    left, right = width // 2, width - 1 - width // 2
-    ends = with_stats(df, keys, __n=F.count("*"), __first=F.min_by(v, "frame"), __last=F.max_by(v, "frame"))
-    summed = chunked(ends, keys, "frame", left, right, lambda w: {"__sum": F.sum(v).over(w.rowsBetween(-left, right))})
-    missing_left = F.greatest(F.lit(left) - F.col("frame"), F.lit(0)) * F.col("__first")
-    missing_right = F.greatest(F.col("frame") + right - (F.col("__n") - 1), F.lit(0)) * F.col("__last")
-    return summed.withColumn(name, (F.col("__sum") + missing_left + missing_right) / width).drop("__n", "__first", "__last", "__sum")
+    return moving_averages(df, {name: (v, width)}, keys)
 
 
 def detrend(df: DataFrame, width: int, centre: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -36,10 +52,16 @@ def rolling_z(df: DataFrame, width: int, keys: Sequence[str] = KEYS, odd: bool =
 
     An even window reaches one frame further to the left than to the right; odd makes it one frame wider and centred.
     """
-    width |= int(odd)
-    moved = moving_average(df, width, keys, name="__mu").withColumn("__sq", F.pow(F.col("v") - F.col("__mu"), F.lit(2.0)))
-    moved = moving_average(moved, width, keys, v="__sq", name="__var")
-    return moved.withColumn("z", (F.col("v") - F.col("__mu")) / (F.sqrt("__var") + 1e-6)).drop("__mu", "__sq", "__var")
+    return rolling_zs(df, {"z": width | int(odd)}, keys)
+
+
+def rolling_zs(df: DataFrame, widths: dict[str, int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with rolling_z for each name and width: all of them in two passes, cut by a written table."""
+    moved = moving_averages(df, {f"__mu_{z}": ("v", w) for z, w in widths.items()}, keys)
+    moved = staged(moved.withColumns({f"__sq_{z}": F.pow(F.col("v") - F.col(f"__mu_{z}"), F.lit(2.0)) for z in widths}))
+    moved = moving_averages(moved, {f"__var_{z}": (f"__sq_{z}", w) for z, w in widths.items()}, keys)
+    scored = {z: (F.col("v") - F.col(f"__mu_{z}")) / (F.sqrt(f"__var_{z}") + 1e-6) for z in widths}
+    return moved.withColumns(scored).drop(*[f"__{part}_{z}" for z in widths for part in ("mu", "sq", "var")])
 
 
 def lit_windows(df: DataFrame, width: int, need: int, keys: Sequence[str] = KEYS, lit: str = "lit") -> DataFrame:

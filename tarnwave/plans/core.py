@@ -146,8 +146,8 @@ def z_sql(w: int, out: str) -> str:
 @query("w3b_rolling_z_forms", f"WITH {SIGNAL}, e AS ({z_sql(100, 'z')}), o AS ({z_sql(101, 'z_odd')}) SELECT lamp, frame, round(z, 6) AS z, round(z_odd, 6) AS z_odd FROM e JOIN o USING (lamp, frame)")
 def w3b(spark, sf):
     """Both forms for an even window: as it is, and made odd and centred."""
-    both = windows.rolling_z(windows.rolling_z(views.signal(spark, sf), 100).withColumnRenamed("z", "even"), 100, odd=True)
-    return both.select("lamp", "frame", r6("even", "z"), r6("z", "z_odd"))
+    both = windows.rolling_zs(views.signal(spark, sf), {"z": 100, "z_odd": 101})
+    return both.select("lamp", "frame", r6("z"), r6("z_odd"))
 
 
 @query("w4_lit_windows", f"{HEAD}, {LIT}, f AS (SELECT lamp, frame, sum(bit) OVER w AS c, count(*) OVER w AS n FROM bin WINDOW w AS (PARTITION BY lamp ORDER BY frame ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING)) SELECT lamp, frame, CAST(c AS BIGINT) AS lit_count, c >= 10 AS enough FROM f WHERE n = 26")
