@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwave.operators.order import small
+
 
 def hash_bit(seed: Column, k: Column) -> Column:
     """A reproducible random bit: the lowest bit of the first hex digit of md5("seed:k")."""
@@ -25,11 +27,19 @@ def synthesise(bits: DataFrame, period: float, phase: float = 0.0, exposure: flo
     """
     n = bits.groupBy(*keys).agg(F.count("*").alias("__n"))
     count = F.floor(F.col("__n") * F.lit(period) + phase)
-    frames = n.filter(count > 0).select(*keys, "__n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("frame"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(sub - 1)), lambda j: F.least(F.greatest(F.floor((F.col("frame") + (j + 0.5) / F.lit(float(sub)) * F.lit(exposure) - phase) / F.lit(period)), F.lit(0)), F.col("__n") - 1))
-    # few distinct symbols in one exposure: join those, weighted by their points
-    seen = frames.withColumn("k", F.explode(points)).groupBy(*keys, "frame", "k").agg(F.count("*").alias("__w"))
-    lit = seen.join(bits, [*keys, "k"]).groupBy(*keys, "frame").agg((F.sum(F.col("__w") * F.when(F.col("bit") == 1, hi).otherwise(lo)) / sub).alias("v"))
+    # each symbol says how many of a frame's points see it, for the frames near it: no stream is unrolled from one row
+    rows, k = bits.join(small(n), list(keys)), F.col("k")
+    first = F.when(k == 0, F.lit(0).cast("long")).otherwise(F.floor(phase + k * F.lit(period) - exposure) - 1)
+    last = F.when(k == F.col("__n") - 1, count - 1).otherwise(F.ceil(phase + (k + 1) * F.lit(period)) + 1)
+    first, last = F.greatest(first, F.lit(0).cast("long")), F.least(last, count - 1)
+    near = rows.filter(first <= last).withColumn("frame", F.explode(F.sequence(first, last)))
+
+    def seen(j: int) -> Column:
+        at = F.floor((F.col("frame") + F.lit((j + 0.5) / float(sub) * exposure) - phase) / F.lit(period))
+        return (F.least(F.greatest(at, F.lit(0)), F.col("__n") - 1) == k).cast("int")
+
+    near = near.withColumn("__w", sum((seen(j) for j in range(1, sub)), seen(0))).filter("__w > 0")
+    lit = near.groupBy(*keys, "frame").agg((F.sum(F.col("__w") * F.when(F.col("bit") == 1, hi).otherwise(lo)) / sub).alias("v"))
     if noise:
         lit = lit.withColumn("v", F.col("v") + noise * (hash_unit(F.lit(17), F.col("frame")) - 0.5))
     return lit
