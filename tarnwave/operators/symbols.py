@@ -1,7 +1,8 @@
 """Symbol windows, decoding rules and phase ensembles.
 
 A frame lies in at most two windows of a phase, so each row says itself which symbols it serves: there is no join of
-frames with windows, only one aggregation by (keys, phase, symbol), combined before it is shuffled.
+frames with windows. Rows are dealt by chunks of frames once and see the next few; the first row of a symbol's window
+then says the symbol, whatever the number of phases or other variants, and nothing is shuffled for each of them.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwave.operators import packed
-from tarnwave.operators.order import with_stats
+from tarnwave.operators.order import chunked, with_stats
 
 KEYS = ("lamp",)
 #: Frames of a symbol: 260 frames and 92 symbols a second.
 PERIOD = 260.0 / 92.0
+#: Frames that are dealt together: few, so that the symbols of all variants are spread over many tasks.
+DEALT = 1 << 13
 
 
 def phases(n: int, period: float = PERIOD) -> list[float]:
@@ -66,6 +69,28 @@ def served(df: DataFrame, at: Sequence[float], period: float = PERIOD, margin: f
     return rows.filter(inside).drop("__p")
 
 
+def windowed(df: DataFrame, value: Column, at: Sequence[float], period: float = PERIOD, margin: float | Column = 0.0, keys: Sequence[str] = KEYS, n: str = "n", shifts: Sequence[float] | None = None, periods: Sequence[float] | None = None, chunk: int = DEALT) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """One row for each symbol and variant, df's first row in the symbol's window: df with phase_id, k, lo, hi (see served).
+
+    Also returns, of that row and those after it, frame and value, null beyond the window.
+    """
+    width = int(max(periods or [period])) + 1
+    rows = df.withColumn("__v0", value)
+
+    def near(w) -> dict[str, Column]:
+        after = {f"__{c}{j}": F.lead(of, j).over(w) for j in range(1, width) for c, of in (("f", "frame"), ("v", "__v0"))}
+        return after | {"__was": F.lag("frame").over(w)}
+
+    # the frames a window reaches back over decide which row is its first
+    rows = served(chunked(rows, keys, "frame", width, width, near, chunk), at, period, margin, n, shifts, periods)
+    first = rows.filter(F.col("__was").isNull() | (F.col("__was") < F.col("lo")))
+    seen = [(F.col("frame"), F.col("__v0"))]
+    for j in range(1, width):
+        inside = F.col(f"__f{j}") <= F.col("hi")
+        seen.append((F.when(inside, F.col(f"__f{j}")), F.when(inside, F.col(f"__v{j}"))))
+    return first, seen
+
+
 def decode(df: DataFrame, rule: str, at: Sequence[float] = (0.0,), period: float = PERIOD, margin: float | Column = 0.0, thr: Column | None = None, keys: Sequence[str] = KEYS, n: str = "n", shifts: Sequence[float] | None = None, periods: Sequence[float] | None = None) -> DataFrame:
     """One bit for each symbol and variant: keys, phase_id, k, bit, margin. df: keys, frame, v, thr, and n frames.
 
@@ -86,22 +111,18 @@ def decode(df: DataFrame, rule: str, at: Sequence[float] = (0.0,), period: float
         d = F.col("v") - (level + F.col("__p.shift") * F.col("span") if shifts else level)
         value = rows.select(*keys, F.col("__p.phase_id").alias("phase_id"), "k", d.alias("__v"))
     elif rule in ("average", "confident"):
-        rows = served(df, at, period, margin, n, shifts, periods)
-        rows = rows.withColumn("__d", F.col("v") - (level + F.col("__shift") * F.col("span") if shifts else level))
-        width = int(max(periods or [period])) + 1
-        parts = [F.col(f"__{j}") for j in range(width)]
-        rows = rows.groupBy(*keys, "phase_id", "k").agg(*window_values(F.col("__d"), width))
+        # the threshold is that of each frame
+        own = F.struct(F.col("v").alias("v"), level.alias("l"), F.col("span").alias("s")) if shifts else F.col("v") - level
+        rows, seen = windowed(df, own, at, period, margin, keys, n, shifts, periods)
+        far = [x["v"] - (x["l"] + F.col("__shift") * x["s"]) if shifts else x for _, x in seen]
+        parts = [F.col(f"__d{j}") for j in range(len(seen))]
+        rows = rows.select(*keys, "phase_id", "k", *[d.alias(f"__d{j}") for j, d in enumerate(far)])
         value = rows.select(*keys, "phase_id", "k", (mean_of if rule == "average" else furthest)(parts).alias("__v"))
     else:
         raise ValueError(f"rule {rule!r} is none of nearest, average, confident")
     return value.select(*keys, "phase_id", "k", (F.col("__v") > 0).cast("long").alias("bit"), F.abs("__v").alias("margin"))
 
 
-def window_values(value: Column, width: int, frame: str = "frame", lo: str = "lo") -> list[Column]:
-    """Aggregates of a symbol's frames: its first value, its second, ... as __0, __1, ... (null beyond its last one)."""
-    return [F.max(F.when(F.col(frame) == F.col(lo) + j, value)).alias(f"__{j}") for j in range(width)]
-
-
 def mean_of(parts: Sequence[Column]) -> Column:
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     return total / sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))

@@ -43,11 +43,13 @@ SETTINGS = [(f"{rule}_{pair}_{i}", rule, pair, margin) for rule in RULES for pai
 def grid_words(rows: DataFrame, levels: DataFrame, at: list[float], keys: list[str]) -> DataFrame:
     """keys, phase_id, word, mask, and the packed bits of each setting. rows: keys, frame, v, n.
 
-    The values of a symbol's frames are gathered once; the bits of all settings are columns, packed 64 to a long.
+    The first frame of a symbol sees the others; the bits of all settings are columns, packed 64 to a long.
     """
     width = int(PERIOD) + 1
-    values = symbols.served(rows, at).withColumn("centre", F.least(F.rint(F.col("lo") - 0.5 + PERIOD / 2), F.col("n") - 1.0))
-    values = values.groupBy(*keys, "phase_id", "k", "lo").agg(*symbols.window_values(F.col("v"), width), F.max(F.when(F.col("frame") == F.col("centre"), F.col("v"))).alias("mid"))
+    first, seen = symbols.windowed(rows, F.col("v"), at, keys=keys)
+    at_frame = lambda of: F.coalesce(*[F.when(frame == of, v) for frame, v in seen])
+    centre = F.least(F.rint(F.col("lo") - 0.5 + PERIOD / 2), F.col("n") - 1.0)
+    values = first.select(*keys, "phase_id", "k", "lo", *[at_frame(F.col("lo") + j).alias(f"__{j}") for j in range(width)], at_frame(centre).alias("mid"))
     phase = F.element_at(F.array(*map(F.lit, at)), F.col("phase_id").cast("int") + 1)
     values = values.withColumn("stop", phase + F.col("k") * F.lit(PERIOD) + PERIOD)
     cells = values.join(levels.groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == p, F.col("thr"))).alias(f"thr{p}") for p in PAIRS]), keys)
