@@ -268,10 +268,10 @@ VARIANTS = [("threshold", x, 0.0, x, PERIOD) for x in SHIFTS] + [("phase", round
 SWEPT = ("confident", "nearest")
 
 
-def held_against(bits: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """factor, value, rule, same_pct: the median over keys of the share of bits (keys, factor, value, rule, k) that equal the base's."""
+def held_against(words: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """factor, value, rule, same_pct: the median over keys of the share of bits that equal the base's. Both packed by keys, rule, factor, value."""
     own = [*keys, "rule"]
-    per = packed.same_share(packed.pack(bits, [*own, "factor", "value"]), packed.pack(base, own), own, ["factor", "value"])
+    per = packed.same_share(words, base, own, ["factor", "value"])
     return per.groupBy("factor", "value", "rule").agg(r6(F.percentile(F.col("share") * 100, F.lit(0.5)), "same_pct"))
 
 
@@ -282,8 +282,9 @@ def both_rules(rows: DataFrame, keys: list[str], phases: list[float] | None = No
 
 def smoothings(raw: DataFrame) -> DataFrame:
     """lamp, frame, v, value: raw under each width of smoothing."""
-    parts = [windows.moving_average(raw, w).select("lamp", "frame", F.col("ma").alias("v"), F.lit(float(w)).alias("value")) for w in SMOOTH]
-    return reduce(DataFrame.unionByName, parts)
+    rows = windows.moving_averages(raw, {f"ma{w}": ("v", w) for w in SMOOTH})
+    each = F.explode(F.array(*[F.struct(F.col(f"ma{w}").alias("v"), F.lit(float(w)).alias("value")) for w in SMOOTH]))
+    return rows.select("lamp", "frame", each.alias("s")).select("lamp", "frame", "s.v", "s.value")
 
 
 def boxed_signals(spark, sf) -> DataFrame:
@@ -315,14 +316,18 @@ def x3(spark, sf):
     rows = staged(thresholded(spark, sf))
     phases, shifts, periods = ([v[i] for v in VARIANTS] for i in (2, 3, 4))
     named = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(float(v)).alias("value")) for f, v, *_ in VARIANTS])
-    bits = staged(both_rules(rows, ["lamp"], phases=phases, shifts=shifts, periods=periods).withColumn("f", F.element_at(named, F.col("phase_id").cast("int") + 1)).select("lamp", "f.factor", "f.value", "rule", "k", "bit"))
+    own = ["rule", "factor", "value"]
+    bits = packed.pack(both_rules(rows, ["lamp"], phases=phases, shifts=shifts, periods=periods), ["lamp", "rule", "phase_id"])
+    bits = staged(bits.withColumn("f", F.element_at(named, F.col("phase_id").cast("int") + 1)).select("lamp", "f.factor", "f.value", "rule", "word", "mask", "bit"))
     moved = held_against(bits.filter("factor <> 'base'"), bits.filter("factor = 'base'"), ["lamp"])
 
     raw = rows.select("lamp", "frame", "v")
-    sb = staged(both_rules(thresholds.fixed(staged(smoothings(raw)), keys=["lamp", "value"]), ["lamp", "value"]).withColumn("factor", F.lit("smoothing")))
+    sb = both_rules(thresholds.fixed(staged(smoothings(raw)), keys=["lamp", "value"]), ["lamp", "value"]).withColumn("factor", F.lit("smoothing"))
+    sb = staged(packed.pack(sb, ["lamp", *own]))
     smoothed = held_against(sb, sb.filter("value = 1"), ["lamp"])
 
-    bb = staged(both_rules(thresholds.fixed(boxed_signals(spark, sf), keys=["value"]), ["value"]).withColumns({"factor": F.lit("box"), "all": F.lit(1)}))
+    bb = both_rules(thresholds.fixed(staged(boxed_signals(spark, sf)), keys=["value"]), ["value"]).withColumns({"factor": F.lit("box"), "all": F.lit(1)})
+    bb = staged(packed.pack(bb, ["all", *own]))
     boxed = held_against(bb, bb.filter("value = 3"), ["all"])
     return moved.unionByName(smoothed).unionByName(boxed)
 
