@@ -406,8 +406,13 @@ def x3_quality(spark, sf):
     twelve = symbols.phases(12)
 
     def safe(rows: DataFrame, keys: list[str]) -> DataFrame:
+        # symbols that all phases have, and those of them that all decode alike, a word at a time
         own = [*keys, "rule"]
-        return symbols.ensemble(both_rules(rows, keys, phases=twelve), 12, own).groupBy(*own).agg((F.avg(F.col("safe").cast("int")) * 100).alias("pct"))
+        words = packed.pack(both_rules(rows, keys, phases=twelve), [*own, "phase_id"])
+        full = F.when(F.count("*") == 12, F.bit_and("mask")).otherwise(F.lit(0).cast("long"))
+        alike = F.bit_and("bit").bitwiseOR(F.bitwise_not(F.bit_or("bit")))
+        words = words.groupBy(*own, "word").agg(F.bit_count(full).alias("n"), F.bit_count(full.bitwiseAND(alike)).alias("c"))
+        return words.groupBy(*own).agg(F.sum("n").alias("n"), F.sum("c").alias("c")).filter("n > 0").select(*own, (F.col("c") / F.col("n") * 100).alias("pct"))
 
     boxes = staged(thresholds.fixed(boxed_signals(spark, sf), keys=["value"]))
     edge = 0.25 * F.col("span")
