@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +33,11 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> str:
-    """The folder that df is written to, until the driver ends."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
+    """The folder that df is written to, with one folder for each value of the columns `by`, until the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnwave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     files, at = file_system(spark, path)
     files.deleteOnExit(at)
     return path
