@@ -14,10 +14,11 @@ touches; those who meet there and lie within both radii are candidates, and only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import comb, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SLIP = 1e-6
 BLOCK = 1 << 14
 #: Share of all hashes that an index may bring before each one; where it is more, comparing all pairs in blocks costs less.
 WORTH = 0.01
+#: Values of a cell of signals at most, bytes of cells that a task holds of either side, and correlations that it holds at once.
+ROOM, PART, SLICE = 1 << 19, 1 << 24, 1 << 18
 
 
 def level_of(n: Column, least: int, share: float) -> Column:
@@ -104,67 +107,145 @@ def near_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.98, least
     return out.filter((F.col("corr") > corr) & (F.col("sa") >= 1e-9) & (F.col("sb") >= 1e-9)).select("a", "b", "corr", "n")
 
 
-def correlated_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.3, least: int = 20, share: float = 0.05, few: int = 3, channels: int = 256, frames: int = 1024) -> DataFrame:
+def correlated_signals(signal: DataFrame, key: str = "lamp", corr: float = 0.3, least: int = 20, share: float = 0.05, few: int = 3, channels: int = 1024, frames: int = 1 << 14) -> DataFrame:
     """The pairs of near_signals for a corr that is too low for its index to tell pairs apart: all pairs whose lengths
-    fit are compared, in blocks of signals of like length, and only sums of pairs over `frames` frames at a time.
+    fit are compared, in blocks of signals of like length. A null value counts as a frame, but not for mean and deviation
+    of its signal; the covariance is over the frames where both have a value.
 
-    Signals are sorted by length and dealt to blocks of `channels`. Blocks none of whose lengths fit don't meet. Signals
-    of up to `frames` frames are compared inside one task, and only pairs above corr leave it; sums of longer ones
-    are shuffled by pair.
+    Signals are sorted by length and dealt to blocks of up to `channels` signals and ROOM values, which are packed once, in
+    cells of `frames` frames. Cells are dealt to parts, and each pair of parts is read by one task: nothing is shuffled for
+    each pair of blocks or signals but the sums of signals that are both longer than a cell.
     """
-    rows = staged(signal.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("frame").cast("long").alias("frame"), F.col("v").cast("double").alias("v")), "signals")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).filter(F.col("n") >= least).withColumn("one", F.lit(1))
-    placed = numbered(sizes, ["one"], ["n", "key"], "place").withColumn("block", F.floor(F.col("place") / channels)).drop("one", "place")
-    placed = staged(placed, "places")
-    spans = placed.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    span = lambda s: spans.select(F.col("block").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
-    fit = F.col("low_q") - F.col("high_p") <= F.greatest(F.lit(float(few)), share * F.col("high_p"))
-    met = span("p").join(span("q"), F.col("p") <= F.col("q")).filter(fit).select("p", "q")
-    # values less their signal's mean: sums of squares keep their digits
-    dealt = rows.join(small(placed), "key").select("block", F.floor(F.col("frame") / frames).alias("chunk"), "key", "n", (F.col("frame") % frames).alias("frame"), (F.col("v") - F.col("mean")).alias("v"))
-    cells = staged(dealt.groupBy("block", "chunk").agg(F.collect_list(F.struct("key", "n", "frame", "v")).alias("rows")), "cells")
-    side = lambda s, name: cells.select(F.col("block").alias(s), "chunk", F.col("rows").alias(name))
     kind = signal.schema[key].dataType.simpleString()
-    names = ("sa", "sb", "saa", "sbb", "sab")
+    rows = signal.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("frame").cast("long").alias("frame"), F.col("v").cast("double").alias("v"))
+    values = F.sort_array(F.collect_list(F.struct("frame", "v")))["v"]
+    held = staged(rows.groupBy("key", F.floor(F.col("frame") / frames).alias("chunk")).agg(values.alias("values"), F.sum("v").alias("s"), F.count("v").alias("told")), "signals")
+    sizes = held.groupBy("key").agg(F.sum(F.size("values")).alias("n"), F.try_divide(F.sum("s"), F.sum("told")).alias("mean")).filter(F.col("n") >= least)
+    # signals of a level have as many binary digits in their length, so they differ by less than twice
+    placed = numbered(sizes.withColumn("level", F.length(F.bin(F.least("n", F.lit(frames))))), ["level"], ["n", "key"], "place")
+    room = F.greatest(F.lit(1), F.least(F.lit(channels), F.floor(ROOM / F.pow(F.lit(2.0), "level"))))
+    placed = staged(placed.select("key", "n", "mean", (F.col("level").cast("long") * (1 << 40) + F.floor(F.col("place") / room)).alias("block")), "places")
+    dealt = held.join(small(placed), "key").select("block", "chunk", "key", "n", "mean", "values")
+    cells = dealt.groupBy("block", "chunk").applyInArrow(cell, f"block long, chunk long, low long, high long, keys array<{kind}>, n array<long>, means array<double>, samples binary, nulls binary")
+    cells = staged(cells, "cells")
+    fit = F.col("low_q") - F.col("high_p") <= F.greatest(F.lit(float(few)), share * F.col("high_p"))
 
-    def table(rows: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        cols = {c: rows.field(c) for c in ("key", "n", "frame", "v")}
-        keys = cols["key"].dictionary_encode()
-        at, frame = keys.indices.to_numpy(zero_copy_only=False), cols["frame"].to_numpy()
-        n, there, value = np.zeros(len(keys.dictionary), np.int64), *np.zeros((2, len(keys.dictionary), frames))
-        n[at] = cols["n"].to_numpy()
-        there[at, frame], value[at, frame] = 1, cols["v"].to_numpy()
-        return keys.dictionary, n, there, value
+    def met(cells: DataFrame) -> DataFrame:
+        """p, q, chunk, x, y: all pairs of cells of a chunk whose lengths may fit, p's signals not longer than q's."""
+        n, size = cells.agg(F.count("*"), F.sum(F.length("samples"))).first()
+        parts = max(1, min(n, 2 * isqrt(cells.sparkSession.sparkContext.defaultParallelism)), -(-(size or 0) // PART))
+        side = lambda s, name: cells.repartition(parts).select(F.col("block").alias(s), F.col("chunk").alias(f"chunk_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.struct("keys", "n", "means", "samples", "nulls").alias(name))
+        return side("p", "x").hint("shuffle_replicate_nl").join(side("q", "y"), (F.col("p") <= F.col("q")) & (F.col("chunk_p") == F.col("chunk_q")) & fit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], compared: Callable) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (a, na, ta, va), (b, nb, tb, vb) = (table(batch.column(c).slice(i, 1).flatten()) for c in (2, 3))
-                sums = {"sa": va @ tb.T, "sb": ta @ vb.T, "saa": (va * va) @ tb.T, "sbb": ta @ (vb * vb).T, "sab": va @ vb.T}
-                m = np.minimum(na[:, None], nb[None, :])
-                ok = np.abs(na[:, None] - nb[None, :]) <= np.maximum(float(few), share * m)
-                if batch.column(0)[i] == batch.column(1)[i]:
-                    # both sides are one block, whose signals stand in one order
-                    ok &= np.triu(np.ones(ok.shape, bool), 1)
-                # signals that end in this chunk are told here; the slip is for sums in another order
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = (sums["sab"] - sums["sa"] * sums["sb"] / m) / np.sqrt((sums["saa"] - sums["sa"] ** 2 / m) * (sums["sbb"] - sums["sb"] ** 2 / m))
-                ok &= (m > frames) | ~(far <= corr - SLIP)
-                j, k = np.nonzero(ok)
-                yield pa.RecordBatch.from_pydict({"a": a.take(pa.array(j)), "b": b.take(pa.array(k)), "n": pa.array(m[j, k])} | {c: pa.array(sums[c][j, k]) for c in names})
-
-    spark = rows.sparkSession
-    two = side("p", "x").join(small(met), "p").join(side("q", "y"), ["q", "chunk"]).repartition(max(8 * spark.sparkContext.defaultParallelism, met.count() // 64), "p", "q")
-    got = two.select("p", "q", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, n long, {', '.join(f'{c} double' for c in names)}")
-    swap = F.col("a") > F.col("b")
-    either = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
-    got = got.select(either("a", "b"), either("b", "a"), "n", either("sa", "sb"), either("sb", "sa"), either("saa", "sbb"), either("sbb", "saa"), "sab")
-    s = got.groupBy("a", "b", "n").agg(*[F.sum(c).alias(c) for c in names])
-    n = F.col("n")
-    spread = lambda q, t: F.sqrt(F.greatest((F.col(q) - F.col(t) * F.col(t) / n) / n, F.lit(0.0)))
-    s = s.select("a", "b", ((F.col("sab") - F.col("sa") * F.col("sb") / n) / n).alias("c"), spread("saa", "sa").alias("da"), spread("sbb", "sb").alias("db"), "n")
-    s = s.withColumn("corr", F.try_divide("c", F.col("da") * F.col("db")))
-    return s.filter((F.col("corr") > corr) & (F.col("da") >= 1e-9) & (F.col("db") >= 1e-9)).select("a", "b", "corr", "n")
+                p, q, chunk, x, y = (batch.column(c)[i] for c in ("p", "q", "chunk_p", "x", "y"))
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    a, b = opened(x, chunk.as_py(), frames), opened(y, chunk.as_py(), frames)
+                    for j, k, figures in compared(a, b, p == q):
+                        yield pa.RecordBatch.from_pydict({"a": x["keys"].values.take(pa.array(j)), "b": y["keys"].values.take(pa.array(k))} | {c: pa.array(s) for c, s in figures.items()})
+
+    short = lambda batches: run(batches, lambda a, b, same: correlations(a, b, same, corr, share, few, frames))
+    long = lambda batches: run(batches, lambda a, b, same: sums(a, b, same, share, few, frames))
+    out = met(cells.filter("chunk = 0")).filter(F.col("low_p") <= frames).mapInArrow(short, f"a {kind}, b {kind}, corr double, n long")
+    longer = cells.filter(F.col("high") > frames)
+    if not longer.isEmpty():
+        names = ("both", "sa", "sb", "sab", "na", "ta", "taa", "nb", "tb", "tbb")
+        s = met(longer).mapInArrow(long, f"a {kind}, b {kind}, n long, {', '.join(f'{c} double' for c in names)}").groupBy("a", "b", "n").agg(*[F.sum(c).alias(c) for c in names])
+        spread = lambda n, t, tt: F.sqrt(F.greatest(F.try_divide(F.col(tt) - F.try_divide(F.col(t) * F.col(t), n), n), F.lit(0.0)))
+        s = s.withColumns({"da": spread(F.col("na"), "ta", "taa"), "db": spread(F.col("nb"), "tb", "tbb")}).filter("da >= 1e-9 AND db >= 1e-9")
+        s = s.withColumn("corr", F.try_divide(F.try_divide(F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), "both"), F.col("both")), F.col("da") * F.col("db")))
+        out = out.unionByName(s.filter((F.col("corr") > corr) & ~F.isnan("corr")).select("a", "b", "corr", "n"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "corr", "n")
+
+
+def cell(group: pa.Table) -> pa.Table:
+    """A block's signals in one chunk, by length and key, as one row: their values as bytes, and a bit for each null if there is one."""
+    group = group.sort_by([("n", "ascending"), ("key", "ascending")])
+    key, n, mean, values = (pa.concat_arrays(group[c].chunks) for c in ("key", "n", "mean", "values"))
+    values, listed = values.flatten(), lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    null = values.is_null().to_numpy(zero_copy_only=False)
+    row = {"block": group["block"][:1], "chunk": group["chunk"][:1], "low": n[:1], "high": n[-1:], "keys": listed(key), "n": listed(n), "means": listed(mean)}
+    bits = np.packbits(null).tobytes() if null.any() else None
+    return pa.table(row | {"samples": pa.array([values.fill_null(0.0).to_numpy().tobytes()], pa.binary()), "nulls": pa.array([bits], pa.binary())})
+
+
+@dataclass
+class Opened:
+    """A cell's signals as rows: lengths, means, values (0 where there is none), where a frame is, where it has a value."""
+
+    n: np.ndarray
+    mean: np.ndarray
+    value: np.ndarray
+    there: np.ndarray
+    told: np.ndarray
+    gaps: bool
+
+
+def opened(row: pa.StructScalar, chunk: int, frames: int) -> Opened:
+    n, mean = row["n"].values.to_numpy(), row["means"].values.to_numpy(zero_copy_only=False)
+    held = np.clip(n - chunk * frames, 0, frames)
+    there = np.arange(held.max()) < held[:, None]
+    value, told, gaps = np.zeros(there.shape), there, row["nulls"].is_valid
+    value[there] = np.frombuffer(row["samples"].as_buffer())
+    if gaps:
+        told = there.copy()
+        told[there] = np.unpackbits(np.frombuffer(row["nulls"].as_buffer(), np.uint8), count=held.sum()) == 0
+    return Opened(n, mean, value, there, told, gaps)
+
+
+def scaled(value: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Rows less their mean, by their standard deviation; NaN where that is too small."""
+    n = told.sum(1, keepdims=True)
+    off = np.where(told, value - value.sum(1, keepdims=True) / n, 0.0)
+    deviation = np.sqrt((off * off).sum(1, keepdims=True) / n)
+    return off / np.where(deviation >= 1e-9, deviation, np.nan)
+
+
+def correlations(a: Opened, b: Opened, same: bool, corr: float, share: float, few: int, frames: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict]]:
+    """Pairs of a's signals of up to `frames` frames with b's, which aren't shorter, above corr; same: a is b, each pair once."""
+    for m in np.unique(a.n[a.n <= frames]):
+        first, last = np.searchsorted(a.n, (m, m + 1))
+        # b is sorted by length, and in the same block those before are done
+        begin, end = first if same else 0, np.searchsorted(b.n - m, max(float(few), share * m), "right")
+        if begin >= end:
+            continue
+        there = b.told[begin:end, :m]
+        y = scaled(b.value[begin:end, :m], there)
+        step = max(1, SLICE // len(y))
+        for i in range(first, last, step):
+            here = a.told[i : min(i + step, last), :m]
+            x = scaled(a.value[i : i + len(here), :m], here)
+            if a.gaps or b.gaps:
+                u, v = here.astype(float), there.astype(float)
+                both = u @ v.T
+                c = (x @ y.T - (x @ v.T) * (u @ y.T) / both) / both
+            else:
+                c = (x / m) @ y.T
+            j, k = np.divmod(np.flatnonzero(c > corr), len(y))
+            if same:
+                once = begin + k > i + j
+                j, k = j[once], k[once]
+            if len(j):
+                yield i + j, begin + k, {"corr": c[j, k], "n": np.full(len(j), m)}
+
+
+def sums(a: Opened, b: Opened, same: bool, share: float, few: int, frames: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict]]:
+    """One chunk's sums for pairs of signals that are both longer than `frames`; same: a is b, each pair once."""
+    m = np.minimum(a.n[:, None], b.n)
+    ok = (m > frames) & (np.abs(a.n[:, None] - b.n) <= np.maximum(float(few), share * m))
+    if same:
+        ok &= np.triu(np.ones(ok.shape, bool), 1)
+    j, k = np.nonzero(ok)
+    if not len(j):
+        return
+    width = min(a.there.shape[1], b.there.shape[1])
+    # values less their signal's mean: sums of squares keep their digits
+    (u, ha, va), (w, hb, vb) = ((s.told[:, :width].astype(float), s.there[:, :width].astype(float), np.where(s.told, s.value - np.nan_to_num(s.mean, nan=0.0, posinf=0.0, neginf=0.0)[:, None], 0.0)[:, :width]) for s in (a, b))
+    got = {"both": u @ w.T, "sa": va @ w.T, "sb": u @ vb.T, "sab": va @ vb.T}
+    got |= {"na": u @ hb.T, "ta": va @ hb.T, "taa": (va * va) @ hb.T, "nb": ha @ w.T, "tb": ha @ vb.T, "tbb": ha @ (vb * vb).T}
+    yield j, k, {"n": m[j, k]} | {c: s[j, k] for c, s in got.items()}
 
 
 def near_hashes(frames: DataFrame, radius: int, bands: int = 4, hash_: str = "hash", key: str = "frame") -> tuple[DataFrame, DataFrame]:
